@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import bpe, dac, line_dedup, mixing, quality, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": bpe.op1_bpe,
+    "op4_lines": line_dedup.op4_lines,
+    "op5_tokens": token_counts.op5_tokens,
+    "op6_dac": dac.op6_dac,
+    "op7_secrets": secrets.op7_secrets,
     "op8_mixing": mixing.op8_mixing,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_lines": line_dedup.OP4_SQL}
