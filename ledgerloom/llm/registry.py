@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dac, line_dedup, mixing, quality, secrets, token_counts
+from . import ann, bpe, dac, line_dedup, mixing, near_dup, quality, secrets, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_near_dup": near_dup.op2_near_dup,
+    "op3_ann": ann.op3_ann,
     "op4_lines": line_dedup.op4_lines,
     "op5_tokens": token_counts.op5_tokens,
     "op6_dac": dac.op6_dac,
     "op7_secrets": secrets.op7_secrets,
     "op8_mixing": mixing.op8_mixing,
+    "op9_suffix": suffix_dedup.op9_suffix,
     "op10_quality": quality.op10_quality,
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -80,3 +81,9 @@ def ranked(df: DataFrame, order: list[Column], name: str, rank: str) -> DataFram
     starts = spark.createDataFrame(offsets or [(0, 0)], "_part int, _start long")
     within = Window.partitionBy("_part").orderBy(*order)
     return parts.join(F.broadcast(starts), "_part").withColumn(rank, F.col("_start") + F.row_number().over(within) - 1).drop("_part", "_start")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that are over: it does so when their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
