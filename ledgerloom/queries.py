@@ -1,6 +1,512 @@
-"""Named queries over the driver's tables, and equivalent DuckDB SQL."""
+"""Named queries over the driver's tables, and equivalent DuckDB SQL.
+
+Two change logs come from the tables. Log E: every row of ``events`` is a transaction
+(event_id) that changes the row of its user; signup inserts, error deletes, all else
+updates; for routing, each type is a table of its own. Log O: every order inserts a version
+of its customer's newest order. Log files are written from tables and read back.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from .functions import native
+from .operators import commit, freshness, logical_clock, metrics, routing, transactions, versions
+from .plans import replay
+from .sources import binlog, catalog, traces
+from .workspace import fresh_path
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+AS_OF = dt.datetime(2024, 1, 15, 12)
+GROUPS = [["app.view", "app.click"], ["app.purchase", "app.signup"]]
+#: Small segments, so that tables of any size exercise them.
+SEGMENT = 4096
+FILE_EVENTS = 4000
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def log_e(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
+    op = F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U")
+    tbl = F.concat(F.lit("app."), "event_type") if by_type else F.lit("app.users")
+    zero = F.lit(0)
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("txn_seq"), zero.alias("event_ord"), zero.alias("row_ord"), tbl.alias("tbl"), F.col("user_id").alias("pk"), op.alias("op"), F.col("ts").alias("event_time"), "event_type", "value", F.char_length("props").cast("long").alias("event_len")
+    )
+
+
+def log_o(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zero = F.lit(0)
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("txn_seq"), zero.alias("event_ord"), zero.alias("row_ord"), F.lit("shop.orders").alias("tbl"), F.col("o_custkey").alias("pk"), F.lit("I").alias("op"), F.col("o_orderdate").alias("event_time"), "o_totalprice", "o_orderstatus", "o_orderpriority"
+    )
+
+
+def groups_e(spark: SparkSession) -> DataFrame:
+    return routing.table_groups(spark, GROUPS)
+
+
+def replay_e(spark: SparkSession, sf_dir: str, mode: str = "grouped") -> replay.Replay:
+    return replay.replay_changes(log_e(spark, sf_dir, by_type=True), groups_e(spark), mode)
+
+
+OP = "CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END"
+T0 = "TIMESTAMP '2024-01-15 12:00:00'"
+GROUP_OF = "CASE WHEN event_type IN ('view', 'click') THEN 0 WHEN event_type IN ('purchase', 'signup') THEN 1 END"
+
+# ---- versions -----------------------------------------------------------------------------------
+
+
+@query("latest_version", f"SELECT user_id, event_id, ts AS event_time, {OP} AS op, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.latest(log_e(spark, sf_dir)).select(F.col("pk").alias("user_id"), F.col("txn_seq").alias("event_id"), "event_time", "op", "event_type", "value")
+
+
+@query(
+    "version_chain",
+    f"SELECT user_id, event_id, row_number() OVER w AS version_no, ts AS valid_from, lead(ts) OVER w AS valid_to, {OP} = 'D' AS is_deleted FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
+)
+def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = versions.versions(log_e(spark, sf_dir), SEGMENT)
+    return out.select(F.col("pk").alias("user_id"), F.col("txn_seq").alias("event_id"), "version_no", "valid_from", "valid_to", "is_deleted")
+
+
+_AS_OF_SQL = f"SELECT user_id, event_id, {OP} AS op, value FROM events WHERE ts <= {T0} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+
+
+def _state(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("pk").alias("user_id"), F.col("txn_seq").alias("event_id"), "op", "value")
+
+
+@query("snapshot_as_of", _AS_OF_SQL)
+def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(versions.as_of(log_e(spark, sf_dir), F.lit(AS_OF).cast("timestamp_ntz"), keep_deleted=True))
+
+
+@query("snapshot_live_rows", f"SELECT * FROM ({_AS_OF_SQL}) WHERE op <> 'D'")
+def snapshot_live_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(versions.as_of(log_e(spark, sf_dir), F.lit(AS_OF).cast("timestamp_ntz")))
+
+
+@query("point_read_as_of", f"SELECT * FROM ({_AS_OF_SQL}) WHERE op <> 'D' AND user_id = 7")
+def point_read_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(versions.point_as_of(log_e(spark, sf_dir), "app.users", F.lit(7), F.lit(AS_OF).cast("timestamp_ntz")))
+
+
+@query("collapse_same_time", "SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey, o_orderdate")
+def collapse_same_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = versions.collapse_same_time(log_o(spark, sf_dir))
+    return out.select(F.col("pk").alias("o_custkey"), F.col("event_time").alias("o_orderdate"), F.col("txn_seq").alias("o_orderkey"), "o_totalprice")
+
+
+@query("upsert_state", f"SELECT user_id, max(event_id) AS event_id, arg_max({OP}, event_id) AS op, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, cut = log_e(spark, sf_dir), F.lit(AS_OF).cast("timestamp_ntz")
+    return _state(versions.upsert(versions.latest(log.where(F.col("event_time") <= cut)).select(*log.columns), log.where(F.col("event_time") > cut)))
+
+
+# ---- routing, grid, commits ----------------------------------------------------------------------
+
+
+@query("route_to_groups", f"SELECT {GROUP_OF} AS group_id, 'app.' || event_type AS tbl, count(*) AS n_rows, CAST(sum(length(props)) AS BIGINT) AS n_bytes FROM events WHERE event_type <> 'error' GROUP BY ALL")
+def route_to_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay_e(spark, sf_dir).routed().groupBy("group_id", "tbl").agg(F.count("*").alias("n_rows"), F.sum("event_len").alias("n_bytes"))
+
+
+@query("unrouted_rows", "SELECT event_id, 'app.' || event_type AS tbl FROM events WHERE event_type = 'error'")
+def unrouted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.unrouted(log_e(spark, sf_dir, by_type=True), groups_e(spark)).select(F.col("txn_seq").alias("event_id"), "tbl")
+
+
+@query("allowed_tables", "SELECT 'app.' || event_type AS tbl, count(*) AS n_rows FROM events WHERE event_type IN ('view', 'error') GROUP BY ALL")
+def allowed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.allow(log_e(spark, sf_dir, by_type=True), ["app.view", "app.error"]).groupBy("tbl").agg(F.count("*").alias("n_rows"))
+
+
+@query("two_way_split", "SELECT CAST(event_type <> 'view' AS INTEGER) AS group_id, count(*) AS n_rows FROM events GROUP BY ALL")
+def two_way_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.two_way_split(log_e(spark, sf_dir, by_type=True), "app.view").groupBy("group_id").agg(F.count("*").alias("n_rows"))
+
+
+_GRID = f"SELECT event_id AS txn_seq, g.group_id, CAST(({GROUP_OF} = g.group_id) IS TRUE AS BIGINT) AS n_rows, ts FROM events, (VALUES (0), (1)) g(group_id)"
+
+
+@query("txn_group_grid", f"SELECT txn_seq, group_id, n_rows FROM ({_GRID})")
+def txn_group_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay_e(spark, sf_dir).grid()
+
+
+@query("empty_txns_per_group", f"SELECT group_id, count(*) FILTER (n_rows = 0) AS n_empty, count(*) AS n_txns FROM ({_GRID}) GROUP BY group_id")
+def empty_txns_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commit.empty_transactions(replay_e(spark, sf_dir).grid())
+
+
+_TIMELINE = "SELECT group_id, txn_seq, n_rows, max(CASE WHEN n_rows > 0 THEN ts END) OVER (PARTITION BY group_id ORDER BY txn_seq) AS commit_time FROM ({})".format(_GRID)
+
+
+@query("group_commit_timeline", _TIMELINE)
+def group_commit_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = replay_e(spark, sf_dir)
+    return commit.timeline(r.grid(), r.txns, advance_on_empty=False, segment_txns=SEGMENT)
+
+
+@query("group_commit_timeline_advancing", f"SELECT group_id, txn_seq, n_rows, max(ts) OVER (PARTITION BY group_id ORDER BY txn_seq) AS commit_time FROM ({_GRID})")
+def group_commit_timeline_advancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = replay_e(spark, sf_dir)
+    return commit.timeline(r.grid(), r.txns, segment_txns=SEGMENT)
+
+
+@query("group_high_water_mark", f"SELECT group_id, max(txn_seq) AS last_txn, max(CASE WHEN n_rows > 0 THEN ts END) AS commit_time, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM ({_GRID}) GROUP BY group_id")
+def group_high_water_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay_e(spark, sf_dir).high_water(advance_on_empty=False)
+
+
+@query("replay_equivalence", "SELECT CAST(0 AS BIGINT) AS n_different")
+def replay_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped, single = replay_e(spark, sf_dir), replay_e(spark, sf_dir, "single_group")
+    cols = ["tbl", "pk", "txn_seq", "op", "value"]
+    one, other = versions.latest(grouped.routed()).select(*cols), versions.latest(single.routed()).select(*cols)
+    return one.exceptAll(other).unionByName(other.exceptAll(one)).agg(F.count("*").alias("n_different"))
+
+
+@query("apply_order", f"SELECT user_id AS pk, {GROUP_OF} AS group_id, 'app.' || event_type AS tbl, min(event_id) AS first_txn, max(event_id) AS last_txn FROM events WHERE event_type <> 'error' GROUP BY ALL")
+def apply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = commit.apply_in_order(replay_e(spark, sf_dir).routed())
+    return ordered.groupBy("pk", "group_id", "tbl").agg(F.min("txn_seq").alias("first_txn"), F.max("txn_seq").alias("last_txn"))
+
+
+# ---- transactions --------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.floor(F.col("event_id") / FILE_EVENTS).cast("int").alias("file_ord"), F.col("event_id").alias("pos"), F.col("event_type").alias("kind"), F.char_length("props").cast("long").alias("event_len"))
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.assemble(_files(spark, sf_dir), F.col("kind") == "purchase", F.floor(F.col("pos") / 512))
+
+
+_ASSEMBLED = f"""
+WITH e AS (SELECT event_id, CAST(event_id // {FILE_EVENTS} AS INTEGER) AS file_ord, CAST(event_type = 'purchase' AS INTEGER) AS m, length(props) AS l FROM events),
+c AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY file_ord ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(m) OVER (PARTITION BY file_ord) AS commits FROM e),
+f AS (SELECT file_ord, coalesce(sum(sum(m)) OVER (ORDER BY file_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e GROUP BY file_ord)
+"""
+
+
+@query("txn_assembly", _ASSEMBLED + "SELECT CAST(before + b + 1 AS BIGINT) AS txn_seq, count(*) AS n_events, CAST(sum(l) AS BIGINT) AS n_bytes, min(event_id) AS first_pos, max(event_id) AS last_pos FROM c JOIN f USING (file_ord) WHERE b < commits GROUP BY ALL")
+def txn_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.summary(transactions.complete_only(_assembled(spark, sf_dir)))
+
+
+@query("incomplete_tail", _ASSEMBLED + "SELECT file_ord, event_id AS pos FROM c WHERE b >= commits")
+def incomplete_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.incomplete_tail(_assembled(spark, sf_dir)).select("file_ord", "pos")
+
+
+def _clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(F.floor(e / FILE_EVENTS).cast("int").alias("file_ord"), (e - e % 7).alias("last_committed"), (e + 1).alias("sequence_number"))
+
+
+_CLOCK = f"SELECT CAST(event_id // {FILE_EVENTS} AS INTEGER) AS file_ord, event_id - event_id % 7 AS last_committed, event_id + 1 AS sequence_number FROM events"
+_LEVELS = f"SELECT file_ord, sequence_number, dense_rank() OVER (PARTITION BY file_ord ORDER BY last_committed) AS level FROM ({_CLOCK})"
+_BLOCKED = f"SELECT file_ord, sequence_number, last_committed, coalesce(lag(sequence_number) OVER (PARTITION BY file_ord ORDER BY sequence_number) <= last_committed, FALSE) AS is_blocked FROM ({_CLOCK})"
+
+
+@query("commit_groups", f"SELECT *, dense_rank() OVER (PARTITION BY file_ord ORDER BY last_committed) AS commit_group FROM ({_CLOCK})")
+def commit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logical_clock.commit_groups(_clock(spark, sf_dir)).select("file_ord", "last_committed", "sequence_number", "commit_group")
+
+
+@query("dependency_level", _LEVELS)
+def dependency_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logical_clock.dependency_levels(_clock(spark, sf_dir)).select("file_ord", "sequence_number", "level")
+
+
+@query("blocked_txns", f"SELECT file_ord, sequence_number, is_blocked FROM ({_BLOCKED})")
+def blocked_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logical_clock.blocked(_clock(spark, sf_dir)).select("file_ord", "sequence_number", "is_blocked")
+
+
+@query("clock_metrics", f"SELECT file_ord, count(*) AS n_txns, count(DISTINCT last_committed) AS n_groups, count(*) FILTER (is_blocked) AS n_blocked, max(level) AS longest_chain FROM ({_BLOCKED}) JOIN ({_LEVELS}) USING (file_ord, sequence_number) GROUP BY file_ord")
+def clock_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logical_clock.metrics(_clock(spark, sf_dir))
+
+
+@query("txn_lag", "SELECT a.event_id AS txn_seq, epoch_us(b.ts) - epoch_us(a.ts) AS lag_us FROM events a LEFT JOIN events b ON b.event_id = a.event_id + 50")
+def txn_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return logical_clock.lag_of(table(spark, sf_dir, "events").select(F.col("event_id").alias("txn_seq"), micros.alias("finish_us")), 50).select("txn_seq", "lag_us")
+
+
+# ---- freshness and workload ------------------------------------------------------------------------
+
+_QUERIES = [(1, dt.datetime(2024, 1, 10, 3), [0]), (2, dt.datetime(2024, 1, 20, 17, 30), [0, 1]), (3, dt.datetime(2031, 1, 1), [1]), (4, dt.datetime(2023, 1, 1), [0, 1])]
+_QUERIES_SQL = "(VALUES (1, TIMESTAMP '2024-01-10 03:00:00', [0]), (2, TIMESTAMP '2024-01-20 17:30:00', [0, 1]), (3, TIMESTAMP '2031-01-01', [1]), (4, TIMESTAMP '2023-01-01', [0, 1])) q(query_id, query_time, groups)"
+
+
+def _queries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_QUERIES, "query_id int, query_time timestamp_ntz, groups array<int>")
+
+
+@query(
+    "query_freshness_wait",
+    f"WITH m AS (SELECT group_id, max(CASE WHEN n_rows > 0 THEN ts END) AS mark FROM ({_GRID}) GROUP BY group_id) SELECT query_id, min(mark) AS commit_time, min(mark) >= any_value(query_time) AS is_fresh FROM (SELECT query_id, query_time, unnest(groups) AS group_id FROM {_QUERIES_SQL}) JOIN m USING (group_id) GROUP BY query_id",
+)
+def query_freshness_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return freshness.waits(_queries(spark), replay_e(spark, sf_dir).high_water(False)).select("query_id", "commit_time", "is_fresh")
+
+
+@query(
+    "query_ready_txn",
+    f"WITH t AS ({_TIMELINE}), g AS (SELECT query_id, query_time, unnest(groups) AS group_id FROM {_QUERIES_SQL}), e AS (SELECT query_id, group_id, min(txn_seq) AS txn FROM g LEFT JOIN t USING (group_id) WHERE commit_time >= query_time GROUP BY ALL) SELECT q.query_id, CASE WHEN count(e.txn) = len(any_value(groups)) THEN max(e.txn) END AS ready_txn FROM {_QUERIES_SQL} LEFT JOIN e ON e.query_id = q.query_id GROUP BY q.query_id",
+)
+def query_ready_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return freshness.ready_transaction(_queries(spark), group_commit_timeline(spark, sf_dir)).select("query_id", "ready_txn")
+
+
+@query(
+    "query_lag_n_txns",
+    "SELECT q.query_id, CASE WHEN b.ts IS NOT NULL THEN epoch_us(b.ts) - epoch_us(a.ts) + 3000 END AS lag_us FROM (VALUES (1, 10), (2, 400), (3, 99999999)) q(query_id, at_txn) LEFT JOIN events a ON a.event_id = at_txn LEFT JOIN events b ON b.event_id = at_txn + 50",
+)
+def query_lag_n_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrivals = spark.createDataFrame([(1, 10, [0]), (2, 400, [0, 1]), (3, 99999999, [1])], "query_id int, at_txn long, groups array<int>")
+    rows = table(spark, sf_dir, "events").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("group_id"), F.col("event_id").alias("txn_seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("finish_us"))
+    return freshness.query_lag(arrivals, rows, ahead=50).select("query_id", "lag_us")
+
+
+@query("query_mix_round_robin", "SELECT query_id, CAST(unnest(range(1, n + 1)) AS INTEGER) AS repetition FROM (VALUES (1, 14), (2, 1), (3, 7)) m(query_id, n)")
+def query_mix_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return freshness.round_robin(spark.createDataFrame([(1, 700), (2, 50), (3, 350)], "query_id int, freq int")).select("query_id", "repetition")
+
+
+@query("queries_by_group", f"SELECT group_id, count(DISTINCT query_id) AS n_queries FROM (SELECT query_id, unnest(groups) AS group_id FROM {_QUERIES_SQL}) GROUP BY group_id")
+def queries_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.queries_by_group(_queries(spark))
+
+
+@query("groups_of_query", "SELECT * FROM (VALUES (1, '0'), (2, '0,1'), (3, '-1')) q(query_id, groups)")
+def groups_of_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([(1, ["app.view", "app.click"]), (2, ["app.view", "app.signup"]), (3, ["app.error"])], "query_id int, tables array<string>")
+    return routing.groups_of_query(asked, groups_e(spark)).select("query_id", F.array_join(F.col("groups").cast("array<string>"), ",").alias("groups"))
+
+
+@query("sql_tables", "SELECT * FROM (VALUES (1, 'tpcc.a,tpcc.b'), (2, 'x,y'), (3, 'base,d.z')) t(query_id, tables)")
+def sql_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statements = ["SELECT * FROM tpcc.a, tpcc.b WHERE a.i = b.i", "SELECT i FROM x WHERE i IN (SELECT j FROM y)", "WITH c AS (SELECT * FROM base) SELECT * FROM c JOIN d.z ON c.i = z.i"]
+    return spark.createDataFrame([(i + 1, ",".join(freshness.tables_of_sql(spark, s))) for i, s in enumerate(statements)], "query_id int, tables string")
+
+
+@query("admitted_queries", "SELECT event_id, CAST(floor(event_id / 14.4) AS BIGINT) AS n_admitted FROM events")
+def admitted_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", freshness.admitted(F.col("event_id")).cast("long").alias("n_admitted"))
+
+
+@query("parse_trace_line", "SELECT * FROM (VALUES (CAST(100 AS BIGINT), 'a,b'), (250, 'c'), (300, '')) t(arrival, tables)")
+def parse_trace_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame([("100,a,b,",), ("250,c",), ("",), ("300,",)], "value string")
+    return traces.parse_arrivals(lines).select("arrival", F.array_join("tables", ",").alias("tables"))
+
+
+@query("parse_sql_trace", "SELECT TIMESTAMP '2021-04-07 09:05:03' AS query_time, 'SELECT a, b FROM t' AS sql")
+def parse_sql_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame([("2021-4-7 9:5:3,SELECT a, b FROM t",)], "value string")
+    return traces.parse_sql_lines(lines).select(F.col("query_time").cast("timestamp_ntz").alias("query_time"), "sql")
+
+
+@query("merge_traces", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS arrival, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS tables FROM events GROUP BY ALL")
+def merge_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("tbl"), F.unix_timestamp(F.date_trunc("hour", F.col("ts")).cast("timestamp")).alias("arrival"))
+    return traces.merge_by_time(rows).select("arrival", F.array_join("tables", ",").alias("tables"))
+
+
+# ---- metrics ---------------------------------------------------------------------------------------
+
+
+@query("log_totals", "SELECT count(*) FILTER (event_type = 'purchase') AS n_txns, CAST(sum(length(props)) AS BIGINT) AS n_bytes FROM events")
+def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.totals(_files(spark, sf_dir), F.col("kind") == "purchase")
+
+
+@query("group_volume", f"SELECT {GROUP_OF} AS group_id, count(*) AS n_events, CAST(sum(length(props)) AS BIGINT) AS n_bytes, max(event_id) AS last_txn, CAST(sum(length(props)) AS BIGINT) / 1e8 AS bytes_e8 FROM events WHERE event_type <> 'error' GROUP BY 1")
+def group_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.by_group(replay_e(spark, sf_dir).routed())
+
+
+@query(
+    "stage_latency_means",
+    "SELECT CAST(event_id % 3 AS INTEGER) AS group_id, count(*) AS n_txns, round(avg(event_id % 7), 6) AS dispatch_us, round(avg(event_id % 11), 6) AS parse_us, round(avg(event_id % 13), 6) AS commit_us FROM events GROUP BY 1",
+)
+def stage_latency_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    t = table(spark, sf_dir, "events").select((e % 3).cast("int").alias("group_id"), (e * 100).alias("start_us"), (e * 100 + e % 7).alias("dispatched_us"), (e * 100 + e % 7 + e % 11).alias("parsed_us"), (e * 100 + e % 7 + e % 11 + e % 13).alias("finished_us"))
+    out = metrics.stage_means(t)
+    return out.select("group_id", "n_txns", *[F.round(c, 6).alias(c) for c in ("dispatch_us", "parse_us", "commit_us")])
+
+
+@query("throughput_tumbling", "SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n_events FROM events GROUP BY ALL")
+def throughput_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.throughput(table(spark, sf_dir, "events"), "1 hour", "ts")
+
+
+# ---- decoders --------------------------------------------------------------------------------------
+
+
+def _bytes(spark: SparkSession, *rows: tuple[str, ...]) -> DataFrame:
+    return spark.createDataFrame([tuple(bytearray.fromhex(x) for x in r) for r in rows], ", ".join(f"b{i} binary" for i in range(len(rows[0]))))
+
+
+@query("decode_integers", "SELECT CAST(-2 AS BIGINT) AS medium, CAST(16777214 AS BIGINT) AS umedium, CAST(-1 AS BIGINT) AS big, CAST(18446744073709551615 AS DECIMAL(20,0)) AS ubig, CAST(200 AS BIGINT) AS utiny, CAST(-56 AS BIGINT) AS tiny")
+def decode_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, m, b, t = _bytes(spark, ("FEFFFF", "FFFFFFFFFFFFFFFF", "C8")), F.col("b0"), F.col("b1"), F.col("b2")
+    return d.select(native.int_le(m, 0, 3).alias("medium"), native.uint_le(m, 0, 3).alias("umedium"), native.int_le(b, 0, 8).alias("big"), native.uint_le(b, 0, 8).alias("ubig"), native.uint_le(t, 0, 1).alias("utiny"), native.int_le(t, 0, 1).alias("tiny"))
+
+
+@query("decode_temporal", "SELECT DATE '2021-04-27' AS d, TIMESTAMP '2021-04-27 12:34:56' AS dt, CAST(1619526896 AS BIGINT) AS ts, '12:34:56' AS t, CAST(NULL AS DATE) AS zero_d")
+def decode_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _bytes(spark, ("9BCA0F", "99A976C8B8", "608804F0", "40E201", "000000"))
+    return d.select(native.date_value(F.col("b0")).alias("d"), native.datetime_value(F.col("b1")).alias("dt"), F.unix_timestamp(native.timestamp_value(F.col("b2"))).alias("ts"), native.time_text(F.col("b3")).alias("t"), native.date_value(F.col("b4")).alias("zero_d"))
+
+
+@query("decode_decimal", "SELECT CAST(1234567890.1234 AS DECIMAL(14,4)) AS a, CAST(-1234567890.1234 AS DECIMAL(14,4)) AS b")
+def decode_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _bytes(spark, ("810DFB38D204D2", "7EF204C72DFB2D"))
+    return d.select(native.decimal_value(F.col("b0"), 14, 4).alias("a"), native.decimal_value(F.col("b1"), 14, 4).alias("b"))
+
+
+@query("decimal_roundings", "SELECT * FROM (VALUES (CAST(2.5 AS DOUBLE), 2.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 3.0::DOUBLE, 2.0::DOUBLE), (-2.5, -2.0, -2.0, -3.0, -2.0, -3.0), (3.5, 3.0, 4.0, 4.0, 4.0, 3.0)) t(x, truncate, half_even, half_up, ceiling, floor)")
+def decimal_roundings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.sql("SELECT CAST(x AS DECIMAL(10,2)) AS x FROM VALUES (2.5), (-2.5), (3.5) t(x)")
+    return d.select(F.col("x").cast("double").alias("x"), *[f(F.col("x"), 0).cast("double").alias(k) for k, f in native.ROUNDINGS.items()])
+
+
+@query("decimal_arithmetic", "SELECT round(sum(CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DOUBLE)), 2) AS total, count(*) FILTER (CAST(o_totalprice AS DECIMAL(15,2)) % 3 < 1) AS n_low FROM orders")
+def decimal_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("o_totalprice").cast("decimal(15,2)")
+    return table(spark, sf_dir, "orders").agg(F.round(F.sum(x).cast("double"), 2).alias("total"), F.count_if(x % 3 < 1).alias("n_low"))
+
+
+@query("crc_check", "SELECT * FROM (VALUES (1, TRUE), (2, FALSE)) t(id, ok)")
+def crc_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import zlib
+
+    good = b"ledger" + zlib.crc32(b"ledger").to_bytes(4, "little")
+    d = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"x" + good[1:]))], "id int, event binary")
+    return d.select("id", native.crc_ok(F.col("event"), F.octet_length("event")).alias("ok"))
+
+
+@query("text_helpers", "SELECT '00112233-4455-6677-8899-aabbccddeeff' AS sid, CAST(524311 AS BIGINT) AS version, CAST(1619526896 AS BIGINT) AS epoch")
+def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _bytes(spark, ("00112233445566778899AABBCCDDEEFF",))
+    return d.select(native.uuid_text(F.col("b0")).alias("sid"), native.version_product(F.lit("8.0.23-log")).alias("version"), native.epoch_of_text(F.lit("2021-4-27 12:34:56")).alias("epoch"))
+
+
+# ---- log files -------------------------------------------------------------------------------------
+
+
+def _write_log(spark: SparkSession, rows: DataFrame, name: str, key: str, batch: int, time: str | None = None) -> str:
+    """Write a table as log files (one for each partition of ``rows``) to the shared folder."""
+    binlog.register(spark)
+    path = fresh_path(spark, f"log-{name}")
+    writer = rows.write.format("binlog").option("db", "shop").option("table", name).option("primaryKey", key).option("batch", batch)
+    writer = writer.option("eventTime", time) if time else writer
+    writer.mode("append").save(path)
+    return path
+
+
+@query("log_round_trip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    path = _write_log(spark, orders, "orders", "o_orderkey", 100, "o_orderdate")
+    changes = spark.read.format("binlog").option("mode", "changes").load(path)
+    return catalog.typed(changes, "shop.orders", orders.schema, ["o_orderkey"]).select("row.*")
+
+
+@query("log_event_counts", "SELECT t AS type_name, count(*) AS n FROM customer, (VALUES ('ANONYMOUS_GTID'), ('QUERY'), ('TABLE_MAP'), ('WRITE_ROWS'), ('XID')) k(t) GROUP BY t UNION ALL SELECT 'FORMAT_DESCRIPTION', 1")
+def log_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _write_log(spark, table(spark, sf_dir, "customer").coalesce(1), "customer", "c_custkey", 1)
+    return spark.read.format("binlog").load(path).groupBy("type_name").agg(F.count("*").alias("n"))
+
+
+@query("log_replay_latest", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
+def log_replay_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    path = _write_log(spark, orders, "orders", "o_custkey", 10, "o_orderdate")
+    groups = routing.table_groups(spark, [["shop.orders"]])
+    schema = T.StructType.fromDDL("o_orderkey long, o_custkey long, o_totalprice double")
+    return replay.replay_log(spark, path, groups).latest().select(F.from_json("after", schema).alias("row")).select("row.*")
+
+
+@query("log_table_maps", "SELECT 'shop' AS map_db, 'nation' AS map_tbl, count(*) AS n FROM nation")
+def log_table_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _write_log(spark, table(spark, sf_dir, "nation").coalesce(1), "nation", "n_nationkey", 1)
+    events = spark.read.format("binlog").load(path).where("table_id IS NOT NULL")
+    resolved = routing.resolve_table_maps(events.select("file_ord", "pos", "event_type", "table_id", "db", "tbl"))
+    return resolved.where("event_type = 30").groupBy("map_db", "map_tbl").agg(F.count("*").alias("n"))
+
+
+@query("log_through_spark_files", "SELECT r_regionkey, r_name FROM region")
+def log_through_spark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    path = _write_log(spark, region.coalesce(1), "region", "r_regionkey", 2)
+    return catalog.typed(binlog.read_log(spark, path + "/log.*", "changes"), "shop.region", region.schema, ["r_regionkey"]).select("row.*")
+
+
+# ---- Spark SQL on reconstructed tables ---------------------------------------------------------------
+
+
+def _newest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.live(versions.latest(log_o(spark, sf_dir))).select(F.col("pk").alias("o_custkey"), F.col("txn_seq").alias("o_orderkey"), "o_totalprice", "o_orderstatus", "o_orderpriority")
+
+
+_NEWEST = "(SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)"
+
+
+def _on_snapshot(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
+    """Register a statement over {newest} (each customer's newest order, reconstructed) and customer, nation, region."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = {"newest": _newest_orders(spark, sf_dir)} | {t: table(spark, sf_dir, t) for t in ("customer", "nation", "region")}
+        return spark.sql(spark_sql, **{k: v for k, v in frames.items() if "{" + k + "}" in spark_sql})
+
+    sql = duck_sql or spark_sql
+    query(f"sql_on_snapshot_{name}", sql.replace("{newest}", _NEWEST).replace("{", "").replace("}", ""))(run)
+
+
+_on_snapshot("join", "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {newest} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey GROUP BY n_name")
+_on_snapshot("semi", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {newest} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
+_on_snapshot("anti", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {newest} o WHERE o.o_custkey = c.c_custkey)")
+_on_snapshot("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {newest} o GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
+_on_snapshot("rollup", "SELECT o_orderpriority, o_orderstatus, max(o_orderkey) AS top FROM {newest} o GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
+_on_snapshot("cube", "SELECT o_orderpriority, o_orderstatus, min(o_orderkey) AS low FROM {newest} o GROUP BY CUBE (o_orderpriority, o_orderstatus)")
+_on_snapshot("window", "SELECT o_custkey, CAST(rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_custkey) AS BIGINT) AS place FROM {newest} o")
+_on_snapshot("set_ops", "(SELECT o_custkey AS k FROM {newest} o WHERE o_orderstatus = 'O' UNION SELECT c_custkey FROM {customer} c WHERE c_acctbal < 0) EXCEPT SELECT o_custkey FROM {newest} o WHERE o_totalprice < 50000")
+_on_snapshot("intersect", "SELECT o_custkey AS k FROM {newest} o WHERE o_orderstatus = 'F' INTERSECT SELECT c_custkey FROM {customer} c WHERE c_acctbal > 0")
+_on_snapshot("top_k", "SELECT o_custkey, o_orderkey, o_totalprice FROM {newest} o ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+
+
+@query("changes_per_hour_rank", "SELECT hour, n, CAST(rank() OVER (ORDER BY n DESC, hour) AS BIGINT) AS place FROM (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1)")
+def changes_per_hour_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+    return hours.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"), "hour")).cast("long"))
