@@ -17,7 +17,6 @@ its results are replaced. Texts are encoded whole; a word of any length is merge
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import mmap
@@ -29,6 +28,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +40,10 @@ from .shared import documents, fresh_path, materialize
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: At most so many frequent words are compiled; words seen fewer times than the second number never are.
 LEXICON_WORDS, LEAST_COUNT = 65536, 8
-#: A worker forgets the words it remembers beyond this number.
+#: A worker forgets the words that aren't in the lexicon when it remembers more than this number.
 REMEMBERED = 400_000
+#: Rows that a task handles at a time, so that a batch's texts and ids are not all unpacked at once.
+ROWS = 512
 #: Words longer than this many bytes are merged by a heap instead of by scanning.
 SCAN_UP_TO = 128
 MAGIC = b"MATLEX01"
@@ -127,6 +129,13 @@ def vocabulary(spec: str) -> Vocabulary:
     return Vocabulary(spec)
 
 
+def compiled_encoding(vocab: Vocabulary) -> tiktoken.Encoding:
+    """A compiled merger over the vocabulary's ranks; it gives what ``Vocabulary.merge`` gives, several times faster."""
+    special = set(vocab.special.values())
+    ranks = {p: i for i, p in enumerate(vocab.pieces) if i not in special}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=vocab.special)
+
+
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """The minimal acyclic automaton of ``words`` with their ids, as the bytes of a file.
 
@@ -229,15 +238,19 @@ class Remembered(dict):
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None) -> None:
         super().__init__()
-        self.vocab, self.lexicon = vocab, lexicon
+        self.lexicon, self.frequent = lexicon, {}
+        self.merge = compiled_encoding(vocab)._encode_single_piece
 
     def __missing__(self, word: str) -> bytes:
         raw = word.encode("utf-8")
         packed = self.lexicon.get(raw) if self.lexicon else None
         if packed is None:
-            packed = np.array(self.vocab.merge(raw), "<u4").tobytes()
+            packed = struct.pack(f"<{len(ids := self.merge(raw))}I", *ids)
+        else:
+            self.frequent[word] = packed
         if len(self) >= REMEMBERED:
             self.clear()
+            self.update(self.frequent)
         self[word] = packed
         return packed
 
@@ -257,14 +270,20 @@ def encoder(spec: str, lexicon: str | None) -> Callable[[str], bytes]:
     return encode
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """How often each word of the corpus occurs, for words that occur at least ``LEAST_COUNT`` times."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0))).alias("word"))
-    return words.groupBy("word").count().where(F.col("count") >= LEAST_COUNT)
+    """How often each word (run of letters between spaces) of the corpus occurs, for those that occur ``LEAST_COUNT`` times."""
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("word"))
+    return words.groupBy("word").count().where((F.col("count") >= LEAST_COUNT) & F.col("word").rlike(r"^\p{L}+$"))
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words, at most ``most``: those above a count that a histogram of counts gives."""
+    """The most frequent pre-tokens, at most ``most``: a space and a word with a count above what a histogram of counts gives."""
     counts = materialize(word_counts(docs).withColumn("bin", F.floor(F.log2("count") * 16).cast("int")), "bpe-words")
     taken, least = 0, None
     for b, n in sorted(((r[0], r[1]) for r in counts.groupBy("bin").count().collect()), reverse=True):
@@ -273,13 +292,14 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
         taken, least = taken + n, b
     if least is None:
         return []
-    return sorted(r[0] for r in counts.where(F.col("bin") >= least).select("word").collect())
+    words = (" " + r[0] for r in counts.where(F.col("bin") >= least).select("word").collect())
+    return sorted(w for w in words if regex.fullmatch(r" \p{L}+", w))
 
 
 def share_lexicon(spark: SparkSession, data: bytes) -> str:
     """Put a lexicon into the shared folder and among the files that Spark gives to executors; its name."""
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{fresh_path(spark, 'bpe')}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, "lexicon"))
+    name = path.getName()  # an application's file names must differ
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
     try:
         out.write(bytearray(data))
@@ -305,7 +325,7 @@ def encode(docs: DataFrame, path: str | None = None, lexicon: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(shared.value, lexicon)
-        for batch in batches:
+        for batch in sliced(batches):
             packed = [of(t) if t else b"" for t in batch.column("text").to_pylist()]
             offsets = np.zeros(len(packed) + 1, np.int32)
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
@@ -325,8 +345,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(shared.value).pieces
-        for batch in batches:
-            texts = [b"".join([pieces[i] for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+        for batch in sliced(batches):
+            ids = batch.column("ids")
+            flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
+            texts = [b"".join([pieces[i] for i in flat[a:b].tolist()]).decode("utf-8", "replace") for a, b in pairwise(at.tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

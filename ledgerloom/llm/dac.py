@@ -31,12 +31,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, tokenizer_path, vocabulary
+from .bpe import compiled_encoding, tokenizer_path, vocabulary
 from .shared import documents, fresh_path
 
 CHUNK_BITS = 8
@@ -108,9 +107,7 @@ class Codes:
 def merger(spec: str) -> Callable[[str], list[int]]:
     """A text's ids, special tokens included, without an end id."""
     vocab = vocabulary(spec)
-    special = set(vocab.special.values())
-    ranks = {p: i for i, p in enumerate(vocab.pieces) if i not in special}
-    encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=vocab.special)
+    encoding = compiled_encoding(vocab)
     allowed = set(vocab.special)
     return lambda text: encoding.encode(text, allowed_special=allowed) if any(t in text for t in allowed) else encoding.encode_ordinary(text)
 

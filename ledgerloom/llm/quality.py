@@ -28,6 +28,8 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 #: A document that loses more than this share of its words' characters is rejected.
 MAX_LOST = 0.5
+#: Menus and notices are short: only lines of so many words are looked at as such.
+MENU_LENGTH, NOTICE_LENGTH = 25, 40
 #: Lines with fewer words than this need not end a sentence to be dropped as fragments only if they look like menus.
 SHORT_LINE = 5
 SYMBOLS = "#*$%&|<>"
@@ -49,9 +51,11 @@ def line_fails(line: Column) -> Column:
     symbols = F.char_length(line) - F.char_length(F.translate(line, SYMBOLS, ""))
     noisy = (n_words >= 3) & (symbols > n_words * MAX_SYMBOLS_PER_WORD)
     fragment = (n_words >= 3) & (n_words < SHORT_LINE) & ~stripped.rlike(TERMINAL) & ~stripped.rlike(r"\p{L}{3}")
-    menu = (F.regexp_count(line, F.lit(SEPARATORS)) >= 3) & (F.regexp_count(line, F.lit(SEPARATORS)) * 6 >= n_words)
-    menu_words = (n_words >= 3) & (F.regexp_count(line, F.lit(rf"(?i)\b({MENU_WORDS})\b")) * 10 >= n_words * 6)
-    return noisy | fragment | menu | menu_words | (line.rlike(BOILERPLATE) & (n_words <= 40))
+    separators = F.regexp_count(line, F.lit(SEPARATORS))
+    menu = (separators >= 3) & (separators * 6 >= n_words)
+    menu_words = (n_words >= 3) & (n_words <= MENU_LENGTH) & (F.regexp_count(line, F.lit(rf"(?i)\b({MENU_WORDS})\b")) * 10 >= n_words * 6)
+    notice = (n_words <= NOTICE_LENGTH) & line.rlike(BOILERPLATE)
+    return noisy | fragment | menu | menu_words | notice
 
 
 def _repeat_words(docs: DataFrame) -> DataFrame:

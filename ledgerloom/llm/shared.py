@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -35,14 +34,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives lost executors."""
+#: With this setting Spark removes the shuffle files of a query when the query is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives lost executors.
+
+    Its shuffle files go as soon as it is written, not when the driver collects its garbage.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,8 +92,3 @@ def ranked(df: DataFrame, order: list[Column], name: str, rank: str) -> DataFram
     within = Window.partitionBy("_part").orderBy(*order)
     return parts.join(F.broadcast(starts), "_part").withColumn(rank, F.col("_start") + F.row_number().over(within) - 1).drop("_part", "_start")
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps that are over: it does so when their plans are collected as garbage."""
-    gc.collect()
-    spark._jvm.System.gc()

@@ -31,14 +31,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LAST_ID, documents, materialize, release, uniform
+from .shared import LAST_ID, documents, materialize, uniform
 
 #: Length of the strings, of an anchor's gram, and how many grams begin in a string.
 LENGTH, GRAM = 50, 24
@@ -55,7 +54,9 @@ _mul = [int(x) * 2 + 1 for x in _rng.integers(2**61, 2**62, 2)]
 _inv = [pow(m, -1, 2**64) for m in _mul]
 _odd = np.uint64(0xD6E8FEB86659FD93)
 
-CONTEXT = np.dtype([("key", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<u4"), ("windows", "<u4")])
+#: What is sent of a context: its key, its row's place in the batch's list, first string's start, number of strings, the anchor's place in it.
+SENT = np.dtype([("key", "<u8"), ("row", "<u4"), ("start", "<u4"), ("windows", "u1"), ("anchor", "u1")])
+CONTEXT = np.dtype([("key", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("anchor", "<u4")])
 SPAN = np.dtype([("rid", "<i8"), ("start", "<u4"), ("end", "<u4")])
 PAIR = np.dtype([("rid", "<i8"), ("key", "<u8")])
 
@@ -68,14 +69,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-@lru_cache(maxsize=1)
+_known_powers = np.ones((4, 1), np.uint64)
+
+
 def _powers(n: int) -> np.ndarray:
-    out = np.empty((4, n), np.uint64)
-    for row, m in zip(out, [*_mul, *_inv], strict=True):
-        row[0] = 1
-        row[1:] = np.uint64(m)
-        np.multiply.accumulate(row, out=row)
-    return out
+    """Powers of the multipliers and their inverses, at least n; a worker keeps the longest list."""
+    global _known_powers
+    if _known_powers.shape[1] < n:
+        out = np.empty((4, max(1 << 16, 1 << n.bit_length())), np.uint64)
+        for row, m in zip(out, [*_mul, *_inv], strict=True):
+            row[0] = 1
+            row[1:] = np.uint64(m)
+            np.multiply.accumulate(row, out=row)
+        _known_powers = out
+    return _known_powers
+
+
+def string_hashes(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each of the strings of ``LENGTH`` bytes that start at ``at``."""
+    out = [np.zeros(len(at), np.uint64) for _ in _mul]
+    for j in range(LENGTH):
+        b = raw[at + j]
+        for v, m in enumerate(_mul):
+            out[v] = out[v] * np.uint64(m) + _byte[v][b]
+    return [_mixed(x) for x in out]
 
 
 class Hashes:
@@ -83,7 +100,7 @@ class Hashes:
 
     def __init__(self, data: np.ndarray, versions: int = 1) -> None:
         n = len(data)
-        self.powers = _powers(max(1 << 16, 1 << max(1, n + 1).bit_length()))
+        self.powers = _powers(n + 1)
         self.sums = []
         for v in range(versions):
             s = np.zeros(n + 1, np.uint64)
@@ -104,6 +121,11 @@ def _sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return f(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
+def context_hashes(hashes: Hashes, first: np.ndarray, end: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the bytes from first to end and of the anchor's place in them."""
+    return hashes.of(first, end) ^ _mixed(anchor.astype(np.uint64) + np.uint64(1)), hashes.of(first, end, 1) + (end - first).astype(np.uint64)
+
+
 class Anchors:
     """The anchors of one text's 50-byte strings."""
 
@@ -239,7 +261,6 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
 
     sent = rows.select("rid", "doc", "text").mapInArrow(anchor_keys, "p int, keys binary, who binary, index binary, several binary, local binary")
     shared = materialize(sent.repartition(parts, "p").mapInArrow(shared_keys, "q int, pairs binary"), "suffix-keys")
-    release(spark)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, pairs = [], None
@@ -260,10 +281,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
                 hit = np.isin(anchors.keys[owner], pairs["key"][a:b])
                 owner, first, last = owner[hit], first[hit], last[hit]
                 own = np.zeros(len(owner), CONTEXT)
-                own["key"], own["doc"], own["rid"], own["start"], own["windows"] = anchors.keys[owner], doc, rid, first, last - first + 1
-                end = last + LENGTH
-                own["c1"] = anchors.hashes.of(first, end) ^ _mixed((anchors.at[owner] - first).astype(np.uint64) + np.uint64(1))
-                own["c2"] = anchors.hashes.of(first, end, 1) + (end - first).astype(np.uint64)
+                own["key"], own["doc"], own["rid"], own["start"], own["windows"], own["anchor"] = anchors.keys[owner], doc, rid, first, last - first + 1, anchors.at[owner] - first
+                own["c1"], own["c2"] = context_hashes(anchors.hashes, first, last + LENGTH, own["anchor"])
                 records.append(own)
                 kept.append(data)
                 regions.append(np.full(len(own), len(kept) - 1))
@@ -284,15 +303,29 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
             for p, at in _grouped(own_p[stay], parts):
                 at = stay[at]
                 raw = b"".join(kept[t][s : s + w + LENGTH - 1].tobytes() for t, s, w in zip(text_of[at], own["start"][at], own["windows"][at], strict=True))
-                out.append((labels[p], own[at].tobytes(), raw, done[done_p[p]].tobytes() if p in done_p else b""))
-            yield _batch(["p", "records", "raw", "done"], out, [pa.int32(), *[pa.binary()] * 3])
+                _, one, row = np.unique(own["rid"][at], return_index=True, return_inverse=True)
+                sent = np.zeros(len(at), SENT)
+                sent["row"] = row
+                for name in ("key", "start", "windows", "anchor"):
+                    sent[name] = own[name][at]
+                who = own[at][one][["doc", "rid"]]
+                out.append((labels[p], sent.tobytes(), np.stack([who["doc"], who["rid"]]).tobytes(), raw, done[done_p[p]].tobytes() if p in done_p else b""))
+            yield _batch(["p", "sent", "who", "raw", "done"], out, [pa.int32(), *[pa.binary()] * 4])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, raws = [], []
         for batch in batches:
             for r in batch.to_pylist():
-                records.append(np.frombuffer(r["records"], CONTEXT))
-                raws.append(np.frombuffer(r["raw"], np.uint8))
+                sent, raw = np.frombuffer(r["sent"], SENT), np.frombuffer(r["raw"], np.uint8)
+                docs_of, rids_of = np.frombuffer(r["who"], "<i8").reshape(2, -1)
+                own = np.zeros(len(sent), CONTEXT)
+                for name in ("key", "start", "windows", "anchor"):
+                    own[name] = sent[name]
+                own["doc"], own["rid"] = docs_of[sent["row"]], rids_of[sent["row"]]
+                end = np.cumsum(own["windows"].astype(np.int64) + LENGTH - 1)
+                own["c1"], own["c2"] = context_hashes(Hashes(raw, 2), np.append(0, end[:-1]), end, own["anchor"])
+                records.append(own)
+                raws.append(raw)
                 if r["done"]:
                     yield by_row(np.frombuffer(r["done"], SPAN), "spans")
         if not records:
@@ -317,7 +350,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
         cuts = [0]
         while cuts[-1] < len(open_):
             base = weight[cuts[-1] - 1] if cuts[-1] else 0
-            end = int(np.searchsorted(weight, base + (1 << 20), "right"))
+            end = int(np.searchsorted(weight, base + (1 << 18), "right"))
             end = max(end, cuts[-1] + 1)
             while end < len(open_) and group[open_[end]] == group[open_[end - 1]]:
                 end += 1
@@ -327,11 +360,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
             n = own["windows"][at].astype(np.int64)
             which = np.repeat(at, n)
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            length = n + LENGTH - 1
-            bytes_at = np.repeat(place[at] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            hashes = Hashes(raw[bytes_at], 2)
-            begin = np.repeat(np.cumsum(length) - length, n) + within
-            h1, h2 = hashes.of(begin, begin + LENGTH), hashes.of(begin, begin + LENGTH, 1)
+            h1, h2 = string_hashes(raw, np.repeat(place[at], n) + within)
             order = np.lexsort((own["doc"][which], h2, h1))
             h1, h2, which, within = h1[order], h2[order], which[order], within[order]
             new = _first_of_runs(h1, h2)
@@ -346,9 +375,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
     texts = rows.select("q", F.lit(1).alias("kind"), null("binary").alias("blob"), "rid", "doc", "text")
     blobs = shared.select("q", F.lit(0).alias("kind"), F.col("pairs").alias("blob"), null("long").alias("rid"), null("long").alias("doc"), null("string").alias("text"))
     both = blobs.unionByName(texts).repartition(parts, "q").sortWithinPartitions("kind").select("blob", "rid", "doc", "text")
-    sent = both.mapInArrow(contexts, "p int, records binary, raw binary, done binary")
+    sent = both.mapInArrow(contexts, "p int, sent binary, who binary, raw binary, done binary")
     spans = materialize(sent.repartition(parts, "p").mapInArrow(compared, "q int, spans binary"), "suffix-spans")
-    release(spark)
     return rows, spans, labels
 
 
