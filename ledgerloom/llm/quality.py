@@ -90,7 +90,13 @@ def judge(docs: DataFrame) -> DataFrame:
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
     out = out.withColumn("clean_text", F.array_join(F.filter("_lines", lambda x: ~((strip(x) != "") & line_fails(x))), "\n")).drop("_lines")
     left = F.char_length(F.translate(F.col("clean_text"), WHITE, ""))
-    return out.withColumn("kept", ~F.col("base_failed") & (left >= F.col("word_chars") * (1 - MAX_LOST)))
+    out = out.withColumn("kept", ~F.col("base_failed") & (left >= F.col("word_chars") * (1 - MAX_LOST)))
+    # Results come out of a generator: a filter on them stays above it. Pushed below, it would put every step's
+    # expression into the lambdas of the next, to be evaluated for each word.
+    names = docs.columns
+    row = F.struct(*[F.col(c).alias(f"_quality_{i}") for i, c in enumerate(results)])
+    out = out.select(*names, F.inline(F.array(row)))
+    return out.withColumnsRenamed({f"_quality_{i}": c for i, c in enumerate(results)})
 
 
 def clean(docs: DataFrame) -> DataFrame:
