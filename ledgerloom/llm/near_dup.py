@@ -15,6 +15,10 @@ shares most buckets with others; each pair is verified by its exact weighted Jac
 similarity. Where documents of a bucket are in different classes after that, further
 pivots follow, twice as many each round, until every two of its documents are in one class
 or have been compared. So no link is lost to the pivots, and no bucket of copies is paired up.
+A bucket that still has more than ``CROWDED`` documents after the first pivot holds texts that are
+somewhat alike, such as texts with one passage in common. Its documents go to smaller buckets,
+by the shingles that make up the rarest fifth of each one's weight: two documents that share none of these
+can't reach the threshold, so this loses no link either.
 
 Equal texts are one node from the start. Classes are connected components, found by
 spreading the smallest doc_id along links; everything is joined and grouped by Spark.
@@ -45,6 +49,8 @@ BANDS, ROWS = 14, 4
 #: Buckets of the sketch of document frequencies, as a power of two, and how it is cut up for summing.
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 10
 IDF_SHARE = 0.5
+#: Documents of a bucket that are compared with each other, at most, without smaller buckets.
+CROWDED = 12
 SEED = 20240229
 #: Elements of a block of draws: keeps the arrays in the processor's cache.
 BLOCK = 1 << 14
@@ -172,6 +178,13 @@ def signature(hashes: np.ndarray, weights: np.ndarray) -> bytes:
     return (sample >> np.uint64(32)).astype("<u4").tobytes()
 
 
+def rarest(hashes: np.ndarray, weights: np.ndarray, order: np.ndarray, threshold: float) -> np.ndarray:
+    """The first shingles, by ``order`` and hash, without which less than ``threshold`` of the weight is left."""
+    at = np.lexsort((hashes, order))
+    left = weights.sum() - np.cumsum(weights[at].astype(np.float64))
+    return hashes[at[: int((left >= threshold * weights.sum() * (1 - 1e-6)).sum()) + 1]]
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two (ascending hashes, weights)."""
     if not len(a[0]) or not len(b[0]):
@@ -201,7 +214,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) for each row of ``docs`` (doc_id, text): the smallest doc_id of its class of near-duplicates."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    idf = inverse_frequencies(*document_frequencies(docs))
+    idf = inverse_frequencies(*document_frequencies(docs))  # of fixed size: one number for each bucket of the sketch
     weights = spark.sparkContext.broadcast(idf)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +257,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 keep.append(weighted_jaccard(weighed(one), last[1]) >= threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = weights.value
+        for batch in batches:
+            out = []
+            for t in batch.column("text").to_pylist():
+                h, n = shingles(t)
+                w = idf[_bucket(h)]
+                out.append(rarest(h, n * w, -w, threshold).view("<i8"))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "keys"])
+
     links = member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     pivots_used, pairs_done, roots, round_ = None, None, None, 0
     while True:
@@ -251,14 +274,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rest = rest.withColumn("root", F.col("node")) if roots is None else rest
         if pivots_used is not None:
             rest = rest.join(pivots_used, ["key", "node"], "left_anti")
-        split = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("central", -F.col("node"), "root")).alias("top")).where("lo < hi")
-        rest = rest.join(split, "key")
+        split = rest.groupBy("key").agg(F.count("*").alias("left"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("central", -F.col("node"), "root")).alias("top")).where("lo < hi")
+        rest = rest.join(split.hint("merge"), "key")  # a merge join splits a large bucket's rows over tasks
+        if round_ == 1:
+            rest = materialize(rest.select("key", "node", "root", "central", "left"), "near-left")
+            crowded = rest.where(F.col("left") > CROWDED).select("node").distinct()
+            keys = text.join(crowded, "node").select("node", "text").mapInArrow(smaller, "node long, keys array<long>")
+            keys = materialize(keys.select("node", F.explode("keys").alias("key")), "near-smaller")
+            several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+            keys = keys.join(several.hint("merge"), "key").select("node", F.xxhash64(F.lit("smaller"), "key").alias("key")).join(central, "node")
+            keys = keys.select("key", "node", "central")
+            shared = materialize(rest.where(F.col("left") <= CROWDED).select("key", "node", "central").unionByName(keys), "near-buckets")
+            round_ += 1
+            continue
         if round_ == 0:
             open_ = materialize(rest.select("key", "node", "root", F.array(F.struct((-F.col("top")["col2"]).alias("node"), F.col("top.root").alias("root"))).alias("pivots")), "near-open")
         else:
             order = Window.partitionBy("key").orderBy(F.desc("central"), "node")
             rest = materialize(rest.select("key", "node", "root", "central"), "near-rest")
-            tops = rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2**round_).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("pivots"))
+            tops = rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 ** (round_ - 1)).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("pivots"))
             open_ = materialize(rest.join(tops, "key").select("key", "node", "root", "pivots"), "near-open")
         if not open_.take(1):
             break

@@ -427,6 +427,29 @@ def test_near_copies_and_chains(spark) -> None:  # noqa: ANN001
     assert got == _near_brute(spark, rows)
 
 
+def test_texts_with_a_passage_in_common(spark) -> None:  # noqa: ANN001
+    rng, passage = np.random.default_rng(5), [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        own = [f"o{x}" for x in rng.integers(0, 10**6, 45)]
+        rows.append((i, " ".join(passage + own)))
+        if i % 9 == 0:
+            rows.append((1000 + i, " ".join([*passage, *own[:-1], "other"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()}
+    assert got == _near_brute(spark, rows) and len(set(got.values())) == 90
+
+
+def test_rarest_shingles_meet_in_near_sets() -> None:
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        h = np.unique(rng.integers(0, 2**63, 40, np.uint64))
+        w = (1 + rng.random(len(h))).astype(np.float32)
+        one, two = (np.sort(rng.choice(len(h), 36, replace=False)) for _ in range(2))
+        if near_dup.weighted_jaccard((h[one], w[one]), (h[two], w[two])) >= 0.8:
+            assert np.intersect1d(near_dup.rarest(h[one], w[one], -w[one], 0.8), near_dup.rarest(h[two], w[two], -w[two], 0.8)).size
+
+
 def test_near_duplicates_of_the_small_table(spark, real) -> None:  # noqa: ANN001
     got = {r.doc_id: r.class_id for r in near_dup.op2_near_dup(spark, SF).collect()}
     assert got == _near_brute(spark, real)
