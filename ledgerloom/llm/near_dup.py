@@ -13,7 +13,7 @@ the weighted Jaccard similarity. Bands of ``ROWS`` places are buckets of candida
 Within a bucket documents aren't paired with each other but with a pivot, the one that
 shares most buckets with others; each pair is verified by its exact weighted Jaccard
 similarity. Where documents of a bucket are in different classes after that, further
-pivots follow, twice as many each round, until every two of its documents are in one class
+pivots follow, four times as many each round, until every two of its documents are in one class
 or have been compared. So no link is lost to the pivots, and no bucket of copies is paired up.
 A bucket that still has more than ``CROWDED`` documents after the first pivot holds texts that are
 somewhat alike, such as texts with one passage in common. Its documents go to smaller buckets,
@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         else:
             order = Window.partitionBy("key").orderBy(F.desc("central"), "node")
             rest = materialize(rest.select("key", "node", "root", "central"), "near-rest")
-            tops = rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 ** (round_ - 1)).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("pivots"))
+            tops = rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * 4 ** (round_ - 2)).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("pivots"))
             open_ = materialize(rest.join(tops, "key").select("key", "node", "root", "pivots"), "near-open")
         if not open_.take(1):
             break
