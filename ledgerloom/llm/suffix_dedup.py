@@ -47,6 +47,8 @@ RANGE_BYTES = 32 << 20
 #: Documents whose suffix keys give the splitters, at most, and keys of each.
 SAMPLE_DOCS, SAMPLE_KEYS = 2000, 64
 SEED = 50
+#: Bytes of pairs or spans that a task gathers before it passes them on.
+GATHERED = 8 << 20
 
 _rng = np.random.default_rng(SEED)
 _byte = _rng.integers(0, 2**63, (2, 256), np.uint64)
@@ -236,8 +238,15 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
         out = [(labels[p], pairs[own].tobytes()) for p, own in _grouped(pairs["rid"] % parts, parts)]
         return _batch(["q", column], out, [pa.int32(), pa.binary()])
 
+    def gathered(blobs: list[bytes], kind: np.dtype, column: str, least: int = 0) -> Iterator[pa.RecordBatch]:
+        """Passes on what ``blobs`` have, and empties the list, once they have ``least`` bytes."""
+        if blobs and sum(map(len, blobs)) >= least:
+            out = by_row(np.frombuffer(b"".join(blobs), kind), column)
+            blobs.clear()
+            yield out
+
     def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rids, several = [], [], []
+        keys, rids, several, known = [], [], [], []
         for batch in batches:
             for r in batch.to_pylist():
                 k, who = np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["who"], "<i8")
@@ -246,8 +255,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
                 rids.append(who[index])
                 several.append(np.frombuffer(r["several"], bool))
                 if r["local"]:
-                    yield by_row(np.frombuffer(r["local"], PAIR), "pairs")
+                    known.append(r["local"])
+            yield from gathered(known, PAIR, "pairs", GATHERED)
         if not keys:
+            yield from gathered(known, PAIR, "pairs")
             return
         key, rid, many = np.concatenate(keys), np.concatenate(rids), np.concatenate(several)
         order = np.argsort(key, kind="stable")
@@ -257,7 +268,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
         hit = (np.repeat(count, count) > 1) & ~many
         pairs = np.zeros(int(hit.sum()), PAIR)
         pairs["rid"], pairs["key"] = rid[hit], key[hit]
-        yield by_row(pairs, "pairs")
+        yield from gathered([*known, pairs.tobytes()], PAIR, "pairs")
 
     sent = rows.select("rid", "doc", "text").mapInArrow(anchor_keys, "p int, keys binary, who binary, index binary, several binary, local binary")
     shared = materialize(sent.repartition(parts, "p").mapInArrow(shared_keys, "q int, pairs binary"), "suffix-keys")
@@ -313,7 +324,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
             yield _batch(["p", "sent", "who", "raw", "done"], out, [pa.int32(), *[pa.binary()] * 4])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, raws = [], []
+        records, raws, known = [], [], []
         for batch in batches:
             for r in batch.to_pylist():
                 sent, raw = np.frombuffer(r["sent"], SENT), np.frombuffer(r["raw"], np.uint8)
@@ -327,8 +338,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
                 records.append(own)
                 raws.append(raw)
                 if r["done"]:
-                    yield by_row(np.frombuffer(r["done"], SPAN), "spans")
+                    known.append(r["done"])
+            yield from gathered(known, SPAN, "spans", GATHERED)
         if not records:
+            yield from gathered(known, SPAN, "spans")
             return
         own, raw = np.concatenate(records), np.concatenate(raws)
         size = own["windows"].astype(np.int64) + LENGTH - 1
@@ -340,7 +353,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
         gone = own["doc"] > least
         spans = np.zeros(int(gone.sum()), SPAN)
         spans["rid"], spans["start"], spans["end"] = own["rid"][gone], own["start"][gone], own["start"][gone] + own["windows"][gone] + LENGTH - 1
-        yield by_row(spans, "spans")
+        known.append(spans.tobytes())
+        yield from gathered(known, SPAN, "spans", GATHERED)
         key_new = _first_of_runs(own["key"])
         group = np.cumsum(key_new) - 1
         several = np.bincount(group, weights=new)[group] > 1
@@ -369,7 +383,9 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
             spans = np.zeros(int(hit.sum()), SPAN)
             spans["rid"], spans["start"] = own["rid"][which[hit]], own["start"][which[hit]] + within[hit]
             spans["end"] = spans["start"] + LENGTH
-            yield by_row(spans, "spans")
+            known.append(spans.tobytes())
+            yield from gathered(known, SPAN, "spans", GATHERED)
+        yield from gathered(known, SPAN, "spans")
 
     null = lambda kind: F.lit(None).cast(kind)
     texts = rows.select("q", F.lit(1).alias("kind"), null("binary").alias("blob"), "rid", "doc", "text")
