@@ -55,6 +55,37 @@ def test_odd_vectors_and_ties(spark) -> None:  # noqa: ANN001
         assert got[q] == [v for v, _ in want[q]]
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.3])
+def test_near_copies_of_a_third_of_the_rows(spark, monkeypatch, noise: float) -> None:  # noqa: ANN001
+    monkeypatch.setattr(ann, "ROW_BLOCK", 700)
+    monkeypatch.setattr(ann, "SECOND_QUERY_BLOCK", 20)
+    rng = np.random.default_rng(9)
+    one = rng.normal(size=32)
+    x = [one + noise * rng.normal(size=32) if i % 3 == 0 else rng.normal(size=32) for i in range(2400)]
+    rows = [(i, [float(v) for v in np.float32(e)], 0, "x", "x") for i, e in enumerate(x)]
+    got: dict = {}
+    for r in sorted(ann.search(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = _brute([(i, e) for i, e, *_ in rows])
+    assert {q: [v for v, _ in near] for q, near in got.items()} == {q: [v for v, _ in near] for q, near in want.items()}
+    assert all(abs(s - t) < 1e-12 for q in want for (_, s), (_, t) in zip(got[q], want[q], strict=True))
+
+
+def test_no_row_is_below_its_bound() -> None:
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 24))
+    x[::3] = x[0] + 0.05 * rng.normal(size=(len(x[::3]), 24))
+    parts = ann._parts(x)
+    books, eta = ann.fit(x)
+    codes = ann.assign(parts, books, eta)
+    along, across = ann.residuals(parts, codes, books)
+    unit, columns = x / np.linalg.norm(x, axis=1, keepdims=True), ann.pack_codes(codes).T
+    for q in unit[:60]:
+        near = ann.approximate(q.astype(np.float32), columns, books)
+        for row, c in enumerate(unit @ q):
+            assert near[row] >= ann.needed(float(c), along[row], across[row], ann.slack(books))
+
+
 def test_few_rows_and_none(spark) -> None:  # noqa: ANN001
     few = spark.createDataFrame([(0, [1.0, 0.0, 0.0], 0, "", ""), (1, [1.0, 0.1, 0.0], 0, "", "")], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.search(few).collect()] == [(0, 1, 1)]
