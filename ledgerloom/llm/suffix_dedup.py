@@ -8,7 +8,7 @@ than bytes.
 
 1. An anchor's suffix key is its first two bytes and a hash of its first ``GRAM`` bytes. Keys
    are dealt into ranges by splitters taken from a bounded sample; a range's task sorts its
-   keys and finds those that at least two documents hold. A batch of documents sends each
+   keys and finds those that at least two rows hold. A batch of documents sends each
    of its keys once, so a passage that very many documents hold is not one task's load.
 2. For those keys only, the bytes around the anchor (all strings that have this anchor) follow
    the same way, again once per batch and distinct context, with the smallest document
@@ -207,7 +207,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
 
     def anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_keys, all_docs, docs_of = [], [], batch.column("doc").to_numpy()
+            all_keys, all_docs = [], []
             rids = batch.column("rid").to_numpy()
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if len(d := _data(text)) >= LENGTH:
@@ -221,8 +221,9 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
             keys, idx = keys[order], idx[order]
             first = np.flatnonzero(_first_of_runs(keys))
             run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-            docs_here = docs_of[idx]
-            several = np.minimum.reduceat(docs_here, first) < np.maximum.reduceat(docs_here, first)
+            # By row, not by document: every row of a document must hear of a copy that another batch has.
+            rids_here = rids[idx]
+            several = np.minimum.reduceat(rids_here, first) < np.maximum.reduceat(rids_here, first)
             local = several[run]
             pairs = np.zeros(int(local.sum()), PAIR)
             pairs["rid"], pairs["key"] = rids[idx[local]], keys[local]
@@ -270,7 +271,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
         pairs["rid"], pairs["key"] = rid[hit], key[hit]
         yield from gathered([*known, pairs.tobytes()], PAIR, "pairs")
 
-    sent = rows.select("rid", "doc", "text").mapInArrow(anchor_keys, "p int, keys binary, who binary, index binary, several binary, local binary")
+    sent = rows.select("rid", "text").mapInArrow(anchor_keys, "p int, keys binary, who binary, index binary, several binary, local binary")
     shared = materialize(sent.repartition(parts, "p").mapInArrow(shared_keys, "q int, pairs binary"), "suffix-keys")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -370,6 +370,17 @@ def test_repeats_of_different_reach(spark) -> None:  # noqa: ANN001
     assert _sorted(got) == _sorted(_suffix_brute(rows))
 
 
+def test_every_row_of_a_document_is_cleaned(spark) -> None:  # noqa: ANN001
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    core, other = word(120), word(90)
+    rows = [(1, word(30) + core + word(40)), (2, word(20) + other)]
+    rows += [(None, word(25) + core + word(int(rng.integers(5, 60)))) for _ in range(4)] + [(7, other + word(35)), (7, word(35) + other)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")  # two rows to a batch
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in suffix_dedup.remove_repeats(df).collect()]
+    assert _sorted(got) == _sorted(_suffix_brute(rows))
+
+
 # ---- operator 2 -----------------------------------------------------------------------------------
 
 
