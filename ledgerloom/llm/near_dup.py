@@ -1,10 +1,11 @@
 """Operator 2: near-duplicate documents by improved consistent weighted sampling.
 
 A document is the weighted set of its five-word shingles; a shingle weighs its count times
-its inverse document frequency. Document frequencies are counted over all documents in a
-sketch of fixed size (a shingle's bucket counts the documents that hold a shingle of that
-bucket), damped so that the weights of the rarest and the most frequent shingle differ by
-the factor 1 + ``IDF_SHARE`` at most.
+its inverse document frequency. Document frequencies are counted exactly, by the shingles' 64-bit
+hashes: texts are dealt into groups, a group sends each of its shingles once with its count
+to the task that adds up this shingle, and hears of those that more than one document holds. A text
+keeps its frequencies beside it. Weights are damped so that those of the rarest and the most frequent
+shingle differ by the factor 1 + ``IDF_SHARE`` at most.
 
 Improved consistent weighted sampling (Gamma(2, 1) draws r and c and a uniform draw b for
 each shingle and hash; t = floor(ln w / r + b); the shingle of least ln c - r (t - b + 1) is
@@ -31,6 +32,7 @@ empty table gives an empty result; other columns pass through ``keep_one``.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -42,12 +44,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import documents, materialize
+from .suffix_dedup import RANGE_BYTES, _batch, _grouped, even_labels
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
-#: Buckets of the sketch of document frequencies, as a power of two, and how it is cut up for summing.
-SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 10
 IDF_SHARE = 0.5
 #: Documents of a bucket that are compared with each other, at most, without smaller buckets.
 CROWDED = 12
@@ -95,50 +96,87 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return out[first], np.diff(first, append=last)
 
 
+class ByShingle:
+    """Numbers of some shingles, by ascending hash, and one number for all others."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray, other: float) -> None:
+        self.hashes, self.values, self.other = hashes, values, other
+
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), self.other, self.values.dtype)
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == hashes, self.values[at], self.values.dtype.type(self.other))
+
+
 def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    """Where a shingle's frequency is counted: at its whole hash."""
+    return hashes
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch (documents by bucket of shingles) of the whole table, and the number of documents."""
+def _frequencies(blobs: list[tuple[bytes, bytes]]) -> ByShingle:
+    """Of the packed hashes and counts; a hash that comes twice has the same count."""
+    hashes = np.frombuffer(b"".join(h for h, _ in blobs), "<u8")
+    hashes, first = np.unique(hashes, return_index=True)
+    return ByShingle(hashes, np.frombuffer(b"".join(c for _, c in blobs), "<u4")[first], 1)
+
+
+def shared_shingles(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """(``docs`` with the group q of each row; packed frequencies above 1 of the shingles of each q; number of groups; number of rows)."""
     spark = docs.sparkSession
+    n, n_bytes = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((n_bytes or 0) / RANGE_BYTES))
+    labels = even_labels(spark, parts)
+    rows = docs.withColumn("q", F.get(F.array(*[F.lit(x) for x in labels]), F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_group: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            found = [_bucket(shingles(t)[0]) for t in batch.column(0).to_pylist()]
-            n += len(found)
-            if found:
-                total += np.bincount(np.concatenate(found), minlength=1 << SKETCH_BITS)
-        yield packed({i: total[i * SKETCH_CHUNK : (i + 1) * SKETCH_CHUNK] for i in range(len(total) // SKETCH_CHUNK)} | {-1: np.array([n])} if n else {})
-
-    def packed(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(x.astype("<i8").tobytes(), 1) for x in parts.values()], pa.binary())], names=["chunk", "counts"])
+            for q, text in zip(batch.column("q").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                of_group.setdefault(q, []).append(shingles(text)[0])
+        for q, found in of_group.items():
+            hashes, counts = np.unique(np.concatenate(found), return_counts=True)
+            part = (hashes % np.uint64(parts)).astype(np.int64)
+            out = [(labels[p], q, hashes[own].tobytes(), counts[own].astype("<u4").tobytes()) for p, own in _grouped(part, parts)]
+            yield _batch(["p", "q", "hashes", "counts"], out, [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
+        found, counted, groups = [], [], []
         for batch in batches:
-            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(data), "<i8")
-                parts[chunk] = parts[chunk] + x if chunk in parts else x
-        yield packed(parts)
-
-    # Every task sends the chunks of its sketch; a chunk's sum is taken as a stream, so a task holds its chunks once.
-    kind = "chunk int, counts binary"
-    sums = docs.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind)
-    sketch, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
-    for chunk, data in sums.collect():  # as many rows as the sketch has chunks
-        x = np.frombuffer(zlib.decompress(bytes(data)), "<i8")
-        if chunk < 0:
-            n += int(x[0])
-        else:
-            sketch[chunk * SKETCH_CHUNK : (chunk + 1) * SKETCH_CHUNK] += x
-    return sketch, n
-
-
-def inverse_frequencies(sketch: np.ndarray, n: int, share: float = IDF_SHARE) -> np.ndarray:
-    """The weight of a bucket's shingles: 1 for one that all documents hold, up to 1 + share for one that none holds."""
-    return (1 + share * np.log((n + 1) / (np.minimum(sketch, n) + 1)) / np.log(n + 2)).astype(np.float32)
+            for r in batch.to_pylist():
+                found.append(np.frombuffer(r["hashes"], "<u8"))
+                counted.append(np.frombuffer(r["counts"], "<u4"))
+                groups.append(np.full(len(found[-1]), r["q"], np.int32))
+        if not found or not sum(map(len, found)):
+            return
+        hashes, counts, group = np.concatenate(found), np.concatenate(counted), np.concatenate(groups)
+        order = np.argsort(hashes, kind="stable")
+        hashes, counts, group = hashes[order], counts[order], group[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        total = np.repeat(np.add.reduceat(counts, first, dtype=np.int64), np.diff(first, append=len(hashes)))
+        hit = total > 1
+        hashes, total = hashes[hit], np.minimum(total[hit], 2**32 - 1).astype("<u4")
+        known, group = np.unique(group[hit], return_inverse=True)
+        out = [(int(known[g]), hashes[own].tobytes(), total[own].tobytes()) for g, own in _grouped(group, len(known))]
+        yield _batch(["q", "hashes", "counts"], out, [pa.int32(), pa.binary(), pa.binary()])
+
+    sent = rows.select("q", "text").repartition(parts, "q").mapInArrow(send, "p int, q int, hashes binary, counts binary")
+    shared = materialize(sent.repartition(parts, "p").mapInArrow(add, "q int, hashes binary, counts binary"), "near-frequencies")
+    return rows, shared, parts, n
+
+
+def document_frequencies(docs: DataFrame) -> tuple[ByShingle, int]:
+    """The frequencies of all shingles, for tables that the driver can hold, and the number of documents."""
+    _, shared, _, n = shared_shingles(docs)
+    return _frequencies([(bytes(r.hashes), bytes(r.counts)) for r in shared.collect()]), n
+
+
+def inverse_frequencies(counts: ByShingle | np.ndarray, n: int, share: float = IDF_SHARE) -> ByShingle | np.ndarray:
+    """The weights of shingles by their document frequencies: 1 for one that all documents hold, up to 1 + share for one that none holds."""
+    if isinstance(counts, ByShingle):
+        return ByShingle(counts.hashes, inverse_frequencies(counts.values, n, share), float(inverse_frequencies(np.array([counts.other]), n, share)[0]))
+    return (1 + share * np.log((n + 1) / (np.minimum(counts, n).astype(np.float64) + 1)) / np.log(n + 2)).astype(np.float32)
 
 
 #: Draws of (r, 1 / r, ln c - r), looked up by 14 bits of a hash of shingle and place; b is another 32 bits of it.
@@ -212,24 +250,37 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) for each row of ``docs`` (doc_id, text): the smallest doc_id of its class of near-duplicates."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    idf = inverse_frequencies(*document_frequencies(docs))  # of fixed size: one number for each bucket of the sketch
-    weights = spark.sparkContext.broadcast(idf)
+    rows, frequencies, parts, n_rows = shared_shingles(docs)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = weights.value
+        found, known = [], None
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for hashes, counts, doc_id, h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("hashes", "counts", "doc_id", "h1", "h2", "text")), strict=True):
+                if hashes is not None:
+                    found.append((hashes, counts))
+                    continue
+                if known is None:
+                    known = _frequencies(found)
                 h, n = shingles(text)
-                out.append(signature(h, n * idf[_bucket(h)]) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(out, pa.binary())], names=["doc_id", "h1", "h2", "sig"])
-
-    hashed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2"), "text")
-    signed = materialize(hashed.mapInArrow(sign, "doc_id long, h1 long, h2 long, sig binary"), "near-signed")
+                held = known[h]
+                out.append((doc_id, h1, h2, signature(h, n * inverse_frequencies(held, n_rows)) if len(h) else None, zlib.compress(held.astype("<u4").tobytes(), 1)))
+            if out:
+                yield _batch(["doc_id", "h1", "h2", "sig", "held"], out, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+    def weighed(text: str, held: bytes) -> tuple[np.ndarray, np.ndarray]:
+        h, n = shingles(text)
+        return h, n * inverse_frequencies(np.frombuffer(zlib.decompress(held), "<u4"), n_rows)
+
+    null = lambda kind: F.lit(None).cast(kind)
+    h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")
+    hashed = rows.where("doc_id IS NOT NULL").select("q", F.lit(1).alias("kind"), null("binary").alias("hashes"), null("binary").alias("counts"), "doc_id", h1, h2, "text")
+    blobs = frequencies.select("q", F.lit(0).alias("kind"), "hashes", "counts", null("long").alias("doc_id"), null("long").alias("h1"), null("long").alias("h2"), null("string").alias("text"))
+    both = blobs.unionByName(hashed).repartition(parts, "q").sortWithinPartitions("kind").select("hashes", "counts", "doc_id", "h1", "h2", "text")
+    signed = materialize(both.mapInArrow(sign, "doc_id long, h1 long, h2 long, sig binary, held binary"), "near-signed")
     # Equal texts: one node, the smallest doc_id. A doc_id of several texts links them.
-    texts = materialize(signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("node"), F.col("m.sig").alias("sig")), "near-texts")
+    texts = materialize(signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig", "held")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("node"), F.col("m.sig").alias("sig"), F.col("m.held").alias("held")), "near-texts")
     member = materialize(signed.select("doc_id", "h1", "h2").join(texts.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node"), "near-member")
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]))
     bands = texts.where("sig IS NOT NULL").select(F.col("node"), band.alias("key")).distinct()
@@ -239,32 +290,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     central = shared.groupBy("node").agg(F.sum("n").alias("central"))
     shared = materialize(shared.drop("n").join(central, "node"), "near-buckets")
     involved = shared.select("node").distinct()
-    text = materialize(docs.join(involved, docs["doc_id"] == involved["node"]).select("node", "text").distinct(), "near-involved")
+    text = docs.join(involved, docs["doc_id"] == involved["node"]).select("node", "text", h1, h2).distinct()
+    text = materialize(text.join(texts.select("h1", "h2", "held"), ["h1", "h2"]).select("node", "text", "held"), "near-involved")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = weights.value
         last: tuple[str, tuple[np.ndarray, np.ndarray]] | None = None
-
-        def weighed(text: str) -> tuple[np.ndarray, np.ndarray]:
-            h, n = shingles(text)
-            return h, n * idf[_bucket(h)]
-
         for batch in batches:
             keep = []
-            for one, other in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True):
+            for one, one_held, other, other_held in zip(*(batch.column(c).to_pylist() for c in ("one", "one_held", "other", "other_held")), strict=True):
                 if last is None or last[0] != other:
-                    last = (other, weighed(other))
-                keep.append(weighted_jaccard(weighed(one), last[1]) >= threshold)
+                    last = (other, weighed(other, other_held))
+                keep.append(weighted_jaccard(weighed(one, one_held), last[1]) >= threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = weights.value
         for batch in batches:
             out = []
-            for t in batch.column("text").to_pylist():
-                h, n = shingles(t)
-                w = idf[_bucket(h)]
-                out.append(rarest(h, n * w, -w, threshold).view("<i8"))
+            for t, held in zip(batch.column("text").to_pylist(), batch.column("held").to_pylist(), strict=True):
+                h, w = weighed(t, held)
+                out.append(rarest(h, w, np.frombuffer(zlib.decompress(held), "<u4"), threshold).view("<i8"))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "keys"])
 
     links = member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
@@ -279,7 +323,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if round_ == 1:
             rest = materialize(rest.select("key", "node", "root", "central", "left"), "near-left")
             crowded = rest.where(F.col("left") > CROWDED).select("node").distinct()
-            keys = text.join(crowded, "node").select("node", "text").mapInArrow(smaller, "node long, keys array<long>")
+            keys = text.join(crowded, "node").select("node", "text", "held").mapInArrow(smaller, "node long, keys array<long>")
             keys = materialize(keys.select("node", F.explode("keys").alias("key")), "near-smaller")
             several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
             keys = keys.join(several.hint("merge"), "key").select("node", F.xxhash64(F.lit("smaller"), "key").alias("key")).join(central, "node")
@@ -303,8 +347,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             pairs = pairs.join(pairs_done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "near-pairs")
         pairs_done = pairs if pairs_done is None else pairs_done.unionByName(pairs)
-        sides = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(text.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
-        found = materialize(sides.select("a", "b", "one", "other").mapInArrow(verify, "a long, b long"), "near-links")
+        sides = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("one"), F.col("held").alias("one_held")), "a").join(text.select(F.col("node").alias("b"), F.col("text").alias("other"), F.col("held").alias("other_held")), "b")
+        found = materialize(sides.select("a", "b", "one", "one_held", "other", "other_held").mapInArrow(verify, "a long, b long"), "near-links")
         links = links.unionByName(found)
         if found.take(1) or roots is None:
             roots = components(links)

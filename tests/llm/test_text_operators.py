@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -418,6 +419,18 @@ def _copies(n: int) -> list[tuple]:
     return rows + [(1000 + i, " ".join(f"v{x}" for x in rng.integers(0, 5000, 60))) for i in range(40)]
 
 
+def test_document_frequencies_are_exact(spark) -> None:  # noqa: ANN001
+    rng = np.random.default_rng(3)
+    rows = [(i if i % 7 else None, " ".join(f"x{x}" for x in rng.integers(0, 10**6, 3000))) for i in range(400)]
+    rows += [(1000 + i, " ".join(f"y{x}" for x in rng.integers(0, 3, 30))) for i in range(50)] + [(2000, None), (2001, rows[1][1])]
+    want = Counter(int(h) for _, t in rows for h in near_dup.shingles(t)[0])
+    found, n = near_dup.document_frequencies(spark.createDataFrame(rows, "doc_id long, text string"))
+    hashes = np.array(sorted(want), np.uint64)
+    assert n == len(rows) and found[near_dup._bucket(hashes)].tolist() == [want[int(h)] for h in hashes]
+    weights = near_dup.inverse_frequencies(found, n)[near_dup._bucket(hashes)]
+    assert np.allclose(weights, [1 + near_dup.IDF_SHARE * np.log((n + 1) / (want[int(h)] + 1)) / np.log(n + 2) for h in hashes], atol=1e-6)
+
+
 def test_near_duplicates(spark, docs, none) -> None:  # noqa: ANN001
     got = near_dup.near_duplicates(docs).collect()
     assert len(got) == len(TEXTS) and all(r.class_id is None for r in got if r.doc_id is None)
