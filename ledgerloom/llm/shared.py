@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,15 +19,19 @@ WHITE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id wherever documents are ordered: after all others.
 LAST_ID = 2**63 - 1
+#: Bytes of text for each task that texts are dealt to by hand.
+RANGE_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Only where that is unset and Spark runs on one machine, as in tests, a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -92,3 +100,27 @@ def ranked(df: DataFrame, order: list[Column], name: str, rank: str) -> DataFram
     within = Window.partitionBy("_part").orderBy(*order)
     return parts.join(F.broadcast(starts), "_part").withColumn(rank, F.col("_start") + F.row_number().over(within) - 1).drop("_part", "_start")
 
+
+
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32())}
+
+
+@lru_cache(maxsize=64)
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(name, ARROW[kind]) for name, kind in (f.split(" ") for f in schema.split(", "))])
+
+
+def batch_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """``rows`` as a batch with the columns of a schema that is written as "name type, name type"."""
+    fields = _arrow(schema)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields)
+
+
+def grouped(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number that is in ``part``, ascending, with the indexes where it is."""
+    order = np.argsort(part, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(part)) if len(part) else []
+    start = 0
+    for end in ends:
+        yield int(part[order[start]]), order[start:end]
+        start = end
