@@ -2,11 +2,13 @@
 
 Each line of a document is judged by itself:
 
-* punctuation: a line of several words that is mostly symbols, or that neither ends a
-  sentence nor is long enough to be prose, fails;
+* punctuation: a line of several words that is mostly symbols fails, and so do three or more adjacent lines (with no empty
+  line between) that neither end a sentence nor are long enough to be prose, such as lists and menus
+  with an item a line. A single heading stays;
 * navigation: menus, that is, lines cut up by separators or made of menu words, fail;
 * boilerplate: notices about cookies, scripts, rights, subscriptions and sharing fail.
 
+The punctuation rule and the one on separators do not depend on the language; the word lists are English.
 Failing lines are removed, and a document that loses too much of its text is rejected, as
 is one that fails the base rules (fewer than 10 words, or more than a fifth of its words
 in repeated five-word windows). Everything happens within a row: no shuffle.
@@ -30,13 +32,14 @@ WINDOW = 5
 MAX_LOST = 0.5
 #: Menus and notices are short: only lines of so many words are looked at as such.
 MENU_LENGTH, NOTICE_LENGTH = 25, 40
-#: Lines with fewer words than this need not end a sentence to be dropped as fragments only if they look like menus.
-SHORT_LINE = 5
+#: A line of so many words is long enough to be prose without an end mark; of shorter ones, so many in a row fail.
+PROSE_LENGTH, FRAGMENT_RUN = 15, 3
 SYMBOLS = "#*$%&|<>"
 #: A line whose words hold more symbols than this share of the number of words fails.
 MAX_SYMBOLS_PER_WORD = 0.5
-TERMINAL = r"[.!?…。！？:;\"'”’»)\]]$"
-SEPARATORS = r"[|»›•·>]"
+#: Characters that end a sentence, a clause, a quotation or an aside, in several scripts.
+END_MARKS = ".!?…。！？:;\"'”’»)]।؟۔።"
+SEPARATORS = "|»›•·>"
 MENU_WORDS = "home|about|contact|login|logout|register|menu|search|sitemap|help|faq|news|blog|shop|cart|next|previous|prev|back|top|share|print|archive|categories|tags"
 BOILERPLATE = (
     r"(?i)(all rights reserved|privacy policy|cookie policy|uses? cookies|accept (all )?cookies|terms of (use|service)|enable javascript"
@@ -44,18 +47,39 @@ BOILERPLATE = (
 )
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with at least one word fails a rule."""
-    stripped = strip(line)
-    n_words = F.size(words_of(line))
-    symbols = F.char_length(line) - F.char_length(F.translate(line, SYMBOLS, ""))
-    noisy = (n_words >= 3) & (symbols > n_words * MAX_SYMBOLS_PER_WORD)
-    fragment = (n_words >= 3) & (n_words < SHORT_LINE) & ~stripped.rlike(TERMINAL) & ~stripped.rlike(r"\p{L}{3}")
-    separators = F.regexp_count(line, F.lit(SEPARATORS))
-    menu = (separators >= 3) & (separators * 6 >= n_words)
+def _removed(c: Column, characters: str) -> Column:
+    """How many of the characters are in a string."""
+    return F.char_length(c) - F.char_length(F.translate(c, characters, ""))
+
+
+def is_fragment(line: Column, n_words: Column) -> Column:
+    """Whether a line with at least one word neither ends a sentence nor is long enough to be prose."""
+    return (n_words > 0) & (n_words < PROSE_LENGTH) & (F.call_function("instr", F.lit(END_MARKS), F.right(strip(line), F.lit(1))) == 0)
+
+
+def line_fails(line: Column, n_words: Column) -> Column:
+    """Whether a line with at least one word fails a rule by itself."""
+    noisy = (n_words >= 3) & (_removed(line, SYMBOLS) > n_words * MAX_SYMBOLS_PER_WORD)
+    separators = _removed(line, SEPARATORS)
+    menu = ((separators >= 3) & (separators * 6 >= n_words)) | ((separators >= 2) & (n_words <= 8))
     menu_words = (n_words >= 3) & (n_words <= MENU_LENGTH) & (F.regexp_count(line, F.lit(rf"(?i)\b({MENU_WORDS})\b")) * 10 >= n_words * 6)
-    notice = (n_words <= NOTICE_LENGTH) & line.rlike(BOILERPLATE)
-    return noisy | fragment | menu | menu_words | notice
+    notice = (n_words > 0) & (n_words <= NOTICE_LENGTH) & line.rlike(BOILERPLATE)
+    return noisy | menu | menu_words | notice
+
+
+def _kept_lines(lines: Column) -> Column:
+    """The lines that pass, and the empty ones."""
+    known = F.transform(lines, lambda x: F.struct(x.alias("line"), F.size(words_of(x)).alias("n")))
+    known = F.transform(known, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), is_fragment(x["line"], x["n"]).alias("f")))
+    # The name that the lambda binds stands for the array, so that it is computed once and not for each line.
+    whole = F.transform(F.array(known), lambda all_: F.filter(all_, lambda x, i: ~_fails(all_, x, i)))
+    return F.transform(F.get(whole, F.lit(0)), lambda x: x["line"])
+
+
+def _fails(lines: Column, x: Column, i: Column) -> Column:
+    near = lambda d: F.coalesce(F.when(i + d >= 0, F.get(lines, i + d)["f"]), F.lit(False))
+    run = x["f"] & ((near(-2) & near(-1)) | (near(-1) & near(1)) | (near(1) & near(2)))
+    return (x["n"] > 0) & (run | line_fails(x["line"], x["n"]))
 
 
 def _repeat_words(docs: DataFrame) -> DataFrame:
@@ -88,7 +112,7 @@ def judge(docs: DataFrame) -> DataFrame:
     out = out.withColumn("n_symbols", (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"))
     out = out.withColumn("n_dup_lines", (F.size(full) - F.size(F.array_distinct(full))).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
-    out = out.withColumn("clean_text", F.array_join(F.filter("_lines", lambda x: ~((strip(x) != "") & line_fails(x))), "\n")).drop("_lines")
+    out = out.withColumn("clean_text", F.array_join(_kept_lines(F.col("_lines")), "\n")).drop("_lines")
     left = F.char_length(F.translate(F.col("clean_text"), WHITE, ""))
     out = out.withColumn("kept", ~F.col("base_failed") & (left >= F.col("word_chars") * (1 - MAX_LOST)))
     # Results come out of a generator: a filter on them stays above it. Pushed below, it would put every step's
