@@ -23,6 +23,8 @@ tables give empty results; other columns are not carried; texts are scanned whol
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,6 +53,8 @@ BATTERY_LEVEL = 0.001
 FALSE_DISCOVERY = 0.01
 BANDS = (20, 32, 64, 128)
 BINS_PER_DECADE = 20
+#: Matches of a text that are folded at a time.
+BLOCK = 256
 LAST_BIN = 2000
 
 
@@ -75,15 +79,24 @@ def _spans(docs: DataFrame, pattern: str, kind: int, least: tuple[int, int] | No
             found = F.when(F.char_length(F.get(F.col(groups), i)) >= least[1], found).otherwise(acc["found"])
         return F.struct(end.alias("pos"), found.alias("found"))
 
-    first = F.struct(F.lit(0).alias("pos"), empty.alias("found"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(texts) - 1), first, step, lambda a: a["found"])
-    out = out.withColumn(f"_k{kind}", F.when(F.size(texts) > 0, folded).otherwise(empty))
-    return out.drop(gaps, groups, *([] if kind == 3 else [texts]))
+    # A fold that appends copies what it has. So each block of matches is folded by itself, and then the blocks' ends.
+    n, first = F.size(texts), F.struct(F.lit(0).alias("pos"), empty.alias("found"))
+    within = lambda b: F.sequence(b * BLOCK, F.least(n, (b + 1) * BLOCK) - 1)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.aggregate(within(b), first, step))
+    out = out.withColumn(f"_b{kind}", F.when(n > 0, blocks))
+    begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("at"))
+    starts = F.aggregate(f"_b{kind}", begin, lambda acc, b: F.struct((acc["pos"] + b["pos"]).alias("pos"), F.array_append(acc["at"], acc["pos"]).alias("at")), lambda acc: acc["at"])
+    moved = lambda b, at: F.transform(b["found"], lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end")))
+    folded = F.flatten(F.zip_with(f"_b{kind}", starts, moved))
+    out = out.withColumn(f"_k{kind}", F.coalesce(folded, empty))
+    return out.drop(gaps, groups, f"_b{kind}", *([] if kind == 3 else [texts]))
 
 
 def _upper(z: Column) -> Column:
-    """Upper tail of the standard normal distribution (Page's logistic formula)."""
-    return 1 / (1 + F.exp(F.least(F.lit(700.0), z * (1.5976 + 0.070565992 * z * z))))
+    """Upper tail of the standard normal distribution, right to three parts in a thousand however far out (Borjesson and Sundberg)."""
+    x = F.abs(z)
+    tail = F.exp(-x * x / 2) / (math.sqrt(2 * math.pi) * (0.661 * x + 0.339 * F.sqrt(x * x + 5.51)))
+    return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
 def _pick(alphabet: Column, of: dict[str, object]) -> Column:
