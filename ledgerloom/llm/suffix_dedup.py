@@ -4,24 +4,26 @@ Whether a 50-byte string also starts in a document of smaller doc_id is decided
 suffixes. Only suffixes at anchors are sorted: an anchor of a string is the place, among its
 first ``WINDOWS``, whose ``GRAM`` bytes have the least hash (the leftmost of these). Equal
 strings have equal anchors, so nothing is lost, and there are some 14 times fewer suffixes
-than bytes.
-
-1. An anchor's suffix key is its first two bytes and a hash of its first ``GRAM`` bytes. Keys
-   are dealt into ranges by splitters taken from a bounded sample; a range's task sorts its
-   keys and finds those that at least two rows hold. A batch of documents sends each
-   of its keys once, so a passage that very many documents hold is not one task's load.
-2. For those keys only, the bytes around the anchor (all strings that have this anchor) follow
+than bytes (all of them, with 50 bytes each, would be 50 times the input).
+
+1. Suffixes are ordered by their leading ``GRAM`` bytes, as ``WORDS`` tokens of eight bytes each, and dealt into ranges of this
+   order by splitters taken from a bounded sample. A range's task sorts by multikey quicksort: by the first token, then, of those that tie,
+   by the next. Neighbours are compared to find the prefixes that at least two rows hold. Ranges end between different prefixes, so a prefix's
+   suffixes never lie on two sides of a boundary, and where one first token holds very many suffixes,
+   the splitters cut by the tokens after it. A batch of documents sends each
+   of its prefixes once, so a passage that very many documents hold is not one task's load.
+2. For those prefixes only, the bytes around the anchor (all strings that have this anchor) follow
    the same way, again once per batch and distinct context, with the smallest document
-   that has it. Within a range they are sorted by key, then by context. Of equal contexts all but the
-   smallest document's are repeats as a whole; where a key has several contexts, their
-   50-byte strings are sorted and compared with each other (comparisons never leave a range,
-   as equal keys are never dealt to two).
+   that has it. Within a range they are sorted in suffix order, then by context. Of equal contexts all but the
+   smallest document's are repeats as a whole; where a prefix has several contexts, their
+   50-byte strings are sorted, by multikey quicksort over their bytes, and neighbours are compared. One task handles a prefix's distinct
+   contexts, so its memory grows with their number.
 3. Removed intervals go back to their documents, and what is left is put together.
 
-Texts are moved by a hash of the row, twice; nothing else of their size is moved. The local sorts are numpy's on
-8-byte pieces (ties of one piece are ordered by the next), as compiled code and in bounded memory.
+Texts are moved by a hash of the row, twice; nothing else of their size is moved. A step of the local sorts is numpy's sort of
+8-byte tokens, as compiled code and in bounded memory.
 
-Hashes that decide equality have 128 bits. Defined cases: a null text is empty; texts of
+Strings are compared byte by byte; equal contexts are told by 128 bits of hash, and rows (doc_id and text) by 64. Defined cases: a null text is empty; texts of
 fewer than 50 bytes lose nothing; null doc_ids are one document after all others, and rows
 of equal doc_id one document, of which each row is cleaned by itself; an empty table gives an
 empty result; columns other than doc_id and text are not carried.
@@ -37,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LAST_ID, documents, materialize, uniform
+from .shared import LAST_ID, RANGE_BYTES, documents, grouped, materialize, uniform
 
 #: Length of the strings, of an anchor's gram, and how many grams begin in a string.
 LENGTH, GRAM = 50, 24
 WINDOWS = LENGTH - GRAM + 1
-#: Bytes of text for each range of suffixes, and for each task that texts are dealt to.
-RANGE_BYTES = 32 << 20
+#: Tokens of eight bytes of a suffix's leading bytes.
+WORDS = GRAM // 8
 #: Documents whose suffix keys give the splitters, at most, and keys of each.
 SAMPLE_DOCS, SAMPLE_KEYS = 2000, 64
 SEED = 50
@@ -55,10 +57,11 @@ _byte = _rng.integers(0, 2**63, (2, 256), np.uint64)
 _mul = [int(x) * 2 + 1 for x in _rng.integers(2**61, 2**62, 2)]
 _inv = [pow(m, -1, 2**64) for m in _mul]
 _odd = np.uint64(0xD6E8FEB86659FD93)
+_token_odd = _rng.integers(0, 2**63, WORDS, np.uint64) | np.uint64(1)
 
-#: What is sent of a context: its key, its row's place in the batch's list, first string's start, number of strings, the anchor's place in it.
-SENT = np.dtype([("key", "<u8"), ("row", "<u4"), ("start", "<u4"), ("windows", "u1"), ("anchor", "u1")])
-CONTEXT = np.dtype([("key", "<u8"), ("c1", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("anchor", "<u4")])
+#: What is sent of a context: its row's place in the batch's list, first string's start, number of strings, the anchor's place in it.
+SENT = np.dtype([("row", "<u4"), ("start", "<u4"), ("windows", "u1"), ("anchor", "u1")])
+CONTEXT = np.dtype([("c1", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("rid", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("anchor", "<u4")])
 SPAN = np.dtype([("rid", "<i8"), ("start", "<u4"), ("end", "<u4")])
 PAIR = np.dtype([("rid", "<i8"), ("key", "<u8")])
 
@@ -87,16 +90,6 @@ def _powers(n: int) -> np.ndarray:
     return _known_powers
 
 
-def string_hashes(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Two hashes of each of the strings of ``LENGTH`` bytes that start at ``at``."""
-    out = [np.zeros(len(at), np.uint64) for _ in _mul]
-    for j in range(LENGTH):
-        b = raw[at + j]
-        for v, m in enumerate(_mul):
-            out[v] = out[v] * np.uint64(m) + _byte[v][b]
-    return [_mixed(x) for x in out]
-
-
 class Hashes:
     """Hashes of any substring of some bytes, in two versions."""
 
@@ -114,6 +107,45 @@ class Hashes:
         return _mixed((s[end] - s[start]) * self.powers[2 + version][start])
 
 
+def tokens_at(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The n tokens of eight bytes that begin at each place, as numbers in the bytes' order."""
+    bytes_at = np.lib.stride_tricks.sliding_window_view(data, 8 * n)[at] if len(at) else np.zeros((0, 8 * n), np.uint8)
+    return np.ascontiguousarray(bytes_at).view(">u8").astype("<u8")
+
+
+def multikey_order(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group) of rows of tokens: sorted by the first, of the rows that tie by the next, and so on; equal rows are one group."""
+    order = np.argsort(tokens[:, 0], kind="stable")
+    group = np.cumsum(_first_of_runs(tokens[order, 0])) - 1
+    for j in range(1, tokens.shape[1]):
+        tied = np.flatnonzero((np.bincount(group) > 1)[group]) if len(group) else group
+        if not len(tied):
+            break
+        rows = order[tied]
+        order[tied] = rows[np.lexsort((tokens[rows, j], group[tied]))]
+        group = np.cumsum(_first_of_runs(group, tokens[order, j])) - 1
+    return order, group
+
+
+def prefix_keys(tokens: np.ndarray) -> np.ndarray:
+    """A hash of each row's leading bytes, by which rows are told what they share."""
+    out = np.zeros(len(tokens), np.uint64)
+    for j, m in enumerate(_token_odd):
+        out += tokens[:, j] * m
+    return _mixed(out)
+
+
+def _as_bytes(tokens: np.ndarray) -> np.ndarray:
+    """Rows of tokens as strings that compare alike."""
+    return np.frombuffer(tokens.astype(">u8").tobytes(), f"S{8 * tokens.shape[1]}")
+
+
+def ranges_of(tokens: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """The range of each row, of rows in order."""
+    starts = np.searchsorted(_as_bytes(tokens), _as_bytes(splitters), "left")
+    return np.searchsorted(starts, np.arange(len(tokens)), "right")
+
+
 def _sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     """f over each window of ``width`` items."""
     have = 1
@@ -140,8 +172,8 @@ class Anchors:
         none = np.zeros(WINDOWS - 1, np.uint64)
         widest = _sliding(np.concatenate([none, self.least, none]), WINDOWS, np.maximum)
         self.at = np.flatnonzero(widest == self.gram)
-        lead = data[self.at].astype(np.uint64) << np.uint64(56) | data[self.at + 1].astype(np.uint64) << np.uint64(48)
-        self.keys = lead | self.gram[self.at] >> np.uint64(16)
+        self.tokens = tokens_at(data, self.at, WORDS)
+        self.keys = prefix_keys(self.tokens)
 
     def ranges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchors (their indexes) that own strings, with the first and the last start of these."""
@@ -158,21 +190,6 @@ def _data(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8"), np.uint8)
 
 
-def even_labels(spark: SparkSession, n: int) -> list[int]:
-    """Numbers that ``repartition(n, number)`` deals to n different partitions, one to each."""
-    rows = spark.range(0, 40 * n + 100).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"), F.col("id").cast("int").alias("i")).groupBy("p").agg(F.min("i")).collect()
-    found = dict((r[0], r[1]) for r in rows)
-    return [found.get(p, p) for p in range(n)]
-
-
-def _grouped(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[order], np.arange(n + 1))
-    for p in range(n):
-        if bounds[p] < bounds[p + 1]:
-            yield p, order[bounds[p] : bounds[p + 1]]
-
-
 def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
     """Whether each row of sorted columns differs from the one before."""
     new = np.ones(len(columns[0]), bool)
@@ -186,57 +203,58 @@ def _batch(names: list[str], rows: list[tuple], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(rows of documents with rid, doc and q; removed spans packed by q; labels of q) for ``docs`` (doc_id, text)."""
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(rows of documents with rid, doc and q; removed spans packed by q; number of q) for ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"))
     rows = rows.withColumn("rid", F.xxhash64("doc", "text"))
     n_docs, n_bytes = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((n_bytes or 0) / RANGE_BYTES))
-    labels = even_labels(spark, parts)
-    rows = rows.withColumn("q", F.get(F.array(*[F.lit(x) for x in labels]), F.pmod("rid", F.lit(parts)).cast("int")))
+    rows = rows.withColumn("q", F.pmod("rid", F.lit(parts)).cast("int"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [Anchors(d).keys for t in batch.column("text").to_pylist() if len(d := _data(t)) >= LENGTH]
+            keys = [Anchors(d).tokens for t in batch.column("text").to_pylist() if len(d := _data(t)) >= LENGTH]
             yield pa.RecordBatch.from_arrays([pa.array([k[:: max(1, len(k) // SAMPLE_KEYS)][:SAMPLE_KEYS].tobytes() for k in keys], pa.binary())], names=["keys"])
 
     chosen = rows.where(uniform(F.col("rid"), seed=SEED) < min(1.0, SAMPLE_DOCS / max(n_docs, 1))).select("text").limit(2 * SAMPLE_DOCS)
-    keys = np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in chosen.mapInArrow(sample, "keys binary").collect()), "<u8"))
-    splitters = keys[np.arange(1, parts) * len(keys) // parts] if len(keys) else np.zeros(parts - 1, np.uint64)
+    found = np.frombuffer(b"".join(bytes(r[0]) for r in chosen.mapInArrow(sample, "keys binary").collect()), "<u8").reshape(-1, WORDS)
+    found = found[multikey_order(found)[0]]
+    splitters = found[np.arange(1, parts) * len(found) // parts] if len(found) else np.zeros((parts - 1, WORDS), np.uint64)
 
     def anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_keys, all_docs = [], []
+            all_tokens, all_docs = [], []
             rids = batch.column("rid").to_numpy()
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if len(d := _data(text)) >= LENGTH:
-                    own = np.unique(Anchors(d).keys)
-                    all_keys.append(own)
+                    own = Anchors(d).tokens
+                    all_tokens.append(own)
                     all_docs.append(np.full(len(own), i, np.uint32))
-            if not all_keys:
+            if not all_tokens:
                 continue
-            keys, idx = np.concatenate(all_keys), np.concatenate(all_docs)
-            order = np.argsort(keys, kind="stable")
-            keys, idx = keys[order], idx[order]
-            first = np.flatnonzero(_first_of_runs(keys))
-            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+            tokens, idx = np.concatenate(all_tokens), np.concatenate(all_docs)
+            order, run = multikey_order(tokens)
+            tokens, idx = tokens[order], idx[order]
+            once = _first_of_runs(run, idx)  # a row's equal prefixes follow each other
+            tokens, idx, run = tokens[once], idx[once], run[once]
+            first = np.flatnonzero(_first_of_runs(run))
             # By row, not by document: every row of a document must hear of a copy that another batch has.
             rids_here = rids[idx]
             several = np.minimum.reduceat(rids_here, first) < np.maximum.reduceat(rids_here, first)
             local = several[run]
             pairs = np.zeros(int(local.sum()), PAIR)
-            pairs["rid"], pairs["key"] = rids[idx[local]], keys[local]
-            at, at_pairs = np.searchsorted(splitters, keys[first], "right"), np.searchsorted(splitters, pairs["key"], "right")
-            known = dict(_grouped(at_pairs, parts))
+            pairs["rid"], pairs["key"] = rids_here[local], prefix_keys(tokens[local])
+            part = ranges_of(tokens, splitters)
+            known = dict(grouped(part[local]))
             out = []
-            for p, own in _grouped(at, parts):
-                who, index = np.unique(rids[idx[first[own]]], return_inverse=True)
-                out.append((labels[p], keys[first[own]].tobytes(), who.tobytes(), index.astype("<u2" if len(who) < 1 << 16 else "<u4").tobytes(), several[own].tobytes(), pairs[known[p]].tobytes() if p in known else b""))
+            for p, own in grouped(part[first]):
+                who, index = np.unique(rids_here[first[own]], return_inverse=True)
+                out.append((p, tokens[first[own]].tobytes(), who.tobytes(), index.astype("<u2" if len(who) < 1 << 16 else "<u4").tobytes(), several[own].tobytes(), pairs[known[p]].tobytes() if p in known else b""))
             yield _batch(["p", "keys", "who", "index", "several", "local"], out, [pa.int32(), *[pa.binary()] * 5])
 
     def by_row(pairs: np.ndarray, column: str) -> pa.RecordBatch:
-        out = [(labels[p], pairs[own].tobytes()) for p, own in _grouped(pairs["rid"] % parts, parts)]
+        out = [(q, pairs[own].tobytes()) for q, own in grouped(pairs["rid"] % parts)]
         return _batch(["q", column], out, [pa.int32(), pa.binary()])
 
     def gathered(blobs: list[bytes], kind: np.dtype, column: str, least: int = 0) -> Iterator[pa.RecordBatch]:
@@ -250,7 +268,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
         keys, rids, several, known = [], [], [], []
         for batch in batches:
             for r in batch.to_pylist():
-                k, who = np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["who"], "<i8")
+                k, who = np.frombuffer(r["keys"], "<u8").reshape(-1, WORDS), np.frombuffer(r["who"], "<i8")
                 index = np.frombuffer(r["index"], "<u2" if len(who) < 1 << 16 else "<u4")
                 keys.append(k)
                 rids.append(who[index])
@@ -261,23 +279,21 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
         if not keys:
             yield from gathered(known, PAIR, "pairs")
             return
-        key, rid, many = np.concatenate(keys), np.concatenate(rids), np.concatenate(several)
-        order = np.argsort(key, kind="stable")
-        key, rid, many = key[order], rid[order], many[order]
-        first = np.flatnonzero(_first_of_runs(key))
-        count = np.diff(np.append(first, len(key)))
-        hit = (np.repeat(count, count) > 1) & ~many
-        pairs = np.zeros(int(hit.sum()), PAIR)
-        pairs["rid"], pairs["key"] = rid[hit], key[hit]
+        tokens, rid, many = np.concatenate(keys), np.concatenate(rids), np.concatenate(several)
+        keys.clear()
+        order, run = multikey_order(tokens)
+        hit = order[(np.bincount(run)[run] > 1) & ~many[order]]
+        pairs = np.zeros(len(hit), PAIR)
+        pairs["rid"], pairs["key"] = rid[hit], prefix_keys(tokens[hit])
         yield from gathered([*known, pairs.tobytes()], PAIR, "pairs")
 
     sent = rows.select("rid", "text").mapInArrow(anchor_keys, "p int, keys binary, who binary, index binary, several binary, local binary")
-    shared = materialize(sent.repartition(parts, "p").mapInArrow(shared_keys, "q int, pairs binary"), "suffix-keys")
+    shared = materialize(sent.repartitionById(parts, F.col("p")).mapInArrow(shared_keys, "q int, pairs binary"), "suffix-keys")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, pairs = [], None
         for batch in batches:
-            records, regions, kept = [], [], []
+            records, regions, kept, leads = [], [], [], []
             for blob, rid, doc, text in zip(*(batch.column(c).to_pylist() for c in ("blob", "rid", "doc", "text")), strict=True):
                 if blob is not None:
                     found.append(np.frombuffer(blob, PAIR))
@@ -293,49 +309,53 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
                 hit = np.isin(anchors.keys[owner], pairs["key"][a:b])
                 owner, first, last = owner[hit], first[hit], last[hit]
                 own = np.zeros(len(owner), CONTEXT)
-                own["key"], own["doc"], own["rid"], own["start"], own["windows"], own["anchor"] = anchors.keys[owner], doc, rid, first, last - first + 1, anchors.at[owner] - first
+                own["doc"], own["rid"], own["start"], own["windows"], own["anchor"] = doc, rid, first, last - first + 1, anchors.at[owner] - first
                 own["c1"], own["c2"] = context_hashes(anchors.hashes, first, last + LENGTH, own["anchor"])
                 records.append(own)
                 kept.append(data)
+                leads.append(anchors.tokens[owner])
                 regions.append(np.full(len(own), len(kept) - 1))
             if not records:
                 continue
-            own, text_of = np.concatenate(records), np.concatenate(regions)
-            order = np.lexsort((own["start"], own["rid"], own["doc"], own["c2"], own["c1"], own["key"]))
-            own, text_of = own[order], text_of[order]
-            new = _first_of_runs(own["key"], own["c1"], own["c2"])
+            own, text_of, tokens = np.concatenate(records), np.concatenate(regions), np.concatenate(leads)
+            order, prefix = multikey_order(tokens)
+            own, text_of, tokens = own[order], text_of[order], tokens[order]
+            order = np.lexsort((own["start"], own["rid"], own["doc"], own["c2"], own["c1"], prefix))
+            own, text_of = own[order], text_of[order]  # tokens and prefixes stay as they are
+            new = _first_of_runs(prefix, own["c1"], own["c2"])
             least = own["doc"][np.flatnonzero(new)[np.cumsum(new) - 1]]
             gone = own["doc"] > least
             # Of a document's own equal contexts, each must hear of a repeat elsewhere, so all stay that aren't decided yet.
-            own_p, done = np.searchsorted(splitters, own["key"], "right"), np.zeros(int(gone.sum()), SPAN)
+            own_p, done = ranges_of(tokens, splitters), np.zeros(int(gone.sum()), SPAN)
             done["rid"], done["start"], done["end"] = own["rid"][gone], own["start"][gone], own["start"][gone] + own["windows"][gone] + LENGTH - 1
-            done_p = dict(_grouped(own_p[gone], parts))
+            done_p = dict(grouped(own_p[gone]))
             stay = np.flatnonzero(~gone)
             out = []
-            for p, at in _grouped(own_p[stay], parts):
+            for p, at in grouped(own_p[stay]):
                 at = stay[at]
                 raw = b"".join(kept[t][s : s + w + LENGTH - 1].tobytes() for t, s, w in zip(text_of[at], own["start"][at], own["windows"][at], strict=True))
                 _, one, row = np.unique(own["rid"][at], return_index=True, return_inverse=True)
                 sent = np.zeros(len(at), SENT)
                 sent["row"] = row
-                for name in ("key", "start", "windows", "anchor"):
+                for name in ("start", "windows", "anchor"):
                     sent[name] = own[name][at]
                 who = own[at][one][["doc", "rid"]]
-                out.append((labels[p], sent.tobytes(), np.stack([who["doc"], who["rid"]]).tobytes(), raw, done[done_p[p]].tobytes() if p in done_p else b""))
+                out.append((p, sent.tobytes(), np.stack([who["doc"], who["rid"]]).tobytes(), raw, done[done_p[p]].tobytes() if p in done_p else b""))
             yield _batch(["p", "sent", "who", "raw", "done"], out, [pa.int32(), *[pa.binary()] * 4])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, raws, known = [], [], []
+        records, raws, leads, known = [], [], [], []
         for batch in batches:
             for r in batch.to_pylist():
                 sent, raw = np.frombuffer(r["sent"], SENT), np.frombuffer(r["raw"], np.uint8)
                 docs_of, rids_of = np.frombuffer(r["who"], "<i8").reshape(2, -1)
                 own = np.zeros(len(sent), CONTEXT)
-                for name in ("key", "start", "windows", "anchor"):
+                for name in ("start", "windows", "anchor"):
                     own[name] = sent[name]
                 own["doc"], own["rid"] = docs_of[sent["row"]], rids_of[sent["row"]]
                 end = np.cumsum(own["windows"].astype(np.int64) + LENGTH - 1)
                 own["c1"], own["c2"] = context_hashes(Hashes(raw, 2), np.append(0, end[:-1]), end, own["anchor"])
+                leads.append(tokens_at(raw, np.append(0, end[:-1]) + own["anchor"], WORDS))
                 records.append(own)
                 raws.append(raw)
                 if r["done"]:
@@ -347,17 +367,18 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
         own, raw = np.concatenate(records), np.concatenate(raws)
         size = own["windows"].astype(np.int64) + LENGTH - 1
         place = np.cumsum(size) - size
-        order = np.lexsort((own["doc"], own["c2"], own["c1"], own["key"]))
+        order, group = multikey_order(np.concatenate(leads))
+        leads.clear()
+        own, place = own[order], place[order]
+        order = np.lexsort((own["doc"], own["c2"], own["c1"], group))
         own, place = own[order], place[order]
-        new = _first_of_runs(own["key"], own["c1"], own["c2"])
+        new = _first_of_runs(group, own["c1"], own["c2"])
         least = own["doc"][np.flatnonzero(new)[np.cumsum(new) - 1]]
         gone = own["doc"] > least
         spans = np.zeros(int(gone.sum()), SPAN)
         spans["rid"], spans["start"], spans["end"] = own["rid"][gone], own["start"][gone], own["start"][gone] + own["windows"][gone] + LENGTH - 1
         known.append(spans.tobytes())
         yield from gathered(known, SPAN, "spans", GATHERED)
-        key_new = _first_of_runs(own["key"])
-        group = np.cumsum(key_new) - 1
         several = np.bincount(group, weights=new)[group] > 1
         open_ = np.flatnonzero(~gone & several)
         # In blocks of whole keys, so that the strings' arrays stay small.
@@ -375,10 +396,14 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
             n = own["windows"][at].astype(np.int64)
             which = np.repeat(at, n)
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            h1, h2 = string_hashes(raw, np.repeat(place[at], n) + within)
-            order = np.lexsort((own["doc"][which], h2, h1))
-            h1, h2, which, within = h1[order], h2[order], which[order], within[order]
-            new = _first_of_runs(h1, h2)
+            # The last token ends with the string, so it has some bytes of the one before.
+            begin = np.repeat(place[at], n) + within
+            strings = np.concatenate([tokens_at(raw, begin, LENGTH // 8), tokens_at(raw, begin + LENGTH - 8, 1)], axis=1)
+            order, equal = multikey_order(strings)
+            which, within = which[order], within[order]
+            order = np.lexsort((own["doc"][which], equal))
+            which, within = which[order], within[order]
+            new = _first_of_runs(equal)
             docs_of = own["doc"][which]
             hit = docs_of > docs_of[np.flatnonzero(new)[np.cumsum(new) - 1]]
             spans = np.zeros(int(hit.sum()), SPAN)
@@ -391,16 +416,15 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
     null = lambda kind: F.lit(None).cast(kind)
     texts = rows.select("q", F.lit(1).alias("kind"), null("binary").alias("blob"), "rid", "doc", "text")
     blobs = shared.select("q", F.lit(0).alias("kind"), F.col("pairs").alias("blob"), null("long").alias("rid"), null("long").alias("doc"), null("string").alias("text"))
-    both = blobs.unionByName(texts).repartition(parts, "q").sortWithinPartitions("kind").select("blob", "rid", "doc", "text")
+    both = blobs.unionByName(texts).repartitionById(parts, F.col("q")).sortWithinPartitions("kind").select("blob", "rid", "doc", "text")
     sent = both.mapInArrow(contexts, "p int, sent binary, who binary, raw binary, done binary")
-    spans = materialize(sent.repartition(parts, "p").mapInArrow(compared, "q int, spans binary"), "suffix-spans")
-    return rows, spans, labels
+    spans = materialize(sent.repartitionById(parts, F.col("p")).mapInArrow(compared, "q int, spans binary"), "suffix-spans")
+    return rows, spans, parts
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` is the rest of the text as bytes."""
-    rows, spans, labels = repeated_spans(docs)
-    parts = len(labels)
+    rows, spans, parts = repeated_spans(docs)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, spans = [], None
@@ -427,7 +451,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     null = lambda kind: F.lit(None).cast(kind)
     texts = rows.select("q", F.lit(1).alias("kind"), null("binary").alias("blob"), "rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
     blobs = spans.select("q", F.lit(0).alias("kind"), F.col("spans").alias("blob"), null("long").alias("rid"), null("long").alias("doc_id"), null("string").alias("text"))
-    both = blobs.unionByName(texts).repartition(parts, "q").sortWithinPartitions("kind").select("blob", "rid", "doc_id", "text")
+    both = blobs.unionByName(texts).repartitionById(parts, F.col("q")).sortWithinPartitions("kind").select("blob", "rid", "doc_id", "text")
     return both.mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
