@@ -7,7 +7,12 @@ so that the sum along a word's path is the word's number, which addresses its id
 automaton is one file of at most ``LEXICON_WORDS`` words; Spark hands it to the executors
 (``SparkContext.addFile``), whose Python workers map it into memory and share its pages.
 A task looks a word up in the automaton and else merges it exactly, by rank; either way it
-remembers the result, in a table of bounded size.
+remembers the result, in a table of bounded size. Encoding and decoding in one step (``round_trip``) take one
+Python worker for each task, not two.
+
+Texts are split by the public pattern. What is a letter or a number there follows the tokenizers library, whose Unicode tables are not
+those of the regex package: the characters that the two class differently are asked of the library once,
+on the driver, and taken out of the classes.
 
 Defined cases: a null text is empty and has no ids; a text may hold special tokens, which
 become their own ids; rows of null or repeated doc_id are encoded each by itself; empty
@@ -20,6 +25,7 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -28,7 +34,6 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +41,14 @@ from pyspark.sql import types as T
 
 from .shared import documents, fresh_path, materialize
 
-#: The public pre-tokenisation pattern of byte-level BPE (a fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The public pre-tokenisation pattern of byte-level BPE (a fixed value), with its classes of letters and numbers left open.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?<L>+| ?<N>+| ?[^\s<L><N>]+|\s+(?!\S)|\s+"""
 #: At most so many frequent words are compiled; words seen fewer times than the second number never are.
 LEXICON_WORDS, LEAST_COUNT = 65536, 8
-#: A worker forgets the words that aren't in the lexicon when it remembers more than this number.
-REMEMBERED = 400_000
+#: A worker remembers two generations of words of so many bytes each, counting so many for a word besides its own and its ids'.
+REMEMBERED, ENTRY = 32 << 20, 200
+#: Bytes of a word whose path in the automaton a worker remembers, and how many such beginnings.
+BEGINNING, BEGINNINGS = 5, 1 << 15
 #: Rows that a task handles at a time, so that a batch's texts and ids are not all unpacked at once.
 ROWS = 512
 #: Words longer than this many bytes are merged by a heap instead of by scanning.
@@ -62,6 +69,50 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _ranges(codes: list[int]) -> str:
+    """A character class's inside for ascending code points."""
+    out, start = [], None
+    for n, c in enumerate(codes):
+        start = c if start is None else start
+        if n + 1 == len(codes) or codes[n + 1] != c + 1:
+            out.append(f"\\U{start:08x}-\\U{c:08x}")
+            start = None
+    return "".join(out)
+
+
+@lru_cache(maxsize=1)
+def classes() -> tuple[str, str, int]:
+    """Ranges of the characters that are no letter, and no number, to the tokenizers library though they are to the regex package; the first of them."""
+    from tokenizers import pre_tokenizers
+
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    every = "".join(chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000)
+
+    def others(kind: str, beside: str) -> list[int]:
+        asked = regex.findall(kind, every)
+        # Each between two of its kind and line ends: it is of that kind if all three are one piece.
+        pieces = {at for _, at in split("".join(f"{beside}{c}{beside}\n" for c in asked))}
+        return [ord(c) for i, c in enumerate(asked) if (4 * i, 4 * i + 3) not in pieces]
+
+    letters, numbers = others(r"\p{L}", "a"), others(r"\p{N}", "1")
+    return _ranges(letters), _ranges(numbers), min([*letters, *numbers, 0x110000])
+
+
+def pattern(known: tuple[str, str, int] | None) -> str:
+    """The pattern, with the classes of the regex package where ``known`` is None."""
+    letters, numbers = (rf"[\p{{{k}}}--[{x}]]" if x else rf"\p{{{k}}}" for k, x in zip("LN", known or ("", ""), strict=False))
+    return ("" if known is None else "(?V1)") + PATTERN.replace("<L>", letters).replace("<N>", numbers)
+
+
+def splitter(known: tuple[str, str, int]) -> Callable[[str], list[str]]:
+    """A function from a text to its pre-tokens."""
+    plain = regex.compile(pattern(None)).findall
+    if known[2] > 0x10FFFF:
+        return plain
+    exact, late = regex.compile(pattern(known)).findall, re.compile(f"[{chr(known[2])}-{chr(0x10FFFF)}]").search
+    return lambda text: exact(text) if late(text) else plain(text)
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary: ids of bytes, ranked merges of ids, bytes of ids, special tokens."""
 
@@ -78,10 +129,13 @@ class Vocabulary:
         for token, i in self.special.items():
             self.pieces[i] = token.encode()
         self.byte_ids = [vocab[letters[b]] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank of a pair (first id in the higher bits), and the id that a rank makes.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(data["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.ranks[vocab[left] << 32 | vocab[right]] = rank
+            self.made.append(vocab[left + right])
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
@@ -89,38 +143,37 @@ class Vocabulary:
         ids = [self.byte_ids[b] for b in word]
         if len(ids) > SCAN_UP_TO:
             return self._merge_long(ids)
-        never = (1 << 60, -1)
-        ranks = [self.merges.get(p, never) for p in pairwise(ids)]
-        while ranks:
-            best = min(ranks)
-            if best is never or best[1] < 0:
-                break
+        rank, made, never = self.ranks.get, self.made, 1 << 60
+        ranks = [rank(a << 32 | b, never) for a, b in pairwise(ids)]
+        best = min(ranks, default=never)
+        while best != never:
             i = ranks.index(best)
-            ids[i : i + 2] = [best[1]]
-            del ranks[i]
+            ids[i] = new = made[best]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = self.merges.get((ids[i - 1], ids[i]), never)
+                ranks[i - 1] = rank(ids[i - 1] << 32 | new, never)
             if i < len(ranks):
-                ranks[i] = self.merges.get((ids[i], ids[i + 1]), never)
+                ranks[i] = rank(new << 32 | ids[i + 1], never)
+            best = min(ranks, default=never)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(*self.merges[p], i, *p) for i, p in enumerate(pairwise(ids)) if p in self.merges]
+        heap = [(self.ranks[p], i, a, b) for i, (a, b) in enumerate(pairwise(ids)) if (p := a << 32 | b) in self.ranks]
         heapq.heapify(heap)
         while heap:
-            _, new, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.made[best], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (p := (ids[left], ids[right])) in self.merges:
-                    heapq.heappush(heap, (*self.merges[p], left, *p))
+                if left >= 0 and right >= 0 and (p := ids[left] << 32 | ids[right]) in self.ranks:
+                    heapq.heappush(heap, (self.ranks[p], left, ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
 
@@ -129,13 +182,6 @@ def vocabulary(spec: str) -> Vocabulary:
     return Vocabulary(spec)
 
 
-def compiled_encoding(vocab: Vocabulary) -> tiktoken.Encoding:
-    """A compiled merger over the vocabulary's ranks; it gives what ``Vocabulary.merge`` gives, several times faster."""
-    special = set(vocab.special.values())
-    ranks = {p: i for i, p in enumerate(vocab.pieces) if i not in special}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=vocab.special)
-
-
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """The minimal acyclic automaton of ``words`` with their ids, as the bytes of a file.
 
@@ -194,6 +240,9 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     return head + u32(first) + u32(targets) + u32(skips) + u32(starts) + u32(ids) + bytes(f for f, _ in done) + bytes(labels)
 
 
+_BYTES = [bytes([b]) for b in range(256)]
+
+
 class Lexicon:
     """A compiled lexicon, read where it lies: nothing is unpacked."""
 
@@ -208,21 +257,39 @@ class Lexicon:
             at += 4 * n
         self.first, self.targets, self.skips, self.starts, self.ids = parts
         self.final, self.data, self.labels = view[at : at + states], data, at + states
+        self.begun: dict[bytes, tuple[int, int] | None] = {}
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def get(self, word: bytes) -> bytes | None:
-        """The word's ids, packed as 32-bit little-endian numbers, or None."""
-        state, number, find, labels = self.root, 0, self.data.find, self.labels
-        for i in range(len(word)):
-            at = find(word[i : i + 1], labels + self.first[state], labels + self.first[state + 1]) - labels
+    def _walk(self, part: bytes, state: int, number: int) -> tuple[int, int] | None:
+        """Where some bytes lead from a state, and how many words are passed by then."""
+        find, labels, first, skips, targets = self.data.find, self.labels, self.first, self.skips, self.targets
+        for byte in part:
+            at = find(_BYTES[byte], labels + first[state], labels + first[state + 1]) - labels
             if at < 0:
                 return None
-            number += self.skips[at]
-            state = self.targets[at]
+            number += skips[at]
+            state = targets[at]
+        return state, number
+
+    def get(self, word: bytes) -> bytes | None:
+        """The word's ids, packed as 32-bit little-endian numbers, or None."""
+        begin = word[:BEGINNING]
+        if begin in self.begun:
+            known = self.begun[begin]
+        else:
+            known = self._walk(begin, self.root, 0)
+            if len(self.begun) >= BEGINNINGS:
+                self.begun.clear()
+            self.begun[begin] = known
+        if known and len(word) > BEGINNING:
+            known = self._walk(word[BEGINNING:], *known)
+        if not known:
+            return None
+        state, number = known
         if not self.final[state]:
             return None
         return self.ids[self.starts[number] : self.starts[number + 1]].tobytes()
@@ -234,38 +301,38 @@ def opened(name: str) -> Lexicon:
 
 
 class Remembered(dict):
-    """Packed ids by pre-token: from the lexicon, else merged."""
+    """Packed ids by pre-token: from the lexicon, else merged. Of two generations, words that are met again go over to the newer."""
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None) -> None:
         super().__init__()
-        self.lexicon, self.frequent = lexicon, {}
-        self.merge = compiled_encoding(vocab)._encode_single_piece
+        self.lexicon, self.merge, self.size, self.older = lexicon, vocab.merge, 0, {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode("utf-8")
-        packed = self.lexicon.get(raw) if self.lexicon else None
+        packed = self.older.pop(word, None)
         if packed is None:
-            packed = struct.pack(f"<{len(ids := self.merge(raw))}I", *ids)
-        else:
-            self.frequent[word] = packed
-        if len(self) >= REMEMBERED:
+            raw = word.encode("utf-8")
+            packed = self.lexicon.get(raw) if self.lexicon else None
+            if packed is None:
+                packed = struct.pack(f"<{len(ids := self.merge(raw))}I", *ids)
+        self.size += ENTRY + len(word) + len(packed)
+        if self.size > REMEMBERED:
+            self.older, self.size = dict(self), 0
             self.clear()
-            self.update(self.frequent)
         self[word] = packed
         return packed
 
 
 @lru_cache(maxsize=4)
-def encoder(spec: str, lexicon: str | None) -> Callable[[str], bytes]:
+def encoder(spec: str, known: tuple[str, str, int], lexicon: str | None) -> Callable[[str], bytes]:
     """A function from a text to its packed ids; one for each worker process."""
     vocab = vocabulary(spec)
-    known = Remembered(vocab, opened(lexicon) if lexicon else None)
-    words, special = regex.compile(PATTERN).findall, vocab.special
+    ids_of = Remembered(vocab, opened(lexicon) if lexicon else None).__getitem__
+    words, special = splitter(known), vocab.special
 
     def encode(text: str) -> bytes:
         if special and any(t in text for t in special):
-            return b"".join(struct.pack("<I", special[part]) if part in special else b"".join([known[w] for w in words(part)]) for part in vocab.split_special.split(text))
-        return b"".join([known[w] for w in words(text)])
+            return b"".join(struct.pack("<I", special[part]) if part in special else b"".join(map(ids_of, words(part))) for part in vocab.split_special.split(text))
+        return b"".join(map(ids_of, words(text)))
 
     return encode
 
@@ -314,47 +381,72 @@ def build_lexicon(docs: DataFrame, spec: str, most: int = LEXICON_WORDS) -> str:
     return share_lexicon(docs.sparkSession, compile_lexicon({w: vocab.merge(w) for w in (x.encode("utf-8") for x in frequent_words(docs, most))}))
 
 
+def specification(path: str | None = None) -> str:
+    with open(path or tokenizer_path(), encoding="utf-8") as f:
+        return f.read()
+
+
+def _text(pieces: list[bytes], ids: np.ndarray) -> str:
+    return b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace")
+
+
+def _with(docs: DataFrame, more: dict[str, T.DataType]) -> T.StructType:
+    return T.StructType([*docs.schema.fields, *[T.StructField(name, kind) for name, kind in more.items()]])
+
+
+def _extended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+
+
+IDS = T.ArrayType(T.IntegerType(), False)
+
+
 def encode(docs: DataFrame, path: str | None = None, lexicon: str | None = None) -> DataFrame:
     """``docs`` with ids: array<int>. ``path``: the tokenizer's JSON file. ``lexicon``: of an earlier call."""
-    with open(path or tokenizer_path(), encoding="utf-8") as f:
-        spec = f.read()
-    docs = docs.drop("ids")
+    return _coded(docs, path, lexicon, False)
+
+
+def round_trip(docs: DataFrame, path: str | None = None, lexicon: str | None = None) -> DataFrame:
+    """``docs`` with ids, and with decoded: the text that ``decode`` makes of them."""
+    return _coded(docs, path, lexicon, True)
+
+
+def _coded(docs: DataFrame, path: str | None, lexicon: str | None, back: bool) -> DataFrame:
+    spec = specification(path)
+    docs = docs.drop("ids", *["decoded"] * back)
     lexicon = lexicon or build_lexicon(docs.select("text"), spec)
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    shared = docs.sparkSession.sparkContext.broadcast((spec, classes(), lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(shared.value, lexicon)
+        of, pieces = encoder(*shared.value), vocabulary(shared.value[0]).pieces
         for batch in sliced(batches):
             packed = [of(t) if t else b"" for t in batch.column("text").to_pylist()]
             offsets = np.zeros(len(packed) + 1, np.int32)
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+            out = {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))}
+            if back:
+                out["decoded"] = pa.array([_text(pieces, np.frombuffer(p, "<i4")) for p in packed], pa.string())
+            yield _extended(batch, **out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _with(docs, {"ids": IDS} | ({"decoded": T.StringType()} if back else {})))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` (with ids) with decoded: the text; bytes that are no UTF-8 become U+FFFD; null ids give an empty text."""
-    with open(path or tokenizer_path(), encoding="utf-8") as f:
-        spec = f.read()
-    shared = encoded.sparkSession.sparkContext.broadcast(spec)
+    shared = encoded.sparkSession.sparkContext.broadcast(specification(path))
     encoded = encoded.drop("decoded")
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(shared.value).pieces
         for batch in sliced(batches):
             ids = batch.column("ids")
-            flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
-            texts = [b"".join([pieces[i] for i in flat[a:b].tolist()]).decode("utf-8", "replace") for a, b in pairwise(at.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            flat, at = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
+            yield _extended(batch, decoded=pa.array([_text(pieces, flat[a:b]) for a, b in pairwise(at)], pa.string()))
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(run, _with(encoded, {"decoded": T.StringType()}))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode(encode(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    both = round_trip(documents(spark, sf_dir).select("doc_id", "text"))
     ids = F.sha2(F.encode(F.array_join("ids", ","), "UTF-8"), 256)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
