@@ -5,11 +5,12 @@ its forward scores (the best score of each prefix, with the number of pieces on
 depend on the prefix only. So a task inserts the distinct pre-tokens of its rows into a
 trie and computes forward scores once for each node, that is, once for each shared prefix;
 the count at a pre-token's last node is its number of tokens. Documents then add up the
-counts of their pre-tokens. There is no shuffle, and the trie is bounded: it starts anew
-when it has too many nodes.
+counts of their pre-tokens. Only counts of distinct pre-tokens are shuffled, and the trie is bounded: it starts
+anew when it has too many nodes.
 
-Scores are log-probabilities under Zipf's law by the vocabulary's order, -ln(id + 2.7): the
-vocabulary's ids are in order of frequency, and tokenizers are never trained here.
+The model is trained on the same documents: all of them are split into pre-tokens, each distinct pre-token is merged once by
+the vocabulary's own rules, and a piece's probability is the share of its count, one added to each
+(the vocabulary itself is given; no tokenizer is trained). Only one count for each piece of the vocabulary reaches the driver.
 Equal scores: the path with fewer pieces wins.
 
 Defined cases: a null or empty text has 0 tokens; rows of null or repeated doc_id count by
@@ -20,21 +21,23 @@ named like results are replaced. All single bytes are pieces, so every text has
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import PATTERN, tokenizer_path, vocabulary
-from .shared import documents
+from .bpe import classes, specification, splitter, vocabulary
+from .shared import batch_of, documents, materialize
 
-#: Added to an id before taking the logarithm.
-ZIPF_SHIFT = 2.7
 #: A trie with more nodes than this is dropped, and a new one begun.
-MAX_NODES = 1_500_000
+MAX_NODES = 500_000
+#: A task passes its counts on when it has so many distinct pre-tokens.
+GATHERED = 200_000
 
 
 class Trie:
@@ -86,27 +89,75 @@ class Counts(dict):
         return n
 
 
-def zipf_scores(spec: str) -> dict[bytes, float]:
+def pretoken_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each distinct pre-token occurs in all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, found = splitter(shared.value), Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                if text:
+                    found.update(words(text))
+                    if len(found) > GATHERED:
+                        yield batch_of("word string, n long", list(found.items()))
+                        found.clear()
+        if found:
+            yield batch_of("word string, n long", list(found.items()))
+
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def piece_counts(words: DataFrame, spec: str) -> np.ndarray:
+    """How often each piece of the vocabulary occurs in all of ``words`` (word, n), merged by its rules."""
+    shared = words.sparkSession.sparkContext.broadcast(spec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(shared.value)
+        count = np.zeros(len(vocab.pieces), np.int64)
+        for batch in batches:
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                for i in vocab.merge(word.encode("utf-8")):
+                    count[i] += n
+        some = np.flatnonzero(count)
+        yield batch_of("id int, n long", list(zip(some.tolist(), count[some].tolist(), strict=True)))
+
+    total = np.zeros(len(vocabulary(spec).pieces), np.int64)
+    for i, n in words.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n")).collect():  # at most one row for each piece
+        total[i] = n
+    return total
+
+
+def unigram_scores(docs: DataFrame, spec: str) -> np.ndarray:
+    """The log-probability of each piece in ``docs``."""
+    words = materialize(pretoken_counts(docs), "unigram-words")
+    count = piece_counts(words, spec) + 1
+    return np.log(count / count.sum())
+
+
+def by_piece(spec: str, scores: np.ndarray) -> dict[bytes, float]:
     vocab = vocabulary(spec)
     special = set(vocab.special.values())
-    return {p: -math.log(i + ZIPF_SHIFT) for i, p in enumerate(vocab.pieces) if p and i not in special}
+    return {p: float(scores[i]) for i, p in enumerate(vocab.pieces) if p and i not in special}
 
 
 @lru_cache(maxsize=4)
-def counts(spec: str) -> Counts:
-    return Counts(Trie(zipf_scores(spec)))
+def counts(spec: str, scores: bytes) -> Counts:
+    return Counts(Trie(by_piece(spec, np.frombuffer(scores))))
 
 
-def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs`` with n_pretokens and n_tokens."""
-    with open(path or tokenizer_path(), encoding="utf-8") as f:
-        spec = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+def count_tokens(docs: DataFrame, path: str | None = None, scores: np.ndarray | None = None) -> DataFrame:
+    """``docs`` with n_pretokens and n_tokens. ``scores``: of each piece, from ``unigram_scores`` of other documents."""
+    spec = specification(path)
+    if scores is None:
+        scores = unigram_scores(docs, spec)
+    shared = docs.sparkSession.sparkContext.broadcast((spec, scores.tobytes(), classes()))
     docs = docs.drop("n_pretokens", "n_tokens")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, words = counts(shared.value), regex.compile(PATTERN).findall
+        spec, scores, known = shared.value
+        of, words = counts(spec, scores), splitter(known)
         for batch in batches:
             pretokens, tokens = [], []
             for text in batch.column("text").to_pylist():
