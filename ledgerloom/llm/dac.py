@@ -17,13 +17,14 @@ by tiktoken's compiled merger over the vocabulary's ranks, which is several time
 and gives the same ids (held against the library in the tests).
 
 Defined cases: a null text is empty and has the end id only; null doc_ids come last; rows
-of equal doc_id follow each other in no defined order; an empty table gives an empty
+of equal doc_id follow each other in order of their texts' hashes, then of their texts; an empty table gives an empty
 result; columns other than doc_id and text are not written. A document longer than a
 shard has a shard of its own.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,12 +32,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import compiled_encoding, tokenizer_path, vocabulary
-from .shared import documents, fresh_path
+from .bpe import Vocabulary, pattern, tokenizer_path, vocabulary
+from .shared import RANGE_BYTES, documents, fresh_path
 
 CHUNK_BITS = 8
 RANK_EVERY = 512
@@ -103,6 +105,13 @@ class Codes:
         return out
 
 
+def compiled_encoding(vocab: Vocabulary) -> tiktoken.Encoding:
+    """A compiled merger over the vocabulary's ranks; it gives what ``Vocabulary.merge`` gives, several times faster."""
+    special = set(vocab.special.values())
+    ranks = {p: i for i, p in enumerate(vocab.pieces) if i not in special}
+    return tiktoken.Encoding("file", pat_str=pattern(None), mergeable_ranks=ranks, special_tokens=vocab.special)
+
+
 @lru_cache(maxsize=2)
 def merger(spec: str) -> Callable[[str], list[int]]:
     """A text's ids, special tokens included, without an end id."""
@@ -146,8 +155,12 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int = E
         if doc_ids:
             yield closed()
 
-    order = [F.col("doc_id").isNull(), F.col("doc_id")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / RANGE_BYTES))
+    # The hash also cuts rows of one doc_id, or of none, into several ranges.
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     rows.mapInArrow(run, SHARD_SCHEMA).write.parquet(to)
 
 
