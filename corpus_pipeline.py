@@ -7,6 +7,11 @@ Every stage is a whole-table job of one operator, on all that its predecessor ke
 3. near-duplicates: of each class of near-duplicates one document stays;
 4. mixing: documents are repeated, or taken in part, as the sources' target weights ask;
 5. BPE encoding and decoding: ids of each document, and its text as the ids give it back.
+
+Defined cases, in every stage: a null text counts as empty (the quality rules reject it, having fewer than ten words); a null doc_id is a
+document of its own, which the near-duplicate stage never drops; of rows with equal doc_id and text one stays, as of any copies, and rows of one
+doc_id with different texts are different documents; an empty table gives an empty result with the same columns.
+Further columns pass through, whatever their names: only ``n_tokens``, ``ids`` and ``decoded`` of the input are replaced by the last stage's results.
 """
 
 from __future__ import annotations
@@ -42,9 +47,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and text as decoded from the ids."""
-    kept = [c for c in docs.columns if c not in ("text", "n_chars")]
-    coded = bpe.decode(bpe.encode(docs).drop("text", "n_chars"))
+    """The columns of ``docs`` but n_chars, text as decoded from the ids, and with these n_tokens and ids."""
+    made = ("n_tokens", "ids", "decoded", "text")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*made, "n_chars")]
+    coded = bpe.round_trip(docs.drop("n_chars"))
     return coded.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
