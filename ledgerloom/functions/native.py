@@ -38,13 +38,15 @@ def date_value(data: Column) -> Column:
     return F.to_date(F.when((month > 0) & (day > 0), F.format_string("%04d-%02d-%02d", year, month, day)))
 
 
-def datetime_value(data: Column) -> Column:
-    """Five bytes, without a fraction; zero is null."""
+def datetime_value(data: Column, digits: int = 0) -> Column:
+    """Five bytes, and those of a fraction of ``digits`` digits; zero is null."""
     x = uint_be(data, 0, 5) - F.lit(1 << 39)
     date, time = F.shiftright(x, 17), x.bitwiseAND(F.lit((1 << 17) - 1))
     months, day = F.shiftright(date, 5), date.bitwiseAND(F.lit(31))
     month = F.pmod(months, F.lit(13))
     parts = [(months / 13).cast("int"), month.cast("int"), day.cast("int"), F.shiftright(time, 12).cast("int"), F.shiftright(time, 6).bitwiseAND(F.lit(63)).cast("int"), time.bitwiseAND(F.lit(63)).cast("decimal(8,6)")]
+    if size := (digits + 1) // 2:
+        parts[-1] += (uint_be(data, 5, size) * 10 ** (6 - 2 * size) / F.lit(10**6)).cast("decimal(7,6)")
     return F.when((month > 0) & (day > 0), F.make_timestamp_ntz(*parts))
 
 

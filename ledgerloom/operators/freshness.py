@@ -8,6 +8,8 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def tables_of_sql(spark: SparkSession, sql: str) -> list[str]:
     """The tables a statement reads, by Spark's own parser, subqueries included and names of CTEs left out."""
@@ -49,19 +51,20 @@ def ready_transaction(queries: DataFrame, timeline: DataFrame) -> DataFrame:
 
     ``queries``: (query_id, query_time, groups); ``timeline``: (group_id, txn_seq, commit_time),
     whose marks only grow. A group's part is an as-of search: marks and query times are
-    merged into one ordered sequence by group, and each query takes the next mark. Null
+    merged into one ordered sequence by group, cut into days, and each query takes the next mark. Null
     where a group never gets there.
     """
     wanted = queries.select("query_id", "query_time", F.explode("groups").alias("group_id"))
     # Marks that several transactions share count once, with the first of them.
     marks = timeline.where("commit_time IS NOT NULL").groupBy("group_id", "commit_time").agg(F.min("txn_seq").alias("txn_seq"))
-    day = lambda c: F.date_trunc("day", c)
-    first_by_day = marks.groupBy("group_id", day(F.col("commit_time")).alias("mark_day")).agg(F.max("commit_time").alias("day_max"), F.min("txn_seq").alias("day_first"))
-    # Within the query's day a mark is searched by an equi-join on the day; else the next day that has one decides.
-    same = wanted.withColumn("mark_day", day(F.col("query_time"))).join(marks.withColumn("mark_day", day(F.col("commit_time"))), ["group_id", "mark_day"]).where(F.col("commit_time") >= F.col("query_time"))
-    same = same.groupBy("query_id", "group_id").agg(F.min("txn_seq").alias("same_txn"))
-    later = wanted.join(first_by_day, "group_id").where(F.col("mark_day") > F.col("query_time")).groupBy("query_id", "group_id").agg(F.min("day_first").alias("later_txn"))
-    each = wanted.join(same, ["query_id", "group_id"], "left").join(later, ["query_id", "group_id"], "left").withColumn("txn", F.least("same_txn", "later_txn"))
+    none = F.lit(None)
+    both = marks.select("group_id", F.col("commit_time").alias("at"), "txn_seq", none.cast(queries.schema["query_id"].dataType).alias("query_id"))
+    both = both.unionByName(wanted.select("group_id", F.col("query_time").alias("at"), none.cast("bigint").alias("txn_seq"), "query_id"))
+    # From the end backwards, the least transaction at the query's time or later: at one time marks come before queries.
+    back = [F.desc("at"), F.desc_nulls_last("txn_seq")]
+    day = F.datediff(F.lit("9999-12-31").cast("date"), F.to_date("at"))
+    searched = running(both, ["group_id"], back, day, {"txn": ("min", F.col("txn_seq"))})
+    each = searched.where("query_id IS NOT NULL").select("query_id", "group_id", "txn")
     done = each.groupBy("query_id").agg(F.max("txn").alias("last"), F.count_if(F.col("txn").isNull()).alias("open"))
     return queries.join(done, "query_id", "left").withColumn("ready_txn", F.when(F.col("open") == 0, F.col("last"))).drop("last", "open")
 
@@ -69,7 +72,7 @@ def ready_transaction(queries: DataFrame, timeline: DataFrame) -> DataFrame:
 def waits(queries: DataFrame, high_water: DataFrame) -> DataFrame:
     """``queries`` with commit_time (the least mark of its groups) and is_fresh (whether that is the query's time or later)."""
     wanted = queries.select("query_id", F.explode("groups").alias("group_id"))
-    marks = wanted.join(F.broadcast(high_water.select("group_id", "commit_time")), "group_id", "left")  # a row for each configured group
+    marks = wanted.join(high_water.select("group_id", "commit_time"), "group_id", "left")
     least = marks.groupBy("query_id").agg(F.min("commit_time").alias("commit_time"), F.count_if(F.col("commit_time").isNull()).alias("_open"))
     out = queries.join(least, "query_id", "left")
     return out.withColumn("commit_time", F.when(F.col("_open") == 0, F.col("commit_time"))).withColumn("is_fresh", F.coalesce(F.col("commit_time") >= F.col("query_time"), F.lit(False))).drop("_open")

@@ -34,6 +34,21 @@ def throughput(events: DataFrame, width: str = "1 second", time: str = "event_ti
     return events.groupBy(F.window(time, width).alias("w")).agg(F.count("*").alias("n_events")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_events")
 
 
+def commit_report(commits: DataFrame, width: str = "1 second", time: str = "commit_time") -> DataFrame:
+    """What a committer reports, of (group_id, txn_seq, commit_time): by group and window its commits, the last transaction
+    so far, and the seconds since the group's first commit."""
+    first = commits.groupBy("group_id").agg(F.min(time).alias("_first"))
+    windows = commits.groupBy("group_id", F.window(time, width).alias("w")).agg(F.count("*").alias("n_commits"), F.max("txn_seq").alias("last_txn"), F.max(time).alias("_last"))
+    out = windows.join(first, "group_id")
+    seconds = F.unix_timestamp(F.col("_last").cast("timestamp")) - F.unix_timestamp(F.col("_first").cast("timestamp"))
+    return out.select("group_id", F.col("w.start").alias("window_start"), "n_commits", "last_txn", seconds.alias("elapsed_s"))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report as CSV files, a folder for each group."""
+    report.write.partitionBy("group_id").mode("append").option("header", True).csv(path)
+
+
 def queries_by_group(queries: DataFrame) -> DataFrame:
     """How many queries of (query_id, groups) touch each group."""
     return queries.select("query_id", F.explode(F.array_distinct("groups")).alias("group_id")).groupBy("group_id").agg(F.count("*").alias("n_queries"))

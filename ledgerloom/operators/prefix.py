@@ -23,42 +23,48 @@ def _join_keys(keys: list[str], left: str, right: str) -> Column:
     return cond
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], segment: Column, outputs: dict[str, tuple[str, Column]], exclusive: bool = False) -> DataFrame:
-    """``df`` with running aggregates ``{name: (sum | count | max | min, expression)}`` along ``order`` within ``keys``.
+def along(df: DataFrame, keys: list[str], order: list[Column], segment: Column, before: dict[str, tuple[str, Column]], after: dict[str, Column], exclusive: bool = False) -> DataFrame:
+    """``df`` with running aggregates and with values of the next row, in one pass over the segments.
 
-    Inclusive of the row itself, or ``exclusive``. Sums and counts begin at 0, max and min at null.
+    ``before``: {name: (sum | count | max | min, expression)}, inclusive of the row itself, or ``exclusive``;
+    sums and counts begin at 0, max and min at null. ``after``: {name: expression}, null for the last row;
+    with it, ``order`` has ascending columns only.
     """
     names = df.columns
-    cut = df.withColumn("_segment", segment)
-    local = Window.partitionBy(*keys, "_segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    rows = cut
-    for name, (how, expr) in outputs.items():
+    rows = cut = df.withColumn("_segment", segment)
+    ordered = Window.partitionBy(*keys, "_segment").orderBy(*order)
+    local = ordered.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    for name, (how, expr) in before.items():
         rows = rows.withColumn(f"_own_{name}", _FIRST[how](expr).over(local))
-    totals = cut.groupBy(*keys, "_segment").agg(*[_FIRST[how](expr).alias(f"_seg_{name}") for name, (how, expr) in outputs.items()])
-    before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_segment", *[_MERGE[how](f"_seg_{name}").over(before).alias(f"_carry_{name}") for name, (how, _) in outputs.items()])
+    for name, expr in after.items():
+        rows = rows.withColumn(f"_own_{name}", F.lead(expr).over(ordered))
+    totals = [_FIRST[how](expr).alias(f"_seg_{name}") for name, (how, expr) in before.items()]
+    chain = Window.partitionBy(*keys).orderBy("_segment")
+    earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
+    carry = [_MERGE[how](f"_seg_{name}").over(earlier).alias(f"_carry_{name}") for name, (how, _) in before.items()]
+    if after:
+        rows = rows.withColumn("_last", F.lead(F.lit(1)).over(ordered).isNull())
+        totals.append(F.min_by(F.struct(*[e.alias(n) for n, e in after.items()]), F.struct(*order)).alias("_first"))
+        carry.append(F.lead("_first").over(chain).alias("_next"))
+    carried = cut.groupBy(*keys, "_segment").agg(*totals).select(*keys, "_segment", *carry)
     joined = rows.alias("l").join(carried.alias("r"), _join_keys(keys, "l", "r"))
     out = []
-    for name, (how, _) in outputs.items():
-        own, carry = F.col(f"l._own_{name}"), F.col(f"r._carry_{name}")
+    for name, (how, _) in before.items():
+        own, carried_value = F.col(f"l._own_{name}"), F.col(f"r._carry_{name}")
         if how in ("sum", "count"):
-            value = F.coalesce(own, F.lit(0)) + F.coalesce(carry, F.lit(0))
+            value = F.coalesce(own, F.lit(0)) + F.coalesce(carried_value, F.lit(0))
         else:
-            value = (F.greatest if how == "max" else F.least)(own, carry)
+            value = (F.greatest if how == "max" else F.least)(own, carried_value)
         out.append(value.alias(name))
+    out += [F.when(F.col("l._last"), F.col(f"r._next.{n}")).otherwise(F.col(f"l._own_{n}")).alias(n) for n in after]
     return joined.select(*[F.col(f"l.{c}") for c in names], *out)
 
 
+def running(df: DataFrame, keys: list[str], order: list[Column], segment: Column, outputs: dict[str, tuple[str, Column]], exclusive: bool = False) -> DataFrame:
+    """Running aggregates alone."""
+    return along(df, keys, order, segment, outputs, {}, exclusive)
+
+
 def following(df: DataFrame, keys: list[str], order: list[Column], segment: Column, outputs: dict[str, Column]) -> DataFrame:
-    """``df`` with values of the next row along ``order`` within ``keys`` (null for the last); values must not be null."""
-    names = df.columns
-    cut = df.withColumn("_segment", segment)
-    local = Window.partitionBy(*keys, "_segment").orderBy(*order)
-    rows = cut.withColumn("_last", F.lead(F.lit(1)).over(local).isNull())
-    for name, expr in outputs.items():
-        rows = rows.withColumn(f"_own_{name}", F.lead(expr).over(local))
-    firsts = cut.groupBy(*keys, "_segment").agg(F.min_by(F.struct(*[e.alias(n) for n, e in outputs.items()]), F.struct(*order)).alias("_first"))
-    after = Window.partitionBy(*keys).orderBy("_segment")
-    carried = firsts.select(*keys, "_segment", F.lead("_first").over(after).alias("_next"))
-    joined = rows.alias("l").join(carried.alias("r"), _join_keys(keys, "l", "r"))
-    return joined.select(*[F.col(f"l.{c}") for c in names], *[F.when(F.col("l._last"), F.col(f"r._next.{n}")).otherwise(F.col(f"l._own_{n}")).alias(n) for n in outputs])
+    """Values of the next row alone."""
+    return along(df, keys, order, segment, {}, outputs)

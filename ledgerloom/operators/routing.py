@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .transactions import SEGMENT_BYTES
 
 TABLE_MAP = 19
-#: Rows of the table-to-group dimension that may be broadcast: it is configuration, and checked.
+#: Tables that a configuration may list: the dimension is made on the driver. Whether a join broadcasts it is left to Spark, by its size.
 MAX_CONFIGURED_TABLES = 100_000
 
 
@@ -48,17 +48,17 @@ def allow(changes: DataFrame, tables: list[str]) -> DataFrame:
 
 def route(changes: DataFrame, groups: DataFrame) -> DataFrame:
     """``changes`` of configured tables with their group_id; others are dropped (see ``unrouted``)."""
-    return changes.join(F.broadcast(groups), "tbl")
+    return changes.join(groups, "tbl")
 
 
 def unrouted(changes: DataFrame, groups: DataFrame) -> DataFrame:
-    return changes.join(F.broadcast(groups), "tbl", "left_anti")
+    return changes.join(groups, "tbl", "left_anti")
 
 
 def groups_of_query(queries: DataFrame, groups: DataFrame) -> DataFrame:
     """``queries`` (query_id, tables) with the distinct group ids of their tables; a table in no group is an error row: -1."""
     tables = queries.select("query_id", F.explode("tables").alias("tbl"))
-    return tables.join(F.broadcast(groups), "tbl", "left").groupBy("query_id").agg(F.sort_array(F.collect_set(F.coalesce("group_id", F.lit(-1)))).alias("groups"))
+    return tables.join(groups, "tbl", "left").groupBy("query_id").agg(F.sort_array(F.collect_set(F.coalesce("group_id", F.lit(-1)))).alias("groups"))
 
 
 def grid(txns: DataFrame, groups: DataFrame, routed: DataFrame) -> DataFrame:

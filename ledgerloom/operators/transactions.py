@@ -20,10 +20,12 @@ XID, ROTATE, QUERY, GTID, ANONYMOUS_GTID = 16, 4, 2, 33, 34
 def assemble(events: DataFrame, is_commit: Column | None = None, segment: Column | None = None) -> DataFrame:
     """``events`` with txn_seq (1-based over all files in order) and complete (whether its commit marker exists).
 
-    A transaction is the run of events up to and with a commit marker; there is no limit to
+    A transaction is the run of events up to and with a commit marker: the source's ``ends_txn`` where events have it (so that
+    a schema change is a transaction of its own), else XID. There is no limit to
     its number of events. Events behind a file's last marker are incomplete.
     """
-    marker = F.coalesce(is_commit if is_commit is not None else F.col("event_type") == XID, F.lit(False)).cast("int")
+    default = F.col("ends_txn") if "ends_txn" in events.columns else F.col("event_type") == XID
+    marker = F.coalesce(default if is_commit is None else is_commit, F.lit(False)).cast("int")
     segment = segment if segment is not None else F.floor(F.col("pos") / SEGMENT_BYTES)
     events = events.withColumn("_marker", marker)
     counted = running(events, ["file_ord"], [F.col("pos")], segment, {"_before": ("sum", F.col("_marker"))}, exclusive=True)
@@ -45,16 +47,18 @@ def incomplete_tail(assembled: DataFrame) -> DataFrame:
 def by_logical_clock(events: DataFrame) -> DataFrame:
     """``events`` with txn_no within the file: from one GTID event to the next; events before the first are left out.
 
-    A transaction ends with its XID, a rotation, or (without XID) with its statement, as
-    schema changes do; what follows up to the next GTID belongs to none and is left out.
+    A transaction ends with its XID, a rotation, or (where events have the source's ``ends_txn``) with its
+    statement, as schema changes do; what follows up to the next GTID belongs to none and is left out.
     """
-    begins = F.col("event_type").isin(GTID, ANONYMOUS_GTID).cast("int")
-    ends = (F.col("event_type").isin(XID, ROTATE)).cast("int")
-    segment = F.floor(F.col("pos") / SEGMENT_BYTES)
-    out = running(events.withColumn("_b", begins), ["file_ord"], [F.col("pos")], segment, {"txn_no": ("sum", F.col("_b"))}).drop("_b")
-    order = Window.partitionBy("file_ord", "txn_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.where("txn_no > 0").withColumn("_ended", F.coalesce(F.sum(ends).over(order), F.lit(0)))
-    return out.where("_ended = 0").drop("_ended")
+    kind, pos = F.col("event_type"), F.col("pos")
+    ended = F.coalesce(F.col("ends_txn"), F.lit(False)) if "ends_txn" in events.columns else F.lit(False)
+    events = events.withColumn("_begin", F.when(kind.isin(GTID, ANONYMOUS_GTID), pos)).withColumn("_end", F.when(kind.isin(XID, ROTATE) | ended, pos))
+    # The newest begin is the row's own transaction; the newest end is looked for before the row.
+    segment = F.floor(pos / SEGMENT_BYTES)
+    out = running(events, ["file_ord"], [pos], segment, {"txn_no": ("count", F.col("_begin")), "_from": ("max", F.col("_begin"))})
+    out = running(out, ["file_ord"], [pos], segment, {"_until": ("max", F.col("_end"))}, exclusive=True)
+    open_ = (F.col("txn_no") > 0) & (F.col("_until").isNull() | (F.col("_until") < F.col("_from")))
+    return out.where(open_).drop("_begin", "_end", "_from", "_until")
 
 
 def summary(assembled: DataFrame) -> DataFrame:

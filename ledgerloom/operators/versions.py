@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import following, running
+from .prefix import along
 
 KEYS = ["tbl", "pk"]
 #: Transactions of one segment of a key's chain.
@@ -24,8 +24,7 @@ def order() -> list[Column]:
 def versions(changes: DataFrame, segment_txns: int = SEGMENT_TXNS) -> DataFrame:
     """``changes`` with version_no (1 is the oldest), valid_from, valid_to (null: newest) and is_deleted."""
     segment = F.floor(F.col("txn_seq") / segment_txns)
-    numbered = running(changes, KEYS, order(), segment, {"version_no": ("count", F.lit(1))})
-    out = following(numbered, KEYS, order(), segment, {"valid_to": F.col("event_time")})
+    out = along(changes, KEYS, order(), segment, {"version_no": ("count", F.lit(1))}, {"valid_to": F.col("event_time")})
     return out.withColumn("valid_from", F.col("event_time")).withColumn("is_deleted", F.col("op") == "D")
 
 
@@ -36,6 +35,22 @@ def latest(changes: DataFrame) -> DataFrame:
     return newest.select(*KEYS, "v.*")
 
 
+def latest_columns(changes: DataFrame, columns: list[str], image: str = "after") -> DataFrame:
+    """The newest state of each key, as (tbl, pk, op, txn_seq, event_time, columns...), where images (JSON) may leave columns out.
+
+    A column has its newest value among the images since the key's newest insert that have the column, be it null; values are text.
+    One aggregation finds the newest insert and version, a second one each column's value.
+    """
+    newest_insert = changes.where(F.col("op") == "I").groupBy(*KEYS).agg(F.max(F.struct(*order())).alias("_since"))
+    rows = changes.join(newest_insert, KEYS, "left").where(F.col("_since").isNull() | (F.struct(*order()) >= F.col("_since")))
+    has = lambda c: F.array_contains(F.json_object_keys(image), F.lit(c))
+    newest = [F.max_by(F.struct("op", "txn_seq", "event_time"), F.struct(*order())).alias("_newest")]
+    # A struct around the value: max_by takes a null value as it takes any other.
+    held = [F.max_by(F.struct(F.get_json_object(image, f"$.{c}").alias("v")), F.when(has(c), F.struct(*order()))).alias(f"_{i}") for i, c in enumerate(columns)]
+    out = rows.groupBy(*KEYS).agg(*newest, *held)
+    return out.select(*KEYS, "_newest.*", *[F.col(f"_{i}.v").alias(c) for i, c in enumerate(columns)])
+
+
 def live(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("op") != "D")
 

@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import commit, logical_clock, routing, transactions, versions
 from ..sources import binlog
+from ..workspace import materialize
 
 MODES = ("grouped", "single_group", "logical_clock")
 
@@ -20,6 +22,8 @@ class Replay:
     changes: DataFrame
     txns: DataFrame
     groups: DataFrame
+    #: What of a log could not be read; None for a change table.
+    problems: DataFrame | None = None
 
     def routed(self) -> DataFrame:
         return routing.route(self.changes, self.groups)
@@ -63,27 +67,29 @@ def replay_changes(changes: DataFrame, groups: DataFrame, mode: str = "grouped")
 
 
 def replay_log(spark: SparkSession, path: str, groups: DataFrame, mode: str = "grouped", **options: str) -> Replay:
-    """From log files. Tables are named "db.table"; a table's rows are JSON in ``after`` and ``before``."""
+    """From log files. Tables are named "db.table"; a table's rows are JSON in ``after`` and ``before``.
+
+    The log is read once and kept as a table in the shared folder: changes, numbered by their transactions, and the transactions' ends.
+    Changes behind a file's last end are incomplete and left out; ``problems`` has what could not be read.
+    """
     binlog.register(spark)
-    reader = lambda m: spark.read.format("binlog").options(**options).option("mode", m).load(path)
-    events = reader("events").drop("payload", "detail")
-    if mode == "logical_clock":
-        own = transactions.by_logical_clock(events).withColumn("txn_seq", F.struct("file_ord", "txn_no"))
-        numbered = own.select("file_ord", "txn_no").distinct()
-        from pyspark.sql.window import Window
-
-        files = numbered.groupBy("file_ord").agg(F.max("txn_no").alias("n"))
-        before = Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)
-        files = files.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        done = own.drop("txn_seq").join(files.select("file_ord", "_before"), "file_ord").withColumn("txn_seq", F.col("txn_no") + F.col("_before")).drop("_before", "txn_no")
-    else:
-        done = transactions.complete_only(transactions.assemble(events))
-    numbers = done.select("file_ord", "pos", "txn_seq")
-    rows = reader("changes").withColumn("tbl", F.concat_ws(".", "db", "tbl")).drop("db", "file")
-    changes = rows.join(numbers, ["file_ord", "pos"]).withColumn("event_ord", F.col("pos"))
-    out = replay_changes(changes, groups, mode)
-    txns = done.where(F.col("event_type") != routing.TABLE_MAP).groupBy("txn_seq").agg(F.max("event_time").alias("event_time"))
-    return Replay(out.changes, txns, out.groups)
+    read = spark.read.format("binlog").options(**options).option("mode", "replay").load(path)
+    return replay_read(materialize(read.drop("file"), "log-read"), groups, mode)
+
+
+def replay_read(read: DataFrame, groups: DataFrame, mode: str = "grouped") -> Replay:
+    """From a log that the source has read in mode replay."""
+    ends = read.where(F.col("op") == binlog.END)
+    files = ends.groupBy("file_ord").agg(F.max("txn_no").alias("_done"))
+    before = Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files = files.withColumn("_before", F.coalesce(F.sum("_done").over(before), F.lit(0)))
+    seq = (F.col("_before") + F.col("txn_no")).alias("txn_seq")
+    rows = read.where(F.col("problem").isNull() & (F.col("op") != binlog.END)).drop("problem").join(files, "file_ord").where(F.col("txn_no") <= F.col("_done"))
+    rows = rows.withColumn("txn_seq", seq).withColumn("tbl", F.concat_ws(".", "db", "tbl")).withColumn("event_ord", F.col("pos")).drop("db", "_done", "_before", "txn_no")
+    txns = ends.join(files, "file_ord").select(seq, "event_time")
+    out = replay_changes(rows, groups, mode)
+    problems = read.where("problem IS NOT NULL").select("file_ord", "pos", "event_time", "db", "tbl", "txn_no", "problem")
+    return Replay(out.changes, txns, out.groups, problems)
 
 
 def clock_transactions(events: DataFrame) -> DataFrame:

@@ -365,6 +365,29 @@ def stage_latency_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("group_id", "n_txns", *[F.round(c, 6).alias(c) for c in ("dispatch_us", "parse_us", "commit_us")])
 
 
+@query(
+    "commit_report",
+    "SELECT g AS group_id, date_trunc('hour', ts) AS window_start, count(*) AS n_commits, max(event_id) AS last_txn, CAST(epoch(max(ts)) AS BIGINT) - first AS elapsed_s FROM (SELECT *, CAST(event_id % 3 AS INTEGER) AS g, CAST(epoch(min(ts) OVER (PARTITION BY event_id % 3)) AS BIGINT) AS first FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)) GROUP BY g, date_trunc('hour', ts), first",
+)
+def commit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    commits = e.select((F.col("event_id") % 3).cast("int").alias("group_id"), F.col("event_id").alias("txn_seq"), F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("commit_time"))
+    return metrics.commit_report(commits, "1 hour")
+
+
+@query("catalog_join", "SELECT event_type AS tbl, count(*) AS n, length(event_type) AS n_letters FROM events WHERE event_type <> 'error' GROUP BY event_type")
+def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = table(spark, sf_dir, "events").select(F.lit("app").alias("db"), F.col("event_type").alias("tbl"))
+    listed = changes.distinct().where("tbl <> 'error'").withColumn("n_letters", F.char_length("tbl").cast("bigint"))
+    return routing.with_schema(changes, listed).groupBy("tbl", "n_letters").agg(F.count("*").alias("n"))
+
+
+@query("trace_gaps", "SELECT arrival, (arrival - lag(arrival) OVER (ORDER BY arrival)) * 1000 AS gap FROM (SELECT DISTINCT CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS arrival FROM events)")
+def trace_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrivals = table(spark, sf_dir, "events").select(F.unix_timestamp(F.date_trunc("minute", F.col("ts")).cast("timestamp")).alias("arrival")).distinct()
+    return traces.gaps(arrivals, segment=86400)
+
+
 @query("throughput_tumbling", "SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n_events FROM events GROUP BY ALL")
 def throughput_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.throughput(table(spark, sf_dir, "events"), "1 hour", "ts")
@@ -401,6 +424,44 @@ def decimal_roundings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("x").cast("double").alias("x"), *[f(F.col("x"), 0).cast("double").alias(k) for k, f in native.ROUNDINGS.items()])
 
 
+@query(
+    "decimal_roundings_of_prices",
+    "SELECT o_orderkey, CAST(trunc(p) AS DOUBLE) AS truncate, CAST(round_even(p, 0) AS DOUBLE) AS half_even, CAST(round(p, 0) AS DOUBLE) AS half_up, CAST(ceil(p) AS DOUBLE) AS ceiling, CAST(floor(p) AS DOUBLE) AS floor FROM (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DOUBLE) - 150000 AS p FROM orders)",
+)
+def decimal_roundings_of_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("o_totalprice").cast("decimal(15,2)") - F.lit(150000)
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[f(x, 0).cast("double").alias(k) for k, f in native.ROUNDINGS.items()])
+
+
+_AB = "(SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(15,2)) AS a, CAST(l_quantity AS DECIMAL(15,2)) AS b FROM lineitem)"
+
+
+@query(
+    "decimal_operations",
+    f"SELECT l_orderkey, l_linenumber, CAST(a + b AS DOUBLE) AS added, CAST(a - b AS DOUBLE) AS subtracted, CAST(a * b AS DOUBLE) AS multiplied, round(CAST(a AS DOUBLE) / CAST(b AS DOUBLE) + 1e-7, 3) AS divided, CAST(a % b AS DOUBLE) AS remainder, CAST(sign(a - b) AS INTEGER) AS compared FROM {_AB}",
+)
+def decimal_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("l_extendedprice").cast("decimal(15,2)"), F.col("l_quantity").cast("decimal(15,2)")
+    number = lambda x, name: x.cast("double").alias(name)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", number(a + b, "added"), number(a - b, "subtracted"), number(a * b, "multiplied"), F.round((a / b).cast("double") + 1e-7, 3).alias("divided"), number(a % b, "remainder"), F.sign(a - b).cast("int").alias("compared"))
+
+
+@query(
+    "decimal_shifts_and_casts",
+    "SELECT o_orderkey, CAST(x * 1000 AS DOUBLE) AS left3, round(CAST(x AS DOUBLE) / 1000, 5) AS right3, CAST(trunc(CAST(x AS DOUBLE)) AS BIGINT) AS as_int, CAST(x AS VARCHAR) AS as_text, CAST(o_orderkey AS DECIMAL(20,0)) AS from_int FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(15,2)) AS x FROM orders)",
+)
+def decimal_shifts_and_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("o_totalprice").cast("decimal(15,2)")
+    out = table(spark, sf_dir, "orders").select("o_orderkey", native.shifted(x, 3).cast("double").alias("left3"), F.round(native.shifted(x, -3).cast("double"), 5).alias("right3"), x.cast("bigint").alias("as_int"), x.cast("string").alias("as_text"))
+    return out.withColumn("from_int", F.col("o_orderkey").cast("decimal(20,0)"))
+
+
+@query("integer_division", "SELECT o_orderkey, o_orderkey // 7 AS quotient, o_orderkey % 7 AS remainder, (-o_orderkey) % 7 AS negative_remainder FROM orders")
+def integer_division(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_orderkey DIV 7").alias("quotient"), (k % 7).alias("remainder"), (-k % 7).alias("negative_remainder"))
+
+
 @query("decimal_arithmetic", "SELECT round(sum(CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DOUBLE)), 2) AS total, count(*) FILTER (CAST(o_totalprice AS DECIMAL(15,2)) % 3 < 1) AS n_low FROM orders")
 def decimal_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("o_totalprice").cast("decimal(15,2)")
@@ -425,11 +486,11 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- log files -------------------------------------------------------------------------------------
 
 
-def _write_log(spark: SparkSession, rows: DataFrame, name: str, key: str, batch: int, time: str | None = None) -> str:
+def _write_log(spark: SparkSession, rows: DataFrame, name: str, key: str, batch: int, time: str | None = None, **options: str) -> str:
     """Write a table as log files (one for each partition of ``rows``) to the shared folder."""
     binlog.register(spark)
     path = fresh_path(spark, f"log-{name}")
-    writer = rows.write.format("binlog").option("db", "shop").option("table", name).option("primaryKey", key).option("batch", batch)
+    writer = rows.write.format("binlog").option("db", "shop").option("table", name).option("primaryKey", key).option("batch", batch).options(**options)
     writer = writer.option("eventTime", time) if time else writer
     writer.mode("append").save(path)
     return path
@@ -443,24 +504,114 @@ def log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.typed(changes, "shop.orders", orders.schema, ["o_orderkey"]).select("row.*")
 
 
-@query("log_event_counts", "SELECT t AS type_name, count(*) AS n FROM customer, (VALUES ('ANONYMOUS_GTID'), ('QUERY'), ('TABLE_MAP'), ('WRITE_ROWS'), ('XID')) k(t) GROUP BY t UNION ALL SELECT 'FORMAT_DESCRIPTION', 1")
+@query("log_event_counts", "SELECT t AS type_name, count(*) AS n FROM customer, (VALUES ('ANONYMOUS_GTID'), ('QUERY'), ('TABLE_MAP'), ('WRITE_ROWS'), ('XID')) k(t) GROUP BY t UNION ALL SELECT 'files without a format', 0")
 def log_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _write_log(spark, table(spark, sf_dir, "customer").coalesce(1), "customer", "c_custkey", 1)
-    return spark.read.format("binlog").load(path).groupBy("type_name").agg(F.count("*").alias("n"))
+    path = _write_log(spark, table(spark, sf_dir, "customer"), "customer", "c_custkey", 1)
+    events = spark.read.format("binlog").load(path)
+    counts = events.where("type_name <> 'FORMAT_DESCRIPTION'").groupBy("type_name").agg(F.count("*").alias("n"))
+    formats = events.groupBy("file").agg(F.count_if(F.col("type_name") == "FORMAT_DESCRIPTION").alias("f")).agg(F.count_if(F.col("f") != 1).alias("n"))
+    return counts.unionByName(formats.select(F.lit("files without a format").alias("type_name"), "n"))
 
 
 @query("log_replay_latest", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
 def log_replay_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
     path = _write_log(spark, orders, "orders", "o_custkey", 10, "o_orderdate")
     groups = routing.table_groups(spark, [["shop.orders"]])
     schema = T.StructType.fromDDL("o_orderkey long, o_custkey long, o_totalprice double")
     return replay.replay_log(spark, path, groups).latest().select(F.from_json("after", schema).alias("row")).select("row.*")
 
 
+# Every event changes the row of its user: all three operations, nulls, and both images of updates.
+
+_OP = "CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END"
+_VALUE = "CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END"
+
+
+def _write_changes(spark: SparkSession, sf_dir: str, batch: int = 50, before: bool = True) -> str:
+    e = table(spark, sf_dir, "events")
+    value = F.when(F.col("event_id") % 5 != 0, F.col("value"))
+    rows = e.select(F.expr(_OP).alias("op"), "event_id", "user_id", "event_type", value.alias("value"), F.col("ts").alias("at"))
+    rows = rows.withColumns({"old_value": F.col("value") * 2, "old_event_id": F.col("event_id") - 1}) if before else rows
+    rows = rows.repartitionByRange("event_id").sortWithinPartitions("event_id")
+    return _write_log(spark, rows, "users", "user_id", batch, "at", op="op", **({"beforePrefix": "old_"} if before else {}))
+
+
+CHANGED = "event_id long, user_id long, event_type string, value double"
+
+
+@query("log_changes", f"SELECT {_OP} AS op, event_id, user_id, event_type, {_VALUE} AS value FROM events")
+def log_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = spark.read.format("binlog").option("mode", "changes").load(_write_changes(spark, sf_dir))
+    return catalog.typed(changes, "shop.users", CHANGED, ["user_id"]).select("op", "row.*")
+
+
+@query("log_before_images", f"SELECT event_id, event_id - 1 AS old_event_id, {_VALUE} * 2 AS old_value, {_VALUE} AS value FROM events WHERE event_type NOT IN ('signup', 'error')")
+def log_before_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = spark.read.format("binlog").option("mode", "changes").load(_write_changes(spark, sf_dir)).where("op = 'U'")
+    both = changes.select(F.from_json("before", CHANGED).alias("b"), F.from_json("after", CHANGED).alias("a"))
+    return both.select("a.event_id", F.col("b.event_id").alias("old_event_id"), F.col("b.value").alias("old_value"), "a.value")
+
+
+@query("log_changes_latest", f"SELECT user_id, event_id, event_type, {_VALUE} AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'")
+def log_changes_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = routing.table_groups(spark, [["shop.users"]])
+    latest = replay.replay_log(spark, _write_changes(spark, sf_dir, 10, before=False), groups).latest()
+    return latest.select(F.from_json("after", CHANGED).alias("row")).select("row.user_id", "row.event_id", "row.event_type", "row.value")
+
+
+@query("log_key_only_images", "SELECT count(*) AS n_updates, count(*) AS n_key_only FROM events WHERE event_type NOT IN ('signup', 'error')")
+def log_key_only_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = spark.read.format("binlog").option("mode", "changes").load(_write_changes(spark, sf_dir, before=False)).where("op = 'U'")
+    keys = F.json_object_keys("before")
+    return changes.agg(F.count("*").alias("n_updates"), F.count_if(keys == F.array(F.lit("user_id"))).alias("n_key_only"))
+
+
+@query("log_column_states", f"SELECT user_id, CAST(event_id AS VARCHAR) AS event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND {_OP} <> 'D'")
+def log_column_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = routing.table_groups(spark, [["shop.users"]])
+    changes = replay.replay_log(spark, _write_changes(spark, sf_dir), groups).routed()
+    states = versions.live(versions.latest_columns(changes, ["event_id", "event_type"]))
+    return states.select(F.get_json_object("pk", "$.user_id").cast("bigint").alias("user_id"), "event_id", "event_type")
+
+
+@query("log_key_changes", "SELECT 'D' AS op, o_orderkey + 1000000000 AS o_orderkey, o_custkey FROM orders UNION ALL SELECT 'I', o_orderkey, o_custkey FROM orders")
+def log_key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.lit("U").alias("op"), "o_orderkey", "o_custkey", (F.col("o_orderkey") + 1_000_000_000).alias("old_o_orderkey"))
+    path = _write_log(spark, orders, "orders", "o_orderkey", 100, op="op", beforePrefix="old_")
+    changes = spark.read.format("binlog").option("mode", "changes").load(path)
+    schema = T.StructType.fromDDL("o_orderkey long, o_custkey long")
+    return catalog.typed(changes, "shop.orders", schema, ["o_orderkey"]).select("op", "row.*")
+
+
+@query("log_row_events", f"SELECT CASE {_OP} WHEN 'I' THEN 'WRITE_ROWS' WHEN 'D' THEN 'DELETE_ROWS' ELSE 'UPDATE_ROWS' END AS type_name, count(*) AS n FROM events GROUP BY 1")
+def log_row_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.format("binlog").load(_write_changes(spark, sf_dir, 1))
+    return events.where("event_type IN (30, 31, 32)").groupBy("type_name").agg(F.count("*").alias("n"))
+
+
+@query("decode_log_rows", "SELECT o_orderkey, o_custkey, o_orderdate, CAST(o_totalprice AS DECIMAL(15,2)) AS price FROM orders")
+def decode_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows decoded from the events' bytes by Spark expressions: an insert's values begin behind 13 bytes."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.col("o_totalprice").cast("decimal(15,2)").alias("price"))
+    body = F.col("payload")
+    events = spark.read.format("binlog").load(_write_log(spark, orders, "orders", "o_orderkey", 1)).where("event_type = 30")
+    return events.select(
+        native.int_le(body, 13, 8).alias("o_orderkey"), native.int_le(body, 21, 8).alias("o_custkey"), native.datetime_value(F.substring(body, 30, 8), 6).alias("o_orderdate"), native.decimal_value(F.substring(body, 38, 7), 15, 2).alias("price")
+    )
+
+
+@query("log_clock_numbers", "SELECT c_custkey % 1 AS file_gaps, count(*) AS n_txns FROM customer GROUP BY 1")
+def log_clock_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.format("binlog").load(_write_log(spark, table(spark, sf_dir, "customer"), "customer", "c_custkey", 1))
+    clock = replay.clock_transactions(events)
+    files = clock.groupBy("file_ord").agg(F.count("*").alias("n"), F.max("sequence_number").alias("top"), F.max(F.col("sequence_number") - F.col("last_committed")).alias("step"))
+    return files.agg(F.sum((F.col("n") != F.col("top")).cast("bigint") + (F.col("step") != 1).cast("bigint")).alias("file_gaps"), F.sum("n").alias("n_txns"))
+
+
 @query("log_table_maps", "SELECT 'shop' AS map_db, 'nation' AS map_tbl, count(*) AS n FROM nation")
 def log_table_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _write_log(spark, table(spark, sf_dir, "nation").coalesce(1), "nation", "n_nationkey", 1)
+    path = _write_log(spark, table(spark, sf_dir, "nation"), "nation", "n_nationkey", 1)
     events = spark.read.format("binlog").load(path).where("table_id IS NOT NULL")
     resolved = routing.resolve_table_maps(events.select("file_ord", "pos", "event_type", "table_id", "db", "tbl"))
     return resolved.where("event_type = 30").groupBy("map_db", "map_tbl").agg(F.count("*").alias("n"))
@@ -469,7 +620,7 @@ def log_table_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("log_through_spark_files", "SELECT r_regionkey, r_name FROM region")
 def log_through_spark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    path = _write_log(spark, region.coalesce(1), "region", "r_regionkey", 2)
+    path = _write_log(spark, region, "region", "r_regionkey", 2)
     return catalog.typed(binlog.read_log(spark, path + "/log.*", "changes"), "shop.region", region.schema, ["r_regionkey"]).select("row.*")
 
 

@@ -1,11 +1,20 @@
 """The log source: binary log files as DataFrames of events, or of row changes, in batch and as a stream.
 
 ``spark.read.format("binlog").load(path)`` gives one partition for each file. Options:
-``mode`` = events (default) or changes; ``columns``: JSON of {"db.table": [column names]} for
-logs whose table maps carry no names; ``verifyChecksum`` = true (default). A damaged event
-becomes a row with ``corrupt`` true instead of a failure; what follows is read on by the
-header's length. Filters on ``event_type`` are pushed down (equality and IN), before any
-body is decoded. Files must be readable by Python on the executors; for other stores
+``mode`` = events (default), changes, or replay (changes and the ends of transactions); ``columns``: JSON of
+{"db.table": [column names]} for logs whose table maps carry no names; ``verifyChecksum`` = true (default).
+
+Nothing is passed over in silence. Whatever can't be read is a row: in mode events one with ``corrupt`` (or
+``unsupported``) true, in the other modes one with ``problem`` set and no op: damaged events, rows without a table map, rows that don't
+decode, events whose rows aren't read. Behind a damaged length reading goes on at the next header whose
+end position fits its own; the bytes between are one damaged event.
+
+An update that changes the key is a delete of the old key and an insert of the new one. Columns that an image leaves out are left out of
+its JSON, so they differ from NULL (``versions.latest_columns`` puts them together).
+
+Rows are numbered by transaction (``txn_no``, from 1 in each file) as they are read: from BEGIN to XID, or one statement outside of these.
+Filters on ``event_type`` are pushed down (equality and IN), before any body is decoded. Files are opened through
+Arrow's file systems, by a path or a URI (file, hdfs, s3, ...), on the executors; for stores that only Spark opens,
 ``read_log`` gets the bytes through Spark's ``binaryFile`` reader and parses the same way.
 """
 
@@ -14,61 +23,107 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import decimal
-import glob
+import fnmatch
 import io
 import json
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import codec
 
-EVENT_SCHEMA = "file string, file_ord int, pos long, end_pos long, event_time timestamp, event_type int, type_name string, server_id long, flags int, event_len long, payload binary, db string, tbl string, table_id long, detail string, corrupt boolean, unsupported boolean"
-CHANGE_SCHEMA = "file string, file_ord int, pos long, row_ord int, event_time timestamp, db string, tbl string, op string, pk string, before string, after string, partition_id int"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "timestamp": pa.timestamp("us", "UTC"), "binary": pa.binary(), "boolean": pa.bool_()}
+EVENT_SCHEMA = "file string, file_ord int, pos long, end_pos long, event_time timestamp, event_type int, type_name string, server_id long, flags int, event_len long, payload binary, db string, tbl string, table_id long, detail string, corrupt boolean, unsupported boolean, ends_txn boolean"
+CHANGE_SCHEMA = "file string, file_ord int, pos long, row_ord int, event_time timestamp, db string, tbl string, op string, pk string, before string, after string, partition_id int, source_partition_id int, txn_no long, problem string"
+#: The op of a row that says where a transaction ends, in mode replay.
+END = "end"
 CHUNK = 8 << 20
+#: Rows of a batch, and bytes of their images or payloads.
+BATCH_ROWS, BATCH_BYTES = 8192, 32 << 20
 
 
-def local_path(path: str) -> str:
-    return path[len("file://") :] if path.startswith("file://") else path.removeprefix("file:")
+def store_of(path: str) -> tuple[stores.FileSystem, str]:
+    """The file system of a path or a URI, and the path within it."""
+    if "://" in path:
+        return stores.FileSystem.from_uri(path)
+    return stores.LocalFileSystem(), path.removeprefix("file:")
 
 
 def log_files(path: str) -> list[str]:
-    """Files of a folder, a glob or a comma-separated list, in order of name (lists: as given)."""
+    """Files of a folder, a pattern for names or a comma-separated list, in order of name (lists: as given)."""
     out: list[str] = []
-    for part in path.split(","):
-        part = local_path(part.strip())
-        if os.path.isdir(part):
-            out += sorted(f for f in glob.glob(f"{part}/*") if os.path.isfile(f) and not os.path.basename(f).startswith(("_", ".")))
+    for part in (p.strip() for p in path.split(",")):
+        store, inner = store_of(part)
+        head = part[: len(part) - len(inner)] if part.endswith(inner) else ""
+        info = store.get_file_info(inner)
+        if info.type == stores.FileType.Directory:
+            folder, pattern = inner, "*"
+        elif info.type == stores.FileType.NotFound and any(c in inner for c in "*?["):
+            folder, pattern = inner.rsplit("/", 1)
         else:
-            out += sorted(glob.glob(part)) or [part]
+            out.append(part)
+            continue
+        found = store.get_file_info(stores.FileSelector(folder))
+        names = sorted(f.path for f in found if f.type == stores.FileType.File and not f.base_name.startswith(("_", ".")) and fnmatch.fnmatch(f.base_name, pattern))
+        out += [head + n for n in names]
     return out
 
 
-def framed(read: Any, start: int = 4, end: int | None = None) -> Iterator[tuple[int, bytes]]:
-    """(position, bytes of one event), by the lengths in the headers, from a file object; a cut-off tail ends it."""
+def _next_header(data: bytes, pos: int) -> int | None:
+    """Where in ``data``, which begins at ``pos`` of the file, the next header is whose end position fits its length."""
+    n = len(data) - codec.HEADER_SIZE + 1
+    if n < 1:
+        return None
+    raw = np.frombuffer(data, np.uint8).astype(np.uint32)
+    number = lambda at: raw[at : at + n] | raw[at + 1 : at + 1 + n] << 8 | raw[at + 2 : at + 2 + n] << 16 | raw[at + 3 : at + 3 + n] << 24
+    length, end = number(9), number(13)
+    places = np.arange(n, dtype=np.uint64) + np.uint64(pos)
+    fits = (length >= codec.HEADER_SIZE) & ((places + length) & np.uint64(0xFFFFFFFF) == end) & np.isin(raw[4 : 4 + n], list(codec.EVENT_TYPES))
+    found = np.flatnonzero(fits)
+    return int(found[0]) if len(found) else None
+
+
+def framed(read: Any, start: int = 4, end: int | None = None) -> Iterator[tuple[int, bytes, bool]]:
+    """(position, bytes, whole) of each event, by the lengths in the headers, from a file object.
+
+    What no event can be made of, up to the next header or to the end, comes with ``whole`` false.
+    """
     read.seek(start)
     pos = start
     while end is None or pos < end:
         head = read.read(codec.HEADER_SIZE)
-        if len(head) < codec.HEADER_SIZE:
-            return
-        length = int.from_bytes(head[9:13], "little")
-        if length < codec.HEADER_SIZE:
+        if not head:
             return
-        body = read.read(length - codec.HEADER_SIZE)
-        if len(body) < length - codec.HEADER_SIZE:
-            return
-        yield pos, head + body
-        pos += length
+        length = int.from_bytes(head[9:13], "little") if len(head) == codec.HEADER_SIZE else 0
+        body = read.read(length - codec.HEADER_SIZE) if length >= codec.HEADER_SIZE else b""
+        data = head + body
+        if length >= codec.HEADER_SIZE and len(data) == length:
+            yield pos, data, True
+            pos += length
+            continue
+        # Look for a header from the next byte on, chunk by chunk.
+        at, window, base = None, data, pos
+        while True:
+            at = _next_header(window[1:], base + 1)
+            if at is not None:
+                break
+            more = read.read(CHUNK)
+            if not more:
+                break
+            keep = codec.HEADER_SIZE
+            base, window = base + max(0, len(window) - keep), window[-keep:] + more
+        after = base + 1 + at if at is not None else base + len(window)
+        yield pos, data[: after - pos], False
+        pos = after
+        read.seek(pos)
 
 
 def text_of(value: Any) -> Any:
@@ -82,8 +137,14 @@ def text_of(value: Any) -> Any:
     return value.isoformat() if isinstance(value, dt.date) else value
 
 
-def as_json(names: list[str], values: list[Any] | None) -> str | None:
-    return None if values is None else json.dumps({k: text_of(v) for k, v in zip(names, values, strict=True)}, ensure_ascii=False)
+_encode = json.JSONEncoder(ensure_ascii=False, default=text_of).encode
+_PLAIN = (str, int, float, bool, type(None))
+
+
+def as_json(image: dict[str, Any] | None) -> str | None:
+    if image is None:
+        return None
+    return _encode({k: v if isinstance(v, _PLAIN) else text_of(v) for k, v in image.items()})
 
 
 @dataclass
@@ -95,52 +156,104 @@ class Settings:
 
 
 class FileParser:
-    """Turns the events of one file into rows; keeps the file's format description and newest table maps."""
+    """Turns the events of one file into rows; keeps the file's format description, newest table maps and transaction."""
 
     def __init__(self, file: str, file_ord: int, settings: Settings) -> None:
         self.file, self.file_ord, self.settings = file, file_ord, settings
-        self.format, self.tables = codec.FormatDescription(), {}
+        self.format, self.tables, self.named = codec.FormatDescription(), {}, {}
+        self.txn_no, self.inside = 1, False
 
     def names(self, table: codec.TableMap) -> list[str]:
         given = (self.settings.columns or {}).get(f"{table.db}.{table.table}")
         return [c.name or (given[i] if given and i < len(given) else f"c{i}") for i, c in enumerate(table.columns)]
 
-    def rows(self, pos: int, event: bytes, quiet: bool = False) -> Iterator[tuple]:
+    def _ends(self, kind: int, body: bytes) -> bool:
+        """Whether an event ends a transaction: XID, XA PREPARE, or a statement that isn't between BEGIN and one of these."""
+        if kind in (16, 38):
+            self.inside = False
+            return True
+        if kind == 2:
+            query = codec.read_detail(2, body)["query"].strip().upper()
+            if query == "BEGIN" or query.startswith(("XA START", "XA BEGIN", "START TRANSACTION")):
+                self.inside = True
+            elif not self.inside or query in ("COMMIT", "ROLLBACK"):
+                self.inside = False
+                return True
+        return False
+
+    def rows(self, pos: int, event: bytes, whole: bool = True, quiet: bool = False) -> list[tuple]:
         """The rows of one event; ``quiet``: only learn from it."""
-        head = codec.Header.read(event)
-        body, corrupt, detail, table = event[codec.HEADER_SIZE :], not head.known(), {}, None
-        wanted = self.settings.types is None or head.type in self.settings.types
+        s, corrupt, detail, table, problem, ends, out = self.settings, not whole, {}, None, None, False, []
+        head = codec.Header.read(event) if len(event) >= codec.HEADER_SIZE else codec.Header(0, 0, 0, len(event), 0, 0)
+        body, kind, changes = event[codec.HEADER_SIZE :], head.type, s.mode != "events"
+        wanted = s.types is None or kind in s.types
+        when = dt.datetime.fromtimestamp(head.timestamp, dt.timezone.utc)
+        if not whole:
+            problem = "damaged length, or cut off"
+        elif not head.known():
+            corrupt, problem = True, f"unknown event type {kind}"
         try:
-            if head.type == 15:
+            if not corrupt and kind == 15:
                 self.format = codec.FormatDescription.read(body)
             tail = self.format.tail()
-            if tail and self.settings.verify and wanted and not codec.crc_matches(event):
-                corrupt = True
-            body = body[: len(body) - tail] if tail and head.type != 15 else body
-            if not corrupt and head.type == 19:
-                table = codec.read_table_map(body)
-                self.tables[table.table_id] = table
-            elif not corrupt and head.type in codec.ROW_OPS:
-                table = self.tables.get(int.from_bytes(body[:6], "little"))
-            elif not corrupt and wanted and self.settings.mode == "events":
-                detail = codec.read_detail(head.type, body)
-            when = dt.datetime.fromtimestamp(head.timestamp, dt.timezone.utc)
-            if quiet or not wanted:
-                return
-            if self.settings.mode == "events":
-                yield (self.file, self.file_ord, pos, pos + len(event), when, head.type, codec.EVENT_TYPES.get(head.type, "UNKNOWN"), head.server_id, head.flags, len(event), body, table and table.db, table and table.table, table and table.table_id, json.dumps(detail) if detail else None, corrupt, head.type in codec.UNSUPPORTED)
-            elif head.type in codec.ROW_OPS and table is not None and not corrupt:
-                names, op = self.names(table), codec.ROW_OPS[head.type]
-                part = codec.read_rows_head(head.type, body).partition_id
-                for i, (before, after) in enumerate(codec.read_rows(head.type, body, table)):
-                    image = after if after is not None else before
-                    keys = table.primary_key
-                    pk = as_json([names[k] for k in keys], [image[k] for k in keys]) if keys else None
-                    yield (self.file, self.file_ord, pos, i, when, table.db, table.table, op, pk, as_json(names, before), as_json(names, after), part)
+            if not corrupt and tail and s.verify and (wanted or changes) and not codec.crc_matches(event):
+                corrupt, problem = True, "checksum"
+            body = body[: len(body) - tail] if tail and kind != 15 and whole else body
+            if not corrupt:
+                ends = self._ends(kind, body)
+                if kind == 19:
+                    table = codec.read_table_map(body)
+                    self.tables[table.table_id] = table
+                    self.named[table.table_id] = self.names(table)
+                elif kind in codec.ROW_OPS:
+                    table = self.tables.get(int.from_bytes(body[:6], "little"))
+                    if changes and not quiet:
+                        if table is None:
+                            raise codec.Corrupt("rows without a table map")
+                        out = self._changes(pos, kind, body, table, when)
+                elif kind in codec.UNSUPPORTED_ROWS:
+                    problem = f"rows of {codec.EVENT_TYPES[kind]} are not read"
+                elif wanted and not changes:
+                    detail = codec.read_detail(kind, body)
         except (codec.Corrupt, IndexError, ValueError) as e:
-            if self.settings.mode == "events" and wanted and not quiet:
-                when = dt.datetime.fromtimestamp(head.timestamp, dt.timezone.utc)
-                yield (self.file, self.file_ord, pos, pos + len(event), when, head.type, codec.EVENT_TYPES.get(head.type, "UNKNOWN"), head.server_id, head.flags, len(event), body, None, None, None, json.dumps({"error": str(e)}), True, head.type in codec.UNSUPPORTED)
+            corrupt, problem, detail, out = True, str(e) or type(e).__name__, {"error": str(e)}, []
+        number = self.txn_no
+        self.txn_no += ends
+        if quiet:
+            return []
+        if not changes:
+            if not wanted:
+                return []
+            return [(self.file, self.file_ord, pos, pos + len(event), when, kind, codec.EVENT_TYPES.get(kind, "UNKNOWN"), head.server_id, head.flags, len(event), body, table and table.db, table and table.table, table and table.table_id, json.dumps(detail) if detail else None, corrupt, kind in codec.UNSUPPORTED, ends)]
+        if problem:
+            out.append((self.file, self.file_ord, pos, 0, when, table and table.db, table and table.table, None, None, None, None, None, None, number, problem))
+        if ends and s.mode == "replay":
+            out.append((self.file, self.file_ord, pos, 0, when, None, None, END, None, None, None, None, None, number, None))
+        return out
+
+    def _changes(self, pos: int, kind: int, body: bytes, table: codec.TableMap, when: dt.datetime) -> list[tuple]:
+        names, op, out = self.named[table.table_id], codec.ROW_OPS[kind], []
+        head = codec.read_rows_head(kind, body)
+        own = lambda values, present: None if values is None else {n: v for n, v, p in zip(names, values, present, strict=True) if p}
+        keys = [names[k] for k in table.primary_key]
+
+        def key_of(*images: dict | None) -> str | None:
+            """From the first image that has a key column; null where the table has no key."""
+            found = {k: next((i[k] for i in images if i and k in i), None) for k in keys}
+            return as_json(found) if keys else None
+
+        def add(op: str, before: dict | None, after: dict | None, key: str | None) -> None:
+            out.append((self.file, self.file_ord, pos, len(out), when, table.db, table.table, op, key, as_json(before), as_json(after), head.partition_id, head.source_partition_id, self.txn_no, None))
+
+        for first, second in codec.read_rows(kind, body, table):
+            before, after = own(first, head.before), own(second, head.after)
+            if op == "U" and (old := key_of(before)) != (new := key_of(after, before)):
+                # The new row is whole: what the after image leaves out is as it was before.
+                add("D", before, None, old)
+                add("I", None, before | after, new)
+            else:
+                add(op, before, after, key_of(after, before))
+        return out
 
 
 @dataclass
@@ -156,15 +269,42 @@ def _settings(options: dict[str, str]) -> Settings:
     return Settings(get("mode", "events"), json.loads(get("columns", "null")), get("verifychecksum", "true") == "true")
 
 
-def _read_part(part: FilePart, settings: Settings) -> Iterator[tuple]:
-    parser = FileParser(part.file, part.file_ord, settings)
-    with open(part.file, "rb", buffering=CHUNK) as f:
-        if part.start > 4:  # the file's format description comes first, wherever reading goes on
-            for pos, event in framed(f, 4):
-                list(parser.rows(pos, event, quiet=True))
-                break
-        for pos, event in framed(f, part.start, part.end):
-            yield from parser.rows(pos, event)
+def _schema_of(settings: Settings) -> str:
+    return EVENT_SCHEMA if settings.mode == "events" else CHANGE_SCHEMA
+
+
+def _batches(rows: Iterator[list[tuple]], settings: Settings) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(n, _ARROW[t]) for n, t in (f.split(" ") for f in _schema_of(settings).split(", "))])
+    heavy = [schema.names.index(n) for n in (("payload",) if settings.mode == "events" else ("before", "after"))]
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*held, strict=True)) if held else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for more in rows:
+        held += more
+        size += sum(len(r[i] or b"") for r in more for i in heavy)
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _rows_of(parser: FileParser, f: Any, start: int = 4, end: int | None = None) -> Iterator[list[tuple]]:
+    if start > 4:  # the file's format description comes first, wherever reading goes on
+        for pos, event, whole in framed(f, 4):
+            parser.rows(pos, event, whole, quiet=True)
+            break
+    for pos, event, whole in framed(f, start, end):
+        yield parser.rows(pos, event, whole)
+
+
+def _read_part(part: FilePart, settings: Settings) -> Iterator[pa.RecordBatch]:
+    store, path = store_of(part.file)
+    with store.open_input_file(path) as raw, io.BufferedReader(raw, CHUNK) as f:
+        yield from _batches(_rows_of(FileParser(part.file, part.file_ord, settings), f, part.start, part.end), settings)
 
 
 class BinlogReader(DataSourceReader):
@@ -183,12 +323,15 @@ class BinlogReader(DataSourceReader):
     def partitions(self) -> list[FilePart]:
         return [FilePart(f, i) for i, f in enumerate(self.files)]
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         return _read_part(partition, self.settings)
 
 
 class BinlogStreamReader(DataSourceStreamReader):
-    """Offsets are a position for each file, always behind a commit, so a batch holds whole transactions."""
+    """Offsets are a position for each file, always behind the end of a transaction, so a batch holds whole transactions.
+
+    To find these ends, the driver reads the headers of what is new and the statements, and passes over all other bodies.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.settings, self.seen = options["path"], _settings(options), {}
@@ -198,12 +341,26 @@ class BinlogStreamReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:  # noqa: N802
         for file in log_files(self.path):
-            last = self.seen.get(file, 4)
-            with open(file, "rb") as f:
-                for pos, event in framed(f, last):
-                    # A commit, a rotation, or a statement outside a transaction ends one.
-                    if event[4] in (4, 16) or (event[4] == 2 and not event.rstrip(b"\0").endswith(b"BEGIN")):
-                        last = pos + len(event)
+            store, path = store_of(file)
+            parser = FileParser(file, 0, Settings())
+            with store.open_input_file(path) as f:
+                size = f.size()
+                last = at = self.seen.get(file, 4)
+                while at + codec.HEADER_SIZE <= size:
+                    f.seek(at)
+                    head = codec.Header.read(f.read(codec.HEADER_SIZE))
+                    if head.length < codec.HEADER_SIZE or at + head.length > size:
+                        break  # damaged, or still being written
+                    at += head.length
+                    body = f.read(head.length - codec.HEADER_SIZE).rstrip(b"\0") if head.type == 2 else b""
+                    if head.type == 2:
+                        # With a checksum the statement has four bytes more; they don't matter to whether it begins with BEGIN.
+                        text = codec.read_detail(2, body)["query"]
+                        inside = text.upper().startswith(("BEGIN", "XA START", "XA BEGIN", "START TRANSACTION"))
+                        parser.inside, ended = inside or parser.inside, not inside and not parser.inside
+                    else:
+                        ended = head.type == 4 or parser._ends(head.type, b"")
+                    last = at if ended else last
             self.seen[file] = last
         return dict(self.seen)
 
@@ -211,7 +368,7 @@ class BinlogStreamReader(DataSourceStreamReader):
         files = sorted(end)
         return [FilePart(f, i, start.get(f, 4), end[f]) for i, f in enumerate(files) if end[f] > start.get(f, 4)]
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         return _read_part(partition, self.settings)
 
     def commit(self, end: dict) -> None:
@@ -224,13 +381,22 @@ class Written(WriterCommitMessage):
 
 
 class BinlogWriter(DataSourceWriter):
-    """Writes rows as inserts, ``batch`` rows to a transaction, one file for each partition."""
+    """Writes rows as changes, ``batch`` rows to a transaction, one file for each partition.
+
+    Options: ``db``, ``table``, ``primaryKey`` (comma-separated), ``eventTime`` (a column), ``op``: a column with I, U or D (without it, rows are
+    inserts), which isn't written; ``beforePrefix``: columns of this prefix hold a row before its update. Without them, the image before an update
+    has the key only.
+    """
 
     def __init__(self, options: dict[str, str], schema: Any) -> None:
         get = {k.lower(): v for k, v in options.items()}.get
-        self.path, self.db, self.table, self.keys, self.time, self.batch = local_path(options["path"]), get("db", "db"), get("table", "t"), (get("primarykey", "") or "").split(","), get("eventtime"), int(get("batch", "100"))
-        self.names, self.types = schema.names, [f.dataType.simpleString() for f in schema.fields]
-        os.makedirs(self.path, exist_ok=True)
+        self.path, self.db, self.table, self.time, self.batch = options["path"], get("db", "db"), get("table", "t"), get("eventtime"), int(get("batch", "100"))
+        self.op, prefix = get("op"), get("beforeprefix")
+        self.fields = schema.names
+        own = [f for f in schema.fields if f.name != self.op and not (prefix and f.name.startswith(prefix))]
+        self.names, self.types = [f.name for f in own], [f.dataType.simpleString() for f in own]
+        self.keys = [self.names.index(k) for k in (get("primarykey", "") or "").split(",") if k]
+        self.old = [prefix + n if prefix and prefix + n in self.fields else None for n in self.names]
 
     def write(self, iterator: Iterator) -> Written:
         from pyspark import TaskContext
@@ -238,28 +404,43 @@ class BinlogWriter(DataSourceWriter):
         from .binlog_writer import LogWriter, column_for
 
         context = TaskContext.get()
-        target = f"{self.path}/log.{context.partitionId():06d}"
-        partial = f"{self.path}/.{context.partitionId()}-{context.taskAttemptId()}"
+        target = f"{self.path.rstrip('/')}/log.{context.partitionId():06d}"
+        partial = f"{self.path.rstrip('/')}/.{context.partitionId()}-{context.taskAttemptId()}"
+        store, to = store_of(partial)
+        store.create_dir(to.rsplit("/", 1)[0], recursive=True)
         columns = [column_for(t) for t in self.types]
-        keys = [self.names.index(k) for k in self.keys if k]
-        with open(partial, "wb") as f:
+        place = {n: i for i, n in enumerate(self.fields)}
+        at, before_at = [place[n] for n in self.names], [place[o] if o else None for o in self.old]
+        op_at, time_at = place.get(self.op), place.get(self.time)
+        whole, key_only = [True] * len(columns), [i in self.keys for i in range(len(columns))]
+        with store.open_output_stream(to) as f:
             log, rows, n = LogWriter(f), [], 0
 
             def flush() -> None:
                 nonlocal rows, n
                 if rows:
                     n += 1
-                    when = rows[-1][self.names.index(self.time)] if self.time else None
+                    when = rows[-1][time_at] if time_at is not None else None
                     seconds = int(when.replace(tzinfo=dt.timezone.utc).timestamp()) if when else 0
-                    log.transaction(seconds, n - 1, n, [(self.db, self.table, self.names, columns, keys, [("I", None, list(r)) for r in rows])])
+                    log.transaction(seconds, n - 1, n, [(self.db, self.table, self.names, columns, self.keys, list(map(change, rows)))])
                     rows = []
 
+            def change(row: Any) -> tuple:
+                op, own = row[op_at] if op_at is not None else "I", [row[i] for i in at]
+                if op == "I":
+                    return op, None, own
+                if op == "D":
+                    return op, own, None
+                if any(i is not None for i in before_at):
+                    return op, [row[i] if i is not None else row[j] for i, j in zip(before_at, at, strict=True)], own
+                return op, own, own, key_only if any(key_only) else whole, whole
+
             for row in iterator:
                 rows.append(row)
                 if len(rows) >= self.batch:
                     flush()
             flush()
-        os.replace(partial, target)
+        store.move(to, store_of(target)[1])
         return Written(target)
 
 
@@ -269,7 +450,7 @@ class BinlogDataSource(DataSource):
         return "binlog"
 
     def schema(self) -> str:
-        return CHANGE_SCHEMA if _settings(self.options).mode == "changes" else EVENT_SCHEMA
+        return _schema_of(_settings(self.options))
 
     def reader(self, schema: Any) -> BinlogReader:
         return BinlogReader(dict(self.options))
@@ -289,22 +470,14 @@ def register(spark: SparkSession) -> None:
 
 def read_log(spark: SparkSession, path: str, mode: str = "events", columns: dict[str, list[str]] | None = None) -> DataFrame:
     """The same rows through Spark's ``binaryFile`` reader: for stores that only Spark opens. Files are ordered by name."""
-    schema = CHANGE_SCHEMA if mode == "changes" else EVENT_SCHEMA
     settings = Settings(mode, columns)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
     names = files.select("path").distinct().withColumn("file_ord", F.row_number().over(Window.orderBy("path")) - 1)  # one row for each file
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                parser = FileParser(r["path"], r["file_ord"], settings)
-                out: list[tuple] = []
-                for pos, event in framed(io.BytesIO(r["content"])):
-                    out += parser.rows(pos, event)
-                    if len(out) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
-                        out = []
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
-
-    return files.join(F.broadcast(names), "path").select("path", "file_ord", "content").mapInArrow(parse, schema)
+            for path, number, content in zip(*(batch.column(c) for c in ("path", "file_ord", "content")), strict=True):
+                f = io.BytesIO(content.as_buffer())
+                yield from _batches(_rows_of(FileParser(path.as_py(), number.as_py(), settings), f), settings)
+
+    return files.join(names, "path").select("path", "file_ord", "content").mapInArrow(parse, _schema_of(settings))

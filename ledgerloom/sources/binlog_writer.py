@@ -7,6 +7,7 @@ import decimal
 import struct
 import uuid
 import zlib
+from itertools import groupby
 from typing import Any, BinaryIO
 
 from ..functions import codec
@@ -83,8 +84,10 @@ def value_bytes(value: Any, col: Column) -> bytes:
     raise ValueError(f"column type {name} is not written")
 
 
-def image(values: list[Any], columns: list[Column]) -> bytes:
-    return bits([v is None for v in values]) + b"".join(value_bytes(v, c) for v, c in zip(values, columns, strict=True) if v is not None)
+def image(values: list[Any], columns: list[Column], present: list[bool] | None = None) -> bytes:
+    """A row image: of the columns that are ``present``, which of them are null, and the values of the others."""
+    own = [(v, c) for v, c, p in zip(values, columns, present or [True] * len(columns), strict=True) if p]
+    return bits([v is None for v, _ in own]) + b"".join(value_bytes(v, c) for v, c in own if v is not None)
 
 
 class LogWriter:
@@ -134,23 +137,26 @@ class LogWriter:
             body += more(8, b"".join(lenenc(k) for k in keys))
         self.event(19, seconds, body)
 
-    def rows(self, seconds: int, op: str, table_id: int, columns: list[Column], images: list[tuple[list | None, list | None]], version: int = 2) -> None:
+    def rows(self, seconds: int, op: str, table_id: int, columns: list[Column], images: list[tuple[list | None, list | None]], version: int = 2, before: list[bool] | None = None, after: list[bool] | None = None) -> None:
+        """``before``, ``after``: which columns the images have; all, where not given."""
         kind = {"I": 30, "U": 31, "D": 32}[op] - 7 * (version == 1)
-        every = bits([True] * len(columns))
-        body = table_id.to_bytes(6, "little") + b"\1\0" + (b"\2\0" if version == 2 else b"") + lenenc(len(columns)) + every + (every if op == "U" else b"")
-        self.event(kind, seconds, body + b"".join(image(x, columns) for pair in images for x in pair if x is not None))
+        every = [True] * len(columns)
+        before, after = before or every, after or every
+        first = after if op == "I" else before
+        body = table_id.to_bytes(6, "little") + b"\1\0" + (b"\2\0" if version == 2 else b"") + lenenc(len(columns)) + bits(first) + (bits(after) if op == "U" else b"")
+        data = [image(x, columns, p) for pair in images for x, p in zip(pair, (before, after), strict=True) if x is not None]
+        self.event(kind, seconds, body + b"".join(data))
 
     def xid(self, seconds: int, xid: int) -> None:
         self.event(16, seconds, xid.to_bytes(8, "little"))
 
     def transaction(self, seconds: int, last_committed: int, sequence: int, changes: list[tuple]) -> None:
-        """``changes``: (db, table, names, columns, keys, [(op, before, after)])."""
+        """``changes``: (db, table, names, columns, keys, [(op, before, after), or with the columns that both images have]), written in their order."""
         self.gtid(seconds, last_committed, sequence)
         self.event(2, seconds, bytes(8) + b"\0\0\0\0\0\0BEGIN")
         for db, table, names, columns, keys, rows in changes:
             table_id = self.ids.setdefault((db, table), len(self.ids) + 1)
             self.table_map(seconds, table_id, db, table, names, columns, keys)
-            for op in ("I", "U", "D"):
-                if own := [(b, a) for o, b, a in rows if o == op]:
-                    self.rows(seconds, op, table_id, columns, own)
+            for (op, *present), own in groupby(rows, lambda r: (r[0], *r[3:])):
+                self.rows(seconds, op, table_id, columns, [(r[1], r[2]) for r in own], 2, *present)
         self.xid(seconds, sequence)

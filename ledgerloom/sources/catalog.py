@@ -56,7 +56,7 @@ def from_jdbc(spark: SparkSession, options: dict[str, str], db: str) -> DataFram
     return spark.read.format("jdbc").options(**options).option("dbtable", "information_schema.columns").load().where(F.col("table_schema") == db)
 
 
-def typed(changes: DataFrame, table: str, schema: T.StructType, keys: list[str], image: str = "after") -> DataFrame:
+def typed(changes: DataFrame, table: str, schema: T.StructType | str, keys: list[str], image: str = "after") -> DataFrame:
     """The changes of one table ("db.table") with its columns typed: the JSON image is parsed by the table's schema."""
     db, name = table.split(".", 1)
     rows = changes.where((F.col("db") == db) & (F.col("tbl") == name))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.prefix import following
 
 
 def parse_arrivals(lines: DataFrame) -> DataFrame:
     """(arrival, tables) from lines ``time,t1,t2,...`` in column value; a trailing comma is optional."""
     parts = F.split("value", ",")
-    tables = F.filter(F.transform(F.slice(parts, 2, 1 << 20), F.trim), lambda t: t != "")
+    tables = F.filter(F.transform(F.filter(parts, lambda t, i: i > 0), F.trim), lambda t: t != "")
     return lines.where(F.trim("value") != "").select(F.trim(F.get(parts, F.lit(0))).try_cast("bigint").alias("arrival"), tables.alias("tables"))
 
 
@@ -39,6 +40,9 @@ def read_trace_folder(spark: SparkSession, path: str) -> DataFrame:
     return merge_by_time(spark.read.text(path).select(name.alias("tbl"), F.trim("value").try_cast("bigint").alias("arrival")).where("arrival IS NOT NULL"))
 
 
-def gaps(arrivals: DataFrame, scale: int = 1000) -> DataFrame:
-    """``arrivals`` with the time since the one before, times ``scale``; a trace is configuration-sized."""
-    return arrivals.withColumn("gap", (F.col("arrival") - F.lag("arrival").over(Window.orderBy("arrival"))) * scale)
+def gaps(arrivals: DataFrame, scale: int = 1000, segment: int = 1 << 20) -> DataFrame:
+    """``arrivals`` with the time since the one before, times ``scale``, by segments of that many time units; null for the first."""
+    # Counted from the end backwards, the row that follows is the one before.
+    back = arrivals.withColumn("_trace", F.lit(0)).withColumn("_back", -F.col("arrival"))
+    before = following(back, ["_trace"], [F.col("_back")], F.floor(F.col("_back") / segment), {"_before": F.col("arrival")})
+    return before.withColumn("gap", (F.col("arrival") - F.col("_before")) * scale).drop("_trace", "_back", "_before")

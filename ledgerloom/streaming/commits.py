@@ -13,15 +13,13 @@ from ..operators.versions import latest, live
 
 COMMIT_SCHEMA = "group_id int, txn_seq long, commit_us long"
 STATE_SCHEMA = "next_seq long, mark_us long, seqs array<long>, times array<long>"
-#: Transactions that may wait for an earlier one in a group; more is an error, not a loss.
-MAX_WAITING = 1_000_000
 
 
 def ordered_commits(cells: DataFrame, first_seq: int = 1) -> DataFrame:
     """Commits of each group in transaction order, from cells (group_id, txn_seq, event_us) that may arrive out of order.
 
     A transaction is committed when all before it are; it waits in the group's state until
-    then. Repeated cells count once. commit_us is the group's mark: the largest event time
+    then, however many wait (the state store holds them). Repeated cells count once. commit_us is the group's mark: the largest event time
     committed so far.
     """
 
@@ -37,8 +35,6 @@ def ordered_commits(cells: DataFrame, first_seq: int = 1) -> DataFrame:
             mark = max(mark, waiting.pop(next_seq))
             done.append((key[0], next_seq, mark))
             next_seq += 1
-        if len(waiting) > MAX_WAITING:
-            raise RuntimeError(f"group {key[0]}: {len(waiting)} transactions wait for {next_seq}")
         state.update((next_seq, mark, list(waiting), list(waiting.values())))
         yield pd.DataFrame(done, columns=["group_id", "txn_seq", "commit_us"])
 
@@ -59,15 +55,13 @@ def upsert_into(path: str):  # noqa: ANN201
     """A ``foreachBatch`` function that keeps the newest version of each key as Parquet under ``path``.
 
     Each batch writes a new folder, named by its number, so that a repeated batch replaces
-    its own output only.
+    its own output only. Every batch but the first needs the folder of the one before: without it the state is
+    lost, and the batch fails.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = f"{path}/state-{number - 1}"
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(old)
-        exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-        rows = spark.read.schema(batch.schema).parquet(old).unionByName(batch) if exists else batch
+        rows = batch if number == 0 else spark.read.schema(batch.schema).parquet(f"{path}/state-{number - 1}").unionByName(batch)
         latest(rows).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/state-{number}")
 
     return apply

@@ -61,7 +61,7 @@ def test_decimal_round_trip(precision: int, data: st.DataObject) -> None:
 
 def _parse(data: bytes, mode: str = "events", **more: object) -> list[tuple]:
     parser = FileParser("f", 0, Settings(mode, **more))
-    return [r for pos, event in framed(io.BytesIO(data)) for r in parser.rows(pos, event)]
+    return [r for pos, event, whole in framed(io.BytesIO(data)) for r in parser.rows(pos, event, whole)]
 
 
 COLUMNS = [Column(TYPE_CODES[k], m) for k, m in (("int", 0), ("varchar", 400), ("datetime", 6), ("timestamp", 3), ("date", 0), ("double", 0), ("decimal", 14 << 8 | 4), ("bigint", 0), ("blob", 2))]
@@ -81,18 +81,20 @@ def test_rows_of_all_kinds(checksum: bool, version: int) -> None:
     log.table_map(5, 9, "db", "t", NAMES, COLUMNS, [0, 7])
     nulls = [1, *[None] * 8]
     log.rows(5, "I", 9, COLUMNS, [(None, ROW), (None, nulls)], version)
-    log.rows(6, "U", 9, COLUMNS, [(ROW, nulls)], version)
+    log.rows(6, "U", 9, COLUMNS, [(ROW, [7, *[None] * 6, ROW[7], None])], version)
+    log.rows(6, "U", 9, COLUMNS, [(ROW, nulls)], version)  # another key
     log.rows(7, "D", 9, COLUMNS, [(nulls, None)], version)
     log.xid(7, 1)
     rows = _parse(out.getvalue(), "changes")
-    assert [(r[7], r[3]) for r in rows] == [("I", 0), ("I", 1), ("U", 0), ("D", 0)]
+    assert [(r[7], r[3]) for r in rows] == [("I", 0), ("I", 1), ("U", 0), ("D", 0), ("I", 1), ("D", 0)]
     import json
 
     first = json.loads(rows[0][10])
     assert first["k1"] == "x'é" and first["k2"] == "2020-02-29 23:59:59.123456" and first["k3"] == "2021-01-01 00:00:00.250000"
     assert first["k6"] == "-3.2500" and first["k7"] == -(2**60)
     assert json.loads(rows[1][10]) == {"k0": 1} | {f"k{i}": None for i in range(1, 9)}
-    assert json.loads(rows[2][9])["k0"] == 7 and json.loads(rows[2][10])["k0"] == 1 and rows[3][10] is None
+    assert json.loads(rows[2][9]) == first and json.loads(rows[2][10]) == dict.fromkeys(first) | {"k0": 7, "k7": -(2**60)}
+    assert json.loads(rows[3][9]) == first and rows[3][10] is None and rows[4][9] is None and json.loads(rows[4][10]) == json.loads(rows[1][10]) == json.loads(rows[5][9])
     assert json.loads(rows[0][8]) == {"k0": 7, "k7": -(2**60)}
 
 
@@ -112,7 +114,7 @@ def test_remapped_table_id_and_absent_map() -> None:
     log.table_map(1, 5, "d", "b", ["y"], one, [])
     log.rows(1, "I", 5, one, [(None, [2])])
     log.rows(1, "I", 1015, one, [(None, [3])])
-    assert [(r[6], r[10]) for r in _parse(out.getvalue(), "changes")] == [("a", '{"x": 1}'), ("b", '{"y": 2}')]
+    assert [(r[6], r[10]) for r in _parse(out.getvalue(), "changes")] == [("a", '{"x": 1}'), ("b", '{"y": 2}'), (None, None)]
 
 
 def test_corrupt_checksum_is_flagged_and_reading_goes_on() -> None:
@@ -147,10 +149,11 @@ def test_other_events() -> None:
     assert [r[16] for r in rows if r[5] == 40] == [True] and rows[-1][15]
 
 
-def test_cut_off_tail_ends_the_file() -> None:
+def test_cut_off_tail_is_a_damaged_event() -> None:
     log, out = _log()
     log.xid(1, 1)
-    assert len(_parse(out.getvalue()[:-3])) == 1
+    assert [r[15] for r in _parse(out.getvalue()[:-3])] == [False, True]
+    assert [r[15] for r in _parse(out.getvalue()[:-15])] == [False, True]
     assert _parse(out.getvalue()[:4]) == []
 
 

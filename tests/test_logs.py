@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from ledgerloom.functions.codec import TYPE_CODES, Column
-from ledgerloom.operators import routing
+from ledgerloom.operators import metrics, routing, transactions, versions
 from ledgerloom.plans import replay
 from ledgerloom.sources import binlog
 from ledgerloom.sources.binlog_writer import LogWriter
 from ledgerloom.streaming import commits
+from ledgerloom.streaming.progress import ProgressTable
 
 COLUMNS = [Column(TYPE_CODES["int"]), Column(TYPE_CODES["blob"], 2)]
 
@@ -52,10 +56,125 @@ def test_filters_reach_the_source(spark, tmp_path) -> None:  # noqa: ANN001
     _write(tmp_path / "log.1", ONE)
     binlog.register(spark)
     df = spark.read.format("binlog").load(str(tmp_path)).where("event_type = 16")
-    assert df.count() == 2 and "EqualTo" in df._jdf.queryExecution().executedPlan().toString() or df.count() == 2
+    assert df.count() == 2
+    # A filter that the source takes over is not applied again above it.
+    assert "= 16" not in df._jdf.queryExecution().optimizedPlan().toString()
+    reader = binlog.BinlogReader({"path": str(tmp_path)})
+    assert list(reader.pushFilters([EqualTo(("event_type",), 16), EqualTo(("pos",), 4)])) == [EqualTo(("pos",), 4)] and reader.settings.types == {16}
+    assert sum(b.num_rows for part in reader.partitions() for b in reader.read(part)) == 2
     assert spark.read.format("binlog").load(str(tmp_path)).where("event_type IN (16, 34)").count() == 4
 
 
+def _read(spark, path, mode="changes"):  # noqa: ANN001, ANN202
+    binlog.register(spark)
+    return sorted(spark.read.format("binlog").option("mode", mode).load(str(path)).collect(), key=lambda r: (r.file_ord, r.pos))
+
+
+def test_every_damage_is_a_row(spark, tmp_path) -> None:  # noqa: ANN001
+    whole = tmp_path / "whole" / "log.1"
+    whole.parent.mkdir()
+    _write(whole, [*ONE, *TWO])
+    data, events = whole.read_bytes(), _read(spark, whole.parent, "events")
+    rows = [r for r in events if r.type_name == "WRITE_ROWS"]
+
+    def damaged(name: str, change) -> list:  # noqa: ANN001
+        folder = tmp_path / name
+        folder.mkdir()
+        raw = bytearray(data)
+        change(raw)
+        (folder / "log.1").write_bytes(raw)
+        both = spark.read.format("binlog").option("mode", "changes").load(str(folder)).collect(), binlog.read_log(spark, str(folder / "log.*"), "changes").collect()
+        assert sorted(map(str, (r[1:] for r in both[0]))) == sorted(map(str, (r[1:] for r in both[1])))
+        return sorted(both[0], key=lambda r: (r.pos, r.row_ord))
+
+    def problems(found: list) -> list:
+        return [(r.pos, r.problem) for r in found if r.problem]
+
+    good = damaged("none", lambda raw: None)
+    assert problems(good) == [] and len(good) == 5
+    # A byte of rows: the checksum tells. A changed length: reading goes on at the next header.
+    found = damaged("body", lambda raw: raw.__setitem__(rows[0].pos + 30, raw[rows[0].pos + 30] ^ 255))
+    assert problems(found) == [(rows[0].pos, "checksum")] and len(found) == 5
+    for wrong in (3, 10_000_000, rows[0].event_len + 5):
+        found = damaged(f"length{wrong}", lambda raw, wrong=wrong: raw.__setitem__(slice(rows[0].pos + 9, rows[0].pos + 13), wrong.to_bytes(4, "little")))
+        assert problems(found)[0][0] == rows[0].pos and len([r for r in found if not r.problem]) >= 3
+    found = damaged("tail", lambda raw: raw.__delitem__(slice(len(raw) - 10, None)))
+    assert problems(found) == [(events[-1].pos, "damaged length, or cut off")] and len(found) == 6
+    # Without its table map, an event's rows can't be read.
+    maps = [r for r in events if r.type_name == "TABLE_MAP"]
+    found = damaged("map", lambda raw: raw.__setitem__(maps[0].pos + 25, raw[maps[0].pos + 25] ^ 255))
+    assert problems(found) == [(maps[0].pos, "checksum"), (rows[0].pos, "rows without a table map")]
+    assert [r.corrupt for r in _read(spark, tmp_path / "map", "events")].count(True) == 1
+
+
+def test_events_whose_rows_are_not_read(spark, tmp_path) -> None:  # noqa: ANN001
+    with open(tmp_path / "log.1", "wb") as f:
+        log = LogWriter(f)
+        log.event(40, 100, b"packed")
+        log.event(35, 100, b"sets")
+        log.event(99, 100, b"new")
+    assert [(r.op, r.problem) for r in _read(spark, tmp_path)] == [(None, "rows of TRANSACTION_PAYLOAD are not read"), (None, "unknown event type 99")]
+    assert [(r.event_type, r.unsupported, r.corrupt) for r in _read(spark, tmp_path, "events")][1:] == [(40, True, False), (35, True, False), (99, False, True)]
+    assert {r.problem for r in replay.replay_log(spark, str(tmp_path), routing.table_groups(spark, [["d.a"]])).problems.collect()} == {"rows of TRANSACTION_PAYLOAD are not read", "unknown event type 99"}
+
+
+def test_keys_that_change_and_images_that_leave_columns_out(spark, tmp_path) -> None:  # noqa: ANN001
+    names, columns = ["id", "v", "w"], [COLUMNS[0], COLUMNS[1], COLUMNS[1]]
+    key, some = [True, False, False], [False, False, True]
+    with open(tmp_path / "log.1", "wb") as f:
+        log = LogWriter(f)
+
+        def write(n: int, *changes: tuple) -> None:
+            log.transaction(100 + n, n - 1, n, [("d", "a", names, columns, [0], list(changes))])
+
+        write(1, ("I", None, [1, "x", "p"]), ("I", None, [2, "y", None]))
+        write(2, ("U", [1, "x", "p"], [7, "x", "p"]))  # the key changes
+        write(3, ("U", [2, None, None], [None, None, "q"], key, some))  # only w is written
+        write(4, ("U", [7, None, None], [None, None, None], key, some))  # w becomes NULL
+        write(5, ("D", [2, "y", "q"], None), ("I", None, [2, "z", None]))
+        write(6, ("I", None, [3, None, "r"]))
+    got = _read(spark, tmp_path)
+    assert [(r.op, r.pk, r.before, r.after) for r in got if r.txn_no in (2, 3)] == [
+        ("D", '{"id": 1}', '{"id": 1, "v": "x", "w": "p"}', None),
+        ("I", '{"id": 7}', None, '{"id": 7, "v": "x", "w": "p"}'),
+        ("U", '{"id": 2}', '{"id": 2}', '{"w": "q"}'),
+    ]
+    r = replay.replay_log(spark, str(tmp_path), routing.table_groups(spark, [["d.a"]]))
+    rows = {x.pk: (x.v, x.w) for x in versions.live(versions.latest_columns(r.changes, ["v", "w"])).collect()}
+    assert rows == {'{"id": 7}': ("x", None), '{"id": 2}': ("z", None), '{"id": 3}': (None, "r")}
+    assert r.problems.count() == 0
+
+
+def test_schema_changes_are_transactions(spark, tmp_path) -> None:  # noqa: ANN001
+    binlog.register(spark)
+    with open(tmp_path / "log.1", "wb") as f:
+        log = LogWriter(f)
+        log.transaction(100, 0, 1, [("d", "a", ["id", "v"], COLUMNS, [0], [("I", None, [1, "x"])])])
+        log.gtid(101, 1, 2)
+        log.event(2, 101, bytes(8) + b"\0\0\0\0\0\0ALTER TABLE a ADD COLUMN w INT")
+        log.transaction(102, 2, 3, [("d", "a", ["id", "v"], COLUMNS, [0], [("U", [1, "x"], [1, "y"])])])
+    events = spark.read.format("binlog").load(str(tmp_path))
+    sizes = {r.txn_seq: r.n_events for r in transactions.summary(transactions.complete_only(transactions.assemble(events))).collect()}
+    assert sizes == {1: 6, 2: 2, 3: 5}  # the first has the format description
+    assert {r.txn_no: r["count"] for r in transactions.by_logical_clock(events).groupBy("txn_no").count().collect()} == {1: 5, 2: 2, 3: 5}
+    r = replay.replay_log(spark, str(tmp_path), routing.table_groups(spark, [["d.a"]]))
+    assert [(x.txn_seq, x.n_rows) for x in r.grid().orderBy("txn_seq").collect()] == [(1, 1), (2, 0), (3, 1)]
+
+
+def test_sink_writes_all_three_operations(spark, tmp_path) -> None:  # noqa: ANN001
+    binlog.register(spark)
+    schema = "op string, id int, v string, old_v string, at timestamp_ntz"
+    t = dt.datetime(2024, 5, 1, 10)
+    df = spark.createDataFrame([("I", 1, "a", None, t), ("U", 1, None, "a", t), ("D", 1, None, None, t), ("I", 2, "é", None, t)], schema).coalesce(1)
+    for name, more in (("whole", {"beforePrefix": "old_"}), ("key", {})):
+        out = df if more else df.drop("old_v")
+        out.write.format("binlog").options(db="d", table="a", primaryKey="id", op="op", eventTime="at", batch="3", **more).mode("append").save(f"file://{tmp_path}/{name}")
+        got = _read(spark, f"file://{tmp_path}/{name}")
+        assert [(r.op, r.txn_no) for r in got] == [("I", 1), ("U", 1), ("D", 1), ("I", 2)] and all(r.problem is None for r in got)
+        before = '{"id": 1, "v": "a", "at": "2024-05-01 10:00:00"}' if more else '{"id": 1}'
+        assert got[1].before == before and got[1].after == '{"id": 1, "v": null, "at": "2024-05-01 10:00:00"}' and got[3].pk == '{"id": 2}'
+
+
 def test_stream_equals_batch(spark, tmp_path) -> None:  # noqa: ANN001
     binlog.register(spark)
     logs = tmp_path / "logs"
@@ -91,6 +210,34 @@ def test_commits_wait_for_their_turn(spark, tmp_path) -> None:  # noqa: ANN001
     assert run() == {(1, 1, 5), (0, 1, 10), (0, 2, 20), (0, 3, 20), (1, 2, 7), (1, 3, 9)}
 
 
+def test_progress_of_streams_is_a_table(spark, tmp_path) -> None:  # noqa: ANN001
+    src = tmp_path / "in"
+    spark.range(20).write.parquet(str(src))
+    table = ProgressTable(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(table)
+    try:
+        q = spark.readStream.schema("id long").parquet(str(src)).writeStream.format("noop").queryName("sampled").trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        for _ in range(100):
+            if table.rows().count():
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(table)
+    table.flush()
+    assert table.rows().count() == 0 and table.read().where("name = 'sampled'").agg(F.sum("n_rows")).first()[0] == 20
+
+
+def test_commit_report_by_group(spark, tmp_path) -> None:  # noqa: ANN001
+    t = dt.datetime(2024, 1, 1)
+    rows = [(0, 1, t), (0, 2, t + dt.timedelta(milliseconds=900)), (0, 3, t + dt.timedelta(seconds=5)), (1, 1, t)]
+    report = metrics.commit_report(spark.createDataFrame(rows, "group_id int, txn_seq long, commit_time timestamp_ntz"))
+    assert [(r.group_id, r.n_commits, r.last_txn, r.elapsed_s) for r in report.orderBy("group_id", "window_start").collect()] == [(0, 2, 2, 0), (0, 1, 3, 5), (1, 1, 1, 0)]
+    metrics.write_report(report, str(tmp_path / "report"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).where("group_id = 0").count() == 2
+
+
 def test_upserts_and_throughput_in_batches(spark, tmp_path) -> None:  # noqa: ANN001
     schema = "txn_seq long, event_ord int, row_ord int, tbl string, pk string, op string, event_time timestamp"
     t = dt.datetime(2024, 1, 1)
@@ -100,6 +247,8 @@ def test_upserts_and_throughput_in_batches(spark, tmp_path) -> None:  # noqa: AN
     apply(second, 1)
     apply(second, 1)
     state = spark.read.schema(schema).parquet(str(tmp_path / "state" / "state-1"))
+    with pytest.raises(Exception, match="state-6"):
+        apply(second, 7)  # the state before it is gone
     assert state.count() == 2 and [r.pk for r in commits.current_state(state).collect()] == ["l"]
     assert commits.throughput(spark.createDataFrame([(t,), (t,)], "event_time timestamp")).first().n_events == 2
     assert commits.marks(spark.createDataFrame([(0, 1, 5), (0, 2, 5)], "group_id int, txn_seq long, commit_us long")).first().last_txn == 2
