@@ -15,7 +15,7 @@ hold lose all their lines but those of the smallest doc_id.
 
 Defined cases: a null or empty text is one empty line; rows of equal doc_id are one
 document as to who holds a line, and each row is cleaned by itself; a null doc_id orders
-after all others; an empty table gives an empty result; other columns pass through, and
+after all others; an empty table gives an empty result; other columns pass through, whatever their names, but
 columns named like results are replaced. A line in a third of all documents is combined
 before the shuffle, and its rows join by Spark's skew-splitting sort-merge join.
 """
@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LAST_ID, documents, fresh_path, materialize, strip
+from .shared import LAST_ID, carried, documents, fresh_path, materialize, strip
 
 MIN_KEY = 10
 #: Runs of one level that are merged into one of the next.
@@ -100,6 +100,12 @@ class LineRuns:
                 self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{run[2]}"), True)
             level += 1
 
+    def close(self) -> None:
+        """Forget the runs' tables; their files stay, to be opened again."""
+        for table in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables.clear()
+
 
 def line_key(line: Column) -> Column:
     return F.translate(strip(line), UPPER, LOWER)
@@ -145,9 +151,8 @@ def dedup_lines(docs: DataFrame, runs: LineRuns | None = None, batches: int = BA
 
     With ``runs`` of earlier calls, lines that those documents hold are repeats too.
     """
-    spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in RESULTS]
-    docs = docs.select(*names)
+    spark, own = docs.sparkSession, runs is None
+    docs, restored = carried(docs.drop(*RESULTS), ["doc_id", "text"])
     runs = runs or LineRuns(spark, fresh_path(spark, "line-runs"))
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], F.lit(1000))).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
@@ -163,7 +168,9 @@ def dedup_lines(docs: DataFrame, runs: LineRuns | None = None, batches: int = BA
     out = out.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.size("_gone").cast("long"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.size("_gone") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return out.withColumn("text", text).select(*names, *RESULTS)
+    if own:
+        runs.close()  # what the batches lose is written down by now
+    return restored(out.withColumn("text", text), *RESULTS)
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

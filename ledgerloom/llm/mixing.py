@@ -5,7 +5,7 @@ above ``max_epochs`` times the source's own size is clamped there, and what is c
 goes to the other sources in proportion to their weights; this repeats until no share is
 above its cap. A document of a source with target t and size s is then taken t / s
 times: the whole repetitions, and a fractional repetition: a seeded run of consecutive
-words that is as long as the fraction says, rounded up or down by a seeded coin. So each
+words that is as long as the fraction says, rounded up or down by a coin seeded with doc_id and text. So each
 source comes within a few words of its target whatever the sizes of its documents.
 
 Only three sums per round reach the driver; sources are ranked and clamped as rows.
@@ -21,11 +21,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, materialize, ranked, uniform, words_of
+from .shared import carried, documents, materialize, ranked, uniform, words_of
 
 MAX_EPOCHS = 3
 WEIGHT_CYCLE = (1, 2, 3)
@@ -64,7 +64,7 @@ def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = SEED, weigh
 
     ``weights``: a table (source, weight); without it weights repeat 1, 2, 3 by source.
     """
-    spark = docs.sparkSession
+    docs, restored = carried(docs.drop(*RESULTS), ["doc_id", "text", "source"])
     sized = with_sizes(docs)
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
@@ -77,35 +77,35 @@ def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = SEED, weigh
     out = sized.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    part = F.floor((rate - whole) * F.col("size") + uniform(F.col("doc_id"), seed=seed))
+    part = F.floor((rate - whole) * F.col("size") + uniform(F.col("doc_id"), F.xxhash64("text"), seed=seed))
     taken = F.least(whole * F.col("size") + F.least(part, F.col("size")), (F.col("size") * float(max_epochs)).cast("long"))
-    return out.withColumn("taken", taken.cast("long"))
+    return restored(out.withColumn("taken", taken.cast("long")), *RESULTS)
 
 
 def repetitions(mixed: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents of the mix: a row per whole repetition, and one with the words of the fractional one."""
-    schema = mixed.drop(*RESULTS).schema
-    names = schema.names
+    mixed, restored = carried(mixed.drop("source_size", "target"), ["doc_id", "text", "size", "taken"])
+    schema = mixed.drop("size", "taken").schema
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            texts = []
-            for text, k, u in zip(frame["text"], frame["_words"], frame["_at"], strict=True):
-                if k < 0:
-                    texts.append(text)
-                    continue
-                spans = [m.span() for m in word.finditer(text)]
-                first = int(u * (len(spans) - k + 1))
-                texts.append(text[spans[first][0] : spans[first + k - 1][1]])
-            frame["text"] = texts
-            yield frame[names]
+    def part(text: str | None, k: int, u: float) -> str | None:
+        """``k`` consecutive words of a text, beginning where ``u`` says; the text itself, if k is negative."""
+        if k < 0:
+            return text
+        spans = [m.span() for m in word.finditer(text)]
+        first = int(u * (len(spans) - k + 1))
+        return text[spans[first][0] : spans[first + k - 1][1]]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [part(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("text", "_words", "_at")), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in schema.names], names=schema.names)
 
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
     every = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest.cast("long"))).otherwise(F.array().cast("array<long>")))
-    rows = mixed.withColumn("_at", uniform(F.col("doc_id"), seed=seed + 1)).withColumn("_words", F.explode(every))
-    return rows.select(*names, "_words", "_at").mapInPandas(cut, schema)
+    rows = mixed.withColumn("_at", uniform(F.col("doc_id"), F.xxhash64("text"), seed=seed + 1)).withColumn("_words", F.explode(every))
+    return restored(rows.select(*schema.names, "_words", "_at").mapInArrow(cut, schema))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

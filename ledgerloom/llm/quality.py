@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WHITE, documents, strip, words_of
+from .shared import WHITE, WHITE_CLASS, carried, documents, strip, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -102,7 +102,7 @@ def _repeat_words(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and clean_text."""
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
-    docs = docs.drop(*results)
+    docs, restored = carried(docs.drop(*results), ["text"])
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_lines", F.split(text, "\n"))
     out = _repeat_words(out)
@@ -117,21 +117,65 @@ def judge(docs: DataFrame) -> DataFrame:
     out = out.withColumn("kept", ~F.col("base_failed") & (left >= F.col("word_chars") * (1 - MAX_LOST)))
     # Results come out of a generator: a filter on them stays above it. Pushed below, it would put every step's
     # expression into the lambdas of the next, to be evaluated for each word.
-    names = docs.columns
-    row = F.struct(*[F.col(c).alias(f"_quality_{i}") for i, c in enumerate(results)])
-    out = out.select(*names, F.inline(F.array(row)))
-    return out.withColumnsRenamed({f"_quality_{i}": c for i, c in enumerate(results)})
+    row = F.struct(*[F.col(c) for c in results])
+    return restored(out.select(*docs.columns, F.explode(F.array(row)).alias("_row")), "_row.*")
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, with failing lines removed from their texts; columns as they were."""
-    names = docs.columns
-    out = judge(docs).where("kept").withColumn("text", F.col("clean_text"))
-    if "n_chars" in names:
+    packed, restored = carried(docs, ["text", "n_chars"])
+    out = judge(packed).where("kept").withColumn("text", F.col("clean_text"))
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return restored(out)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judge(documents(spark, sf_dir).select("doc_id", "text")).select(*cols)
+
+
+OP10_SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{WHITE_CLASS}+'), lambda x: x <> '') AS words FROM texts
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM cut
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times
+  FROM (SELECT doc_id, i, word || {" || ".join(f"' ' || lead(word, {j}) OVER o" for j in range(1, WINDOW))} AS g FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+  WHERE g IS NOT NULL
+), repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM windows WHERE times > 1) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts
+), counted AS (
+  SELECT *, len(list_filter(regexp_split_to_array(line, '{WHITE_CLASS}+'), lambda x: x <> '')) AS n,
+         length(regexp_replace(line, '{WHITE_CLASS}', '', 'g')) AS chars,
+         length(regexp_replace(line, '[^{SEPARATORS}]', '', 'g')) AS cuts,
+         length(regexp_replace(line, '[^{SYMBOLS}]', '', 'g')) AS symbols FROM lines
+), judged AS (
+  SELECT *, n > 0 AND n < {PROSE_LENGTH} AND strpos('{END_MARKS.replace("'", "''")}', right(regexp_replace(line, '{WHITE_CLASS}+$', ''), 1)) = 0 AS fragment FROM counted
+), near AS (
+  SELECT *, coalesce(lag(fragment, 1) OVER w, FALSE) AS b1, coalesce(lag(fragment, 2) OVER w, FALSE) AS b2,
+         coalesce(lead(fragment, 1) OVER w, FALSE) AS a1, coalesce(lead(fragment, 2) OVER w, FALSE) AS a2
+  FROM judged WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), failing AS (
+  SELECT doc_id, line, n, chars, n > 0 AND (
+    (fragment AND ((b2 AND b1) OR (b1 AND a1) OR (a1 AND a2)))
+    OR (n >= 3 AND symbols > n * {MAX_SYMBOLS_PER_WORD}) OR (cuts >= 3 AND cuts * 6 >= n) OR (cuts >= 2 AND n <= 8)
+    OR (n BETWEEN 3 AND {MENU_LENGTH} AND len(regexp_extract_all(line, '(?i)\b({MENU_WORDS})\b')) * 10 >= n * 6)
+    OR (n <= {NOTICE_LENGTH} AND regexp_matches(line, '{BOILERPLATE}'))) AS fails FROM near
+), by_doc AS (
+  SELECT doc_id, coalesce(sum(chars) FILTER (NOT fails), 0) AS stays, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dups FROM failing GROUP BY doc_id
+), base AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{WHITE_CLASS}', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words
+  FROM cut LEFT JOIN repeats USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, n_repeat_words,
+       n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT}) AND stays >= word_chars * {1 - MAX_LOST} AS kept
+FROM base JOIN by_doc USING (doc_id)
+"""

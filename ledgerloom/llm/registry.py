@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_lines": line_dedup.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_lines": line_dedup.OP4_SQL, "op10_quality": quality.OP10_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -68,6 +68,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def carried(docs: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(the ``needed`` columns and all others in one, a function that gives back those that are still there, followed by further ones).
+
+    So a column of the input never meets a helper column or a result of the same name.
+    """
+    names = docs.columns
+    others = [c for c in names if c not in needed]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("_rest")
+    packed = docs.select(*[c for c in names if c in needed], *([rest] if others else []))
+
+    def restored(df: DataFrame, *more: str) -> DataFrame:
+        of = {c: F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(others)}
+        return df.select(*[of.get(c, F.col(f"`{c}`")) for c in names if c in of or c in df.columns], *more)
+
+    return packed, restored
+
+
 def strip(c: Column) -> Column:
     """Without ASCII white space at both ends."""
     return F.btrim(c, F.lit(WHITE))
