@@ -20,14 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, line_dedup, mixing, near_dup, quality
-from ledgerloom.llm.shared import documents, materialize
+from ledgerloom.llm.shared import carried, documents, materialize
 
 
 def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """``docs`` with n_chars of their present texts, in the columns of ``like``."""
-    if "n_chars" in like.columns:
-        docs = docs.withColumn("n_chars", F.char_length("text").cast(like.schema["n_chars"].dataType))
-    return docs.select(*like.columns)
+    """``docs`` with n_chars of their present texts."""
+    return docs.withColumn("n_chars", F.char_length("text").cast(like.schema["n_chars"].dataType)) if "n_chars" in like.columns else docs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +33,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(line_dedup.dedup_lines(docs), docs)
+    packed, restored = carried(docs, ["doc_id", "text", "n_chars"])
+    return restored(_counted(line_dedup.dedup_lines(packed), docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(mixing.repetitions(mixing.mix(docs)), docs)
+    packed, restored = carried(docs, ["doc_id", "text", "source", "n_chars"])
+    return restored(_counted(mixing.repetitions(mixing.mix(packed)), docs))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ STAGES = [
     ("bpe_encoding", bpe_encoding),
 ]
 
-#: Sampled signatures and byte-pair merges have no SQL; tests hold the stages against brute force.
+#: Sampled signatures and byte-pair merges have no SQL; the tests hold run()'s rows against five stages in plain Python.
 ORACLE_SQL = None
 
 
