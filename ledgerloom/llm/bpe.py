@@ -46,7 +46,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?<L>+| ?<N>+| ?[^\s<L><N>]+|\s+(?!\S)|\s+
 #: At most so many frequent words are compiled; words seen fewer times than the second number never are.
 LEXICON_WORDS, LEAST_COUNT = 65536, 8
 #: A worker remembers two generations of words of so many bytes each, counting so many for a word besides its own and its ids'.
-REMEMBERED, ENTRY = 32 << 20, 200
+REMEMBERED, ENTRY = 48 << 20, 200
 #: Bytes of a word whose path in the automaton a worker remembers, and how many such beginnings.
 BEGINNING, BEGINNINGS = 5, 1 << 15
 #: Rows that a task handles at a time, so that a batch's texts and ids are not all unpacked at once.
