@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, dac, fim, line_dedup, mixing, near_dup, quality, secrets, suffix_dedup, token_counts
+from . import ann, bpe, dac, fim, line_dedup, mixing, near_dup, quality, search, secrets, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix": suffix_dedup.op9_suffix,
     "op10_quality": quality.op10_quality,
     "op11_fim": fim.op11_fim,
+    "op12_search": search.op12_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_lines": line_dedup.OP4_SQL, "op10_quality": quality.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_lines": line_dedup.OP4_SQL, "op10_quality": quality.OP10_SQL, "op12_search": search.OP12_SQL}
