@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, dac, fim, line_dedup, mixing, near_dup, quality, search, secrets, suffix_dedup, token_counts
+from . import ann, bpe, dac, fim, line_dedup, mixing, near_dup, ngram_join, quality, search, secrets, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.op10_quality,
     "op11_fim": fim.op11_fim,
     "op12_search": search.op12_search,
+    "op13_ngram_join": ngram_join.op13_ngram_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_lines": line_dedup.OP4_SQL, "op10_quality": quality.OP10_SQL, "op12_search": search.OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_lines": line_dedup.OP4_SQL, "op10_quality": quality.OP10_SQL, "op12_search": search.OP12_SQL, "op13_ngram_join": ngram_join.OP13_SQL}
