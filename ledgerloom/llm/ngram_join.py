@@ -106,15 +106,16 @@ def _counted(tokens: DataFrame, name: str) -> DataFrame:
 
 
 def screened(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The ``classes`` (s1, s2, doc, n) that may have a partner, by the prefixes in ``sets``."""
-    own = sets.join(classes.select("s1", "s2", F.col("doc").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2"])
-    own = materialize(own.select("s1", "s2", "n", "tokens"), "join-prefixes")
-    tokens = own.select("s1", "n", F.explode("tokens").alias("token"))
-    met = tokens.join(_counted(tokens.select("token"), "join-screen"), "token").groupBy("s1", "n").agg(F.count("*").alias("met"))
+    """The ``classes`` (s1, s2, doc, n) that may have a partner, by the prefixes in ``sets``.
+
+    Rows of one class count each; so a class of copies may be kept for nothing, and none is lost.
+    """
+    tokens = sets.select("s1", F.explode("tokens").alias("token"))
+    several = tokens.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("token")
+    met = tokens.join(materialize(several, "join-screen"), "token").groupBy("s1").agg(F.count("*").alias("met"))
     # A partner has at least percent of n shingles, so its l is no less than this.
     least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SCREEN)
-    left = met.where(F.col("met") >= least).select("s1").distinct()
-    return materialize(classes.join(left, "s1", "left_semi"), "join-screened")
+    return materialize(classes.join(met, "s1").where(F.col("met") >= least).drop("met"), "join-screened")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -229,7 +230,8 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = materialize(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n")), "join-classes")
     left = screened(known, classes, percent)
     # The texts of what is left are read again, instead of keeping the whole sets of all documents.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(left.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = left.select(F.col("doc").alias("doc_id")).distinct().hint("merge")  # it grows with the table: never sent to every task
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     whole = sets_of(texts, percent, True).join(left.select("s1", "s2", F.col("doc").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2"])
     whole = materialize(whole.withColumn("v", F.monotonically_increasing_id()).withColumnRenamed("doc_id", "doc"), "join-whole")
     numbered = whole.select("v", "n", "tokens")
