@@ -57,10 +57,11 @@ def timestamp_value(data: Column) -> Column:
 
 
 def time_text(data: Column) -> Column:
-    """The older three-byte TIME, not negative, as text."""
-    x = uint_le(data, 0, 3)
+    """The older three-byte TIME as text, with a minus where it is negative."""
+    signed = int_le(data, 0, 3)
+    x = F.abs(signed)
     part = lambda div: F.pmod(F.floor(x / div), F.lit(100))
-    return F.format_string("%02d:%02d:%02d", F.floor(x / 10000), part(100), part(1))
+    return F.concat(F.when(signed < 0, F.lit("-")).otherwise(F.lit("")), F.format_string("%02d:%02d:%02d", F.floor(x / 10000), part(100), part(1)))
 
 
 def decimal_value(data: Column, precision: int, scale: int) -> Column:

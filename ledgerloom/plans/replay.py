@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,17 +67,41 @@ def replay_changes(changes: DataFrame, groups: DataFrame, mode: str = "grouped")
     return Replay(changes, txns, groups)
 
 
-def replay_log(spark: SparkSession, path: str, groups: DataFrame, mode: str = "grouped", **options: str) -> Replay:
+def replay_log(spark: SparkSession, path: str, groups: DataFrame, mode: str = "grouped", split_bytes: int = binlog.SPLIT_BYTES, **options: str) -> Replay:
     """From log files. Tables are named "db.table"; a table's rows are JSON in ``after`` and ``before``.
 
     The log is read once and kept as a table in the shared folder: changes, numbered by their transactions, and the transactions' ends.
     Changes behind a file's last end are incomplete and left out; ``problems`` has what could not be read.
     """
-    binlog.register(spark)
-    read = spark.read.format("binlog").options(**options).option("mode", "replay").load(path)
+    read = binlog.load(spark, path, split_bytes, **(options | {"mode": "replay"}))
     return replay_read(materialize(read.drop("file"), "log-read"), groups, mode)
 
 
+def latest_rows(spark: SparkSession, path: str, table: str, schema: str, keys: list[str], split_bytes: int = binlog.SPLIT_BYTES, **options: str) -> DataFrame:
+    """The live rows of one table at the end of a log, in typed columns ("name type, ..."), by whole transactions.
+
+    Only these columns are decoded, by the source. An update that changes the key is a delete and an insert. The newest version is an aggregation, combined before the
+    shuffle. The read fails at what can't be read, and for a log whose images leave columns out (see ``versions.latest_columns`` for these).
+    """
+    types = dict(f.strip().split(" ", 1) for f in re.split(r",(?![^(]*\))", schema))
+    before = "".join(f", {binlog.BEFORE}{k} {types[k]}" for k in keys)
+    meta = ["_op", "_file_ord", "_txn_no", "_pos", "_row_ord", "_partial"]
+    rows = binlog.table_rows(spark, path, table, schema + before, split_bytes, meta, complete="true", **options)
+    rows = rows.withColumn("_partial", F.when(F.col("_partial") & (F.col("_op") != "D"), F.raise_error(F.lit(f"images of {table} leave columns out"))))
+    moved = F.lit(False)
+    for k in keys:
+        moved |= ~F.col(k).eqNullSafe(F.col(f"{binlog.BEFORE}{k}"))
+    order = F.struct("_file_ord", "_txn_no", "_pos", "_row_ord", F.lit(1).alias("_last"))
+    value = F.struct((F.col("_op") != "D").alias("live"), "_partial", *[F.col(f"`{c}`") for c in types if c not in keys])
+    after = rows.select(*keys, order.alias("_at"), value.alias("_v"))
+    # The old key of an update that changes it: gone, right before the new one comes.
+    gone = rows.where((F.col("_op") == "U") & moved)
+    no_value = value.withField("live", F.lit(False))
+    old = gone.select(*[F.col(f"{binlog.BEFORE}{k}").alias(k) for k in keys], order.withField("_last", F.lit(0)).alias("_at"), no_value.alias("_v"))
+    newest = after.unionByName(old).groupBy(*keys).agg(F.max_by("_v", "_at").alias("_v")).where("_v.live AND _v._partial IS NULL")
+    return newest.select(*[F.col(k) if k in keys else F.col(f"_v.`{k}`").alias(k) for k in types])
+
+
 def replay_read(read: DataFrame, groups: DataFrame, mode: str = "grouped") -> Replay:
     """From a log that the source has read in mode replay."""
     ends = read.where(F.col("op") == binlog.END)

@@ -11,7 +11,7 @@ from ..operators.prefix import following
 def parse_arrivals(lines: DataFrame) -> DataFrame:
     """(arrival, tables) from lines ``time,t1,t2,...`` in column value; a trailing comma is optional."""
     parts = F.split("value", ",")
-    tables = F.filter(F.transform(F.filter(parts, lambda t, i: i > 0), F.trim), lambda t: t != "")
+    tables = F.filter(F.transform(F.filter(parts, lambda t, i: i > 0), lambda t: F.trim(t)), lambda t: t != "")
     return lines.where(F.trim("value") != "").select(F.trim(F.get(parts, F.lit(0))).try_cast("bigint").alias("arrival"), tables.alias("tables"))
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import EqualTo
 
 from ledgerloom.functions.codec import TYPE_CODES, Column
@@ -192,6 +195,163 @@ def test_stream_equals_batch(spark, tmp_path) -> None:  # noqa: ANN001
     assert sorted(map(str, drain())) == sorted(map(str, batch))
 
 
+def _damages(data: bytes, events: list) -> dict[str, bytes]:
+    """A log, and copies of it with a changed body, map, statement or length, with a hole, and cut off."""
+    rows = [r for r in events if r.type_name == "WRITE_ROWS"]
+    maps = [r for r in events if r.type_name == "TABLE_MAP"]
+    ends = [r for r in events if r.type_name == "XID"]
+
+    def changed(at: int, new: bytes) -> bytes:
+        return data[:at] + new + data[at + len(new) :]
+
+    flip = lambda at: changed(at, bytes([data[at] ^ 255]))
+    out = {"none": data, "body": flip(rows[0].pos + 30), "map": flip(maps[1].pos + 25), "end": flip(ends[1].pos + 20), "end_pos": flip(rows[1].pos + 14), "type": flip(rows[1].pos + 4)}
+    out |= {f"length{n}": changed(rows[0].pos + 9, n.to_bytes(4, "little")) for n in (3, 10_000_000, rows[0].event_len + 5, rows[0].event_len + ends[0].event_len)}
+    out |= {"hole": changed(maps[2].pos, bytes(200)), "cut": data[:-10], "cut_in_header": data[: events[-1].pos + 7], "format": flip(10)}
+    return out
+
+
+def _more(path) -> bytes:  # noqa: ANN001
+    """A log of eight transactions, one of them a schema change, with one open at the end."""
+    with open(path, "wb") as f:
+        log = LogWriter(f)
+        for i in range(1, 8):
+            log.transaction(100 + i, i - 1, i, [("d", t, ["id", "v"], COLUMNS, [0], [("I", None, [i, "x" * 40]), ("I", None, [i + 100, None])]) for t in "ab"])
+        log.gtid(110, 7, 8)
+        log.event(2, 110, bytes(8) + b"\0\0\0\0\0\0ALTER TABLE a ADD COLUMN w INT")
+        log.transaction(111, 8, 9, [("d", "a", ["id", "v"], COLUMNS, [0], [("U", [1, "x"], [1, "y"])])])
+        log.gtid(112, 9, 10)
+        log.event(2, 112, bytes(8) + b"\0\0\0\0\0\0BEGIN")
+    return path.read_bytes()
+
+
+def _tuples(batches) -> list[tuple]:  # noqa: ANN001
+    return [tuple(r[k] for k in sorted(r) if k != "file") for b in batches for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("mode", ["changes", "replay", "events"])
+def test_stream_and_splits_equal_batch_for_every_damage(spark, tmp_path, mode: str) -> None:  # noqa: ANN001
+    """The source's reader classes, driven as Spark drives them: any sizes at which a growing file is seen, with and without kept states."""
+    (tmp_path / "first").mkdir()
+    data = _more(tmp_path / "first" / "log.1")
+    damages = _damages(data, _read(spark, tmp_path / "first", "events"))
+    rnd = random.Random(mode)
+    for name, raw in damages.items():
+        file = tmp_path / name / "log.1"
+        file.parent.mkdir()
+        file.write_bytes(raw)
+        options = {"path": str(file.parent), "mode": mode}
+        whole = binlog.BinlogReader(options)
+        want = _tuples(b for p in whole.partitions() for b in whole.read(p))
+        assert want
+        # Splits of any length: the rows of one task, and its numbers.
+        for split_bytes in (100, 300, 1000):
+            parts = [r for b in (binlog.BinlogReader(options | {"mode": "splits", "splitBytes": str(split_bytes)}),) for p in b.partitions() for x in b.read(p) for r in x.to_pylist()]
+            splits, first = [], 1
+            for r in parts:
+                splits += [(r["file"], 0, r["start"], r["stop"], first)] if r["start"] < r["stop"] else []
+                first += r["n_ends"]
+            if name in ("none", "body"):
+                assert len(splits) > 2
+            cut = binlog.BinlogReader(options | {"splits": binlog._packed(splits)})
+            assert _tuples(b for p in cut.partitions() for b in cut.read(p)) == want, (name, split_bytes)
+        # A stream that sees the file at one, two or many sizes, begun anew each time.
+        for triggers in (1, 2, 12):
+            for kept in (False, True):
+                more = {"stateLocation": str(tmp_path / f"state-{name}-{triggers}")} if kept else {}
+                sizes = [*sorted(rnd.randrange(len(raw)) for _ in range(triggers - 1)), len(raw)]
+                offset, got = {}, []
+                for i, size in enumerate(sizes):
+                    file.write_bytes(raw[:size])
+                    stream = binlog.BinlogStreamReader(options | more | ({"finishAfter": "0"} if i == len(sizes) - 1 else {}))
+                    last, offset = offset, stream.latestOffset()
+                    assert offset == {str(file): [size, i == len(sizes) - 1]}
+                    got += _tuples(b for p in stream.partitions(last, offset) for b in stream.read(p))
+                    stream.commit(offset)
+                assert got == want, (name, triggers, kept)
+                if kept:
+                    assert len(list((tmp_path / f"state-{name}-{triggers}").iterdir())) == 1
+
+
+def test_streams_finish_files_by_their_successors(tmp_path) -> None:  # noqa: ANN001
+    data = _more(tmp_path / "log.1")
+    (tmp_path / "log.1").write_bytes(data[:-10])
+    stream = binlog.BinlogStreamReader({"path": str(tmp_path), "mode": "changes"})
+    first = stream.latestOffset()
+    rows = lambda a, b: [r for p in stream.partitions(a, b) for x in stream.read(p) for r in x.to_pylist()]
+    found = rows({}, first)
+    assert len(found) == 29 and not any(r["problem"] for r in found)
+    (tmp_path / "other.1").write_bytes(data)  # another log's file doesn't finish it
+    assert stream.latestOffset()[str(tmp_path / "log.1")] == first[str(tmp_path / "log.1")]
+    (tmp_path / "log.2").write_bytes(data)
+    second = stream.latestOffset()
+    tail = [r for r in rows(first, second) if r["file"].endswith("log.1")]
+    assert [(r["problem"], r["txn_no"]) for r in tail] == [("damaged length, or cut off", 10)]
+
+
+def test_one_long_file_is_many_partitions(spark, tmp_path) -> None:  # noqa: ANN001
+    _more(tmp_path / "log.1")
+    _more(tmp_path / "log.2")
+    one = binlog.load(spark, str(tmp_path), mode="replay")
+    cut = binlog.load(spark, str(tmp_path), 500, mode="replay")
+    assert one.rdd.getNumPartitions() == 2 and cut.rdd.getNumPartitions() > 6
+    assert sorted(map(str, cut.collect())) == sorted(map(str, one.collect()))
+    groups = routing.table_groups(spark, [["d.a"], ["d.b"]])
+    latest = [sorted(map(str, replay.replay_log(spark, str(tmp_path), groups, split_bytes=n).latest().drop("file_ord", "pos", "event_ord").collect())) for n in (500, 1 << 20)]
+    assert latest[0] == latest[1] and latest[0]
+
+
+def test_appends_add_and_overwrites_replace(spark, tmp_path) -> None:  # noqa: ANN001
+    binlog.register(spark)
+    path = str(tmp_path / "sink")
+    ids = lambda: sorted(int(json.loads(r.pk)["id"]) for r in _read(spark, path))
+
+    def write(a: int, b: int, mode: str = "append") -> None:
+        spark.range(a, b, 1, 3).select(F.col("id").cast("int").alias("id")).write.format("binlog").options(db="d", table="a", primaryKey="id").mode(mode).save(path)
+
+    write(0, 10)
+    write(10, 20)
+    assert ids() == list(range(20))
+    # Files that no manifest lists, as attempts leave them behind, don't count; a database's own files do.
+    (tmp_path / "sink" / f"log-{'0' * 32}-0-0").write_bytes(b"left behind")
+    _write(tmp_path / "sink" / "binlog.1", [(100, [("a", "I", None, [77, "x"])])])
+    assert ids() == [*range(20), 77]
+    write(30, 35, "overwrite")
+    assert ids() == list(range(30, 35))
+    write(0, 0)
+    write(50, 51)
+    assert ids() == [*range(30, 35), 50]
+    assert len([f for f in (tmp_path / "sink").iterdir() if f.is_file()]) == 4
+
+
+def test_a_failed_job_publishes_nothing(spark, tmp_path) -> None:  # noqa: ANN001
+    binlog.register(spark)
+    path = str(tmp_path / "sink")
+    good = spark.range(5).select(F.col("id").cast("int").alias("id"))
+    good.write.format("binlog").options(db="d", table="a", primaryKey="id").mode("append").save(path)
+    before = sorted(f.name for f in (tmp_path / "sink").iterdir())
+    bad = spark.range(0, 100, 1, 4).select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("no"))).cast("int").alias("id"))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="no"):
+            bad.write.format("binlog").options(db="d", table="a", primaryKey="id", batch="1").mode(mode).save(path)
+        assert len(_read(spark, path)) == 5
+    # A task that is killed while the driver cleans up may leave a file, which no manifest lists.
+    assert set(before) <= {f.name for f in (tmp_path / "sink").iterdir()}
+    assert len(binlog.log_files(path)) == len([n for n in before if not n.startswith("_")])
+
+
+def test_attempts_of_one_task_count_once(tmp_path) -> None:  # noqa: ANN001
+    """Two attempts of a partition leave a file each: the one whose message the driver got is published."""
+    schema = T.StructType.fromDDL("id int")
+    writer = binlog.BinlogWriter({"path": str(tmp_path), "db": "d", "table": "a", "primaryKey": "id"}, schema)
+    for attempt in (0, 1):
+        (tmp_path / f"log-{writer.job}-0-{attempt}").write_bytes((_more(tmp_path / "x")))
+    (tmp_path / "x").unlink()
+    writer.commit([binlog.Written(0, f"log-{writer.job}-0-1"), None])
+    assert [f.rsplit("/", 1)[1] for f in binlog.log_files(str(tmp_path))] == [f"log-{writer.job}-0-1"]
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["_manifests", f"log-{writer.job}-0-1"]
+
+
 def test_commits_wait_for_their_turn(spark, tmp_path) -> None:  # noqa: ANN001
     src, out = tmp_path / "in", tmp_path / "out"
     schema = "group_id int, txn_seq long, event_us long"
@@ -210,6 +370,31 @@ def test_commits_wait_for_their_turn(spark, tmp_path) -> None:  # noqa: ANN001
     assert run() == {(1, 1, 5), (0, 1, 10), (0, 2, 20), (0, 3, 20), (1, 2, 7), (1, 3, 9)}
 
 
+def test_waiting_transactions_cost_nothing_until_their_turn(spark, tmp_path) -> None:  # noqa: ANN001
+    """Two groups with thousands that wait: a batch writes the entries it adds, and the last one commits all."""
+    src, out = tmp_path / "in", tmp_path / "out"
+    schema = "group_id int, txn_seq long, event_us long"
+    n = 4000
+
+    def run() -> tuple[int, int]:
+        stream = spark.readStream.schema(schema).parquet(str(src))
+        q = commits.ordered_commits(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(out)).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        states = [s for p in q.recentProgress if p.numInputRows for s in p.stateOperators]
+        return spark.read.schema(commits.COMMIT_SCHEMA).parquet(str(out)).count(), sum(s.numRowsUpdated for s in states)
+
+    rows = spark.range(2, n + 1).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("group_id"), F.col("id").alias("txn_seq"), (F.col("id") * 10).alias("event_us"))
+    rows.coalesce(1).write.mode("append").parquet(str(src))
+    assert run()[0] == 0
+    spark.createDataFrame([(0, n + 2, 5), (1, n + 5, 5)], schema).coalesce(1).write.mode("append").parquet(str(src))
+    count, updated = run()
+    assert count == 0 and updated <= 8  # not the thousands that wait
+    spark.createDataFrame([(0, 1, 1), (1, 1, 7), (1, 3, 99)], schema).coalesce(1).write.mode("append").parquet(str(src))
+    assert run()[0] == 2 * n
+    got = spark.read.schema(commits.COMMIT_SCHEMA).parquet(str(out))
+    assert got.where(f"txn_seq = {n}").agg(F.max("commit_us")).first()[0] == n * 10 and got.where("group_id = 1 AND txn_seq = 3").first().commit_us == 30
+
+
 def test_progress_of_streams_is_a_table(spark, tmp_path) -> None:  # noqa: ANN001
     src = tmp_path / "in"
     spark.range(20).write.parquet(str(src))
