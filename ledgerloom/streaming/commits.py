@@ -7,38 +7,71 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.versions import latest, live
 
 COMMIT_SCHEMA = "group_id int, txn_seq long, commit_us long"
-STATE_SCHEMA = "next_seq long, mark_us long, seqs array<long>, times array<long>"
+#: The state store that keeps the entries of a map by themselves.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def ordered_commits(cells: DataFrame, first_seq: int = 1) -> DataFrame:
-    """Commits of each group in transaction order, from cells (group_id, txn_seq, event_us) that may arrive out of order.
+class InOrder(StatefulProcessor):
+    """Commits the transactions of one group in order; those that came too early wait as an entry of state each.
 
-    A transaction is committed when all before it are; it waits in the group's state until
-    then, however many wait (the state store holds them). Repeated cells count once. commit_us is the group's mark: the largest event time
-    committed so far.
+    A batch touches the entries that it adds and those that it commits; what goes on waiting is neither read nor written.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_seq, mark, seqs, times = state.get if state.exists else (first_seq, 0, [], [])
-        waiting = dict(zip(seqs, times, strict=True))
-        for frame in frames:
-            for seq, us in zip(frame["txn_seq"], frame["event_us"], strict=True):
+    def __init__(self, first_seq: int) -> None:
+        self.first_seq = first_seq
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "next_seq long, mark_us long")
+        self.waiting = handle.getMapState("waiting", "txn_seq long", "event_us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        next_seq, mark = self.done.get() if self.done.exists() else (self.first_seq, 0)
+        new: dict[int, int] = {}
+        for frame in rows:
+            for seq, us in zip(frame["txn_seq"].tolist(), frame["event_us"].tolist(), strict=True):
                 if seq >= next_seq:
-                    waiting.setdefault(int(seq), int(us))
-        done = []
-        while next_seq in waiting:
-            mark = max(mark, waiting.pop(next_seq))
-            done.append((key[0], next_seq, mark))
+                    new.setdefault(seq, us)
+        out = []
+        while True:
+            # What waited came before what is new: of repeated cells the first counts.
+            if self.waiting.containsKey((next_seq,)):
+                (us,) = self.waiting.getValue((next_seq,))
+                self.waiting.removeKey((next_seq,))
+                new.pop(next_seq, None)
+            elif next_seq in new:
+                us = new.pop(next_seq)
+            else:
+                break
+            mark = max(mark, us)
+            out.append((key[0], next_seq, mark))
             next_seq += 1
-        state.update((next_seq, mark, list(waiting), list(waiting.values())))
-        yield pd.DataFrame(done, columns=["group_id", "txn_seq", "commit_us"])
+        for seq, us in new.items():
+            if not self.waiting.containsKey((seq,)):
+                self.waiting.updateValue((seq,), (us,))
+        self.done.update((next_seq, mark))
+        yield pd.DataFrame(out, columns=["group_id", "txn_seq", "commit_us"])
+
+    def close(self) -> None:
+        pass
 
-    return cells.groupBy("group_id").applyInPandasWithState(step, COMMIT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+def ordered_commits(cells: DataFrame, first_seq: int = 1) -> DataFrame:
+    """Commits of each group in transaction order, from cells (group_id, txn_seq, event_us) that may arrive out of order.
+
+    A transaction is committed when all before it are; it waits in the group's state until
+    then, however many wait. Repeated cells count once. commit_us is the group's mark: the largest event time
+    committed so far. Needs the RocksDB state store, which is set for the session where nothing is.
+    """
+    spark = cells.sparkSession
+    if ROCKSDB not in spark.conf.get(PROVIDER, ""):
+        spark.conf.set(PROVIDER, ROCKSDB)
+    return cells.groupBy("group_id").transformWithStateInPandas(InOrder(first_seq), COMMIT_SCHEMA, "Append", "None")
 
 
 def marks(commits: DataFrame) -> DataFrame:
