@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import along
+from .prefix import along, running
 
 KEYS = ["tbl", "pk"]
 #: Transactions of one segment of a key's chain.
@@ -66,6 +66,25 @@ def point_as_of(changes: DataFrame, tbl: str, pk: Column, time: Column) -> DataF
     return as_of(changes.where((F.col("tbl") == tbl) & (F.col("pk") == pk)), time)
 
 
+def as_of_join(probes: DataFrame, changes: DataFrame, columns: list[str], time: str = "at", segment_days: int = 365) -> DataFrame:
+    """``probes`` (tbl, pk, a time, any other columns) with version: the key's newest version at or before each probe's time.
+
+    version is a struct of txn_seq, event_ord, row_ord, op, event_time and ``columns``; null where the key has none yet, or was deleted. Probes and
+    changes are merged into one sequence by key and time, which is cut into segments of days; each segment is scanned by itself with the
+    newest version before it carried over. So any number of probes costs one pass, and a key that holds a third of all rows is as many tasks as it has segments.
+    """
+    at, others = "_at", [c for c in probes.columns if c not in KEYS]
+    version = F.struct("txn_seq", "event_ord", "row_ord", "op", "event_time", *columns)
+    none = F.lit(None)
+    asked = F.struct(*[F.col(f"`{c}`") for c in others])
+    one = changes.select(*KEYS, F.col("event_time").alias(at), version.alias("_version"), none.cast(probes.select(asked.alias("p")).schema["p"].dataType).alias("_probe"))
+    other = probes.select(*KEYS, F.col(time).alias(at), none.cast(one.schema["_version"].dataType).alias("_version"), asked.alias("_probe"))
+    segment = F.floor(F.datediff(F.to_date(at), F.lit("1970-01-01").cast("date")) / segment_days)
+    scanned = running(one.unionByName(other), KEYS, [F.col(at), F.col("_probe").isNotNull()], segment, {"_newest": ("max", F.col("_version"))})
+    newest = F.when(F.col("_newest.op") != "D", F.col("_newest")).alias("version")
+    return scanned.where("_probe IS NOT NULL").select(*[F.col(c) if c in KEYS else F.col(f"_probe.`{c}`") for c in probes.columns], newest)
+
+
 def collapse_same_time(changes: DataFrame) -> DataFrame:
     """Of the versions of a key with one event_time, the newest only."""
     keys = [*KEYS, "event_time"]

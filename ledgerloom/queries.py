@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -296,26 +296,38 @@ def query_lag_n_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freshness.query_lag(arrivals, rows, ahead=50).select("query_id", "lag_us")
 
 
-@query("query_mix_round_robin", "SELECT query_id, CAST(unnest(range(1, n + 1)) AS INTEGER) AS repetition FROM (VALUES (1, 14), (2, 1), (3, 7)) m(query_id, n)")
+_MIX = "SELECT event_type, 50 * greatest(count(*) // 500, 1) AS freq FROM events GROUP BY event_type"
+
+
+@query("query_mix_round_robin", f"WITH m AS ({_MIX}), g AS (SELECT list_reduce(list(freq), lambda x, y: gcd(x, y)) AS unit FROM m) SELECT event_type AS query_id, CAST(unnest(range(1, CAST(freq // unit AS BIGINT) + 1)) AS INTEGER) AS repetition FROM m, g")
 def query_mix_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return freshness.round_robin(spark.createDataFrame([(1, 700), (2, 50), (3, 350)], "query_id int, freq int")).select("query_id", "repetition")
+    """How often each kind of event occurs, as the mix of a workload."""
+    counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("query_id")).agg((F.lit(50) * F.greatest(F.floor(F.count("*") / 500), F.lit(1))).cast("long").alias("freq"))
+    return freshness.round_robin(counts).select("query_id", "repetition")
 
 
-@query("queries_by_group", f"SELECT group_id, count(DISTINCT query_id) AS n_queries FROM (SELECT query_id, unnest(groups) AS group_id FROM {_QUERIES_SQL}) GROUP BY group_id")
+@query("queries_by_group", "SELECT CAST(g AS INTEGER) AS group_id, count(*) AS n_queries FROM (SELECT event_id, unnest(CASE WHEN event_type = 'error' THEN [0, 1] WHEN event_type IN ('view', 'click') THEN [0] ELSE [1] END) AS g FROM events) GROUP BY g")
 def queries_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.queries_by_group(_queries(spark))
+    """Every event asks for groups; those of one kind for a group twice."""
+    kind, group = F.col("event_type"), lambda *ids: F.array(*[F.lit(i) for i in ids])
+    groups = F.when(kind == "error", group(0, 1)).when(kind.isin("view", "click"), group(0, 0)).otherwise(group(1))
+    return metrics.queries_by_group(table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), groups.alias("groups")))
 
 
-@query("groups_of_query", "SELECT * FROM (VALUES (1, '0'), (2, '0,1'), (3, '-1')) q(query_id, groups)")
+@query("groups_of_query", f"SELECT user_id AS query_id, array_to_string(list_sort(list(DISTINCT coalesce({GROUP_OF}, -1))), ',') AS groups FROM events GROUP BY user_id")
 def groups_of_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(1, ["app.view", "app.click"]), (2, ["app.view", "app.signup"]), (3, ["app.error"])], "query_id int, tables array<string>")
+    """A user's query reads the tables of the user's events; errors have no group."""
+    asked = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("query_id")).agg(F.collect_set(F.concat(F.lit("app."), "event_type")).alias("tables"))
     return routing.groups_of_query(asked, groups_e(spark)).select("query_id", F.array_join(F.col("groups").cast("array<string>"), ",").alias("groups"))
 
 
-@query("sql_tables", "SELECT * FROM (VALUES (1, 'tpcc.a,tpcc.b'), (2, 'x,y'), (3, 'base,d.z')) t(query_id, tables)")
+@query("sql_tables", "SELECT event_type AS kind, 'app.' || event_type || ',base,d.' || event_type || '_more' AS tables, count(*) AS n FROM events GROUP BY event_type")
 def sql_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statements = ["SELECT * FROM tpcc.a, tpcc.b WHERE a.i = b.i", "SELECT i FROM x WHERE i IN (SELECT j FROM y)", "WITH c AS (SELECT * FROM base) SELECT * FROM c JOIN d.z ON c.i = z.i"]
-    return spark.createDataFrame([(i + 1, ",".join(freshness.tables_of_sql(spark, s))) for i, s in enumerate(statements)], "query_id int, tables string")
+    """The tables of a statement for each kind of event (with a join, a subquery and a CTE), and how many events ask it."""
+    asked = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    text = "WITH c AS (SELECT * FROM base WHERE i IN (SELECT j FROM d.{0}_more)) SELECT * FROM c JOIN app.{0} z ON c.i = z.i"
+    rows = [(r.kind, ",".join(freshness.tables_of_sql(spark, text.format(r.kind))), r.n) for r in asked.collect()]  # a row for each kind
+    return spark.createDataFrame(rows, "kind string, tables string, n long")
 
 
 @query("admitted_queries", "SELECT event_id, CAST(floor(event_id / 14.4) AS BIGINT) AS n_admitted FROM events")
@@ -323,15 +335,18 @@ def admitted_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", freshness.admitted(F.col("event_id")).cast("long").alias("n_admitted"))
 
 
-@query("parse_trace_line", "SELECT * FROM (VALUES (CAST(100 AS BIGINT), 'a,b'), (250, 'c'), (300, '')) t(arrival, tables)")
+@query("parse_trace_line", "SELECT event_id AS arrival, CASE event_id % 3 WHEN 0 THEN 'app.' || event_type || ',app.users' WHEN 1 THEN 'app.users' ELSE '' END AS tables FROM events WHERE event_id % 7 <> 0")
 def parse_trace_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([("100,a,b,",), ("250,c",), ("",), ("300,",)], "value string")
+    """A line for each event: with two tables and a trailing comma, with one, with none; some are empty."""
+    e = F.col("event_id")
+    tables = F.when(e % 3 == 0, F.concat(F.lit(",app."), "event_type", F.lit(", app.users,"))).when(e % 3 == 1, F.lit(",app.users")).otherwise(F.lit(","))
+    lines = table(spark, sf_dir, "events").select(F.when(e % 7 == 0, "").otherwise(F.concat(e.cast("string"), tables)).alias("value"))
     return traces.parse_arrivals(lines).select("arrival", F.array_join("tables", ",").alias("tables"))
 
 
-@query("parse_sql_trace", "SELECT TIMESTAMP '2021-04-07 09:05:03' AS query_time, 'SELECT a, b FROM t' AS sql")
+@query("parse_sql_trace", "SELECT CAST(date_trunc('second', ts) AS TIMESTAMP) AS query_time, 'SELECT value, props FROM ' || event_type AS sql FROM events")
 def parse_sql_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([("2021-4-7 9:5:3,SELECT a, b FROM t",)], "value string")
+    lines = table(spark, sf_dir, "events").select(F.concat(F.date_format("ts", "y-M-d H:m:s"), F.lit(",SELECT value, props FROM "), "event_type").alias("value"))
     return traces.parse_sql_lines(lines).select(F.col("query_time").cast("timestamp_ntz").alias("query_time"), "sql")
 
 
@@ -396,32 +411,57 @@ def throughput_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- decoders --------------------------------------------------------------------------------------
 
 
-def _bytes(spark: SparkSession, *rows: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame([tuple(bytearray.fromhex(x) for x in r) for r in rows], ", ".join(f"b{i} binary" for i in range(len(rows[0]))))
+def _le(x: Column, size: int) -> Column:
+    """The low bytes of a number, the least first."""
+    digits = F.lpad(F.hex(x.cast("bigint")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(size)]))
 
 
-@query("decode_integers", "SELECT CAST(-2 AS BIGINT) AS medium, CAST(16777214 AS BIGINT) AS umedium, CAST(-1 AS BIGINT) AS big, CAST(18446744073709551615 AS DECIMAL(20,0)) AS ubig, CAST(200 AS BIGINT) AS utiny, CAST(-56 AS BIGINT) AS tiny")
-def decode_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, m, b, t = _bytes(spark, ("FEFFFF", "FFFFFFFFFFFFFFFF", "C8")), F.col("b0"), F.col("b1"), F.col("b2")
-    return d.select(native.int_le(m, 0, 3).alias("medium"), native.uint_le(m, 0, 3).alias("umedium"), native.int_le(b, 0, 8).alias("big"), native.uint_le(b, 0, 8).alias("ubig"), native.uint_le(t, 0, 1).alias("utiny"), native.int_le(t, 0, 1).alias("tiny"))
+def _be(x: Column, size: int) -> Column:
+    return F.unhex(F.substring(F.lpad(F.hex(x.cast("bigint")), 16, "0"), 17 - 2 * size, 2 * size))
 
 
-@query("decode_temporal", "SELECT DATE '2021-04-27' AS d, TIMESTAMP '2021-04-27 12:34:56' AS dt, CAST(1619526896 AS BIGINT) AS ts, '12:34:56' AS t, CAST(NULL AS DATE) AS zero_d")
-def decode_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _bytes(spark, ("9BCA0F", "99A976C8B8", "608804F0", "40E201", "000000"))
-    return d.select(native.date_value(F.col("b0")).alias("d"), native.datetime_value(F.col("b1")).alias("dt"), F.unix_timestamp(native.timestamp_value(F.col("b2"))).alias("ts"), native.time_text(F.col("b3")).alias("t"), native.date_value(F.col("b4")).alias("zero_d"))
+@query("decode_integers", "SELECT o_orderkey, k AS medium, CASE WHEN k < 0 THEN k + 16777216 ELSE k END AS umedium, k * 1000003 AS big, CAST(CASE WHEN k < 0 THEN k * 1000003::HUGEINT + 18446744073709551616 ELSE k * 1000003 END AS DECIMAL(20,0)) AS ubig, (k + 25600000) % 256 AS utiny, CASE WHEN (k + 25600000) % 256 > 127 THEN (k + 25600000) % 256 - 256 ELSE (k + 25600000) % 256 END AS tiny FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -o_orderkey END AS k FROM orders)")
+def decode_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of both signs as the format writes them, and read back."""
+    k = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).otherwise(-F.col("o_orderkey"))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", _le(k, 3).alias("m"), _le(k * 1000003, 8).alias("b"), _le(k, 1).alias("t"))
+    m, b, t = F.col("m"), F.col("b"), F.col("t")
+    return d.select("o_orderkey", native.int_le(m, 0, 3).alias("medium"), native.uint_le(m, 0, 3).alias("umedium"), native.int_le(b, 0, 8).alias("big"), native.uint_le(b, 0, 8).alias("ubig"), native.uint_le(t, 0, 1).alias("utiny"), native.int_le(t, 0, 1).alias("tiny"))
 
 
-@query("decode_decimal", "SELECT CAST(1234567890.1234 AS DECIMAL(14,4)) AS a, CAST(-1234567890.1234 AS DECIMAL(14,4)) AS b")
+@query("decode_temporal", "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CAST(ts AS DATE) END AS d, CASE WHEN event_id % 5 > 0 THEN CAST(date_trunc('second', ts) AS TIMESTAMP) END AS dt, CASE WHEN event_id % 5 > 0 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS ts, CASE WHEN event_id % 2 = 0 AND event_id % 5 > 0 THEN '-' ELSE '' END || CASE WHEN event_id % 5 > 0 THEN strftime(ts, '%H:%M:%S') ELSE '00:00:00' END AS t FROM events")
+def decode_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of events as DATE, DATETIME, TIMESTAMP and TIME (of both signs), and zero values among them."""
+    at, some = F.col("ts"), F.col("event_id") % 5 > 0
+    y, mo, da, h, mi, sec = (f(at).cast("bigint") for f in (F.year, F.month, F.dayofmonth, F.hour, F.minute, F.second))
+    zero = lambda x: F.when(some, x).otherwise(F.lit(0))
+    date = _le(zero(y * 512 + mo * 32 + da), 3)
+    moment = _be(zero(((y * 13 + mo) * 32 + da) * (1 << 17) + h * 4096 + mi * 64 + sec) + F.lit(1 << 39), 5)
+    stamp = _be(zero(F.unix_timestamp(at.cast("timestamp"))), 4)
+    time = _le(zero((h * 10000 + mi * 100 + sec) * F.when(F.col("event_id") % 2 == 0, -1).otherwise(1)), 3)
+    d = table(spark, sf_dir, "events").select("event_id", date.alias("d"), moment.alias("dt"), stamp.alias("s"), time.alias("t"))
+    return d.select("event_id", native.date_value(F.col("d")).alias("d"), native.datetime_value(F.col("dt")).alias("dt"), F.unix_timestamp(native.timestamp_value(F.col("s"))).alias("ts"), native.time_text(F.col("t")).alias("t"))
+
+
+@query("decode_decimal", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * CAST(o_totalprice AS DECIMAL(10,2)) AS DECIMAL(14,4)) AS price FROM orders")
 def decode_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _bytes(spark, ("810DFB38D204D2", "7EF204C72DFB2D"))
-    return d.select(native.decimal_value(F.col("b0"), 14, 4).alias("a"), native.decimal_value(F.col("b1"), 14, 4).alias("b"))
+    """Packed decimals of both signs, of a log, decoded by Spark expressions."""
+    sign = F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice").cast("decimal(10,2)") * sign).cast("decimal(14,4)").alias("price"))
+    events = spark.read.format("binlog").load(_write_log(spark, orders, "orders", "o_orderkey", 1)).where("event_type = 30")
+    return events.select(native.int_le(F.col("payload"), 13, 8).alias("o_orderkey"), native.decimal_value(F.substring("payload", 22, 7), 14, 4).alias("price"))
 
 
-@query("decimal_roundings", "SELECT * FROM (VALUES (CAST(2.5 AS DOUBLE), 2.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 3.0::DOUBLE, 2.0::DOUBLE), (-2.5, -2.0, -2.0, -3.0, -2.0, -3.0), (3.5, 3.0, 4.0, 4.0, 4.0, 3.0)) t(x, truncate, half_even, half_up, ceiling, floor)")
+@query(
+    "decimal_roundings",
+    "SELECT l_orderkey, l_linenumber, CAST(trunc(x) AS DOUBLE) + 0 AS truncate, CAST(round_even(x, 0) AS DOUBLE) + 0 AS half_even, CAST(round(x, 0) AS DOUBLE) + 0 AS half_up, CAST(ceil(x) AS DOUBLE) + 0 AS ceiling, CAST(floor(x) AS DOUBLE) + 0 AS floor FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN l_quantity / 2 ELSE -l_quantity / 2 END AS x FROM lineitem)",
+)
 def decimal_roundings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.sql("SELECT CAST(x AS DECIMAL(10,2)) AS x FROM VALUES (2.5), (-2.5), (3.5) t(x)")
-    return d.select(F.col("x").cast("double").alias("x"), *[f(F.col("x"), 0).cast("double").alias(k) for k, f in native.ROUNDINGS.items()])
+    """Halves of quantities, of both signs: ties in every rounding."""
+    half = F.col("l_quantity").cast("decimal(10,2)") / 2
+    x = F.when(F.col("l_orderkey") % 2 == 0, half).otherwise(-half).cast("decimal(12,4)")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[f(x, 0).cast("double").alias(k) for k, f in native.ROUNDINGS.items()])
 
 
 @query(
@@ -468,31 +508,33 @@ def decimal_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").agg(F.round(F.sum(x).cast("double"), 2).alias("total"), F.count_if(x % 3 < 1).alias("n_low"))
 
 
-@query("crc_check", "SELECT * FROM (VALUES (1, TRUE), (2, FALSE)) t(id, ok)")
+@query("crc_check", "SELECT event_id, event_id % 3 > 0 AS ok FROM events")
 def crc_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import zlib
+    """Texts with their checksums behind them, every third changed after it was summed."""
+    text = F.encode("props", "UTF-8")
+    tail = _le(F.crc32(text), 4)
+    d = table(spark, sf_dir, "events").select("event_id", F.concat(F.when(F.col("event_id") % 3 == 0, F.overlay(text, F.encode(F.lit("~"), "UTF-8"), 1)).otherwise(text), tail).alias("event"))
+    return d.select("event_id", native.crc_ok(F.col("event"), F.octet_length("event")).alias("ok"))
 
-    good = b"ledger" + zlib.crc32(b"ledger").to_bytes(4, "little")
-    d = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"x" + good[1:]))], "id int, event binary")
-    return d.select("id", native.crc_ok(F.col("event"), F.octet_length("event")).alias("ok"))
 
-
-@query("text_helpers", "SELECT '00112233-4455-6677-8899-aabbccddeeff' AS sid, CAST(524311 AS BIGINT) AS version, CAST(1619526896 AS BIGINT) AS epoch")
+@query("text_helpers", "SELECT event_id, regexp_replace(md5(props), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') AS sid, (CAST(8 * 256 + event_id % 7 AS BIGINT) * 256 + event_id % 50) AS version, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events")
 def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _bytes(spark, ("00112233445566778899AABBCCDDEEFF",))
-    return d.select(native.uuid_text(F.col("b0")).alias("sid"), native.version_product(F.lit("8.0.23-log")).alias("version"), native.epoch_of_text(F.lit("2021-4-27 12:34:56")).alias("epoch"))
+    e = F.col("event_id")
+    version = F.concat(F.lit("8."), (e % 7).cast("string"), F.lit("."), (e % 50).cast("string"), F.lit("-log"))
+    d = table(spark, sf_dir, "events").select("event_id", F.unhex(F.md5(F.encode("props", "UTF-8"))).alias("b"), version.alias("v"), F.date_format("ts", "y-M-d H:m:s").alias("at"))
+    return d.select("event_id", native.uuid_text(F.col("b")).alias("sid"), native.version_product(F.col("v")).alias("version"), native.epoch_of_text(F.col("at")).alias("epoch"))
 
 
 # ---- log files -------------------------------------------------------------------------------------
 
 
-def _write_log(spark: SparkSession, rows: DataFrame, name: str, key: str, batch: int, time: str | None = None, **options: str) -> str:
-    """Write a table as log files (one for each partition of ``rows``) to the shared folder."""
+def _write_log(spark: SparkSession, rows: DataFrame, name: str, key: str, batch: int, time: str | None = None, to: str | None = None, mode: str = "append", **options: str) -> str:
+    """Write a table as log files (one for each partition of ``rows``) to the shared folder, or to a given one."""
     binlog.register(spark)
-    path = fresh_path(spark, f"log-{name}")
+    path = to or fresh_path(spark, f"log-{name}")
     writer = rows.write.format("binlog").option("db", "shop").option("table", name).option("primaryKey", key).option("batch", batch).options(**options)
     writer = writer.option("eventTime", time) if time else writer
-    writer.mode("append").save(path)
+    writer.mode(mode).save(path)
     return path
 
 
@@ -515,11 +557,70 @@ def log_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("log_replay_latest", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
 def log_replay_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
-    path = _write_log(spark, orders, "orders", "o_custkey", 10, "o_orderdate")
+    """The newest row of each key, from typed columns."""
+    schema = "o_orderkey long, o_custkey long, o_totalprice double"
+    return replay.latest_rows(spark, _orders_log(spark, sf_dir), "shop.orders", schema, ["o_custkey"])
+
+
+def _orders_log(spark: SparkSession, sf_dir: str) -> str:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders = orders.repartitionByRange(spark.sparkContext.defaultParallelism, "o_orderkey").sortWithinPartitions("o_orderkey")
+    return _write_log(spark, orders, "orders", "o_custkey", 10, "o_orderdate")
+
+
+@query("log_replay_images", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
+def log_replay_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a replay of all tables, whose rows are images in JSON."""
     groups = routing.table_groups(spark, [["shop.orders"]])
     schema = T.StructType.fromDDL("o_orderkey long, o_custkey long, o_totalprice double")
-    return replay.replay_log(spark, path, groups).latest().select(F.from_json("after", schema).alias("row")).select("row.*")
+    return replay.replay_log(spark, _orders_log(spark, sf_dir), groups).latest().select(F.from_json("after", schema).alias("row")).select("row.*")
+
+
+@query("log_one_long_file", "SELECT o_orderkey, o_custkey, o_totalprice, (row_number() OVER (ORDER BY o_orderkey) - 1) // 20 + 1 AS txn_no FROM orders")
+def log_one_long_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file, read in splits of 64 kB: each row once, with its transaction's number in the whole file."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey").coalesce(1)
+    rows = binlog.table_rows(spark, _write_log(spark, orders, "orders", "o_orderkey", 20), "shop.orders", "o_orderkey long, o_custkey long, o_totalprice double", 1 << 16, ["_txn_no"])
+    return rows.withColumnRenamed("_txn_no", "txn_no")
+
+
+@query("log_typed_rows", f"SELECT {OP} AS op, event_id, user_id, event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value, CASE WHEN {OP} = 'U' THEN event_id - 1 WHEN {OP} = 'D' THEN event_id END AS old_event_id, ts AS at FROM events")
+def log_typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three operations in typed columns, with a column as it was before."""
+    rows = binlog.table_rows(spark, _write_changes(spark, sf_dir), "shop.users", f"{CHANGED}, at timestamp_ntz, _before_event_id long", meta=["_op"])
+    return rows.select(F.col("_op").alias("op"), "event_id", "user_id", "event_type", "value", F.col("_before_event_id").alias("old_event_id"), "at")
+
+
+@query("log_appended_halves", "SELECT o_orderkey, o_custkey FROM orders")
+def log_appended_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder that is overwritten, appended to twice, and read."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    path = _write_log(spark, orders.limit(10), "orders", "o_orderkey", 5)
+    for half, mode in ((0, "overwrite"), (1, "append")):
+        _write_log(spark, orders.where(F.col("o_orderkey") % 2 == half), "orders", "o_orderkey", 100, to=path, mode=mode)
+    return binlog.table_rows(spark, path, "shop.orders", "o_orderkey long, o_custkey long", meta=[])
+
+
+@query("log_followed", f"SELECT {OP} AS op, event_id, user_id FROM events")
+def log_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log followed as a stream, which is stopped and begun again where it was, while files are added."""
+    e = table(spark, sf_dir, "events").select(F.expr(OP).alias("op"), "event_id", "user_id")
+    path, at, out = (fresh_path(spark, f"follow-{x}") for x in ("log", "checkpoint", "rows"))
+    for third in range(3):
+        _write_log(spark, e.where(F.col("event_id") % 3 == third), "users", "user_id", 50, to=path, op="op")
+        stream = spark.readStream.format("binlog").schema("_op string, event_id long, user_id long").options(mode="rows", table="shop.users", stateLocation=f"{at}-state").load(path)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", at).option("path", out).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema("_op string, event_id long, user_id long").parquet(out).withColumnRenamed("_op", "op")
+
+
+@query("temporal_join", "SELECT e.event_id, max(o.o_orderkey) AS o_orderkey, arg_max(o.o_totalprice, o.o_orderkey) AS o_totalprice FROM events e LEFT JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts - INTERVAL 26 YEAR + INTERVAL (e.event_id % 2000) DAY GROUP BY e.event_id")
+def temporal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event probes log O at a time of its own: the version of its user's row then."""
+    at = F.col("ts") - F.expr("INTERVAL '26' YEAR") + F.make_dt_interval((F.col("event_id") % 2000).cast("int"))
+    probes = table(spark, sf_dir, "events").select("event_id", F.lit("shop.orders").alias("tbl"), F.col("user_id").alias("pk"), at.alias("at"))
+    found = versions.as_of_join(probes, log_o(spark, sf_dir), ["o_totalprice"], segment_days=64)
+    return found.select("event_id", F.col("version.txn_seq").alias("o_orderkey"), "version.o_totalprice")
 
 
 # Every event changes the row of its user: all three operations, nulls, and both images of updates.
