@@ -5,13 +5,14 @@ above ``max_epochs`` times the source's own size is clamped there, and what is c
 goes to the other sources in proportion to their weights; this repeats until no share is
 above its cap. A document of a source with target t and size s is then taken t / s
 times: the whole repetitions, and a fractional repetition: a seeded run of consecutive
-words that is as long as the fraction says, rounded up or down by a coin seeded with doc_id and text. So each
-source comes within a few words of its target whatever the sizes of its documents.
+words that is as long as the fraction says, rounded up or down by a coin seeded with doc_id and text. Rows that are repeated
+(source, doc_id and text alike) would all be rounded alike; they are numbered, and the running sum over them is rounded, so that together they take what
+they should. So each source comes within a few words of its target whatever the sizes of its documents and however often one is repeated.
 
 Only three sums per round reach the driver; sources are ranked and clamped as rows.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ranked last;
-a source of size 0 has target 0; repeated rows are documents of their own (and take alike);
+a source of size 0 has target 0; repeated rows are documents of their own (which of them takes a word more than another is arbitrary, how many do is not);
 an empty table gives an empty result; further columns pass through ``mix`` untouched, and
 columns named like its results are replaced.
 """
@@ -22,8 +23,9 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import carried, documents, materialize, ranked, uniform, words_of
 
@@ -77,9 +79,39 @@ def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = SEED, weigh
     out = sized.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    part = F.floor((rate - whole) * F.col("size") + uniform(F.col("doc_id"), F.xxhash64("text"), seed=seed))
+    share, coin = (rate - whole) * F.col("size"), uniform(F.col("doc_id"), F.xxhash64("text"), seed=seed)
+    numbered = with_copies(out.select("*", *_keys()), sized)
+    part = F.floor((F.col("_copy") + 1) * share + coin) - F.floor(F.col("_copy") * share + coin)
     taken = F.least(whole * F.col("size") + F.least(part, F.col("size")), (F.col("size") * float(max_epochs)).cast("long"))
-    return restored(out.withColumn("taken", taken.cast("long")), *RESULTS)
+    return restored(numbered.withColumn("taken", taken.cast("long")), *RESULTS)
+
+
+#: Two hashes of what makes rows repeated ones: source, doc_id and text, nulls told apart.
+_SAME = ["source", "doc_id", "text"]
+
+
+def _keys() -> list[Column]:
+    return [F.xxhash64(F.lit(n), *[x for c in _SAME for x in (F.col(c).isNull(), F.col(c))]).alias(f"_k{n}") for n in (1, 2)]
+
+
+def with_copies(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (with _k1 and _k2) with _copy: the number, from 0, of a row among those that are repeated; 0 for all others.
+
+    Only repeated rows are moved. They are numbered within the partition that they were read in, behind the counts of the partitions before, so a row
+    that makes a third of the table is numbered by as many tasks as have read it.
+    """
+    repeated = materialize(docs.groupBy(*_keys()).agg(F.count("*").alias("_n")).where("_n > 1").select("_k1", "_k2"), "mix-repeated")
+    if not repeated.take(1):
+        return rows.withColumn("_copy", F.lit(0).cast("long"))
+    keys = ["_k1", "_k2"]
+    many = materialize(rows.join(repeated, keys, "left_semi").withColumn("_part", F.spark_partition_id()), "mix-copies")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = many.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rest = [F.xxhash64("_rest")] if "_rest" in many.columns else [F.col("_k1")]
+    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*rest))
+    numbered = many.withColumn("_own", own).join(materialize(counts, "mix-counts"), [*keys, "_part"]).withColumn("_copy", F.col("_before") + F.col("_own") - 1)
+    once = rows.join(repeated, keys, "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    return once.unionByName(numbered.select(*once.columns))
 
 
 def repetitions(mixed: DataFrame, seed: int = SEED) -> DataFrame:
