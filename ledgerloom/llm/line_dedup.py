@@ -6,8 +6,8 @@ the smallest document that holds the line. New runs enter level 0; when a level
 once per level. A batch of documents is handled by merging its own aggregated hashes
 against the runs (a sort-merge join; the runs' buckets need no sort and, where the
 counts agree, no shuffle): hashes in no run are new and form the batch's run, hashes in a
-run are repeats. Batches come in ascending order of doc_id, so the run that has a hash
-has it from a smaller document.
+run are repeats, but for the document that the run has them from. Batches come in ascending order of doc_id, so the run that has a hash
+has it from a smaller document, or from the same one where a batch is handed in again.
 
 Which lines count: a line's key is the line without ASCII white space at its ends and with
 A-Z in lower case; keys with at least ``MIN_KEY`` code points that at least two documents
@@ -129,7 +129,8 @@ def hashed_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
 def dropped_lines(docs: DataFrame, runs: LineRuns, min_key: int = MIN_KEY) -> DataFrame:
     """The lines (_doc, _text, pos) that one batch loses; its new hashes become a run.
 
-    The batch's doc_ids must be above those of earlier batches, null last.
+    The batch's doc_ids must be above those of earlier batches, null last; but a batch may be handed in again (after a failure, say): a
+    document keeps the lines that a run has from itself.
     """
     lines = materialize(hashed_lines(docs, min_key), "lines-hashed")
     own = lines.groupBy("h1", "h2").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
@@ -138,9 +139,10 @@ def dropped_lines(docs: DataFrame, runs: LineRuns, min_key: int = MIN_KEY) -> Da
     for run in runs.each():
         fresh = fresh.join(run, ["h1", "h2"], "left_anti")
     fresh = materialize(fresh, "lines-fresh")
-    old = own.join(fresh, ["h1", "h2"], "left_anti").select("h1", "h2", F.lit(None).cast("long").alias("keep"))
-    repeats = old.unionByName(fresh.where(F.col("first") < F.col("last")).select("h1", "h2", F.col("first").alias("keep")))
-    gone = lines.join(repeats, ["h1", "h2"]).where(F.col("keep").isNull() | (F.col("_doc") != F.col("keep")))
+    repeats = fresh.where(F.col("first") < F.col("last")).select("h1", "h2", F.col("first").alias("keep"))
+    for run in runs.each():
+        repeats = repeats.unionByName(own.select("h1", "h2").join(run.withColumnRenamed("first", "keep"), ["h1", "h2"]))
+    gone = lines.join(repeats, ["h1", "h2"]).where(F.col("_doc") != F.col("keep"))
     gone = materialize(gone.select("_doc", "_text", "pos"), "lines-gone")
     runs.add(fresh)
     return gone
@@ -157,19 +159,21 @@ def dedup_lines(docs: DataFrame, runs: LineRuns | None = None, batches: int = BA
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], F.lit(1000))).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     doc, gone = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), None
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = docs if low is None else docs.where(doc > low)
-        part = part if high is None else part.where(F.col("doc_id") <= high)
-        part = dropped_lines(part.select("doc_id", "text"), runs, min_key)
-        gone = part if gone is None else gone.unionByName(part)
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            part = docs if low is None else docs.where(doc > low)
+            part = part if high is None else part.where(F.col("doc_id") <= high)
+            part = dropped_lines(part.select("doc_id", "text"), runs, min_key)
+            gone = part if gone is None else gone.unionByName(part)
+    finally:
+        if own:
+            runs.close()  # what the batches lose is written down by now
     lost = gone.groupBy("_doc", "_text").agg(F.collect_set("pos").alias("_gone"))
     out = _with_ids(docs).join(lost, ["_doc", "_text"], "left")
     out = out.withColumn("_lines", _lines(F.col("text"))).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
     out = out.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", F.size("_gone").cast("long"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.size("_gone") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    if own:
-        runs.close()  # what the batches lose is written down by now
     return restored(out.withColumn("text", text), *RESULTS)
 
 

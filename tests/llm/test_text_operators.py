@@ -129,6 +129,14 @@ def test_coded_ids(spark, docs, none, real, library, tmp_path) -> None:  # noqa:
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, rows), key=str)
     assert rows[2].n_tokens == 1 and sum(r.n_tokens for r in rows) == rows[-1].start + rows[-1].n_tokens
     assert dac.token_at(spark, folder, rows[1].start - 1) == 0
+    # Runs that the compiled splitter fails on, and very long words.
+    long = [" " * 2_000_000, "\n" * 1_200_000 + "b", "\t " * 600_000, "a" + "\u3000" * 1_100_000 + "a", "x" * 1_000_000, "<|endoftext|>" + " " * 5000 + "<|endoftext|> é"]
+    rows = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").coalesce(2)
+    dac.write_ids(rows, folder + "-long")
+    got = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in dac.read_ids(spark, folder + "-long").orderBy("doc_id").collect()]
+    for (i, n, crc), text in zip(got, long, strict=True):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (n, crc) == (len(ids), zlib.crc32(ids.tobytes())), i
     assert dac.token_at(spark, folder, 1) == library.encode(TEXTS[0][1], add_special_tokens=False).ids[1]
     with pytest.raises(IndexError):
         dac.token_at(spark, folder, 10**9)
@@ -317,6 +325,24 @@ def test_battery_tells_random_from_text(spark) -> None:  # noqa: ANN001
     assert sum(t in passed for t in random) >= 57 and not any(w in passed for w in words)
 
 
+def test_a_batch_of_lines_that_is_handed_in_again(spark, tmp_path) -> None:  # noqa: ANN001
+    """The second time gives what the first gave, whichever batch it is; runs that are opened anew too."""
+    text = lambda *lines: "\n".join(f"a line of some length, number {i}" for i in lines)
+    batches = [[(1, text(1, 2, 3)), (2, text(3, 4))], [(3, text(1, 5)), (4, text(5, 5, 6))], [(5, text(6, 7)), (None, text(7, 8))]]
+    frames = [spark.createDataFrame(b, "doc_id long, text string") for b in batches]
+    path = f"file://{tmp_path}/runs"
+    clean = lambda df, runs: _sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(df, runs, 1).collect())
+    runs = line_dedup.LineRuns(spark, path)
+    first = [clean(df, runs) for df in frames]
+    assert [r[2] for b in first for r in b] == [0, 1, 1, 2, 1, 1] or sorted(r[2] for b in first for r in b) == [0, 1, 1, 1, 1, 2]
+    assert [clean(df, runs) for df in frames] == first and clean(frames[0], runs) == first[0]
+    runs.close()
+    again = line_dedup.LineRuns(spark, path)
+    assert [clean(df, again) for df in frames] == first
+    again.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
 # ---- operator 8 -----------------------------------------------------------------------------------
 
 
@@ -351,6 +377,26 @@ def test_mixing(spark, docs, none, real) -> None:  # noqa: ANN001
     assert mixing.op8_mixing(spark, SF).count() == len(real)
 
 
+def test_mixing_of_repeated_rows_comes_near_its_target(spark) -> None:  # noqa: ANN001
+    """Equal rows are rounded together: 300 equal one-word rows of which two thirds are wanted, and rows of null ids, are not all rounded alike."""
+    rows = [(1, "word", "a", i % 2) for i in range(300)] + [(None, "one two", "b", 0)] * 101 + [(7, None, "b", 0)] * 3 + [(i, "single", "c", 0) for i in range(10, 210)] + [(5, "word", "c", 0)] * 50
+    schema = "doc_id long, text string, source string, extra int"
+    weights = spark.createDataFrame([("a", 200.0), ("b", 250.0), ("c", 302.0)], "source string, weight double")
+    taken = []
+    for parts in (1, 3, 8):
+        docs = spark.createDataFrame(rows, schema).repartition(parts)
+        out = mixing.mix(docs, weights=weights).collect()
+        assert len(out) == len(rows) and {r.extra for r in out} == {0, 1}
+        for source in "abc":
+            own = [r for r in out if r.source == source]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= (2 if source < "c" else 25), source
+        assert all(r.taken <= 3 * r.size for r in out)
+        taken.append(_sorted((r.doc_id, r.text, r.source, r.taken) for r in out))
+    assert taken[0] == taken[1] == taken[2]
+    mixed = mixing.mix(docs, weights=weights)
+    assert mixing.repetitions(mixed).where("source = 'a'").count() == sum(t[3] for t in taken[0] if t[2] == "a")
+
+
 def test_mixing_by_given_weights(spark) -> None:  # noqa: ANN001
     docs = spark.createDataFrame([(1, "a b c d", "x"), (2, "e f g h", "y")], "doc_id long, text string, source string")
     weights = spark.createDataFrame([("x", 3.0), ("y", 1.0)], "source string, weight double")
@@ -484,4 +530,4 @@ def test_every_row_of_a_document_is_cleaned(spark) -> None:  # noqa: ANN001
 
 
 def test_registry() -> None:
-    assert [f"op{i}_" for i in range(1, 11)] == [n.split("_")[0] + "_" for n in registry.QUERIES]
+    assert [f"op{i}_" for i in range(1, 14)] == [n.split("_")[0] + "_" for n in registry.QUERIES]
