@@ -67,14 +67,16 @@ def replay_changes(changes: DataFrame, groups: DataFrame, mode: str = "grouped")
     return Replay(changes, txns, groups)
 
 
-def replay_log(spark: SparkSession, path: str, groups: DataFrame, mode: str = "grouped", split_bytes: int = binlog.SPLIT_BYTES, **options: str) -> Replay:
+def replay_log(spark: SparkSession, path: str, groups: DataFrame, mode: str = "grouped", split_bytes: int = binlog.SPLIT_BYTES, once: bool = False, **options: str) -> Replay:
     """From log files. Tables are named "db.table"; a table's rows are JSON in ``after`` and ``before``.
 
     The log is read once and kept as a table in the shared folder: changes, numbered by their transactions, and the transactions' ends.
-    Changes behind a file's last end are incomplete and left out; ``problems`` has what could not be read.
+    Changes behind a file's last end are incomplete and left out; ``problems`` has what could not be read. Rows of a prepared (XA) transaction
+    take the place of its commit; they are left out if it was rolled back, or not decided yet. ``once``: of transactions with the same global identity
+    (from two copies of a log) only the first is replayed.
     """
     read = binlog.load(spark, path, split_bytes, **(options | {"mode": "replay"}))
-    return replay_read(materialize(read.drop("file"), "log-read"), groups, mode)
+    return replay_read(materialize(read.drop("file"), "log-read"), groups, mode, once)
 
 
 def latest_rows(spark: SparkSession, path: str, table: str, schema: str, keys: list[str], split_bytes: int = binlog.SPLIT_BYTES, **options: str) -> DataFrame:
@@ -102,7 +104,7 @@ def latest_rows(spark: SparkSession, path: str, table: str, schema: str, keys: l
     return newest.select(*[F.col(k) if k in keys else F.col(f"_v.`{k}`").alias(k) for k in types])
 
 
-def replay_read(read: DataFrame, groups: DataFrame, mode: str = "grouped") -> Replay:
+def replay_read(read: DataFrame, groups: DataFrame, mode: str = "grouped", once: bool = False) -> Replay:
     """From a log that the source has read in mode replay."""
     ends = read.where(F.col("op") == binlog.END)
     files = ends.groupBy("file_ord").agg(F.max("txn_no").alias("_done"))
@@ -111,12 +113,31 @@ def replay_read(read: DataFrame, groups: DataFrame, mode: str = "grouped") -> Re
     seq = (F.col("_before") + F.col("txn_no")).alias("txn_seq")
     rows = read.where(F.col("problem").isNull() & (F.col("op") != binlog.END)).drop("problem").join(files, "file_ord").where(F.col("txn_no") <= F.col("_done"))
     rows = rows.withColumn("txn_seq", seq).withColumn("tbl", F.concat_ws(".", "db", "tbl")).withColumn("event_ord", F.col("pos")).drop("db", "_done", "_before", "txn_no")
-    txns = ends.join(files, "file_ord").select(seq, "event_time")
+    ended = ends.join(files, "file_ord").select(seq, "event_time", "gtid", F.col("pk").alias("xid"), F.col("after").alias("decided"))
+    if once:
+        first = ended.where("gtid IS NOT NULL").groupBy("gtid").agg(F.min("txn_seq").alias("_first"))
+        again = materialize(ended.join(first, "gtid").where("txn_seq > _first").select("txn_seq"), "log-again")
+        ended, rows = (x.join(again, "txn_seq", "left_anti") for x in (ended, rows))
+    if ended.where("decided = 'prepare'").take(1):
+        rows = in_place_of_commit(rows, ended)
+    txns = ended.select("txn_seq", "event_time")
     out = replay_changes(rows, groups, mode)
     problems = read.where("problem IS NOT NULL").select("file_ord", "pos", "event_time", "db", "tbl", "txn_no", "problem")
     return Replay(out.changes, txns, out.groups, problems)
 
 
+def in_place_of_commit(rows: DataFrame, ended: DataFrame) -> DataFrame:
+    """``rows`` with those of prepared transactions at their commits' txn_seq; without a commit they are left out.
+
+    ``ended``: (txn_seq, xid, decided), the ends of all transactions. An identity may be used again: a prepare belongs to the next decision behind it.
+    """
+    following = F.lead(F.struct("decided", "txn_seq")).over(Window.partitionBy("xid").orderBy("txn_seq"))
+    pairs = ended.where("decided IS NOT NULL").withColumn("_next", following).where("decided = 'prepare'")
+    pairs = materialize(pairs.select("txn_seq", F.when(F.col("_next.decided") == "commit", F.col("_next.txn_seq")).alias("_committed"), F.lit(True).alias("_prepared")), "log-prepared")
+    placed = rows.join(pairs, "txn_seq", "left").where("_prepared IS NULL OR _committed IS NOT NULL")
+    return placed.withColumn("txn_seq", F.coalesce("_committed", "txn_seq")).drop("_committed", "_prepared")
+
+
 def clock_transactions(events: DataFrame) -> DataFrame:
     """(file_ord, last_committed, sequence_number) of a log's GTID events, for ``logical_clock``."""
     gtid = events.where(F.col("event_type").isin(transactions.GTID, transactions.ANONYMOUS_GTID))

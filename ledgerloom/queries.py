@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .functions import native
-from .operators import commit, freshness, logical_clock, metrics, routing, transactions, versions
+from .operators import commit, freshness, gtid, logical_clock, metrics, routing, transactions, versions
 from .plans import replay
 from .sources import binlog, catalog, traces
 from .workspace import fresh_path
@@ -614,6 +614,33 @@ def log_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("_op string, event_id long, user_id long").parquet(out).withColumnRenamed("_op", "op")
 
 
+@query("log_compressed", "SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderkey // 8 AS BIGINT) AS eighth FROM orders")
+def log_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions that are packed into one event each, in typed columns."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.expr("o_orderkey DIV 8").alias("eighth"))
+    path = _write_log(spark, orders, "orders", "o_orderkey", 50, compress="true")
+    return binlog.table_rows(spark, path, "shop.orders", "o_orderkey long, o_orderstatus string, o_totalprice double, eighth long", 1 << 18, meta=[])
+
+
+@query("log_gtid_sets", "WITH t AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 20 + 1 AS gno FROM orders), n AS (SELECT max(gno) AS m FROM t) SELECT CAST(g // 7 * 7 + 1 AS BIGINT) AS first, CAST(least(g // 7 * 7 + 6, any_value(m)) AS BIGINT) AS last FROM (SELECT DISTINCT gno AS g FROM t), n WHERE g % 7 <> 0 GROUP BY g // 7")
+def log_gtid_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals of a copy of a log that lacks every seventh transaction: what all have, less what it lacks."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").coalesce(1)
+    changes = spark.read.format("binlog").option("mode", "changes").load(_write_log(spark, orders, "orders", "o_orderkey", 20, gtids="true"))
+    numbers = gtid.split(changes)
+    every, lacking = gtid.intervals(numbers, 100), gtid.intervals(numbers.where("gno % 7 = 0"), 100)
+    return gtid.difference(every, lacking).select("first", "last")
+
+
+@query("log_twice_replayed_once", "SELECT o_orderkey, o_custkey FROM orders")
+def log_twice_replayed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with two copies of each transaction: each is replayed once."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    path = _write_log(spark, orders, "orders", "o_orderkey", 100, gtids="true")
+    r = replay.replay_log(spark, f"{path},{path}", routing.table_groups(spark, [["shop.orders"]]), once=True)
+    return r.routed().select(F.from_json("after", "o_orderkey long, o_custkey long").alias("row")).select("row.*")
+
+
 @query("temporal_join", "SELECT e.event_id, max(o.o_orderkey) AS o_orderkey, arg_max(o.o_totalprice, o.o_orderkey) AS o_totalprice FROM events e LEFT JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts - INTERVAL 26 YEAR + INTERVAL (e.event_id % 2000) DAY GROUP BY e.event_id")
 def temporal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event probes log O at a time of its own: the version of its user's row then."""

@@ -18,6 +18,10 @@ its event's checksum is right (a log that was copied from another place has such
 An update that changes the key is a delete of the old key and an insert of the new one. Columns that an image leaves out are left out of
 its JSON, so they differ from NULL (``versions.latest_columns`` puts them together).
 
+Compressed transactions (payload events) are unpacked piece by piece; their rows have the payload's position, and are numbered through it by ``row_ord``.
+``gtid`` ("server:number") is the transaction's global identity, where the log gives one. In mode replay the row that ends a transaction has, for distributed
+(XA) transactions, prepare, commit or rollback in ``after`` and the identity in ``pk``.
+
 Rows are numbered by transaction (``txn_no``, from 1 in each file) as they are read: from BEGIN to XID, or one statement outside of these.
 Table maps hold until their transaction ends. Filters on ``event_type`` are pushed down (equality and IN), before any body is decoded. Files are opened through
 Arrow's file systems, by a path or a URI (file, hdfs, s3, ...), on the executors; for stores that only Spark opens,
@@ -71,10 +75,10 @@ from ..functions import codec, columnar
 
 _ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "timestamp": pa.timestamp("us", "UTC"), "binary": pa.binary(), "boolean": pa.bool_()}
 EVENT_SCHEMA = "file string, file_ord int, pos long, end_pos long, event_time timestamp, event_type int, type_name string, server_id long, flags int, event_len long, payload binary, db string, tbl string, table_id long, detail string, corrupt boolean, unsupported boolean, ends_txn boolean"
-CHANGE_SCHEMA = "file string, file_ord int, pos long, row_ord int, event_time timestamp, db string, tbl string, op string, pk string, before string, after string, partition_id int, source_partition_id int, txn_no long, problem string"
+CHANGE_SCHEMA = "file string, file_ord int, pos long, row_ord int, event_time timestamp, db string, tbl string, op string, pk string, before string, after string, partition_id int, source_partition_id int, txn_no long, gtid string, problem string"
 SPLIT_SCHEMA = "file string, file_ord int, split int, start long, stop long, n_ends long"
 #: Columns of mode rows that tell where a row comes from.
-META = {"_op": "string", "_file_ord": "int", "_pos": "long", "_row_ord": "int", "_event_time": "timestamp", "_txn_no": "long", "_partial": "boolean", "_problem": "string"}
+META = {"_op": "string", "_file_ord": "int", "_pos": "long", "_row_ord": "int", "_event_time": "timestamp", "_txn_no": "long", "_gtid": "string", "_partial": "boolean", "_problem": "string"}
 BEFORE = "_before_"
 #: The op of a row that says where a transaction ends, in mode replay.
 END = "end"
@@ -244,6 +248,9 @@ class FileParser:
         self.format, self.tables, self.named = codec.FormatDescription(), {}, {}
         self.txn_no, self.inside = first_txn, False
         self.maps: dict[bytes, tuple[codec.TableMap, list[str]]] = {}
+        self.gtid: str | None = None
+        #: Rows of the present event so far; and what its end of a transaction means for a distributed one.
+        self.made, self.xa = 0, None
 
     def table_map(self, body: bytes) -> codec.TableMap:
         """A table map takes hold; one that came before, byte for byte, isn't parsed again."""
@@ -260,7 +267,7 @@ class FileParser:
     def passed(self, event: bytes, whole: bool) -> bool:
         """Whether a transaction ends with an event: what the numbers of later rows depend on, without its rows."""
         kind = event[4] if whole else 0
-        if kind not in (2, 15, 16, 38):
+        if kind not in (2, 15, 16, 38, codec.PAYLOAD):
             return False
         try:
             if kind == 15:
@@ -289,12 +296,18 @@ class FileParser:
         return [c.name or (given[i] if given and i < len(given) else f"c{i}") for i, c in enumerate(table.columns)]
 
     def _ends(self, kind: int, body: bytes) -> bool:
-        """Whether an event ends a transaction: XID, XA PREPARE, or a statement that isn't between BEGIN and one of these."""
-        if kind in (16, 38):
+        """Whether an event ends a transaction: XID, XA PREPARE, a payload (which holds a whole one), or a statement that isn't between BEGIN and one of these."""
+        self.xa = None
+        if kind in (16, 38, codec.PAYLOAD):
             self.inside = False
+            if kind == 38:
+                d = codec.read_detail(38, body)
+                self.xa = "commit" if d["one_phase"] else "prepare", codec.xid_text(d["gtrid"], d["bqual"], d["format_id"])
             return True
         if kind == 2:
-            query = codec.read_detail(2, body)["query"].strip().upper()
+            text = codec.read_detail(2, body)["query"].strip()
+            query = text.upper()
+            self.xa = codec.xa_decision(text) if query.startswith("XA ") else None
             if query == "BEGIN" or query.startswith(("XA START", "XA BEGIN", "START TRANSACTION")):
                 self.inside = True
             elif not self.inside or query in ("COMMIT", "ROLLBACK"):
@@ -317,12 +330,18 @@ class FileParser:
             if not corrupt and kind == 15:
                 self.format = codec.FormatDescription.read(body)
             tail = self.format.tail()
-            if not corrupt and tail and s.verify and (wanted or changes or kind in (2, 16, 38)) and not codec.crc_matches(event):
+            if not corrupt and tail and s.verify and (wanted or changes or kind in (2, 16, 38, codec.PAYLOAD)) and not codec.crc_matches(event):
                 corrupt, problem = True, "checksum"
             body = body[: len(body) - tail] if tail and kind != 15 and whole else body
             if not corrupt:
                 ends = self._ends(kind, body)
-                if kind == 19:
+                if kind in (33, 34) and changes:
+                    g = codec.read_gtid(body)
+                    self.gtid = f"{g['sid']}:{g['gno']}" if kind == 33 else None
+                self.made = 0
+                if kind == codec.PAYLOAD and changes:
+                    out = self._payload(pos, body)
+                elif kind == 19:
                     table = self.table_map(body)
                 elif kind in codec.ROW_OPS:
                     table = self.tables.get(int.from_bytes(body[:6], "little"))
@@ -336,18 +355,47 @@ class FileParser:
                     detail = codec.read_detail(kind, body)
         except (codec.Corrupt, IndexError, ValueError) as e:
             corrupt, problem, detail, out = True, str(e) or type(e).__name__, {"error": str(e)}, []
-        number = self.txn_no
+        number, gtid = self.txn_no, self.gtid
         self.txn_no += ends
         if ends:
-            self.tables, self.named = {}, {}
+            self.tables, self.named, self.gtid = {}, {}, None
         if not changes:
             if not wanted:
                 return []
             return [(self.file, self.file_ord, pos, pos + len(event), when, kind, codec.EVENT_TYPES.get(kind, "UNKNOWN"), head.server_id, head.flags, len(event), body, table and table.db, table and table.table, table and table.table_id, json.dumps(detail) if detail else None, corrupt, kind in codec.UNSUPPORTED, ends)]
         if problem:
-            out.append((self.file, self.file_ord, pos, 0, when, table and table.db, table and table.table, None, None, None, None, None, None, number, problem))
+            out.append(self._problem(pos, when, table, number, gtid, problem))
         if ends and s.mode == "replay":
-            out.append((self.file, self.file_ord, pos, 0, when, None, None, END, None, None, None, None, None, number, None))
+            decided, xid = self.xa or (None, None)
+            out.append((self.file, self.file_ord, pos, 0, when, None, None, END, xid, None, decided, None, None, number, gtid, None))
+        return out
+
+    def _problem(self, pos: int, when: dt.datetime, table: codec.TableMap | None, number: int, gtid: str | None, problem: str) -> tuple:
+        return (self.file, self.file_ord, pos, 0, when, table and table.db, table and table.table, None, None, None, None, None, None, number, gtid, problem)
+
+    def _payload(self, pos: int, body: bytes) -> list[tuple]:
+        """The rows of the events in a payload, and what of it can't be read."""
+        out: list[tuple] = []
+        head, when = codec.read_payload_head(body), None
+        try:
+            for event in codec.payload_events(body, head):
+                kind, inner, table = event[4], event[codec.HEADER_SIZE :], None
+                when = dt.datetime.fromtimestamp(int.from_bytes(event[:4], "little"), dt.timezone.utc)
+                try:
+                    if kind == 19:
+                        self.table_map(inner)
+                    elif kind in codec.ROW_OPS:
+                        table = self.tables.get(int.from_bytes(inner[:6], "little"))
+                        if table is None:
+                            raise codec.Corrupt("rows without a table map")
+                        out += self._changes(pos, kind, inner, table, when)
+                    elif kind in codec.UNSUPPORTED_ROWS:
+                        raise codec.Corrupt(f"rows of {codec.EVENT_TYPES[kind]} are not read")
+                except (codec.Corrupt, IndexError, ValueError) as e:
+                    out.append(self._problem(pos, when, table, self.txn_no, self.gtid, str(e) or type(e).__name__))
+        except codec.Corrupt as e:
+            when = when or dt.datetime.fromtimestamp(0, dt.timezone.utc)
+            out.append(self._problem(pos, when, None, self.txn_no, self.gtid, str(e)))
         return out
 
     def _changes(self, pos: int, kind: int, body: bytes, table: codec.TableMap, when: dt.datetime) -> list[tuple]:
@@ -362,7 +410,7 @@ class FileParser:
             return as_json(found) if keys else None
 
         def add(op: str, before: dict | None, after: dict | None, key: str | None) -> None:
-            out.append((self.file, self.file_ord, pos, len(out), when, table.db, table.table, op, key, as_json(before), as_json(after), head.partition_id, head.source_partition_id, self.txn_no, None))
+            out.append((self.file, self.file_ord, pos, self.made + len(out), when, table.db, table.table, op, key, as_json(before), as_json(after), head.partition_id, head.source_partition_id, self.txn_no, self.gtid, None))
 
         for first, second in codec.read_rows(kind, body, table):
             before, after = own(first, head.before), own(second, head.after)
@@ -372,6 +420,7 @@ class FileParser:
                 add("I", None, before | after, new)
             else:
                 add(op, before, after, key_of(after, before))
+        self.made += len(out)
         return out
 
 
@@ -414,10 +463,11 @@ class TypedParser(FileParser):
             self.old.cut(m)
             raise
         made = self.images.n - n
-        row = {"_op": op, "_file_ord": self.file_ord, "_pos": pos, "_event_time": when, "_txn_no": self.txn_no, "_partial": 0 in (second if op == "U" else first), "_problem": None}
+        row = {"_op": op, "_file_ord": self.file_ord, "_pos": pos, "_event_time": when, "_txn_no": self.txn_no, "_gtid": self.gtid, "_partial": 0 in (second if op == "U" else first), "_problem": None}
         for name, value in row.items():
             self.meta[name] += [value] * made
-        self.meta["_row_ord"] += range(made)
+        self.meta["_row_ord"] += range(self.made, self.made + made)
+        self.made += made
         return []
 
     def problem(self, found: tuple) -> None:
@@ -428,7 +478,7 @@ class TypedParser(FileParser):
             self.images = self.old = columnar.Images(codec.TableMap(0, "", "", []))
         for images in {id(i): i for i in (self.images, self.old if self.has_old else self.images)}.values():
             images.skip()
-        for name, value in zip(META, (None, self.file_ord, found[2], 0, found[4], found[-2], None, found[-1]), strict=True):
+        for name, value in zip(META, (None, self.file_ord, found[2], 0, found[4], found[-3], found[-2], None, found[-1]), strict=True):
             self.meta[name].append(value)
 
     def full(self) -> bool:
@@ -581,7 +631,7 @@ def transaction_end(f: Any, at: int, end: int, parser: FileParser) -> int:
         return end
     for pos, event, whole in frames.between(start, end):
         # An end for certain, whatever came before: a statement is one only outside of a transaction.
-        if whole and event[4] in (16, 38) and parser.passed(event, True):
+        if whole and event[4] in (16, 38, codec.PAYLOAD) and parser.passed(event, True):
             return pos + len(event)
     return end
 
@@ -772,7 +822,7 @@ class BinlogWriter(DataSourceWriter):
 
     Options: ``db``, ``table``, ``primaryKey`` (comma-separated), ``eventTime`` (a column), ``op``: a column with I, U or D (without it, rows are
     inserts), which isn't written; ``beforePrefix``: columns of this prefix hold a row before its update. Without them, the image before an update
-    has the key only.
+    has the key only. ``compress`` = true packs each transaction; ``gtids`` = true gives transactions global identities: each partition of a job is a server.
     """
 
     def __init__(self, options: dict[str, str], schema: Any, overwrite: bool = False) -> None:
@@ -780,6 +830,7 @@ class BinlogWriter(DataSourceWriter):
         self.path, self.db, self.table, self.time, self.batch = options["path"], get("db", "db"), get("table", "t"), get("eventtime"), int(get("batch", "100"))
         self.job, self.overwrite = uuid.uuid4().hex, overwrite
         self.op, prefix = get("op"), get("beforeprefix")
+        self.compress, self.gtids = get("compress", "false") == "true", get("gtids", "false") == "true"
         self.fields = schema.names
         own = [f for f in schema.fields if f.name != self.op and not (prefix and f.name.startswith(prefix))]
         self.names, self.types = [f.name for f in own], [f.dataType.simpleString() for f in own]
@@ -803,6 +854,7 @@ class BinlogWriter(DataSourceWriter):
         at, before_at = [place[n] for n in self.names], [place[o] if o else None for o in self.old]
         op_at, time_at = place.get(self.op), place.get(self.time)
         whole, key_only = [True] * len(columns), [i in self.keys for i in range(len(columns))]
+        sid = uuid.uuid5(uuid.UUID(self.job), str(context.partitionId())) if self.gtids else None
         iterator = iter(iterator)
         first = next(iterator, None)
         if first is None:
@@ -817,7 +869,7 @@ class BinlogWriter(DataSourceWriter):
                     n += 1
                     when = rows[-1][time_at] if time_at is not None else None
                     seconds = int(when.replace(tzinfo=dt.timezone.utc).timestamp()) if when else 0
-                    log.transaction(seconds, n - 1, n, [(self.db, self.table, self.names, columns, self.keys, list(map(change, rows)))])
+                    log.transaction(seconds, n - 1, n, [(self.db, self.table, self.names, columns, self.keys, list(map(change, rows)))], sid, n, self.compress)
                     rows = []
 
             def change(row: Any) -> tuple:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import io
 import struct
 import uuid
 import zlib
@@ -150,13 +151,46 @@ class LogWriter:
     def xid(self, seconds: int, xid: int) -> None:
         self.event(16, seconds, xid.to_bytes(8, "little"))
 
-    def transaction(self, seconds: int, last_committed: int, sequence: int, changes: list[tuple]) -> None:
-        """``changes``: (db, table, names, columns, keys, [(op, before, after), or with the columns that both images have]), written in their order."""
-        self.gtid(seconds, last_committed, sequence)
-        self.event(2, seconds, bytes(8) + b"\0\0\0\0\0\0BEGIN")
+    def transaction(self, seconds: int, last_committed: int, sequence: int, changes: list[tuple], sid: uuid.UUID | None = None, gno: int = 0, compress: bool = False, xa: tuple[bytes, bytes, int] | None = None) -> None:
+        """``changes``: (db, table, names, columns, keys, [(op, before, after), or with the columns that both images have]), written in their order.
+
+        ``sid``, ``gno``: its global identity. ``compress``: its events are packed into one. ``xa``: it is only prepared, under this identity.
+        """
+        self.gtid(seconds, last_committed, sequence, *((33, gno, sid) if sid else ()))
+        if compress:
+            import zstandard
+
+            inner = io.BytesIO()
+            nested = LogWriter.__new__(LogWriter)
+            nested.to, nested.server_id, nested.pos, nested.ids, nested.tail = inner, self.server_id, 0, self.ids, False
+            nested._body(seconds, sequence, changes, None)
+            packed, unpacked = zstandard.ZstdCompressor().compress(inner.getvalue()), len(inner.getvalue())
+            fields = [(codec.PAYLOAD_COMPRESSION, lenenc(codec.ZSTD)), (codec.PAYLOAD_UNCOMPRESSED, lenenc(unpacked)), (codec.PAYLOAD_SIZE, lenenc(len(packed)))]
+            self.event(codec.PAYLOAD, seconds, b"".join(lenenc(k) + lenenc(len(v)) + v for k, v in fields) + lenenc(codec.PAYLOAD_END) + packed)
+        else:
+            self._body(seconds, sequence, changes, xa)
+
+    def statement(self, seconds: int, query: str) -> None:
+        self.event(2, seconds, bytes(8) + b"\0\0\0\0\0\0" + query.encode())
+
+    def xa_prepare(self, seconds: int, xid: tuple[bytes, bytes, int], one_phase: bool = False) -> None:
+        gtrid, bqual, form = xid
+        self.event(38, seconds, bytes([one_phase]) + struct.pack("<iII", form, len(gtrid), len(bqual)) + gtrid + bqual)
+
+    def previous_gtids(self, seconds: int, sets: dict[uuid.UUID, list[tuple[int, int]]]) -> None:
+        body = len(sets).to_bytes(8, "little")
+        for sid, intervals in sets.items():
+            body += sid.bytes + len(intervals).to_bytes(8, "little") + b"".join(struct.pack("<qq", a, b + 1) for a, b in intervals)
+        self.event(35, seconds, body)
+
+    def _body(self, seconds: int, sequence: int, changes: list[tuple], xa: tuple[bytes, bytes, int] | None) -> None:
+        self.statement(seconds, f"XA START X'{xa[0].hex()}',X'{xa[1].hex()}',{xa[2]}" if xa else "BEGIN")
         for db, table, names, columns, keys, rows in changes:
             table_id = self.ids.setdefault((db, table), len(self.ids) + 1)
             self.table_map(seconds, table_id, db, table, names, columns, keys)
             for (op, *present), own in groupby(rows, lambda r: (r[0], *r[3:])):
                 self.rows(seconds, op, table_id, columns, [(r[1], r[2]) for r in own], 2, *present)
-        self.xid(seconds, sequence)
+        if xa:
+            self.xa_prepare(seconds, xa)
+        else:
+            self.xid(seconds, sequence)

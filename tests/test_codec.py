@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from ledgerloom.functions import codec
 from ledgerloom.functions.codec import TYPE_CODES, Column, Cursor
 from ledgerloom.sources import binlog_writer as writer
-from ledgerloom.sources.binlog import FileParser, Settings, framed
+from ledgerloom.sources.binlog import FileParser, Settings, _rows_of
 
 
 def test_known_vectors() -> None:
@@ -61,7 +61,7 @@ def test_decimal_round_trip(precision: int, data: st.DataObject) -> None:
 
 def _parse(data: bytes, mode: str = "events", **more: object) -> list[tuple]:
     parser = FileParser("f", 0, Settings(mode, **more))
-    return [r for pos, event, whole in framed(io.BytesIO(data)) for r in parser.rows(pos, event, whole)]
+    return [r for rows in _rows_of(parser, io.BytesIO(data)) for r in rows]
 
 
 COLUMNS = [Column(TYPE_CODES[k], m) for k, m in (("int", 0), ("varchar", 400), ("datetime", 6), ("timestamp", 3), ("date", 0), ("double", 0), ("decimal", 14 << 8 | 4), ("bigint", 0), ("blob", 2))]
@@ -135,7 +135,10 @@ def test_other_events() -> None:
     log.event(27, 0, b"log.000001")
     log.event(38, 0, b"\1" + (5).to_bytes(4, "little") + (2).to_bytes(4, "little") + (1).to_bytes(4, "little") + b"ggb")
     log.event(37, 0, b"view".ljust(40, b"\0") + (9).to_bytes(8, "little") + (1).to_bytes(4, "little") + b"\1\0k\2\0vv")
+    log.event(39, 0, b"zzzz")
     log.event(40, 0, b"zzzz")
+    log.event(36, 0, b"\2" + (7).to_bytes(4, "little") + b"\1" + b"".join(n.to_bytes(4, "little") for n in (3, 1, 2)) + b"ab")
+    log.previous_gtids(0, {uuid.UUID(int=7): [(1, 4), (9, 9)]})
     log.event(200, 0, b"")
     import json
 
@@ -146,7 +149,9 @@ def test_other_events() -> None:
     assert detail["ROWS_QUERY"] == {"query": "SELECT 1"} and detail["INCIDENT"] == {"incident": 1, "message": "abc"}
     assert detail["HEARTBEAT"] == {"log": "log.000001"} and detail["XA_PREPARE"]["gtrid"] == b"gg".hex()
     assert detail["VIEW_CHANGE"] == {"view_id": "view", "view_seq": 9, "certification": {"k": "vv"}}
-    assert [r[16] for r in rows if r[5] == 40] == [True] and rows[-1][15]
+    assert [r[16] for r in rows if r[5] == 39] == [True] and [r[15] for r in rows if r[5] == 40] == [True] and rows[-1][15]
+    assert detail["TRANSACTION_CONTEXT"] == {"server_uuid": "ab", "thread_id": 7, "gtid_specified": True, "snapshot_bytes": 3, "n_writes": 1, "n_reads": 2}
+    assert detail["PREVIOUS_GTIDS"] == {"gtid_sets": {str(uuid.UUID(int=7)): [[1, 4], [9, 9]]}}
 
 
 def test_cut_off_tail_is_a_damaged_event() -> None:

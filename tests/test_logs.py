@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import random
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import EqualTo
 
 from ledgerloom.functions.codec import TYPE_CODES, Column
-from ledgerloom.operators import metrics, routing, transactions, versions
+from ledgerloom.operators import gtid, metrics, routing, transactions, versions
 from ledgerloom.plans import replay
 from ledgerloom.sources import binlog
 from ledgerloom.sources.binlog_writer import LogWriter
@@ -113,12 +114,11 @@ def test_every_damage_is_a_row(spark, tmp_path) -> None:  # noqa: ANN001
 def test_events_whose_rows_are_not_read(spark, tmp_path) -> None:  # noqa: ANN001
     with open(tmp_path / "log.1", "wb") as f:
         log = LogWriter(f)
-        log.event(40, 100, b"packed")
-        log.event(35, 100, b"sets")
+        log.event(39, 100, b"partial")
         log.event(99, 100, b"new")
-    assert [(r.op, r.problem) for r in _read(spark, tmp_path)] == [(None, "rows of TRANSACTION_PAYLOAD are not read"), (None, "unknown event type 99")]
-    assert [(r.event_type, r.unsupported, r.corrupt) for r in _read(spark, tmp_path, "events")][1:] == [(40, True, False), (35, True, False), (99, False, True)]
-    assert {r.problem for r in replay.replay_log(spark, str(tmp_path), routing.table_groups(spark, [["d.a"]])).problems.collect()} == {"rows of TRANSACTION_PAYLOAD are not read", "unknown event type 99"}
+    assert [(r.op, r.problem) for r in _read(spark, tmp_path)] == [(None, "rows of PARTIAL_UPDATE_ROWS are not read"), (None, "unknown event type 99")]
+    assert [(r.event_type, r.unsupported, r.corrupt) for r in _read(spark, tmp_path, "events")][1:] == [(39, True, False), (99, False, True)]
+    assert {r.problem for r in replay.replay_log(spark, str(tmp_path), routing.table_groups(spark, [["d.a"]])).problems.collect()} == {"rows of PARTIAL_UPDATE_ROWS are not read", "unknown event type 99"}
 
 
 def test_keys_that_change_and_images_that_leave_columns_out(spark, tmp_path) -> None:  # noqa: ANN001
@@ -195,6 +195,89 @@ def test_stream_equals_batch(spark, tmp_path) -> None:  # noqa: ANN001
     assert sorted(map(str, drain())) == sorted(map(str, batch))
 
 
+def test_compressed_transactions_equal_plain_ones(spark, tmp_path) -> None:  # noqa: ANN001
+    binlog.register(spark)
+    for name in ("plain", "packed"):
+        (tmp_path / name).mkdir()
+        with open(tmp_path / name / "log.1", "wb") as f:
+            log = LogWriter(f)
+            for i in range(1, 6):
+                changes = [("d", t, ["id", "v"], COLUMNS, [0], [("I", None, [i, "x" * 2000]), ("I", None, [i + 10, None])]) for t in "ab"]
+                log.transaction(100 + i, i - 1, i, changes, uuid.UUID(int=9), i, compress=name == "packed" and i != 3)
+    plain, packed = (_read(spark, tmp_path / n) for n in ("plain", "packed"))
+    key = lambda r: (r.txn_no, r.tbl, r.op, r.pk, r.after, r.gtid, r.event_time, r.problem)
+    assert sorted(map(key, packed)) == sorted(map(key, plain)) and len(packed) == 20
+    assert len({(r.pos, r.row_ord) for r in packed}) == 20 and packed[0].gtid == f"{uuid.UUID(int=9)}:1"
+    typed = binlog.table_rows(spark, str(tmp_path / "packed"), "d.b", "id int, v string", 300)
+    assert sorted((r["_txn_no"], r.id, r["_row_ord"]) for r in typed.collect()) == sorted((i, i + k, int(k > 0)) for i in range(1, 6) for k in (0, 10))
+    events = spark.read.format("binlog").load(str(tmp_path / "packed")).where("event_type = 40").collect()
+    assert len(events) == 4 and all(json.loads(r.detail)["compression"] == "zstd" and r.ends_txn and not r.unsupported for r in events)
+    # Damage inside a payload whose checksum is right: the rows before it, and a problem.
+    with open(tmp_path / "packed" / "log.2", "wb") as f:
+        log = LogWriter(f)
+        log.event(40, 100, b"\2\1\0\0not packed")
+        log.event(40, 100, b"\2\1\7\0never known")
+        log.event(40, 100, b"\1\1\x50\0short")
+    bad = [r for r in _read(spark, tmp_path / "packed") if r.file_ord == 1]
+    assert [r.txn_no for r in bad] == [1, 2, 3] and all(r.problem and r.op is None for r in bad) and "compression 7" in bad[1].problem
+
+
+def test_prepared_transactions_take_the_place_of_their_commits(spark, tmp_path) -> None:  # noqa: ANN001
+    row = lambda i, v: [("d", "a", ["id", "v"], COLUMNS, [0], [("I", None, [i, v])])]
+    xid = lambda t: (t.encode(), b"", 1)
+    with open(tmp_path / "log.1", "wb") as f:
+        log = LogWriter(f)
+        log.transaction(1, 0, 1, row(1, "prepared first"), xa=xid("one"))
+        log.transaction(2, 1, 2, row(1, "plain"))
+        log.transaction(3, 2, 3, row(2, "rolled back"), xa=xid("two"))
+        log.transaction(4, 3, 4, row(3, "in the next file"), xa=xid("three"))
+        log.statement(5, "XA COMMIT 'one'")
+        log.statement(6, "XA ROLLBACK X'74776f',X'',1")
+    with open(tmp_path / "log.2", "wb") as f:
+        log = LogWriter(f)
+        log.statement(7, "XA COMMIT X'7468726565',X'',1")
+        log.transaction(8, 0, 1, row(4, "again"), xa=xid("two"))
+        log.transaction(9, 1, 2, row(5, "never decided"), xa=xid("four"))
+        log.statement(10, "XA COMMIT 'two'")
+    r = replay.replay_log(spark, str(tmp_path), routing.table_groups(spark, [["d.a"]]))
+    found = {json.loads(x.pk)["id"]: (json.loads(x.after)["v"], x.txn_seq) for x in r.latest().collect()}
+    assert found == {1: ("prepared first", 5), 3: ("in the next file", 7), 4: ("again", 10)}
+    assert r.versions().where("pk = '{\"id\": 1}'").count() == 2 and r.txns.count() == 10 and r.problems.count() == 0
+
+
+def test_two_copies_of_a_log_are_replayed_once(spark, tmp_path) -> None:  # noqa: ANN001
+    """The second copy begins later and goes on longer; a transaction without an identity is never taken for another."""
+    sid = uuid.UUID(int=3)
+    for name, numbers in (("log.1", range(1, 8)), ("log.2", range(4, 12))):
+        with open(tmp_path / name, "wb") as f:
+            log = LogWriter(f)
+            log.previous_gtids(1, {sid: [(1, numbers[0] - 1)]} if numbers[0] > 1 else {})
+            for n, i in enumerate(numbers, 1):
+                log.transaction(100 + i, n - 1, n, [("d", "a", ["id", "v"], COLUMNS, [0], [("I", None, [i, name])])], sid, i)
+            log.transaction(200, n, n + 1, [("d", "a", ["id", "v"], COLUMNS, [0], [("I", None, [99, name])])])
+    groups = routing.table_groups(spark, [["d.a"]])
+    once, both = (replay.replay_log(spark, str(tmp_path), groups, once=o) for o in (True, False))
+    assert both.changes.count() == 17 and both.txns.count() == 17
+    assert sorted((json.loads(x.after)["id"], json.loads(x.after)["v"]) for x in once.changes.collect()) == sorted([(i, "log.1" if i < 8 else "log.2") for i in range(1, 12)] + [(99, "log.1"), (99, "log.2")])
+    assert once.txns.count() == 13
+    events = spark.read.format("binlog").load(str(tmp_path))
+    assert [tuple(x) for x in gtid.previous(events).collect()] == [(1, str(sid), 1, 3)]
+
+
+def test_gtid_sets(spark) -> None:  # noqa: ANN001
+    rnd = random.Random(4)
+    held = [{(s, rnd.randrange(60)) for s in "ab" for _ in range(35)} for _ in range(2)]
+    one, two = (gtid.intervals(spark.createDataFrame(sorted(h) * 2, "sid string, gno long"), segment=8) for h in held)
+    numbers = lambda df: {(r.sid, n) for r in df.collect() for n in range(r["first"], r["last"] + 1)}
+    assert numbers(one) == held[0] and numbers(gtid.union(one.unionByName(two))) == held[0] | held[1]
+    assert numbers(gtid.difference(one, two)) == held[0] - held[1] and numbers(gtid.intersection(one, two)) == held[0] & held[1]
+    rows = sorted((r.sid, r["first"], r["last"]) for r in one.collect())
+    assert all(x[0] != y[0] or x[2] + 1 < y[1] for x, y in zip(rows, rows[1:], strict=False))  # none touch
+    assert {r.sid: r.n for r in gtid.size(one).collect()} == {s: sum(x == s for x, _ in held[0]) for s in "ab"}
+    inner = {(s, n) for s in "ab" for n in range(min(x for t, x in held[0] if t == s), max(x for t, x in held[0] if t == s))}
+    assert numbers(gtid.gaps(one)) == inner - held[0]
+
+
 def _damages(data: bytes, events: list) -> dict[str, bytes]:
     """A log, and copies of it with a changed body, map, statement or length, with a hole, and cut off."""
     rows = [r for r in events if r.type_name == "WRITE_ROWS"]

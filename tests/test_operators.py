@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+from bisect import bisect_right
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +97,37 @@ def test_assembly_over_files_and_more_than_100_events(spark) -> None:  # noqa: A
     assert [tuple(r) for r in transactions.crossing_transactions(e).collect()] == [(0, 30)]
 
 
+@pytest.mark.parametrize("shape", ["near", "far", "chain", "few", "gaps"])
+def test_levels_of_one_long_file_are_those_of_a_scan(spark, shape: str) -> None:  # noqa: ANN001
+    """Segments that refer to the one before, to any earlier number, to the one right before, or to a few far ones; numbers that are missing."""
+    rnd = random.Random(shape)
+    rows, n = [], 3000
+    for f in (0, 1):
+        for q in range(1, n + 1):
+            if shape == "gaps" and 400 < q < 1100 or rnd.random() < (0.2 if shape == "gaps" else 0):
+                continue
+            last = {"near": max(0, q - rnd.randint(1, 12)), "far": rnd.randrange(q), "chain": q - 1, "few": rnd.choice([0, q - 1, q // 500 * 500, max(0, q - 60)]), "gaps": max(0, q - rnd.randint(1, 900))}[shape]
+            rows.append((f, q, last))
+    want, levels = {}, {}
+    for f, q, last in rows:
+        below = levels.setdefault(f, [])  # (number, highest level so far)
+        k = bisect_right(below, (last, 10**9))
+        level = 1 + (below[k - 1][1] if k else 0)
+        below.append((q, max(level, below[-1][1] if below else 0)))
+        want[f, q] = level
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "file_ord int, sequence_number long, last_committed long").repartition(4)
+    for segment in (128, 1000, 1 << 16):
+        got = {(r.file_ord, r.sequence_number): r.level for r in logical_clock.dependency_levels(df, segment).collect()}
+        assert got == want, segment
+    groups = {(r.file_ord, r.last_committed): r.commit_group for r in logical_clock.commit_groups(df, 100).collect()}
+    assert groups == {(f, x): i for f in (0, 1) for i, x in enumerate(sorted({r[2] for r in rows if r[0] == f}), 1)}
+    numbers = {f: sorted(r[1] for r in rows if r[0] == f) for f in (0, 1)}
+    before = {(f, q): p for f in (0, 1) for p, q in zip([None, *numbers[f]], numbers[f], strict=False)}
+    blocked = {(r.file_ord, r.sequence_number): r.is_blocked for r in logical_clock.blocked(df, 100).collect()}
+    assert blocked == {(f, q): before[f, q] is not None and before[f, q] <= last for f, q, last in rows}
+
+
 def test_logical_clock_boundaries(spark) -> None:  # noqa: ANN001
     kinds = [30, 34, 2, 30, 16, 30, 34, 2, 34, 30, 4]
     e = spark.createDataFrame([(0, i, k) for i, k in enumerate(kinds)], "file_ord int, pos long, event_type int")
