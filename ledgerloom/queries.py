@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .functions import native
+from .functions import decimals, native
 from .operators import commit, freshness, gtid, logical_clock, metrics, routing, transactions, versions
 from .plans import replay
 from .sources import binlog, catalog, traces
+from .streaming import commits
+from .streaming.version_store import VersionStore
 from .workspace import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -478,22 +480,25 @@ _AB = "(SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(15,2))
 
 @query(
     "decimal_operations",
-    f"SELECT l_orderkey, l_linenumber, CAST(a + b AS DOUBLE) AS added, CAST(a - b AS DOUBLE) AS subtracted, CAST(a * b AS DOUBLE) AS multiplied, round(CAST(a AS DOUBLE) / CAST(b AS DOUBLE) + 1e-7, 3) AS divided, CAST(a % b AS DOUBLE) AS remainder, CAST(sign(a - b) AS INTEGER) AS compared FROM {_AB}",
+    f"SELECT l_orderkey, l_linenumber, CAST(a + b AS DECIMAL(16,2)) AS added, CAST(a - b AS DECIMAL(16,2)) AS subtracted, CAST(a * b AS DECIMAL(31,4)) AS multiplied, CAST((CAST(a * 100 AS HUGEINT) * 100000) // CAST(b * 100 AS HUGEINT) AS BIGINT) AS quotient_e5, CAST(a % b AS DECIMAL(15,2)) AS remainder, CAST(sign(a - b) AS INTEGER) AS compared FROM {_AB}",
 )
 def decimal_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact results, as decimals; the quotient cut at five digits."""
     a, b = F.col("l_extendedprice").cast("decimal(15,2)"), F.col("l_quantity").cast("decimal(15,2)")
-    number = lambda x, name: x.cast("double").alias(name)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", number(a + b, "added"), number(a - b, "subtracted"), number(a * b, "multiplied"), F.round((a / b).cast("double") + 1e-7, 3).alias("divided"), number(a % b, "remainder"), F.sign(a - b).cast("int").alias("compared"))
+    quotient = decimals.to_long(decimals.divided(a, b, 5) * 100000).alias("quotient_e5")
+    exact = [decimals.added(a, b).cast("decimal(16,2)").alias("added"), decimals.subtracted(a, b).cast("decimal(16,2)").alias("subtracted"), decimals.multiplied(a, b).cast("decimal(31,4)").alias("multiplied")]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *exact, quotient, decimals.remainder(a, b).cast("decimal(15,2)").alias("remainder"), decimals.compared(a, b).alias("compared"))
 
 
 @query(
     "decimal_shifts_and_casts",
-    "SELECT o_orderkey, CAST(x * 1000 AS DOUBLE) AS left3, round(CAST(x AS DOUBLE) / 1000, 5) AS right3, CAST(trunc(CAST(x AS DOUBLE)) AS BIGINT) AS as_int, CAST(x AS VARCHAR) AS as_text, CAST(o_orderkey AS DECIMAL(20,0)) AS from_int FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(15,2)) AS x FROM orders)",
+    "SELECT o_orderkey, CAST(x * 1000 AS DECIMAL(20,2)) AS left3, CAST(CAST(x * 100 AS BIGINT) AS DECIMAL(20,0)) AS right3_e5, CAST(trunc(CAST(x AS DOUBLE)) AS BIGINT) AS as_int, CAST(x AS VARCHAR) AS as_text, CAST(o_orderkey AS DECIMAL(20,0)) AS from_int, CAST(CAST(x * 100 AS BIGINT) % 100 * 10000000 AS BIGINT) AS billionths, x AS from_text, length(CAST(CAST(trunc(CAST(x AS DOUBLE)) AS BIGINT) AS VARCHAR)) AS n_digits, CAST(CASE WHEN CAST(x * 100 AS BIGINT) % 100 = 0 THEN 0 WHEN CAST(x * 100 AS BIGINT) % 10 = 0 THEN 1 ELSE 2 END AS INTEGER) AS n_fraction FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(15,2)) AS x FROM orders)",
 )
 def decimal_shifts_and_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("o_totalprice").cast("decimal(15,2)")
-    out = table(spark, sf_dir, "orders").select("o_orderkey", native.shifted(x, 3).cast("double").alias("left3"), F.round(native.shifted(x, -3).cast("double"), 5).alias("right3"), x.cast("bigint").alias("as_int"), x.cast("string").alias("as_text"))
-    return out.withColumn("from_int", F.col("o_orderkey").cast("decimal(20,0)"))
+    text = F.concat(F.lit(" +"), x.cast("string"), F.lit(" EUR"))
+    out = table(spark, sf_dir, "orders").select("o_orderkey", native.shifted(x, 3).cast("decimal(20,2)").alias("left3"), (native.shifted(x, -3) * 100000).cast("decimal(20,0)").alias("right3_e5"), decimals.to_long(x).alias("as_int"), x.cast("string").alias("as_text"), decimals.parts(x)["rem"].alias("billionths"), decimals.from_text(text, 15, 2).alias("from_text"), decimals.integer_digits(x).cast("bigint").alias("n_digits"), decimals.fraction_digits(x).alias("n_fraction"))
+    return out.withColumn("from_int", decimals.from_long(F.col("o_orderkey")))
 
 
 @query("integer_division", "SELECT o_orderkey, o_orderkey // 7 AS quotient, o_orderkey % 7 AS remainder, (-o_orderkey) % 7 AS negative_remainder FROM orders")
@@ -641,6 +646,30 @@ def log_twice_replayed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.routed().select(F.from_json("after", "o_orderkey long, o_custkey long").alias("row")).select("row.*")
 
 
+@query("version_store_batches", f"SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND {OP} <> 'D'")
+def version_store_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log E taken into the incremental store in five batches, one of them twice, and merged on the way."""
+    log = log_e(spark, sf_dir)
+    store = VersionStore(spark, fresh_path(spark, "version-store"), log.schema, buckets=4, fan=2)
+    for number, batch in enumerate((0, 1, 2, 2, 3, 4)):
+        store.apply(log.where(F.floor(F.col("txn_seq") / FILE_EVENTS * 2) % 5 == batch), number - (number > 3))
+    return store.current().select(F.col("pk").alias("user_id"), F.col("txn_seq").alias("event_id"), "event_type", "value")
+
+
+@query("streamed_commits", "SELECT CAST(event_id % 3 AS INTEGER) AS group_id, event_id // 3 + 1 AS txn_seq, max(epoch_us(ts)) OVER (PARTITION BY event_id % 3 ORDER BY event_id) AS commit_us FROM events")
+def streamed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions of three groups that arrive in four files out of order, committed in order by a stream."""
+    e = F.col("event_id")
+    cells = table(spark, sf_dir, "events").select((e % 3).cast("int").alias("group_id"), F.expr("event_id DIV 3 + 1").alias("txn_seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("event_us"))
+    source, at, out = (fresh_path(spark, f"commits-{x}") for x in ("cells", "checkpoint", "rows"))
+    for part in (1, 0, 3, 2):
+        cells.where(F.floor(F.col("txn_seq") / 64) % 4 == part).coalesce(1).write.mode("append").parquet(source)
+    stream = commits.ordered_commits(spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    query = stream.writeStream.format("parquet").option("checkpointLocation", at).option("path", out).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(commits.COMMIT_SCHEMA).parquet(out)
+
+
 @query("temporal_join", "SELECT e.event_id, max(o.o_orderkey) AS o_orderkey, arg_max(o.o_totalprice, o.o_orderkey) AS o_totalprice FROM events e LEFT JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts - INTERVAL 26 YEAR + INTERVAL (e.event_id % 2000) DAY GROUP BY e.event_id")
 def temporal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event probes log O at a time of its own: the version of its user's row then."""

@@ -256,7 +256,7 @@ class FileParser:
         """A table map takes hold; one that came before, byte for byte, isn't parsed again."""
         known = self.maps.get(body)
         if known is None:
-            table = codec.read_table_map(body)
+            table = codec.read_table_map(body, self.format.id_bytes(19))
             if len(self.maps) >= MAPS:
                 self.maps.clear()
             known = self.maps[body] = table, self.names(table)
@@ -344,7 +344,7 @@ class FileParser:
                 elif kind == 19:
                     table = self.table_map(body)
                 elif kind in codec.ROW_OPS:
-                    table = self.tables.get(int.from_bytes(body[:6], "little"))
+                    table = self.tables.get(int.from_bytes(body[: self.format.id_bytes(kind)], "little"))
                     if changes:
                         if table is None:
                             raise codec.Corrupt("rows without a table map")
@@ -385,7 +385,7 @@ class FileParser:
                     if kind == 19:
                         self.table_map(inner)
                     elif kind in codec.ROW_OPS:
-                        table = self.tables.get(int.from_bytes(inner[:6], "little"))
+                        table = self.tables.get(int.from_bytes(inner[: self.format.id_bytes(kind)], "little"))
                         if table is None:
                             raise codec.Corrupt("rows without a table map")
                         out += self._changes(pos, kind, inner, table, when)
@@ -400,7 +400,7 @@ class FileParser:
 
     def _changes(self, pos: int, kind: int, body: bytes, table: codec.TableMap, when: dt.datetime) -> list[tuple]:
         names, op, out = self.named[table.table_id], codec.ROW_OPS[kind], []
-        head = codec.read_rows_head(kind, body)
+        head = codec.read_rows_head(kind, body, self.format.id_bytes(kind))
         own = lambda values, present: None if values is None else {n: v for n, v, p in zip(names, values, present, strict=True) if p}
         keys = [names[k] for k in table.primary_key]
 
@@ -412,7 +412,7 @@ class FileParser:
         def add(op: str, before: dict | None, after: dict | None, key: str | None) -> None:
             out.append((self.file, self.file_ord, pos, self.made + len(out), when, table.db, table.table, op, key, as_json(before), as_json(after), head.partition_id, head.source_partition_id, self.txn_no, self.gtid, None))
 
-        for first, second in codec.read_rows(kind, body, table):
+        for first, second in codec.read_rows(kind, body, table, self.format.id_bytes(kind)):
             before, after = own(first, head.before), own(second, head.after)
             if op == "U" and (old := key_of(before)) != (new := key_of(after, before)):
                 # The new row is whole: what the after image leaves out is as it was before.
@@ -440,7 +440,7 @@ class TypedParser(FileParser):
         if self.images is None or self.images.table is not table:
             self.close()
             self.images, self.old = columnar.Images(table), columnar.Images(table)
-        head, op, n, m = codec.read_rows_head(kind, body), codec.ROW_OPS[kind], self.images.n, self.old.n
+        head, op, n, m = codec.read_rows_head(kind, body, self.format.id_bytes(kind)), codec.ROW_OPS[kind], self.images.n, self.old.n
         if head.width != len(table.columns):
             raise codec.Corrupt("the rows event and its table map differ in width")
         first, second, at = bytes(head.before), bytes(head.after), head.rows_at

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.versions import latest, live
 
+HEARTBEAT = 27
 COMMIT_SCHEMA = "group_id int, txn_seq long, commit_us long"
 #: The state store that keeps the entries of a map by themselves.
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -79,9 +80,25 @@ def marks(commits: DataFrame) -> DataFrame:
     return commits.groupBy("group_id").agg(F.max("txn_seq").alias("last_txn"), F.max("commit_us").alias("commit_us"))
 
 
-def throughput(events: DataFrame, width: str = "1 second", late: str = "10 seconds", time: str = "event_time") -> DataFrame:
-    """Events in tumbling windows; a window is final when the watermark has passed it."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w")).agg(F.count("*").alias("n_events")).select(F.col("w.start").alias("window_start"), "n_events")
+def throughput(events: DataFrame, width: str = "1 second", late: str = "10 seconds", time: str = "event_time", beats: DataFrame | None = None) -> DataFrame:
+    """Events in tumbling windows; a window is final when the watermark has passed it.
+
+    ``beats``: heartbeats (any stream with the time column): they move the watermark and count for nothing, so that the windows of a source
+    that has gone quiet are closed. Heartbeat events among ``events`` (of the log source: event_type 27) do so too.
+    """
+    beat = F.col("event_type") == HEARTBEAT if "event_type" in events.columns and dict(events.dtypes)["event_type"] == "int" else F.lit(False)
+    rows = events.select(time, F.when(F.coalesce(beat, F.lit(False)), 0).otherwise(1).alias("_n"))
+    if beats is not None:
+        rows = rows.unionByName(beats.select(time, F.lit(0).alias("_n")))
+    # A watermark above the union is one over both; below it would be the slower one's.
+    counted = rows.withWatermark(time, late).groupBy(F.window(time, width).alias("w")).agg(F.sum("_n").alias("n_events"))
+    return counted.where("n_events > 0").select(F.col("w.start").alias("window_start"), "n_events")
+
+
+def quiet_marks(marks: DataFrame, beats: DataFrame) -> DataFrame:
+    """``marks`` (group_id, last_txn, commit_us) advanced to the newest of ``beats`` (group_id, beat_us): a heartbeat says that a group had nothing more to commit by then."""
+    newest = beats.groupBy("group_id").agg(F.max("beat_us").alias("_beat"))
+    return marks.join(newest, "group_id", "left").withColumn("commit_us", F.greatest("commit_us", "_beat")).drop("_beat")
 
 
 def upsert_into(path: str):  # noqa: ANN201

@@ -170,3 +170,12 @@ def test_enum_set_and_signs() -> None:
     assert codec.read_value(Cursor(b"\xff"), Column(TYPE_CODES["tinyint"], unsigned=True)) == 255
     assert codec.read_value(Cursor(b"\3abc"), Column(TYPE_CODES["string"], 254 << 8 | 30)) == "abc"
     assert codec.time_text(codec.read_time((0x800000 - (1 << 12 | 2 << 6 | 3)).to_bytes(3, "big"))) == "-01:02:03"
+
+
+def test_sizes_come_from_the_format_description() -> None:
+    """A format with post-headers of six bytes has table ids of four; kinds that it doesn't give a size have that of the fourth version."""
+    short = codec.FormatDescription(post_header_lengths=bytes(6 if k == 19 else 0 for k in range(1, 40)))
+    assert (short.post_header(19), short.id_bytes(19)) == (6, 4) and (short.post_header(30), short.id_bytes(30)) == (10, 6)
+    assert codec.FormatDescription().post_header(23) == 8
+    inner = (5).to_bytes(4, "little") + b"\1\0\1d\0\1a\0" + b"\1\3\0\1"
+    assert codec.read_table_map(inner, 4).table == "a"

@@ -481,20 +481,33 @@ def test_waiting_transactions_cost_nothing_until_their_turn(spark, tmp_path) ->
 def test_progress_of_streams_is_a_table(spark, tmp_path) -> None:  # noqa: ANN001
     src = tmp_path / "in"
     spark.range(20).write.parquet(str(src))
-    table = ProgressTable(spark, str(tmp_path / "progress"))
-    spark.streams.addListener(table)
-    try:
-        q = spark.readStream.schema("id long").parquet(str(src)).writeStream.format("noop").queryName("sampled").trigger(availableNow=True).start()
-        q.awaitTermination(60)
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-        for _ in range(100):
-            if table.rows().count():
-                break
-            time.sleep(0.1)
-    finally:
-        spark.streams.removeListener(table)
-    table.flush()
-    assert table.rows().count() == 0 and table.read().where("name = 'sampled'").agg(F.sum("n_rows")).first()[0] == 20
+    with ProgressTable(spark, str(tmp_path / "progress")) as table:
+        for name in ("sampled", "again"):
+            q = spark.readStream.schema("id long").parquet(str(src)).writeStream.format("noop").queryName(name).trigger(availableNow=True).start()
+            q.awaitTermination(60)
+    assert table.rows().count() == 0 and {r.name: r.n for r in table.read().groupBy("name").agg(F.sum("n_rows").alias("n")).collect()} == {"sampled": 20, "again": 20}
+
+
+def test_heartbeats_close_the_windows_of_a_quiet_source(spark, tmp_path) -> None:  # noqa: ANN001
+    src, beats, out = (tmp_path / x for x in ("in", "beats", "out"))
+    t = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    at = lambda *s: spark.createDataFrame([(t + dt.timedelta(seconds=x),) for x in s], "event_time timestamp").coalesce(1)
+    at().write.parquet(str(beats))
+
+    def run() -> list:
+        read = lambda p: spark.readStream.schema("event_time timestamp").parquet(str(p))
+        stream = commits.throughput(read(src), beats=read(beats))
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(out)).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(90)
+        return sorted((r.window_start.second, r.n_events) for r in spark.read.schema("window_start timestamp, n_events long").parquet(str(out)).collect())
+
+    at(0, 0.5, 1).write.mode("append").parquet(str(src))
+    assert run() == []
+    at(30).write.mode("append").parquet(str(beats))
+    assert run() == [(0, 2), (1, 1)]  # no further event, and no window of the heartbeat's own
+    marks = spark.createDataFrame([(0, 5, 100), (1, 3, 50)], "group_id int, last_txn long, commit_us long")
+    beat = spark.createDataFrame([(1, 80), (1, 70), (0, 60)], "group_id int, beat_us long")
+    assert {r.group_id: r.commit_us for r in commits.quiet_marks(marks, beat).collect()} == {0: 100, 1: 80}
 
 
 def test_commit_report_by_group(spark, tmp_path) -> None:  # noqa: ANN001
