@@ -69,7 +69,7 @@ def from_long(x: Column) -> Column:
 def parts(x: Column) -> Column:
     """A struct of the whole part (quot) and of the billionths behind it (rem), both with the sign of x."""
     quot = to_long(x)
-    rem = (x - quot.cast("decimal(20,0)")) * _power(9)
+    rem = F.when(quot.isNotNull(), (x % F.lit(1).cast("decimal(1,0)")) * _power(9))
     return F.struct(quot.alias("quot"), F.when(rem < 0, F.ceil(rem)).otherwise(F.floor(rem)).cast("bigint").alias("rem"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import random
 from bisect import bisect_right
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions import decimals
 from ledgerloom.operators import commit, freshness, logical_clock, metrics, prefix, routing, transactions, versions
 from ledgerloom.plans import replay
 from ledgerloom.sources import catalog, config, traces
@@ -97,6 +99,47 @@ def test_assembly_over_files_and_more_than_100_events(spark) -> None:  # noqa: A
     assert [tuple(r) for r in transactions.crossing_transactions(e).collect()] == [(0, 30)]
 
 
+def test_many_probes_of_versions_as_of_a_time(spark) -> None:  # noqa: ANN001
+    """Against a search for each probe: deletes, equal times, versions whose times go back, a hot key, and clashing names."""
+    rnd = random.Random(6)
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda: t0 + dt.timedelta(hours=rnd.randrange(24 * 400))
+    changes = [(n, 0, 0, "t", rnd.choice([1, 1, 1, 2, 3]), rnd.choice("IUUD"), at(), f"v{n}") for n in range(300)]
+    probes = [(i, "t", rnd.choice([1, 2, 3, 9]), rnd.choice([at(), changes[rnd.randrange(300)][6]]), "own") for i in range(400)]
+    c = spark.createDataFrame(changes, "txn_seq long, event_ord int, row_ord int, tbl string, pk long, op string, event_time timestamp_ntz, value string").repartition(3)
+    p = spark.createDataFrame(probes, "id long, tbl string, pk long, at timestamp_ntz, value string").repartition(3)
+    want = {}
+    for i, _, pk, when, _ in probes:
+        seen = [x for x in changes if x[4] == pk and x[6] <= when]
+        newest = max(seen, default=None)
+        want[i] = newest[7] if newest and newest[5] != "D" else None
+    for days in (1, 30, 10_000):
+        found = versions.as_of_join(p, c, ["value"], segment_days=days)
+        assert found.columns == ["id", "tbl", "pk", "at", "value", "version"]
+        got = {r.id: (r.value, r.version and r.version.value) for r in found.collect()}
+        assert got == {i: ("own", v) for i, v in want.items()}
+
+
+def test_exact_decimals(spark) -> None:  # noqa: ANN001
+    d = decimal.Decimal
+    rows = [(d("7.00"), d("2.00")), (d("-7.05"), d("2.00")), (d("1.00"), d("3.00")), (d("-1.00"), d("3.00")), (d("5.50"), d("0.00")), (d("99999999999.99"), d("0.01")), (None, d("1.00"))]
+    df = spark.createDataFrame(rows, "a decimal(15,2), b decimal(15,2)")
+    got = df.select(decimals.divided(F.col("a"), F.col("b"), 4).alias("q"), decimals.remainder(F.col("a"), F.col("b")).alias("r"), decimals.compared(F.col("a"), F.col("b")).alias("c")).collect()
+    with decimal.localcontext(decimal.Context(prec=60, rounding=decimal.ROUND_DOWN)):
+        assert [r.q for r in got] == [None if a is None or not b else (a / b).quantize(d("0.0001")) for a, b in rows]
+        assert [r.r for r in got] == [None if a is None or not b else a % b for a, b in rows]
+    assert [r.c for r in got] == [1, -1, -1, -1, 1, 1, None]
+    texts = ["12.345", " -7e2x", "+.5", "abc", "", "1e30", None, "3."]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(decimals.from_text(F.col("t"), 10, 2).alias("x")).collect()
+    assert [r.x for r in got] == [d("12.35"), d("-700"), d("0.5"), None, None, None, None, d("3")]
+    x = spark.createDataFrame([(d("-12.500000000"),), (d("0.000000001"),), (d("18446744073709551616.000000000"),), (d("1200.340000000"),)], "x decimal(38,9)")
+    got = x.select(decimals.parts(F.col("x")).alias("p"), decimals.to_long(F.col("x"), True).alias("u"), decimals.integer_digits(F.col("x")).alias("n"), decimals.fraction_digits(F.col("x")).alias("f"), decimals.is_zero(F.col("x")).alias("z")).collect()
+    assert [(r.p.quot, r.p.rem) for r in got] == [(-12, -500_000_000), (0, 1), (None, None), (1200, 340_000_000)]
+    assert [r.u for r in got] == [None, 0, None, 1200] and [(r.n, r.f, r.z) for r in got] == [(2, 1, False), (0, 9, False), (20, 0, False), (4, 2, False)]
+    assert spark.range(1).select(decimals.largest(5, 2).alias("m"), decimals.from_double(F.lit(0.1), 5, 3).alias("d"), decimals.to_double(F.lit(d("1.25"))).alias("f")).first() == (d("999.99"), d("0.100"), 1.25)
+    assert decimals.stored_bytes(14, 4) == 7
+
+
 @pytest.mark.parametrize("shape", ["near", "far", "chain", "few", "gaps"])
 def test_levels_of_one_long_file_are_those_of_a_scan(spark, shape: str) -> None:  # noqa: ANN001
     """Segments that refer to the one before, to any earlier number, to the one right before, or to a few far ones; numbers that are missing."""
