@@ -9,7 +9,7 @@ counts of their pre-tokens. Only counts of distinct pre-tokens are shuffled, and
 anew when it has too many nodes.
 
 The model is trained on the same documents: all of them are split into pre-tokens, each distinct pre-token is merged once by
-the vocabulary's own rules, and a piece's probability is the share of its count, one added to each
+the vocabulary's own rules (by tiktoken's compiled merger), and a piece's probability is the share of its count, one added to each
 (the vocabulary itself is given; no tokenizer is trained). Only one count for each piece of the vocabulary reaches the driver.
 Equal scores: the path with fewer pieces wins.
 
@@ -24,6 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import classes, specification, splitter, vocabulary
+from .dac import compiled_encoding
 from .shared import batch_of, documents, materialize
 
 #: A trie with more nodes than this is dropped, and a new one begun.
@@ -41,10 +43,14 @@ GATHERED = 200_000
 
 
 class Trie:
-    """Nodes by (parent, byte); each has the best score of its prefix and the pieces on that path."""
+    """Nodes by (parent, byte); each has the best score of its prefix and the pieces on that path.
+
+    ``ends``: every end of a piece, with its score where it is a piece itself. The pieces that end at a node are found backwards, up to
+    the first bytes that are no end of any piece.
+    """
 
     def __init__(self, scores: dict[bytes, float]) -> None:
-        self.scores, self.longest = scores, max(map(len, scores))
+        self.ends: dict[bytes, float | None] = dict.fromkeys((p[i:] for p in scores for i in range(len(p))), None) | scores
         self.clear()
 
     def clear(self) -> None:
@@ -53,7 +59,7 @@ class Trie:
 
     def terminal(self, word: bytes) -> int:
         """Insert a pre-token; the number of pieces of its best segmentation."""
-        path, node, children = [0], 0, self.children
+        path, node, children, ends = [0], 0, self.children, self.ends
         for depth, byte in enumerate(word, 1):
             key = node << 8 | byte
             child = children.get(key)
@@ -61,8 +67,10 @@ class Trie:
                 child = len(self.score)
                 children[key] = child
                 best, pieces = -math.inf, 0
-                for start in range(max(0, depth - self.longest), depth):
-                    score = self.scores.get(word[start:depth])
+                for start in range(depth - 1, -1, -1):
+                    score = ends.get(word[start:depth], ends)
+                    if score is ends:
+                        break
                     if score is not None:
                         total, n = self.score[path[start]] + score, self.count[path[start]] + 1
                         if total > best or (total == best and n < pieces):
@@ -114,11 +122,15 @@ def piece_counts(words: DataFrame, spec: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
+        merge = compiled_encoding(vocab)._core_bpe.encode_single_piece  # the compiled merger, for one pre-token
         count = np.zeros(len(vocab.pieces), np.int64)
         for batch in batches:
+            ids, times = [], []
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                for i in vocab.merge(word.encode("utf-8")):
-                    count[i] += n
+                ids.append(merge(word.encode("utf-8")))
+                times.append(n)
+            every = np.fromiter(chain.from_iterable(ids), np.int64)
+            count += np.bincount(every, np.repeat(np.array(times, np.float64), [len(x) for x in ids]), len(count)).astype(np.int64)
         some = np.flatnonzero(count)
         yield batch_of("id int, n long", list(zip(some.tolist(), count[some].tolist(), strict=True)))
 
