@@ -106,13 +106,16 @@ def upsert_into(path: str):  # noqa: ANN201
 
     Each batch writes a new folder, named by its number, so that a repeated batch replaces
     its own output only. Every batch but the first needs the folder of the one before: without it the state is
-    lost, and the batch fails.
+    lost, and the batch fails. Older folders are removed. The whole state is written anew each time, which suits small states;
+    ``version_store.VersionStore`` writes what a batch changes.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch if number == 0 else spark.read.schema(batch.schema).parquet(f"{path}/state-{number - 1}").unionByName(batch)
         latest(rows).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/state-{number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state-{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return apply
 

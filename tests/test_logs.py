@@ -528,6 +528,8 @@ def test_upserts_and_throughput_in_batches(spark, tmp_path) -> None:  # noqa: AN
     apply(second, 1)
     apply(second, 1)
     state = spark.read.schema(schema).parquet(str(tmp_path / "state" / "state-1"))
+    apply(spark.createDataFrame([(4, 0, 0, "a", "m", "I", t)], schema), 2)
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["state-1", "state-2"]
     with pytest.raises(Exception, match="state-6"):
         apply(second, 7)  # the state before it is gone
     assert state.count() == 2 and [r.pk for r in commits.current_state(state).collect()] == ["l"]
