@@ -778,7 +778,7 @@ def log_table_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_through_spark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     path = _write_log(spark, region, "region", "r_regionkey", 2)
-    return catalog.typed(binlog.read_log(spark, path + "/log.*", "changes"), "shop.region", region.schema, ["r_regionkey"]).select("row.*")
+    return catalog.typed(binlog.read_log(spark, path + "/log-*", "changes"), "shop.region", region.schema, ["r_regionkey"]).select("row.*")
 
 
 # ---- Spark SQL on reconstructed tables ---------------------------------------------------------------
