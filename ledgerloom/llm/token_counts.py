@@ -37,7 +37,7 @@ from .dac import compiled_encoding
 from .shared import batch_of, documents, materialize
 
 #: A trie with more nodes than this is dropped, and a new one begun.
-MAX_NODES = 1_500_000
+MAX_NODES = 1_000_000
 #: A task passes its counts on when it has so many distinct pre-tokens.
 GATHERED = 200_000
 
@@ -153,7 +153,7 @@ def by_piece(spec: str, scores: np.ndarray) -> dict[bytes, float]:
     return {p: float(scores[i]) for i, p in enumerate(vocab.pieces) if p and i not in special}
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)  # a trie of an earlier model would stay in the worker's memory
 def counts(spec: str, scores: bytes) -> Counts:
     return Counts(Trie(by_piece(spec, np.frombuffer(scores))))
 
