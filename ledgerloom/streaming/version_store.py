@@ -1,8 +1,8 @@
 """An incremental store of the newest version of each key: levelled runs of changes, merged when they are read.
 
 Each batch writes one run with the newest version of the keys it touches, so its cost follows the batch, not the state. ``fan`` runs of one
-level are merged into one of the next; a merge that takes in the oldest run leaves deleted keys out. A run is a folder of Parquet, cut
-into buckets of keys, so a read of one key opens one bucket of each run. A manifest (one small file, renamed into place) lists the runs that count and the number
+level are merged into one of the next; a merge that takes in the oldest run puts deleted keys aside, in a folder of their own beside the run: a later batch may
+still bring versions that are older than a delete. A run is a folder of Parquet, cut into buckets of keys, so a read of one key opens one bucket of each run. A manifest (one small file, renamed into place) lists the runs that count and the number
 of the newest batch: a batch that comes again is passed over, and a run that a failed batch left behind is in no manifest. Runs that a merge has replaced
 are removed when the next manifest but one is published, so that a reader that is under way doesn't lose them.
 
@@ -42,7 +42,7 @@ class VersionStore:
         return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json")) if fs.exists(folder) else []
 
     def manifest(self) -> dict:
-        """batch: the newest batch's number (-1: none); runs: [{name, level, rows}], the oldest first; gone: runs to be removed next."""
+        """batch: the newest batch's number (-1: none); runs: [{name, level, rows, deleted}], the oldest first (deleted: the folder of its deleted keys, if it has any); gone: folders to be removed next."""
         names = self._manifests()
         if not names:
             return {"batch": -1, "buckets": self.buckets, "runs": [], "gone": []}
@@ -70,8 +70,8 @@ class VersionStore:
     def _bucket(self, *keys: Column) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(self.manifest()["buckets"])).cast("int")
 
-    def _run(self, rows: DataFrame, level: int) -> dict:
-        name = f"run-{level}-{uuid.uuid4().hex}"
+    def _run(self, rows: DataFrame, level: int, kind: str = "run") -> dict:
+        name = f"{kind}-{level}-{uuid.uuid4().hex}"
         bucketed = rows.withColumn("bucket", self._bucket(*[F.col(k) for k in KEYS]))
         bucketed.write.partitionBy("bucket").parquet(f"{self.path}/{name}")
         return {"name": name, "level": level, "rows": self._read([name]).count()}
@@ -86,11 +86,17 @@ class VersionStore:
         while (level := self._full(runs)) is not None:
             merged = [r for r in runs if r["level"] == level]
             kept = [r for r in runs if r["level"] != level]
-            state = latest(self._read([r["name"] for r in merged]))
-            # Runs are in order of age, and higher levels are older: nothing older than these is left if they are the first.
-            run = self._run(live(state) if runs[: len(merged)] == merged else state, level + 1)
+            state = latest(self._read(self._folders(merged)))
+            # Runs are in order of arrival, and higher levels came earlier: of these, the first run alone has deleted keys aside.
+            if runs[: len(merged)] == merged:
+                run = self._run(live(state), level + 1)
+                deleted = self._run(state.where("op = 'D'"), level + 1, "deleted")
+                run["deleted"] = deleted["name"] if deleted["rows"] else None
+                gone += [] if deleted["rows"] else [deleted["name"]]
+            else:
+                run = self._run(state, level + 1)
             at = next((i for i, r in enumerate(kept) if r["level"] <= level), len(kept))
-            runs, gone = [*kept[:at], run, *kept[at:]], [*gone, *(r["name"] for r in merged)]
+            runs, gone = [*kept[:at], run, *kept[at:]], [*gone, *self._folders(merged)]
         self._publish({"batch": number, "buckets": manifest["buckets"], "runs": runs, "gone": gone})
         for name in manifest["gone"]:
             fs, folder = self._hadoop(f"{self.path}/{name}")
@@ -105,6 +111,10 @@ class VersionStore:
 
     # ---- reading -------------------------------------------------------------------------------
 
+    @staticmethod
+    def _folders(runs: list[dict]) -> list[str]:
+        return [name for r in runs for name in (r["name"], r.get("deleted")) if name]
+
     def _read(self, names: list[str]) -> DataFrame:
         schema = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
         out = None
@@ -115,8 +125,8 @@ class VersionStore:
         return out
 
     def newest(self) -> DataFrame:
-        """The newest version of each key; keys whose newest is a delete may be there (op D) or not."""
-        return latest(self._read([r["name"] for r in self.manifest()["runs"]]).drop("bucket"))
+        """The newest version of each key; keys whose newest is a delete have op D."""
+        return latest(self._read(self._folders(self.manifest()["runs"])).drop("bucket"))
 
     def current(self) -> DataFrame:
         return live(self.newest())
@@ -125,5 +135,5 @@ class VersionStore:
         """The live row of one key: one bucket of each run is read."""
         kind = self.schema["pk"].dataType
         bucket = self._bucket(F.lit(tbl), pk.cast(kind))
-        rows = self._read([r["name"] for r in self.manifest()["runs"]])
+        rows = self._read(self._folders(self.manifest()["runs"]))
         return live(latest(rows.where((F.col("bucket") == bucket) & (F.col("tbl") == tbl) & (F.col("pk") == pk)).drop("bucket")))

@@ -39,3 +39,10 @@ def test_integers_beyond_three_bytes(spark, tmp_path) -> None:  # noqa: ANN001
 def test_times_of_midnight_keep_their_sign(spark, tmp_path) -> None:  # noqa: ANN001
     rows = [(i, T0 + dt.timedelta(days=i, microseconds=636583, seconds=i % 3)) for i in range(60)]
     _holds(spark, tmp_path, "decode_temporal", events=spark.createDataFrame(rows, "event_id long, ts timestamp_ntz"))
+
+
+def test_every_batch_reaches_the_store(spark, tmp_path) -> None:  # noqa: ANN001
+    i = F.col("event_id")
+    types = F.element_at(F.array(*map(F.lit, ("view", "error", "signup", "click"))), (F.pmod(F.hash(i), F.lit(4)) + 1).cast("int"))
+    events = spark.range(0, 24_000, 16).withColumnRenamed("id", "event_id").select("event_id", F.pmod(F.hash(i * 7), F.lit(600)).cast("long").alias("user_id"), F.lit(T0).cast("timestamp_ntz").alias("ts"), types.alias("event_type"), (i * 0.5).alias("value"), F.lit("{}").alias("props"))
+    _holds(spark, tmp_path, "version_store_batches", events=events)

@@ -84,3 +84,18 @@ def test_of_a_stream(spark, tmp_path) -> None:  # noqa: ANN001
     q.awaitTermination(120)
     every = spark.createDataFrame([r for b in batches for r in b], SCHEMA)
     assert _rows(store.current()) == _rows(versions.live(versions.latest(every))) and store.manifest()["batch"] == 3
+
+
+def test_versions_older_than_a_delete_that_was_merged(spark, tmp_path) -> None:  # noqa: ANN001
+    store = VersionStore(spark, str(tmp_path / "store"), SCHEMA, buckets=4, fan=2)
+    batches = _batches(8, 20)
+    order = [7, 2, 5, 0, 6, 1, 4, 3]
+    for number, b in enumerate(order):
+        store.apply(spark.createDataFrame(batches[b], SCHEMA).coalesce(1), number)
+    every = versions.latest(spark.createDataFrame([r for b in batches for r in b], SCHEMA))
+    assert every.where("op = 'D'").count() > 0
+    assert _rows(store.newest()) == _rows(every) and _rows(store.current()) == _rows(versions.live(every))
+    for tbl, pk, op in [(r.tbl, r.pk, r.op) for r in every.orderBy("op").limit(2).collect()]:
+        assert store.get(tbl, F.lit(pk)).count() == (op != "D")
+    # A store of one level has nothing aside but what was deleted.
+    assert [r["level"] for r in store.manifest()["runs"]] == [3] and spark.read.parquet(f"{tmp_path}/store/{store.manifest()['runs'][0]['deleted']}").where("op <> 'D'").count() == 0
