@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .transactions import SEGMENT_BYTES
 
 TABLE_MAP = 19
-#: Tables that a configuration may list: the dimension is made on the driver. Whether a join broadcasts it is left to Spark, by its size.
+#: Tables that a configuration may list: the dimension is made on the driver, and broadcast. A shuffle by table would put a log of one table into one task.
 MAX_CONFIGURED_TABLES = 100_000
 
 
@@ -48,11 +48,11 @@ def allow(changes: DataFrame, tables: list[str]) -> DataFrame:
 
 def route(changes: DataFrame, groups: DataFrame) -> DataFrame:
     """``changes`` of configured tables with their group_id; others are dropped (see ``unrouted``)."""
-    return changes.join(groups, "tbl")
+    return changes.join(F.broadcast(groups), "tbl")
 
 
 def unrouted(changes: DataFrame, groups: DataFrame) -> DataFrame:
-    return changes.join(groups, "tbl", "left_anti")
+    return changes.join(F.broadcast(groups), "tbl", "left_anti")
 
 
 def groups_of_query(queries: DataFrame, groups: DataFrame) -> DataFrame:

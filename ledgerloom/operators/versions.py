@@ -15,6 +15,8 @@ from .prefix import along, running
 KEYS = ["tbl", "pk"]
 #: Transactions of one segment of a key's chain.
 SEGMENT_TXNS = 1 << 20
+#: Transactions whose changes of a key meet in one task, where ``latest`` is given a number of pieces.
+PIECE_TXNS = 1 << 16
 
 
 def order() -> list[Column]:
@@ -28,11 +30,22 @@ def versions(changes: DataFrame, segment_txns: int = SEGMENT_TXNS) -> DataFrame:
     return out.withColumn("valid_from", F.col("event_time")).withColumn("is_deleted", F.col("op") == "D")
 
 
-def latest(changes: DataFrame) -> DataFrame:
-    """The newest version of each key, tombstones included: one aggregation, combined before the shuffle."""
-    rest = [c for c in changes.columns if c not in KEYS]
-    newest = changes.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), F.struct(*order())).alias("v"))
-    return newest.select(*KEYS, "v.*")
+def latest(changes: DataFrame, pieces: int | None = None) -> DataFrame:
+    """The newest version of each key, tombstones included: one aggregation, combined before the shuffle.
+
+    Rows with texts are sorted before they are combined, so a task's memory follows its rows. ``pieces``: changes are dealt to so many tasks first, by key
+    and by ``PIECE_TXNS`` transactions, so that a task has its share of them whatever the sizes of files and shuffles, and a key with a third of all rows is many tasks'.
+    """
+    if not pieces:
+        return _newest(changes, KEYS)
+    dealt = changes.withColumn("_piece", F.floor(F.col("txn_seq") / PIECE_TXNS)).repartition(pieces, *KEYS, "_piece")
+    return _newest(_newest(dealt, [*KEYS, "_piece"]).drop("_piece").repartition(pieces, *KEYS), KEYS)
+
+
+def _newest(changes: DataFrame, keys: list[str]) -> DataFrame:
+    rest = [c for c in changes.columns if c not in keys]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order())).alias("v"))
+    return newest.select(*keys, "v.*")
 
 
 def latest_columns(changes: DataFrame, columns: list[str], image: str = "after") -> DataFrame:

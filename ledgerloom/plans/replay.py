@@ -14,6 +14,8 @@ from ..sources import binlog
 from ..workspace import materialize
 
 MODES = ("grouped", "single_group", "logical_clock")
+#: Bytes of a log whose rows are one task's where they are sorted; and the most tasks: with more, Spark's shuffle keeps the rows of the tasks before in memory.
+PIECE_BYTES, MAX_PIECES = 16 << 20, 200
 
 
 @dataclass
@@ -25,6 +27,8 @@ class Replay:
     groups: DataFrame
     #: What of a log could not be read; None for a change table.
     problems: DataFrame | None = None
+    #: Tasks that changes are dealt to where they are sorted; None leaves it to Spark.
+    pieces: int | None = None
 
     def routed(self) -> DataFrame:
         return routing.route(self.changes, self.groups)
@@ -33,7 +37,7 @@ class Replay:
         return versions.versions(self.routed())
 
     def latest(self) -> DataFrame:
-        return versions.live(versions.latest(self.routed()))
+        return versions.live(versions.latest(self.routed(), self.pieces))
 
     def as_of(self, time) -> DataFrame:  # noqa: ANN001
         return versions.as_of(self.routed(), time)
@@ -76,7 +80,13 @@ def replay_log(spark: SparkSession, path: str, groups: DataFrame, mode: str = "g
     (from two copies of a log) only the first is replayed.
     """
     read = binlog.load(spark, path, split_bytes, **(options | {"mode": "replay"}))
-    return replay_read(materialize(read.drop("file"), "log-read"), groups, mode, once)
+    return replay_read(materialize(read.drop("file"), "log-read"), groups, mode, once, pieces_of(spark, path))
+
+
+def pieces_of(spark: SparkSession, path: str) -> int:
+    """How many tasks the rows of a log are dealt to, by its bytes."""
+    n_bytes = sum(binlog.size_on_disk(f) for f in binlog.log_files(path))
+    return min(max(-(-n_bytes // PIECE_BYTES), spark.sparkContext.defaultParallelism), MAX_PIECES)
 
 
 def latest_rows(spark: SparkSession, path: str, table: str, schema: str, keys: list[str], split_bytes: int = binlog.SPLIT_BYTES, **options: str) -> DataFrame:
@@ -104,12 +114,13 @@ def latest_rows(spark: SparkSession, path: str, table: str, schema: str, keys: l
     return newest.select(*[F.col(k) if k in keys else F.col(f"_v.`{k}`").alias(k) for k in types])
 
 
-def replay_read(read: DataFrame, groups: DataFrame, mode: str = "grouped", once: bool = False) -> Replay:
-    """From a log that the source has read in mode replay."""
+def replay_read(read: DataFrame, groups: DataFrame, mode: str = "grouped", once: bool = False, pieces: int | None = None) -> Replay:
+    """From a log that the source has read in mode replay. ``pieces``: tasks that its rows are dealt to where they are sorted."""
     ends = read.where(F.col("op") == binlog.END)
     files = ends.groupBy("file_ord").agg(F.max("txn_no").alias("_done"))
     before = Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    files = files.withColumn("_before", F.coalesce(F.sum("_done").over(before), F.lit(0)))
+    # As many rows as the driver has listed files: rows meet them where they are, as a shuffle by file would put a long one into one task.
+    files = F.broadcast(files.withColumn("_before", F.coalesce(F.sum("_done").over(before), F.lit(0))))
     seq = (F.col("_before") + F.col("txn_no")).alias("txn_seq")
     rows = read.where(F.col("problem").isNull() & (F.col("op") != binlog.END)).drop("problem").join(files, "file_ord").where(F.col("txn_no") <= F.col("_done"))
     rows = rows.withColumn("txn_seq", seq).withColumn("tbl", F.concat_ws(".", "db", "tbl")).withColumn("event_ord", F.col("pos")).drop("db", "_done", "_before", "txn_no")
@@ -123,7 +134,7 @@ def replay_read(read: DataFrame, groups: DataFrame, mode: str = "grouped", once:
     txns = ended.select("txn_seq", "event_time")
     out = replay_changes(rows, groups, mode)
     problems = read.where("problem IS NOT NULL").select("file_ord", "pos", "event_time", "db", "tbl", "txn_no", "problem")
-    return Replay(out.changes, txns, out.groups, problems)
+    return Replay(out.changes, txns, out.groups, problems, pieces)
 
 
 def in_place_of_commit(rows: DataFrame, ended: DataFrame) -> DataFrame:

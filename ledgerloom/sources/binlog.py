@@ -673,7 +673,7 @@ class BinlogReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.settings.mode == "splits":
-            sizes = [_size(f) for f in self.files]
+            sizes = [size_on_disk(f) for f in self.files]
             return [SplitPart(f, i, k, at, at + self.split_bytes) for i, (f, n) in enumerate(zip(self.files, sizes, strict=True)) for k, at in enumerate(range(0, max(n, 1), self.split_bytes))]
         if self.splits is not None:
             return [FilePart(file, file_ord, start, stop, first) for file, file_ord, start, stop, first in self.splits]
@@ -683,7 +683,7 @@ class BinlogReader(DataSourceReader):
         return _read_split(partition, self.settings) if isinstance(partition, SplitPart) else _read_part(partition, self.settings)
 
 
-def _size(file: str) -> int:
+def size_on_disk(file: str) -> int:
     store, path = store_of(file)
     return store.get_file_info(path).size or 0
 
@@ -960,7 +960,7 @@ def load(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, schema:
     register(spark)
     reader = spark.read.format("binlog").options(**options)
     reader = reader if schema is None else reader.schema(schema)
-    if all(_size(f) <= split_bytes for f in log_files(path)):
+    if all(size_on_disk(f) <= split_bytes for f in log_files(path)):
         return reader.load(path)
     found = spark.read.format("binlog").options(**options).option("mode", "splits").option("splitBytes", split_bytes).load(path)
     splits, at = [], {}

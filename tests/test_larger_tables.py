@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import duckdb
 from pyspark.sql import functions as F
 
 from ledgerloom import queries as core
+from ledgerloom.operators import routing, versions
+from ledgerloom.plans import replay
+from ledgerloom.sources import binlog
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -46,3 +50,18 @@ def test_every_batch_reaches_the_store(spark, tmp_path) -> None:  # noqa: ANN001
     types = F.element_at(F.array(*map(F.lit, ("view", "error", "signup", "click"))), (F.pmod(F.hash(i), F.lit(4)) + 1).cast("int"))
     events = spark.range(0, 24_000, 16).withColumnRenamed("id", "event_id").select("event_id", F.pmod(F.hash(i * 7), F.lit(600)).cast("long").alias("user_id"), F.lit(T0).cast("timestamp_ntz").alias("ts"), types.alias("event_type"), (i * 0.5).alias("value"), F.lit("{}").alias("props"))
     _holds(spark, tmp_path, "version_store_batches", events=events)
+
+
+def test_a_log_of_one_table_is_not_one_task(spark, tmp_path) -> None:  # noqa: ANN001
+    """Neither its table nor its file deals the rows; the newest versions are those without dealing, also of a key with half of all rows."""
+    binlog.register(spark)
+    i = F.col("id")
+    rows = spark.range(0, 2000, 1, 2).select(F.when(i % 2 == 0, 0).otherwise(i % 37).alias("k"), i.alias("v"), F.lit("x").alias("text"))
+    rows.write.format("binlog").options(db="shop", table="t", primaryKey="k", batch="3", gtids="true").mode("append").save(str(tmp_path / "log"))
+    for path, once in ((f"{tmp_path}/log", False), (f"{tmp_path}/log,{tmp_path}/log", True)):
+        r = replay.replay_log(spark, path, routing.table_groups(spark, [["shop.t"]]), once=once)
+        assert r.pieces and r.routed().count() == 2000
+        plan = r.routed()._jdf.queryExecution().sparkPlan().toString()
+        assert not re.search(r"SortMergeJoin \[(tbl|file_ord)#", plan) and "BroadcastHashJoin" in plan
+        got = sorted(map(tuple, r.latest().select("pk", "after").collect()))
+        assert got == sorted(map(tuple, versions.live(versions.latest(r.routed())).select("pk", "after").collect())) and len(got) == 37
