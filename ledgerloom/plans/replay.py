@@ -128,7 +128,8 @@ def replay_read(read: DataFrame, groups: DataFrame, mode: str = "grouped", once:
     if once:
         first = ended.where("gtid IS NOT NULL").groupBy("gtid").agg(F.min("txn_seq").alias("_first"))
         again = materialize(ended.join(first, "gtid").where("txn_seq > _first").select("txn_seq"), "log-again")
-        ended, rows = (x.join(again, "txn_seq", "left_anti") for x in (ended, rows))
+        dealt = (lambda x: x.repartition(pieces, "txn_seq")) if pieces else (lambda x: x)
+        ended, rows = (dealt(x).join(dealt(again), "txn_seq", "left_anti") for x in (ended, rows))
     if ended.where("decided = 'prepare'").take(1):
         rows = in_place_of_commit(rows, ended)
     txns = ended.select("txn_seq", "event_time")
