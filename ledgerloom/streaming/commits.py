@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.versions import latest, live
 
 HEARTBEAT = 27
+#: Transaction numbers of one entry of waiting ones, and new rows that are taken together.
+BLOCK, BUFFER_ROWS = 4096, 1 << 20
 COMMIT_SCHEMA = "group_id int, txn_seq long, commit_us long"
 #: The state store that keeps the entries of a map by themselves.
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -19,9 +22,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class InOrder(StatefulProcessor):
-    """Commits the transactions of one group in order; those that came too early wait as an entry of state each.
+    """Commits the transactions of one group in order; those that came too early wait in state, ``BLOCK`` numbers to an entry.
 
-    A batch touches the entries that it adds and those that it commits; what goes on waiting is neither read nor written.
+    A batch touches the entries that it adds to and those that it commits; what goes on waiting in other entries is neither read nor written.
+    New rows are taken ``BUFFER_ROWS`` at a time, as arrays, so a task's memory doesn't follow the batch.
     """
 
     def __init__(self, first_seq: int) -> None:
@@ -29,34 +33,65 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.done = handle.getValueState("done", "next_seq long, mark_us long")
-        self.waiting = handle.getMapState("waiting", "txn_seq long", "event_us long")
+        self.waiting = handle.getMapState("waiting_blocks", "block long", "seqs binary, times binary")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def _held(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.waiting.containsKey((block,)):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.frombuffer(bytes(x), "<i8") for x in self.waiting.getValue((block,)))
+
+    def _taken(self, key: tuple, seqs: np.ndarray, times: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Add new rows to those that wait, and commit what is in order."""
         next_seq, mark = self.done.get() if self.done.exists() else (self.first_seq, 0)
-        new: dict[int, int] = {}
-        for frame in rows:
-            for seq, us in zip(frame["txn_seq"].tolist(), frame["event_us"].tolist(), strict=True):
-                if seq >= next_seq:
-                    new.setdefault(seq, us)
-        out = []
-        while True:
+        new = seqs >= next_seq
+        seqs, times = seqs[new], times[new]
+        order = np.argsort(seqs, kind="stable")
+        seqs, times = seqs[order], times[order]
+        blocks = seqs // BLOCK
+        begins = np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1)) if len(blocks) else blocks
+        rows = {int(blocks[i]): (seqs[i:j], times[i:j]) for i, j in zip(begins, [*begins[1:], len(blocks)], strict=True)}
+
+        def merged(block: int) -> tuple[np.ndarray, np.ndarray]:
             # What waited came before what is new: of repeated cells the first counts.
-            if self.waiting.containsKey((next_seq,)):
-                (us,) = self.waiting.getValue((next_seq,))
-                self.waiting.removeKey((next_seq,))
-                new.pop(next_seq, None)
-            elif next_seq in new:
-                us = new.pop(next_seq)
-            else:
+            held, more = self._held(block), rows.pop(block, None)
+            if more is None:
+                return held
+            every, first = np.unique(np.concatenate([held[0], more[0]]), return_index=True)
+            return every, np.concatenate([held[1], more[1]])[first]
+
+        def put(block: int, seqs: np.ndarray, times: np.ndarray) -> None:
+            if len(seqs):
+                self.waiting.updateValue((block,), (seqs.astype("<i8").tobytes(), times.astype("<i8").tobytes()))
+            elif self.waiting.containsKey((block,)):
+                self.waiting.removeKey((block,))
+
+        while True:
+            block = next_seq // BLOCK
+            # The next one waits only if it is new or its block's first ones were committed by rows before: a block without new rows was looked at then.
+            if block not in rows and (next_seq % BLOCK or not self.waiting.containsKey((block,))):
+                break
+            seqs, times = merged(block)
+            n = int(np.argmax(np.append(seqs != next_seq + np.arange(len(seqs)), True)))
+            put(block, seqs[n:], times[n:])
+            if n:
+                out = np.maximum.accumulate(np.maximum(times[:n], mark))
+                yield pd.DataFrame({"group_id": np.full(n, key[0], np.int32), "txn_seq": seqs[:n], "commit_us": out})
+                next_seq, mark = next_seq + n, int(out[-1])
+            if next_seq % BLOCK or not n:
                 break
-            mark = max(mark, us)
-            out.append((key[0], next_seq, mark))
-            next_seq += 1
-        for seq, us in new.items():
-            if not self.waiting.containsKey((seq,)):
-                self.waiting.updateValue((seq,), (us,))
+        for block in list(rows):
+            put(block, *merged(block))
         self.done.update((next_seq, mark))
-        yield pd.DataFrame(out, columns=["group_id", "txn_seq", "commit_us"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for frame in rows:
+            held.append((frame["txn_seq"].to_numpy(np.int64), frame["event_us"].to_numpy(np.int64)))
+            if sum(len(x) for x, _ in held) >= BUFFER_ROWS:
+                yield from self._taken(key, *map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held:
+            yield from self._taken(key, *map(np.concatenate, zip(*held, strict=True)))
 
     def close(self) -> None:
         pass

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
+import random
 import re
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerloom import queries as core
 from ledgerloom.operators import routing, versions
 from ledgerloom.plans import replay
 from ledgerloom.sources import binlog
+from ledgerloom.streaming import commits
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -65,3 +69,63 @@ def test_a_log_of_one_table_is_not_one_task(spark, tmp_path) -> None:  # noqa: A
         assert not re.search(r"SortMergeJoin \[(tbl|file_ord)#", plan) and "BroadcastHashJoin" in plan
         got = sorted(map(tuple, r.latest().select("pk", "after").collect()))
         assert got == sorted(map(tuple, versions.live(versions.latest(r.routed())).select("pk", "after").collect())) and len(got) == 37
+
+
+class _Handle:
+    """State as Spark keeps it; ``calls`` counts what is read or written."""
+
+    def __init__(self) -> None:
+        self.values, self.calls = {}, 0
+
+    def getValueState(self, name, *schemas):  # noqa: ANN001, ANN201, N802
+        return _State(self, name)
+
+    getMapState = getValueState  # noqa: N815
+
+
+class _State:
+    def __init__(self, handle, name) -> None:  # noqa: ANN001
+        self.handle, self.name = handle, name
+
+    def _at(self, key=()):  # noqa: ANN001, ANN202
+        self.handle.calls += 1
+        return self.name, key
+
+    def containsKey(self, key=()):  # noqa: ANN001, ANN201, N802
+        return self._at(key) in self.handle.values
+
+    def getValue(self, key=()):  # noqa: ANN001, ANN201, N802
+        return self.handle.values[self._at(key)]
+
+    def updateValue(self, key, value):  # noqa: ANN001, ANN201, N802
+        self.handle.values[self._at(key)] = value
+
+    def removeKey(self, key):  # noqa: ANN001, ANN201, N802
+        del self.handle.values[self._at(key)]
+
+    def update(self, value):  # noqa: ANN001, ANN201
+        self.updateValue((), value)
+
+    exists, get = containsKey, getValue
+
+
+def test_waiting_transactions_are_kept_together(monkeypatch) -> None:  # noqa: ANN001
+    """Any order and repetition of cells gives the commits of plain Python, in far fewer calls of the state than there are cells."""
+    for seed in range(6):
+        rnd = random.Random(seed)
+        n = rnd.choice([1, 3000, 20_000])
+        monkeypatch.setattr(commits, "BUFFER_ROWS", rnd.choice([50, 1000, 1 << 20]) if n < 20_000 else 1 << 20)
+        cells = [(s, rnd.randrange(10**6)) for s in range(1, n + 1)] + [(rnd.randrange(1, n + 1), 5) for _ in range(n // 3)]
+        rnd.shuffle(cells)
+        handle, got, first = _Handle(), [], {}
+        p = commits.InOrder(1)
+        p.init(handle)
+        for at in range(0, len(cells), -(-len(cells) // 4)):
+            batch = pd.DataFrame(cells[at : at + -(-len(cells) // 4)], columns=["txn_seq", "event_us"])
+            for out in p.handleInputRows((7,), iter([batch[:100], batch[100:]]), None):
+                got += out.itertuples(index=False, name=None)
+        for s, us in cells:
+            first.setdefault(s, us)
+        assert [(g, s) for g, s, _ in got] == [(7, s) for s in range(1, n + 1)]
+        assert [c for _, _, c in got] == list(itertools.accumulate((first[s] for s in range(1, n + 1)), max))
+        assert n < 20_000 or handle.calls < 500
