@@ -83,6 +83,10 @@ BEFORE = "_before_"
 #: The op of a row that says where a transaction ends, in mode replay.
 END = "end"
 CHUNK = 8 << 20
+#: Bytes that are looked through for a header first; further windows are twice as long each, up to ``CHUNK``.
+WINDOW = 1 << 14
+#: Partitions of one read at most: with more splits, a partition has a run of them.
+MAX_PARTITIONS = 1024
 #: Rows of a batch, and bytes of their images or payloads.
 BATCH_ROWS, BATCH_BYTES = 8192, 32 << 20
 #: Rows that are decoded together in mode rows.
@@ -191,16 +195,17 @@ class Frames:
 
 def next_header(read: Any, start: int, end: int) -> int | None:
     """The first place at or behind ``start`` of a header that fits, looked for chunk by chunk."""
-    at = start
+    at, length = start, WINDOW
     while at < end:
         read.seek(at)
-        window = read.read(min(CHUNK, end - at))
+        wanted = min(length, end - at)
+        window = read.read(wanted)
         found = _next_header(window, at)
         if found is not None:
             return at + found
-        if len(window) < CHUNK:
+        if len(window) < wanted or at + wanted >= end:
             return None
-        at += len(window) - codec.HEADER_SIZE + 1
+        at, length = at + len(window) - codec.HEADER_SIZE + 1, min(2 * length, CHUNK)
     return None
 
 
@@ -525,6 +530,18 @@ class SplitPart(InputPartition):
     end: int
 
 
+@dataclass
+class RunOfParts(InputPartition):
+    """Consecutive parts that one task reads, one after another."""
+
+    parts: list[InputPartition]
+
+
+def _in_runs(parts: list[InputPartition]) -> list[InputPartition]:
+    n = -(-len(parts) // MAX_PARTITIONS)
+    return parts if n <= 1 else [RunOfParts(parts[i : i + n]) for i in range(0, len(parts), n)]
+
+
 @dataclass
 class StreamPart(InputPartition):
     """What is new of a file: its size, and whether it was finished, before and now."""
@@ -579,9 +596,10 @@ def _rows_of(parser: FileParser, f: Any, start: int = 4, end: int | None = None,
 
 
 @contextmanager
-def _opened(file: str) -> Iterator[io.BufferedReader]:
+def _opened(file: str, length: int = CHUNK) -> Iterator[io.BufferedReader]:
+    """``length``: of what is going to be read; a short split reads no long buffers."""
     store, path = store_of(file)
-    with store.open_input_file(path) as raw, io.BufferedReader(raw, CHUNK) as f:
+    with store.open_input_file(path) as raw, io.BufferedReader(raw, min(max(length, WINDOW), CHUNK)) as f:
         yield f
 
 
@@ -598,7 +616,7 @@ def _typed(parser: TypedParser, f: Any, start: int, end: int, own: bool = True)
 
 
 def _read_part(part: FilePart, settings: Settings) -> Iterator[pa.RecordBatch]:
-    with _opened(part.file) as f:
+    with _opened(part.file, CHUNK if part.end is None else part.end - part.start) as f:
         if settings.mode == "rows":
             end = size_of(f) if part.end is None else part.end
             if settings.complete:
@@ -637,7 +655,7 @@ def transaction_end(f: Any, at: int, end: int, parser: FileParser) -> int:
 
 
 def _read_split(part: SplitPart, settings: Settings) -> Iterator[pa.RecordBatch]:
-    with _opened(part.file) as f:
+    with _opened(part.file, part.end - part.start) as f:
         size = size_of(f)
         parser = FileParser(part.file, part.file_ord, settings)
         parser.learn(Frames(f, parser.format_tail), size)
@@ -674,13 +692,17 @@ class BinlogReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.settings.mode == "splits":
             sizes = [size_on_disk(f) for f in self.files]
-            return [SplitPart(f, i, k, at, at + self.split_bytes) for i, (f, n) in enumerate(zip(self.files, sizes, strict=True)) for k, at in enumerate(range(0, max(n, 1), self.split_bytes))]
+            return _in_runs([SplitPart(f, i, k, at, at + self.split_bytes) for i, (f, n) in enumerate(zip(self.files, sizes, strict=True)) for k, at in enumerate(range(0, max(n, 1), self.split_bytes))])
         if self.splits is not None:
-            return [FilePart(file, file_ord, start, stop, first) for file, file_ord, start, stop, first in self.splits]
+            return _in_runs([FilePart(file, file_ord, start, stop, first) for file, file_ord, start, stop, first in self.splits])
         return [FilePart(f, i) for i, f in enumerate(self.files)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        return _read_split(partition, self.settings) if isinstance(partition, SplitPart) else _read_part(partition, self.settings)
+        if isinstance(partition, RunOfParts):
+            for part in partition.parts:
+                yield from self.read(part)
+        else:
+            yield from _read_split(partition, self.settings) if isinstance(partition, SplitPart) else _read_part(partition, self.settings)
 
 
 def size_on_disk(file: str) -> int:

@@ -15,6 +15,7 @@ from ledgerloom import queries as core
 from ledgerloom.operators import routing, versions
 from ledgerloom.plans import replay
 from ledgerloom.sources import binlog
+from ledgerloom.sources.binlog_writer import LogWriter, column_for
 from ledgerloom.streaming import commits
 
 T0 = dt.datetime(2024, 1, 1)
@@ -129,3 +130,31 @@ def test_waiting_transactions_are_kept_together(monkeypatch) -> None:  # noqa: A
         assert [(g, s) for g, s, _ in got] == [(7, s) for s in range(1, n + 1)]
         assert [c for _, _, c in got] == list(itertools.accumulate((first[s] for s in range(1, n + 1)), max))
         assert n < 20_000 or handle.calls < 500
+
+
+def test_short_splits_read_little(tmp_path, monkeypatch) -> None:  # noqa: ANN001
+    """What is read for splits follows the file's length, not the number of splits times a long buffer; many splits are few partitions with the same rows."""
+    file, big = tmp_path / "log.1", column_for("bigint")
+    with file.open("wb") as f:
+        log = LogWriter(f)
+        for n in range(1, 12_001):
+            log.transaction(0, n - 1, n, [("d", "t", ["id", "x"], [big, big], [0], [("I", None, [n, None if n % 3 == 0 else -n])])])
+    size, seen = file.stat().st_size, [0]
+    real = binlog._next_header
+    monkeypatch.setattr(binlog, "_next_header", lambda data, pos: seen.__setitem__(0, seen[0] + len(data)) or real(data, pos))
+    options = {"path": str(tmp_path), "mode": "splits", "splitBytes": str(1 << 14)}
+
+    def splits(most: int) -> list[dict]:
+        monkeypatch.setattr(binlog, "MAX_PARTITIONS", most)
+        reader = binlog.BinlogReader(options)
+        assert len(reader.partitions()) <= most
+        return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+    found = splits(1 << 20)
+    assert len(found) > 100 and seen[0] < 4 * size
+    assert splits(7) == found and sum(r["n_ends"] for r in found) == 12_000
+    first = list(itertools.accumulate((r["n_ends"] for r in found), initial=1))
+    cut = binlog.BinlogReader({"path": str(tmp_path), "mode": "changes", "splits": binlog._packed([(r["file"], 0, r["start"], r["stop"], n) for r, n in zip(found, first, strict=False) if r["start"] < r["stop"]])})
+    assert len(cut.partitions()) <= 7
+    got = [(r["txn_no"], r["after"]) for p in cut.partitions() for b in cut.read(p) for r in b.to_pylist()]
+    assert got == [(n, f'{{"id": {n}, "x": {"null" if n % 3 == 0 else -n}}}') for n in range(1, 12_001)]
