@@ -34,12 +34,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, classes, encoder, pattern, tokenizer_path, vocabulary
+from .bpe import classes, compiled_encoding, encoder, tokenizer_path, vocabulary
 from .shared import RANGE_BYTES, documents, fresh_path
 
 CHUNK_BITS = 8
@@ -109,13 +108,6 @@ class Codes:
         return out
 
 
-def compiled_encoding(vocab: Vocabulary) -> tiktoken.Encoding:
-    """A compiled merger over the vocabulary's ranks; it gives what ``Vocabulary.merge`` gives, several times faster."""
-    special = set(vocab.special.values())
-    ranks = {p: i for i, p in enumerate(vocab.pieces) if i not in special}
-    return tiktoken.Encoding("file", pat_str=pattern(None), mergeable_ranks=ranks, special_tokens=vocab.special)
-
-
 @lru_cache(maxsize=2)
 def merger(spec: str, known: tuple[str, str, int]) -> Callable[[str], list[int]]:
     """A text's ids, special tokens included, without an end id."""

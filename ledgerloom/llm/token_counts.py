@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import classes, specification, splitter, vocabulary
-from .dac import compiled_encoding
+from .bpe import classes, compiled_encoding, specification, splitter, vocabulary
 from .shared import batch_of, documents, materialize
 
 #: A trie with more nodes than this is dropped, and a new one begun.
